@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, packing
+from graphloom.llm import bpe, packing, quality, topk
 from graphloom.session import table
 
 
@@ -15,14 +16,41 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.best_two_fit(table(spark, sf_dir, "documents"), bpe.vocabulary_path(), capacity=4096, end_id=1)
 
 
+def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best partners of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_round_trip, op8_best_two_fit)}
+    return {f.__name__: f for f in (op4_bpe_round_trip, op7_quality_rules, op8_best_two_fit, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_threshold_top_k": OP10_SQL}
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
