@@ -28,7 +28,7 @@ from graphloom.llm.textnum import spread
 from graphloom.session import reach_workers
 
 #: Words that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: Characters of text that are encoded together.
 TOGETHER = 1 << 21
 NONE = np.iinfo(np.int32).max

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, packing, quality, topk
+from graphloom.llm import bpe, kneser_ney, packing, quality, topk
 from graphloom.session import table
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a model trained on four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.train_and_score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.vocabulary_path())
@@ -33,7 +39,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_round_trip, op7_quality_rules, op8_best_two_fit, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_kneser_ney, op4_bpe_round_trip, op7_quality_rules, op8_best_two_fit, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:

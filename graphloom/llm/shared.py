@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,7 +58,9 @@ def mounted(uri: str) -> str:
 
 
 def put_file(path: str, *arrays) -> None:
-    """Write arrays one after the other, each at a multiple of 64 bytes, all or nothing.
+    """Write arrays of one length one after the other, each at a multiple of 64 bytes, all or nothing.
+
+    The first 64 bytes hold the length.
 
     A retried or speculative task writes the same bytes under another name first, and the
     rename replaces whole files only.
@@ -65,7 +68,20 @@ def put_file(path: str, *arrays) -> None:
     os.makedirs(os.path.dirname(path), exist_ok=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
-        for a in arrays:
+        for a in (np.array([len(arrays[0])], np.int64), *arrays):
             f.write(a.tobytes())
             f.write(b"\0" * (-f.tell() % 64))
     os.replace(part, path)
+
+
+def map_file(path: str, types: tuple) -> list[np.ndarray]:
+    """The arrays of :func:`put_file`, mapped into memory; a missing file has empty arrays."""
+    if not os.path.exists(path):
+        return [np.zeros(0, t) for t in types]
+    raw = np.memmap(path, np.uint8, "r")
+    n, at, out = int(raw[:8].view(np.int64)[0]), 64, []
+    for t in types:
+        end = at + n * np.dtype(t).itemsize
+        out.append(raw[at:end].view(t))
+        at = -(-end // 64) * 64
+    return out
