@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, kneser_ney, packing, quality, topk
+from graphloom.llm import bpe, kneser_ney, packing, probminhash, quality, topk
 from graphloom.session import table
 
 
@@ -32,6 +32,11 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(table(spark, sf_dir, "documents"), bpe.vocabulary_path(), capacity=4096, end_id=1)
 
 
+def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near duplicates."""
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best partners of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -39,7 +44,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op4_bpe_round_trip, op7_quality_rules, op8_best_two_fit, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_kneser_ney, op4_bpe_round_trip, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,10 +9,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,3 +88,50 @@ def map_file(path: str, types: tuple) -> list[np.ndarray]:
         out.append(raw[at:end].view(t))
         at = -(-end // 64) * 64
     return out
+
+
+def store_hashes(hashes: DataFrame, kind: str) -> HashFiles:
+    """Distinct values of the one long column of ``hashes`` as sorted files in the shared folder.
+
+    Tasks look values up by binary search in the mapped files, so a set of any size
+    filters a scan without a shuffle of the scanned rows and without a broadcast.
+    """
+    spark = hashes.sparkSession
+    folder, shards = mounted(fresh(spark, kind)), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    os.makedirs(folder, exist_ok=True)
+
+    def put(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            shard, value = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for s in np.unique(shard).tolist():
+                held.setdefault(s, []).append(value[shard == s])
+        for s, parts in held.items():
+            put_file(f"{folder}/{s}", np.unique(np.concatenate(parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32())], ["shard"])
+
+    column = hashes.columns[0]
+    dealt = hashes.where(f"`{column}` is not null").distinct().select(F.pmod(F.xxhash64(column), F.lit(shards)).cast("int").alias("shard"), column)
+    dealt.repartition(shards, "shard").mapInArrow(put, "shard int").agg(F.count("*")).collect()
+    return HashFiles(folder, shards)
+
+
+@dataclass(frozen=True)
+class HashFiles:
+    """Files of :func:`store_hashes`; a task finds the shard of a value by Spark's own hash, given as a column."""
+
+    folder: str
+    shards: int
+
+    def shard(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.shards)).cast("int")
+
+    def has(self, shard: np.ndarray, value: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(value), bool)
+        for s in np.unique(shard).tolist():
+            own = np.flatnonzero(shard == s)
+            (stored,) = map_file(f"{self.folder}/{s}", (np.int64,))
+            if len(stored):
+                at = np.minimum(np.searchsorted(stored, value[own]), len(stored) - 1)
+                out[own] = stored[at] == value[own]
+        return out
