@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import fresh, map_file, mounted, put_file
-from graphloom.llm.textnum import lower, mix, slices, span_hashes, words
+from graphloom.llm.textnum import lower, mix, shard_of, slices, span_hashes, words
 from graphloom.session import reach_workers
 
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -57,10 +57,6 @@ def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(0x9E3779B97F4A7C15) + mix(second ^ np.uint64(0xA0761D6478BD642F)))
 
 
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return ((mix(key + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
 def summed(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in order, with their counts added up."""
     if not len(first):

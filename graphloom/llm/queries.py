@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, kneser_ney, packing, probminhash, quality, topk
+from graphloom.llm import bpe, kneser_ney, packing, probminhash, quality, suffix_dedup, topk
 from graphloom.session import table
 
 
@@ -22,6 +22,12 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
 
+def op6_common_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings of documents before it, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    return suffix_dedup.removal_digest(docs, suffix_dedup.find_repeats(docs, least=50))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -44,7 +50,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op4_bpe_round_trip, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_kneser_ney, op4_bpe_round_trip, op6_common_prefix_tree, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:

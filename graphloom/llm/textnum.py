@@ -28,6 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """Deal 64-bit hashes into ``shards`` files or groups."""
+    return ((mix(key + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A string column as large binary, null as empty."""
     if isinstance(column, pa.ChunkedArray):
