@@ -8,7 +8,7 @@ the probability Jaccard similarity of the texts.
 
 Equal word sequences are collapsed first, so copies, however many, are one text from then
 on. Texts that agree in all registers of a band share a bucket. Each bucket first links
-its members to one of them; where members of different groups remain together in a
+its members to the one that meets most others; where members of different groups remain together in a
 bucket, all of them are compared by signature, in blocks, and likely links are verified.
 No pair of one group is listed twice and no bucket is cut.
 A link holds if the exact probability Jaccard similarity, or the plain one of the shingle
@@ -44,14 +44,14 @@ class Settings:
     """Shingle length, bands and their registers, and the least similarity of a link.
 
     ``likely`` is the share of equal registers from which a pair is verified in the second
-    pass: far below ``threshold``, five and a half standard deviations with 125 registers.
+    pass: more than three standard deviations below ``threshold`` with 125 registers.
     """
 
     words: int = 5
     bands: int = 25
     rows: int = 5
     threshold: float = 0.8
-    likely: float = 0.6
+    likely: float = 0.68
     block: int = 256
 
 
@@ -92,7 +92,7 @@ def signatures(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, texts: i
     label = (mix(code ^ _B) >> np.uint64(32)).astype(np.uint32)
     while len(code):
         turn += 1
-        draw = mix(code + np.uint64(turn) * _A)
+        draw = mix(code + np.uint64(turn * int(_A) % (1 << 64)))
         clock = clock - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / weight
         slot = owner * registers + (mix(draw ^ _A) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(times, slot, clock)
@@ -229,9 +229,13 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     texts = signed.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("_id").alias("id")).where("id is not null")
     chosen = written(signed.join(texts.select(F.col("id").alias("_id"), "key", "key2"), ["_id", "key", "key2"]).dropDuplicates(["_id"]).select(F.col("_id").alias("id"), "bands", "signature"), "texts")
     placed = chosen.select("id", F.explode("bands").alias("bucket"))
-    # each bucket's first member in an order of its own
-    heads = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id"), F.col("id").alias("head"))).alias("m"), F.count("*").alias("n")).where("n > 1").select("bucket", "m.head")
-    members = written(placed.join(heads, "bucket"), "members")
+    # A bucket's head is its member that meets most others over all its buckets: of a family of
+    # copies the text they were made from, which is nearer to each than they are to one another.
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(placed.join(shared, "bucket"), "met")
+    known = met.groupBy("id").agg(F.sum("n").alias("meets"))
+    heads = met.join(known, "id").groupBy("bucket").agg(F.max(F.struct("meets", F.xxhash64("id"), F.col("id").alias("head"))).alias("m")).select("bucket", "m.head")
+    members = written(met.join(heads, "bucket").select("bucket", "id", "head"), "members")
     star = members.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     links = written(verify(written(star, "pairs"), docs, s, id_col, text_col), "links")
     groups = components(links)
