@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, kneser_ney, packing, probminhash, quality, suffix_dedup, topk
+from graphloom.llm import bpe, kneser_ney, license_scan, packing, preference, probminhash, quality, suffix_dedup, token_counts, topk
 from graphloom.session import table
 
 
@@ -17,11 +17,26 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, each document encoded whole."""
+    return token_counts.by_line(table(spark, sf_dir, "documents"), bpe.vocabulary_path("byte_bpe_50k.tiktoken"), rule="most")
+
+
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with two replies against itself with a stale last reply."""
+    return preference.format_preferences(*preference.stale_reply_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.TEMPLATES, least=0.8)
+
+
 def op6_common_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-byte strings of documents before it, as digests."""
     docs = table(spark, sf_dir, "documents")
@@ -50,11 +65,11 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op4_bpe_round_trip, op6_common_prefix_tree, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_token_counts, op3_preference_format, op4_bpe_round_trip, op5_license_scan, op6_common_prefix_tree, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_threshold_top_k": OP10_SQL}
+    return {"op3_preference_format": OP3_SQL, "op5_license_scan": op5_sql(), "op10_threshold_top_k": OP10_SQL}
 
 
 OP10_SQL = """
@@ -71,3 +86,44 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP3_SQL = """
+WITH said AS (
+  SELECT conv_id, min(turn) AS first, max(turn) AS last, arg_min(text, turn) AS early
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id HAVING min(turn) < max(turn)
+), k AS (
+  SELECT c.conv_id AS pair_id, c.turn, c.role, c.text,
+         CASE WHEN c.turn = s.last THEN s.early ELSE c.text END AS other, s.last
+  FROM conversations c JOIN said s USING (conv_id) WHERE c.turn <= s.last
+), f AS (
+  SELECT pair_id, min(turn) AS split FROM k WHERE text IS DISTINCT FROM other GROUP BY pair_id
+), p AS (
+  SELECT k.*, f.split IS NULL OR k.turn < f.split AS common FROM k LEFT JOIN f USING (pair_id)
+), u AS (
+  SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text FROM p
+  UNION ALL
+  SELECT pair_id, 'rejected', turn, role, other FROM p WHERE NOT common
+)
+SELECT pair_id, part, turn, role,
+       '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered,
+       part <> 'prompt' AND role = 'assistant' AS learn,
+       CAST(length('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10)) AS BIGINT) AS n_chars
+FROM u
+"""
+
+
+def op5_sql() -> str:
+    """Containment of every template in every document, without windows or bands."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(license_scan.TEMPLATES.items()))
+    words = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+    runs = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) ELSE [] END"
+    return f"""
+WITH t AS (SELECT name, {runs} AS s FROM (SELECT name, {words} AS w FROM (VALUES {values}) v(name, text))),
+d AS (SELECT doc_id, {runs} AS s FROM (SELECT doc_id, {words} AS w FROM documents)),
+e AS (SELECT name AS license, len(s) AS n_shingles, unnest(s) AS one FROM t),
+x AS (SELECT doc_id, unnest(s) AS one FROM d),
+c AS (SELECT doc_id, license, n_shingles, count(*) AS n_found FROM x JOIN e USING (one) GROUP BY ALL)
+SELECT doc_id, license, CAST(n_shingles AS BIGINT) AS n_shingles, n_found, CAST(n_found AS DOUBLE) / n_shingles AS containment
+FROM c WHERE n_found >= 0.8 * n_shingles
+"""
