@@ -236,8 +236,7 @@ class Mapped:
         word, which = np.unique(own, return_inverse=True)
         (a,) = self.find("lower", word, shard_of(word, m.shards), (np.uint64, np.float32))
         d = np.array([0.0, *m.lower_discounts])
-        lower_p = m.lower_left / (m.vocabulary + 1)
-        lower_p = lower_p + (np.maximum(a - d[np.minimum(a, 3).astype(np.int64)], 0) / m.successions if m.successions else 0.0)
+        lower_p = np.maximum(a - d[np.minimum(a, 3).astype(np.int64)], 0) / max(m.successions, 1) + m.lower_left / (m.vocabulary + 1)
         context, at = np.unique(before, return_inverse=True)
         of = shard_of(context, m.shards)
         total, n1, n2, n3 = self.find("context", context, of, (np.uint64, np.float64, np.float32, np.float32, np.float32))
