@@ -9,8 +9,9 @@ the probability Jaccard similarity of the texts.
 Equal word sequences are collapsed first, so copies, however many, are one text from then
 on. Texts that agree in all registers of a band share a bucket. Each bucket first links
 its members to the one that meets most others; where members of different groups remain together in a
-bucket, all of them are compared by signature, in blocks, and likely links are verified.
-No pair of one group is listed twice and no bucket is cut.
+bucket, all of them are compared by signature, in blocks, and likely links are verified
+there against shingle sets that tasks map into memory. No bucket is cut, and no list of
+pairs is made but of links that join two groups.
 A link holds if the exact probability Jaccard similarity, or the plain one of the shingle
 sets, is at least ``threshold``; groups are the connected components of the links.
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.shared import store_hashes, written
+from graphloom.llm.shared import fresh, map_file, mounted, put_file, store_hashes, written
 from graphloom.llm.textnum import lower, mix, slices, span_hashes, words
 from graphloom.session import reach_workers
 
@@ -152,9 +153,8 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return max(plain, float((1 / spread).sum()))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts are similar enough, from their exact shingle counts."""
-    wanted = pairs.select(F.xxhash64("a").alias("h")).union(pairs.select(F.xxhash64("b").alias("h")))
+def shingle_sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """``(_id, h, code, count)``: exact shingle counts of the documents whose id hash is in ``wanted``; one scan, no shuffle of texts."""
     known = store_hashes(wanted, "wanted")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +166,19 @@ def verify(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col
                 at = np.searchsorted(owner, np.arange(b - a + 1)).tolist()
                 count = count.astype(np.int32)
                 both = [(code[x:y].tobytes(), count[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["_id", "code", "count"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["_id", "h", "code", "count"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(id_col).alias("h"))
     kind = rows.schema["_id"].dataType.simpleString()
     rows = rows.select("_id", "_text", "h", known.shard("h").alias("shard"))
-    sets = written(rows.mapInArrow(shingle, f"_id {kind}, code binary, count binary").dropDuplicates(["_id"]), "shingles")
+    return rows.mapInArrow(shingle, f"_id {kind}, h long, code binary, count binary")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts are similar enough, from their exact shingle counts."""
+    wanted = pairs.select(F.xxhash64("a").alias("h")).union(pairs.select(F.xxhash64("b").alias("h")))
+    sets = written(shingle_sets(docs, wanted, s, id_col, text_col).dropDuplicates(["_id"]), "shingles")
+    kind = sets.schema["_id"].dataType.simpleString()
     left = sets.select(F.col("_id").alias("a"), F.col("code").alias("code_a"), F.col("count").alias("count_a"))
     right = sets.select(F.col("_id").alias("b"), F.col("code").alias("code_b"), F.col("count").alias("count_b"))
 
@@ -186,37 +193,84 @@ def verify(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col
     return pairs.join(left, "a").join(right, "b").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def _across(members: DataFrame, s: Settings, kind: str) -> DataFrame:
-    """Likely pairs of members of one bucket that belong to different groups.
-
-    ``members``: ``bucket, id, label, signature``. A bucket is dealt into blocks of at most
-    about ``block`` members, and every two blocks meet once, whatever the bucket's size.
+class StoredSets:
+    """Shingle sets in mapped files, by the hash of their document's id."""
+
+    KINDS = (("key", np.int64), ("at", np.int64), ("code", np.uint64), ("count", np.int32))
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards, self.open = folder, shards, {}
+
+    @classmethod
+    def store(cls, sets: DataFrame) -> StoredSets:
+        """Write ``(h, code, count)`` in the shared folder, a few files per shard."""
+        spark = sets.sparkSession
+        folder, shards = mounted(fresh(spark, "sets")), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+        def put(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            h = group.column("h").to_numpy()
+            h, first = np.unique(h, return_index=True)
+            codes = [group.column("code")[i].as_py() for i in first.tolist()]
+            counts = [group.column("count")[i].as_py() for i in first.tolist()]
+            at = np.cumsum([len(c) // 8 for c in codes])
+            arrays = (h, at, np.frombuffer(b"".join(codes), np.uint64), np.frombuffer(b"".join(counts), np.int32))
+            for (name, _), a in zip(cls.KINDS, arrays, strict=True):
+                put_file(f"{folder}/{name}-{key[0].as_py()}", a)
+            return pa.table({"n": pa.array([len(h)], pa.int64())})
+
+        dealt = sets.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "code", "count")
+        dealt.groupBy("shard").applyInArrow(put, "n long").agg(F.sum("n")).collect()
+        return cls(folder, shards)
+
+    def get(self, h: int) -> tuple[np.ndarray, np.ndarray]:
+        shard = h % self.shards
+        if shard not in self.open:
+            self.open[shard] = [map_file(f"{self.folder}/{name}-{shard}", (t,))[0] for name, t in self.KINDS]
+        key, at, code, count = self.open[shard]
+        i = int(np.searchsorted(key, h))
+        low = int(at[i - 1]) if i else 0
+        return code[low : int(at[i])], count[low : int(at[i])]
+
+
+def _across(members: DataFrame, sets: StoredSets, s: Settings, kind: str) -> DataFrame:
+    """Verified links between members of one bucket that belong to different groups.
+
+    ``members``: ``bucket, id, label, bands, signature``. A bucket is dealt into blocks of
+    at most about ``block`` members, and every two blocks meet once, whatever the bucket's
+    size. Likely pairs are verified where they meet, each pair in the first band that it
+    shares, and none whose groups a link of the same block has joined already, so that no
+    more links leave a block than it has members.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).where("labels > 1")
-    blocks = F.ceil(F.col("n") / s.block).cast("int")
-    dealt = members.join(sizes.select("bucket", blocks.alias("blocks")), "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    dealt = members.join(sizes.select("bucket", F.ceil(F.col("n") / s.block).cast("int").alias("blocks")), "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = dealt.withColumn("other", other).select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") <= F.col("other")).alias("first"), F.col("mine") == F.col("other"), "id", "label", "signature")
-    names = ["bucket", "low", "high", "first", "same", "id", "label", "signature"]
+    met = dealt.withColumn("other", other).select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") <= F.col("other")).alias("first"), "id", F.xxhash64("id").alias("h"), "label", "bands", "signature")
 
     def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(group.num_rows, -1)
-        label = group.column("label").to_numpy()
-        first = group.column("first").to_numpy()
-        same = bool(group.column("same")[0].as_py())
-        left = np.arange(group.num_rows) if same else np.flatnonzero(first)
+        n = group.num_rows
+        marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(n, -1)
+        bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(n, -1)
+        band = int(np.flatnonzero(bands[0] == key[0].as_py())[0])
+        _, label = np.unique(group.column("label").to_numpy(zero_copy_only=False), return_inverse=True)
+        h, first = group.column("h").to_pylist(), group.column("first").to_numpy()
+        same = key[1].as_py() == key[2].as_py()
+        left = np.arange(n) if same else np.flatnonzero(first)
         right = left if same else np.flatnonzero(~first)
-        least = s.likely * marks.shape[1]
         pairs: list[tuple[int, int]] = []
         for i in left.tolist():
             rest = right[(label[right] != label[i]) & ((right > i) if same else True)]
-            near = rest[(marks[rest] == marks[i]).sum(axis=1) >= least]
-            pairs += [(i, int(j)) for j in near]
+            share = (marks[rest] == marks[i]).mean(axis=1) if len(rest) else np.zeros(0)
+            good = (share >= s.likely) & ~(bands[rest, :band] == bands[i, :band]).any(axis=1)
+            # the likeliest first: a link spares the rest of its group
+            for j in rest[good][np.argsort(-share[good], kind="stable")].tolist():
+                if label[i] != label[j] and similarity(*sets.get(h[i]), *sets.get(h[j])) >= s.threshold - 1e-12:
+                    pairs.append((i, j))
+                    label[label == label[j]] = label[i]
         ids = group.column("id").combine_chunks()
         take = lambda k: ids.take(pa.array([p[k] for p in pairs], pa.int64()))
         return pa.table({"x": take(0), "y": take(1)})
 
-    found = met.toDF(*names).groupBy("bucket", "low", "high").applyInArrow(compare, f"x {kind}, y {kind}")
+    found = met.groupBy("bucket", "low", "high").applyInArrow(compare, f"x {kind}, y {kind}")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -242,10 +296,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     # buckets in which different groups still meet
     labelled = members.select("bucket", "id").join(groups, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    open_ = labelled.join(mixed, "bucket").join(chosen.select("id", "signature"), "id")
-    more = written(_across(open_, s, kind), "pairs")
-    if more.limit(1).count():
-        links = links.unionByName(verify(more, docs, s, id_col, text_col))
+    open_ = written(labelled.join(mixed, "bucket").join(chosen, "id"), "mixed")
+    if open_.limit(1).count():
+        sets = StoredSets.store(shingle_sets(docs, open_.select(F.xxhash64("id").alias("h")), s, id_col, text_col))
+        links = links.unionByName(_across(open_, sets, s, kind))
         groups = components(links)
     classes = texts.join(groups, "id", "left").select("key", "key2", F.coalesce("label", "id").alias("class_id"))
     out = signed.select("_id", "key", "key2", "n_shingles").join(classes, ["key", "key2"], "left")
