@@ -1,0 +1,354 @@
+"""Operators against brute force on small tables with edge cases."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import bpe, kneser_ney, license_scan, packing, preference, probminhash, quality, suffix_dedup, token_counts, topk
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+def empty(docs):
+    return docs.limit(0)
+
+
+def library(name):
+    tokenizers = pytest.importorskip("tokenizers")
+    return tokenizers.Tokenizer.from_file(bpe.vocabulary_path(name))
+
+
+def test_bpe_matches_the_library(docs, by_id):
+    tok, path = library("word_bpe_49k.json"), bpe.vocabulary_path()
+    for r in bpe.round_trip(docs, path).collect():
+        ids = tok.encode(by_id[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.round_trip(empty(docs), path).count() == 0
+    encoded = bpe.encode(docs, path)
+    assert all(r.text == tok.decode(tok.encode(by_id[r.doc_id], add_special_tokens=False).ids, skip_special_tokens=False) for r in bpe.decode(encoded, path).collect())
+
+
+def test_bpe_every_code_point():
+    tok, codec = library("word_bpe_49k.json"), bpe.BpeCodec(bpe.vocabulary_path())
+    texts = [f"a{chr(c)}b 1{chr(c)}." for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0)]
+    ids, offsets = codec.encode(texts)
+    want = tok.encode_batch(texts, add_special_tokens=False)
+    assert all(ids[a:b].tolist() == w.ids for a, b, w in zip(offsets[:-1], offsets[1:], want, strict=True))
+
+
+def test_bpe_forgets_and_stays_right(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    codec, fresh = bpe.BpeCodec(bpe.vocabulary_path()), bpe.BpeCodec(bpe.vocabulary_path())
+    for k in range(6):
+        texts = [f"word{k * j} aaaa{'a' * j} the" for j in range(20)]
+        a, b = codec.encode(texts), fresh.encode(texts)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+
+def test_packing(docs, by_id):
+    codec = bpe.BpeCodec(bpe.vocabulary_path())
+    rows = packing.best_two_fit(docs.dropDuplicates(["doc_id"]), bpe.vocabulary_path(), capacity=512, end_id=1).toPandas()
+    for i, own in rows.groupby("doc_id"):
+        ids = np.append(codec.encode([by_id[i]])[0], 1).astype("<u4")
+        own = own.sort_values("piece")
+        assert own.start.tolist() == list(range(0, len(ids), 512)) and own.length.sum() == len(ids)
+        assert own.ids_crc32.tolist() == [zlib.crc32(ids[s : s + 512].tobytes()) for s in own.start]
+    for _, bin_ in rows.groupby("sequence_id"):
+        bin_ = bin_.sort_values("offset")
+        assert bin_.length.sum() <= 512 and bin_.offset.tolist() == [0, *np.cumsum(bin_.length)[:-1]]
+    assert set(rows.doc_id) == set(by_id)
+    assert rows.sequence_id.nunique() == math.ceil(rows.length.sum() / 512)
+    assert packing.best_two_fit(empty(docs), bpe.vocabulary_path()).count() == 0
+
+
+def test_plan_uses_every_piece():
+    rnd = np.random.default_rng(1)
+    for cap in (7, 64, 300):
+        counts = np.zeros(cap + 1, np.int64)
+        np.add.at(counts, rnd.integers(1, cap + 1, 5000), 1)
+        used = np.zeros(cap + 1, np.int64)
+        for items, times in packing.plan(counts, cap):
+            assert sum(items) <= cap
+            np.add.at(used, items, times)
+        assert (used == counts).all()
+
+
+def brute_quality(t):
+    w = WORD.findall(t)
+    spans = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    cover = {j for i in range(len(w) - 7) if spans[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    n = longest = 0
+    if cover:
+        n = 8
+        while max(collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)).values(), default=0) > 1:
+            longest, n = n, n + 1
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), longest
+
+
+def test_quality(docs, by_id):
+    for r in quality.judge(docs).collect():
+        n, chars, symbols, lines, repeat, longest = brute_quality(by_id[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.longest_repeat) == (n, chars, symbols, lines, repeat, longest)
+        assert r.base_failed == (n < 20 or 100 * repeat > 30 * n)
+        assert not (r.base_failed and r.kept)
+    kept = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+    rest = quality.keep(docs)
+    assert rest.columns == docs.columns and {r.doc_id for r in rest.collect()} == kept and 0 in kept
+    assert quality.judge(empty(docs)).count() == quality.keep(empty(docs)).count() == 0
+
+
+def test_suffix_array_is_sorted():
+    rnd = np.random.default_rng(3)
+    for size, letters in ((200, 2), (300, 5), (64, 1)):
+        s = rnd.integers(0, letters, size).astype(np.uint64)
+        order, levels = quality.suffix_array(s, np.full(size, size))
+        suffix = [s[i:].tolist() for i in order]
+        assert suffix == sorted(suffix)
+        a, b, common = quality.common_prefixes(order, levels, np.full(size, size), 8)
+        for x, y, c in zip(a, b, common, strict=True):
+            assert s[x : x + c].tolist() == s[y : y + c].tolist() and (max(x, y) + c == size or s[x + c] != s[y + c])
+
+
+def test_kneser_ney(docs, by_id):
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    rows = kneser_ney.train_and_score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1).collect()
+    tokens = {i: WORD.findall(low(t)) + ["</s>"] for i, t in by_id.items()}
+    c, pairs = collections.Counter(), collections.Counter()
+    for r in rows:
+        assert r.held_out == held(r.doc_id)
+        if not r.held_out:
+            c.update(tokens[r.doc_id])
+            pairs.update(zip(["<s>", *tokens[r.doc_id]], tokens[r.doc_id]))
+    before = collections.Counter(w for _, w in pairs)
+    of = lambda values: [0.0, *kneser_ney.discounts([sum(v == k for v in values) for k in (1, 2, 3, 4)])]
+    d, e = of(pairs.values()), of(before.values())
+    n, v, a = sum(c.values()), len(c), sum(before.values())
+    left = sum(e[min(x, 3)] for x in before.values()) / a
+    total, taken = collections.Counter(), collections.Counter()
+    for (h, _), x in pairs.items():
+        total[h] += x
+        taken[h] += d[min(x, 3)]
+
+    def p(h, w):
+        lower = max(before[w] - e[min(before[w], 3)], 0) / a + left / (v + 1)
+        return lower if h not in total else (max(pairs[h, w] - d[min(pairs[h, w], 3)], 0) + taken[h] * lower) / total[h]
+
+    assert sum(p("<s>", w) for w in c) + p("<s>", "never seen") == pytest.approx(1)
+    for r in rows:
+        own = tokens[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *own], own)), rel=1e-9)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel=1e-9)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(c[w] > 0 for w in own), n)
+    only = kneser_ney.train_and_score(docs, F.lit(True)).collect()
+    assert all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in only)
+    assert kneser_ney.train_and_score(empty(docs), F.lit(False)).count() == 0
+
+
+def test_pair_blobs_round_trip():
+    first = np.array([1, 1, 5, 9], np.uint64)
+    second, count = np.array([4, 6, 1, 2], np.uint64), np.array([1, 300, 2, 70000])
+    for x, y in zip(kneser_ney.unblob(kneser_ney.blob(first, second, count)), (first, second, count), strict=True):
+        assert x.tolist() == y.tolist()
+
+
+def shingle_sets(by_id):
+    out = {}
+    for i, t in by_id.items():
+        w = WORD.findall(low(t))
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def brute_classes(sets):
+    owner = {i: i for i in sets}
+
+    def root(x):
+        while owner[x] != x:
+            x = owner[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            owner[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def test_near_duplicates(docs, by_id):
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()}
+    assert got == brute_classes(shingle_sets(by_id))
+    assert len(set(got.values())) < len(got)
+    assert probminhash.near_duplicates(empty(docs)).count() == 0
+
+
+def test_near_duplicate_chains(spark):
+    """Copies of copies: each is near the next one only, and a family around a text that is nearest to all."""
+    rnd = random.Random(2)
+    base = [f"w{k}" for k in range(300)]
+    rows, now = [], list(base)
+    for i in range(8):
+        rows.append((i, " ".join(now)))
+        for _ in range(4):
+            now[rnd.randrange(300)] = f"x{rnd.random()}"
+    for i in range(8, 40):
+        own = [f"f{k}" for k in range(200)]
+        for _ in range(5 if i != 20 else 0):
+            own[rnd.randrange(200)] = f"y{rnd.random()}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(df).collect()} == brute_classes(shingle_sets(dict(rows)))
+
+
+def test_signatures_estimate_probability_jaccard():
+    rnd = np.random.default_rng(0)
+    code = rnd.integers(1, 1 << 62, 400).astype(np.uint64)
+    a, wa = np.sort(code[:300]), rnd.integers(1, 4, 300)
+    b, wb = np.sort(code[60:360]), rnd.integers(1, 4, 300)
+    m = 4096
+    marks = probminhash.signatures(np.r_[np.zeros(300, int), np.ones(300, int)], np.r_[a, b], np.r_[wa, wb].astype(float), 2, m)
+    x, y = dict(zip(a.tolist(), wa)), dict(zip(b.tolist(), wb))
+    exact = sum(1 / sum(max(x.get(k, 0) / x[d], y.get(k, 0) / y[d]) for k in {*x, *y}) for d in x.keys() & y.keys())
+    assert abs((marks[0] == marks[1]).mean() - exact) < 4 * math.sqrt(exact * (1 - exact) / m)
+    assert probminhash.similarity(a, wa, b, wb) == pytest.approx(max(exact, len(x.keys() & y.keys()) / len({*x, *y})))
+
+
+def brute_repeats(by_id):
+    first, out = {}, {}
+    for i, t in sorted(by_id.items()):
+        b = t.encode()
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], i)
+    for i, t in by_id.items():
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out[i] = len(b), sum(gone), sum(1 for p in range(len(b)) if gone[p] and not (p and gone[p - 1])), hashlib.sha256(kept).hexdigest()
+    return out
+
+
+def test_repeat_removal(docs, by_id):
+    repeats = suffix_dedup.find_repeats(docs)
+    want = brute_repeats(by_id)
+    rows = suffix_dedup.removal_digest(docs, repeats).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want and len(rows) == len(want) + 1
+    rest = suffix_dedup.without_repeats(docs, repeats)
+    assert rest.columns == docs.columns and {r.doc_id: r.text for r in rest.collect()}[0] == by_id[0]
+    assert suffix_dedup.removal_digest(empty(docs), suffix_dedup.find_repeats(empty(docs))).count() == 0
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_repeat_removal_of_periodic_texts(spark, seed):
+    rnd = random.Random(seed)
+    base = "".join(rnd.choice("abc ") for _ in range(500))
+    rows = []
+    for i in range(50):
+        t = list(base)
+        for _ in range(rnd.randint(0, 10)):
+            t[rnd.randrange(500)] = rnd.choice("xyé")
+        a = rnd.randrange(300)
+        rows.append((i, "".join(t)[a : a + rnd.randint(30, 400)] + "a" * rnd.randint(0, 120)))
+    rows += [(60, "a" * 400), (61, "a" * 300 + "b"), (62, "ab" * 200), (63, "ba" * 90 + "c" + "ab" * 90), (64, "\0" * 80), (65, "q" + "\0" * 60), (66, base * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digest(df, suffix_dedup.find_repeats(df)).collect()}
+    assert got == brute_repeats(dict(rows))
+
+
+def test_interval_tree():
+    text = "abracadabra$abrac#"
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    prefix = lambda a, b: next((k for k in range(len(text)) if a + k >= len(text) or b + k >= len(text) or text[a + k] != text[b + k]), 0)
+    common = [0] + [prefix(a, b) for a, b in zip(order, order[1:])]
+    left = [ord(text[i - 1]) if i else -1 for i in order]
+    found = {text[order[f] : order[f] + p]: end - f for p, f, end, maximal in suffix_dedup.interval_tree(common, left, 1) if maximal}
+    assert found == {"abrac": 2, "abra": 3, "a": 7}
+
+
+def brute_top(rows, k):
+    good = [(i, np.floor(256 * np.array(v, np.float64)).astype(int)) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = {}
+    for q, v in good:
+        if q % 50 == 0:
+            out[q] = sorted((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v))[:k]
+    return out
+
+
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rnd = np.random.default_rng(4)
+    rows = [(i, rnd.normal(0, 0.1, 8).tolist()) for i in range(400)]
+    rows += [(400 + i, rows[3][1]) for i in range(20)] + [(500, [0.0] * 8), (550, None), (600, [float("nan")] * 8), (650, [None] + [0.1] * 7), (700, [0.5] * 3), (750, [0.25] * 3), (800, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    assert dict(got) == {q: v for q, v in brute_top(rows, 5).items() if v}
+    assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_threshold_search_stops_early(monkeypatch):
+    """A bound below the k-th score ends the walk: far vectors of a skewed block are never scored."""
+    vectors = np.zeros((5000, 4), np.int64)
+    vectors[:, 0] = np.arange(5000)
+    scored = []
+    take = np.lexsort
+    monkeypatch.setattr(topk.np, "lexsort", lambda keys: scored.append(len(keys[0])) or take(keys))
+    found = topk.threshold_search(vectors, np.arange(5000), np.array([[1, 0, 0, 0]]), np.array([-1]), 5)
+    assert [f[1] for f in found] == [4999, 4998, 4997, 4996, 4995] and sum(scored) < 500
+
+
+def test_preference_format(spark):
+    turns = "pair_id long, turn long, role string, text string"
+    chosen = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "good"), (2, 0, "user", None), (3, 0, "user", "only"), (4, 0, "user", "same"), (4, 1, "assistant", "same")], turns)
+    rejected = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", "more"), (2, 0, "user", None), (2, 1, "assistant", "x"), (4, 0, "user", "same"), (4, 0, "user", "same"), (4, 1, "assistant", "same"), (None, 0, "user", "lost")], turns)
+    got = {(r.pair_id, r.part, r.turn, r.learn) for r in preference.format_preferences(chosen, rejected).collect()}
+    assert got == {(1, "prompt", 0, False), (1, "chosen", 1, True), (1, "rejected", 1, True), (1, "rejected", 2, False), (2, "prompt", 0, False), (2, "rejected", 1, True), (3, "chosen", 0, False), (4, "prompt", 0, False), (4, "prompt", 1, False)}
+    assert preference.format_preferences(chosen.limit(0), rejected.limit(0)).count() == 0
+
+
+def test_token_counts(docs, by_id):
+    tok = library("byte_bpe_50k.json")
+    tok.encode_special_tokens = True
+    path = bpe.vocabulary_path("byte_bpe_50k.tiktoken")
+    for rule in ("most", "first"):
+        got = collections.defaultdict(dict)
+        for r in token_counts.by_line(docs.dropDuplicates(["doc_id"]), path, rule).collect():
+            got[r.doc_id][r.line] = r.n_tokens
+        for i, t in by_id.items():
+            assert sum(got[i].values()) == len(tok.encode(t, add_special_tokens=False).ids)
+            assert len(got[i]) == t.count("\n") + 1
+    assert token_counts.by_line(empty(docs), path).count() == 0
+
+
+def test_crossing_tokens():
+    start, end, bounds = np.array([0, 3, 9]), np.array([3, 9, 10]), np.array([0, 4, 8, 10])
+    assert token_counts.attribute(start, end, bounds, "first")[0].tolist() == [0, 0, 2]
+    owner, crossing = token_counts.attribute(start, end, bounds, "most")
+    assert owner.tolist() == [0, 1, 2] and crossing.tolist() == [False, True, False]
+    assert token_counts.attribute(np.array([2]), np.array([6]), np.array([0, 4, 8]), "most")[0].tolist() == [0]
+
+
+def test_license_scan(spark, docs):
+    mit = license_scan.TEMPLATES["MIT-permission"]
+    words = mit.split()
+    rows = [(1, "before " + mit.upper() + " after"), (2, " ".join(words[:40] + ["changed"] + words[41:])), (3, " ".join(words[:20])), (4, "Released under the MIT License. " * 3), (5, None), (6, ""), (7, "released UNDER\nthe mit   license"), (7, "released UNDER\nthe mit   license")]
+    got = sorted((r.doc_id, r.license, r.n_found == r.n_shingles) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "MIT-permission", True), (2, "MIT-permission", False), (4, "MIT", True), (7, "MIT", True), (7, "MIT", True)]
+    assert license_scan.scan(empty(docs)).count() == 0
+    with pytest.raises(ValueError, match="fewer"):
+        license_scan.scan(docs, {"short": "too few words"})

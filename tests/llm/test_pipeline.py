@@ -1,0 +1,51 @@
+"""The pipeline's stages against brute force, and the registered queries against their SQL."""
+
+import os
+
+import duckdb
+import pytest
+from test_operators import brute_classes, brute_repeats, shingle_sets
+
+import corpus_pipeline
+from graphloom.llm import quality, queries
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+
+
+def test_stages(spark, docs, by_id):
+    names, stages = zip(*corpus_pipeline.STAGES, strict=True)
+    kept = stages[0](spark, docs, None).cache()
+    good = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+    assert {r.doc_id for r in kept.collect()} == good and kept.columns == docs.columns
+    one = stages[1](spark, kept, None).cache()
+    sets = {i: s for i, s in shingle_sets(by_id).items() if i in good}
+    assert sorted(r.doc_id for r in one.collect()) == sorted(set(brute_classes(sets).values())) and one.columns == docs.columns
+    rest = stages[2](spark, one, None).cache()
+    texts = {r.doc_id: r.text for r in rest.collect()}
+    want = brute_repeats({i: by_id[i] for i in texts})
+    assert rest.columns == docs.columns and all(len(t.encode()) <= want[i][0] - want[i][1] for i, t in texts.items())
+    packed = stages[3](spark, rest, None).toPandas()
+    assert set(packed.doc_id) == set(texts) and packed.groupby("sequence_id").length.sum().max() <= 4096
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), None).count() == 0
+
+
+@needs_tables
+def test_run(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 50
+
+
+@needs_tables
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_query(spark, name):
+    got = queries.queries()[name](spark, SF).toPandas()
+    assert len(got)
+    if name in queries.oracle_sql():
+        con = duckdb.connect()
+        for t in ("documents", "conversations", "embeddings"):
+            con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        want = con.sql(queries.oracle_sql()[name]).df()
+        columns = sorted(want.columns)
+        rows = lambda df: sorted(map(str, df[columns].itertuples(index=False, name=None)))
+        assert sorted(got.columns) == columns and rows(got) == rows(want)
