@@ -2,7 +2,8 @@
 
 Queries are rows ``(query_id, query)`` and ``(query_id, vector)``. Lexical search joins
 query terms with postings by prefix: postings are keyed by the prefix lengths that the
-queries have, so the join is an equi-join.
+queries have, so the join is an equi-join. Scores and distances are rounded to nine
+decimals, so that equal texts tie and the smaller id wins wherever sums are taken.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def search_text(nodes: DataFrame, queries: DataFrame, limit: int | None = None)
             idf = F.greatest(F.log((F.lit(float(stats["n"])) - df + 0.5) / (F.lit(float(df)) + 0.5)), F.lit(1e-6))
             score = score + idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avg"])))
             all_in = all_in & (x > 0)
-        rows = counted.where(all_in).select(F.lit(q).cast("long").alias("query_id"), "id", score.alias("score"))
+        rows = counted.where(all_in).select(F.lit(q).cast("long").alias("query_id"), "id", F.round(score, 9).alias("score"))
         out = rows if out is None else out.unionByName(rows)
     return top(out, limit) if limit else out
 
@@ -83,7 +84,7 @@ def search_postings(posted: DataFrame, stats: DataFrame, queries: DataFrame) ->
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     one = idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(total["avg_len"])))
     need = words.groupBy("query_id").agg(F.count("*").alias("need"))
-    found = hits.groupBy("query_id", "id").agg(F.sum(one).alias("score"), F.count("*").alias("have"))
+    found = hits.groupBy("query_id", "id").agg(F.round(F.sum(one), 9).alias("score"), F.count("*").alias("have"))
     return found.join(need, "query_id").where("have = need").select("query_id", "id", "score")
 
 
@@ -105,7 +106,7 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     each = F.array(*(F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.array(*map(F.lit, r["q"])).alias("q")) for r in asked))
     rows = rows.select("id", "v", F.inline(each))
     gap = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.select("query_id", "id", F.sqrt(gap).alias("dist"))
+    rows = rows.select("query_id", "id", F.round(F.sqrt(gap), 9).alias("dist"))
     best = Window.partitionBy("query_id").orderBy("dist", "id")
     rows = rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
     return rows.select("query_id", "id", "dist", similarity(F.col("dist")).alias("similarity"))
@@ -122,7 +123,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, limit: int) -> DataFrame:
     lex = F.coalesce("lex", F.lit(0.0))
     best = F.greatest(F.max(lex).over(Window.partitionBy("query_id")), F.lit(1e-9))
     rows = both.select("query_id", "id", F.least(F.greatest(lex / best, F.lit(0.0)), F.lit(1.0)).alias("score_lex"), F.coalesce("similarity", F.lit(0.0)).alias("score_sem"))
-    rows = rows.withColumn("score_structural", F.lit(0.0)).withColumn("score", 0.4 * F.col("score_lex") + 0.4 * F.col("score_sem"))
+    rows = rows.withColumn("score_structural", F.lit(0.0)).withColumn("score", F.round(0.4 * F.col("score_lex") + 0.4 * F.col("score_sem"), 9))
     return top(rows, limit)
 
 

@@ -104,3 +104,19 @@ edges AS (
   UNION SELECT ref, 'style-guides', id FROM (SELECT id, unnest(reference_ids) AS ref FROM nodes) WHERE ref <> ''),
 cited AS (SELECT doc_id, text || ' [' || regexp_replace(md5('doc:' || ((doc_id * 7) % n)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || ']' || CASE WHEN doc_id % 11 = 0 THEN ' [' || regexp_replace(md5('none:' || doc_id), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || ']' ELSE '' END AS text FROM documents, uu)
 """
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, body)``: block JSON of each document, with a nested heading, an image and text after it."""
+    d = F.col("doc_id")
+    kind = "struct<id:string,type:string,props:struct<level:int,url:string,caption:string>,content:string>"
+    block = lambda i, t, level, url, caption, text: F.struct(F.lit(i).alias("id"), F.lit(t).alias("type"), F.struct(level.cast("int").alias("level"), url.cast("string").alias("url"), caption.cast("string").alias("caption")).alias("props"), text.cast("string").alias("content")).cast(kind)
+    none = F.lit(None)
+    image = block("i1", "image", none, F.when(d % 3 == 0, F.concat(F.lit("data:application/octet-stream;base64,iVBOR"), F.md5("text"))).otherwise("http://x/y.png"), F.col("source"), none)
+    inner = F.array(block("h2", "heading", d % 5 + 1, none, none, F.concat(F.lit("Part of "), "source")))
+    heading = block("art-h1", "heading", F.lit(1), none, none, F.when(d % 7 == 0, "Contents").otherwise(F.col("lang")))
+    parts = F.array(
+        F.struct(heading["id"].alias("id"), heading["type"].alias("type"), heading["props"].alias("props"), heading["content"].alias("content"), inner.alias("children")),
+        *(F.struct(b["id"].alias("id"), b["type"].alias("type"), b["props"].alias("props"), b["content"].alias("content"), F.lit(None).cast(f"array<{kind}>").alias("children")) for b in (image, block("p1", "paragraph", none, none, none, F.col("text")), block("p2", "paragraph", none, none, none, F.col("source")), block("l1", "bulletListItem", none, none, none, F.col("lang")))),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(parts.alias("blocks"))).alias("body"))

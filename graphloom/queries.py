@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import blocks, html, maps, text
 from graphloom.functions.text import uuid_of
-from graphloom.operators import chat, chunks, graph, listings, search, statechart, upserts
+from graphloom.operators import bodies, chat, chunks, graph, listings, search, statechart, upserts
 from graphloom.plans import kb
 from graphloom.session import reach_workers, table
 
@@ -322,12 +322,12 @@ stat AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM tok),
 qry AS (SELECT DISTINCT doc_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:3]) AS p FROM documents WHERE doc_id IN (IDS)),
 tf AS (SELECT query_id, p, id, len(t) AS dl, len(list_filter(t, lambda x: starts_with(x, p))) AS tf FROM tok, qry),
 df AS (SELECT query_id, p, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1, 2),
-lex AS (SELECT query_id, id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))) AS score FROM tf JOIN df USING (query_id, p), stat WHERE tf > 0 GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM qry q WHERE q.query_id = tf.query_id))
+lex AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 9) AS score FROM tf JOIN df USING (query_id, p), stat WHERE tf > 0 GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM qry q WHERE q.query_id = tf.query_id))
 """
 VEC = f"""
 vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id IN (IDS)),
 vec AS (SELECT {uid('doc', 'vec_id')} AS id, embedding AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
-dist AS (SELECT query_id, id, sqrt(list_sum(list_transform(list_zip(CAST(v AS DOUBLE[]), CAST(q AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM vec, vq),
+dist AS (SELECT query_id, id, round(sqrt(list_sum(list_transform(list_zip(CAST(v AS DOUBLE[]), CAST(q AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist FROM vec, vq),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS k FROM dist))
 """
 FUSE = """
@@ -335,7 +335,7 @@ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 v3 AS (SELECT query_id, id, greatest(0, least(1, 1 - dist * dist / 2)) AS similarity FROM near WHERE k <= 3 * LIM),
 f AS (SELECT coalesce(l.query_id, v3.query_id) AS query_id, coalesce(l.id, v3.id) AS id, coalesce(score, 0) AS s, coalesce(similarity, 0) AS similarity FROM l FULL JOIN v3 ON l.query_id = v3.query_id AND l.id = v3.id),
 g AS (SELECT query_id, id, least(greatest(s / greatest(max(s) OVER (PARTITION BY query_id), 1e-9), 0), 1) AS lex, similarity AS sem FROM f),
-w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 0.4 * lex + 0.4 * sem DESC, id) AS k FROM g)
+w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.4 * lex + 0.4 * sem, 9) DESC, id) AS k FROM g)
 """
 
 
@@ -670,3 +670,204 @@ def u9_audit_counts(s, d):
     from graphloom.streaming.jobs import audit_counts
 
     return audit_counts(table(s, d, "events").select("ts", F.col("event_type").alias("kind")))
+
+
+# --- block bodies -----------------------------------------------------------------------
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    return blocks.flatten_blocks(kb.bodies(s, d))
+
+
+@query("SELECT doc_id, unnest([0, 1, 2, 3, 4, 5]) AS pos, unnest(['0000', '0000.0000', '0001', '0002', '0003', '0004']) AS path, unnest(['heading', 'heading', 'image', 'paragraph', 'paragraph', 'bulletListItem']) AS type FROM documents")
+def c17_flatten_blocks(s, d):
+    return _blocks(s, d).select("doc_id", "pos", "path", "type")
+
+
+@query("SELECT doc_id, 1 AS pos, CAST(least(doc_id % 5 + 1, 3) AS INTEGER) AS level, 'Part of ' || source AS title FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 0, 1, lang FROM documents WHERE doc_id % 7 <> 0")
+def c10_outline(s, d):
+    return bodies.outline(_blocks(s, d))
+
+
+@query("SELECT doc_id, 0 AS idx, 'i1' AS block_id, source AS caption, 'application/octet-stream' AS mime, CAST(37 AS BIGINT) AS n_payload, text || chr(10) || source AS context FROM documents WHERE doc_id % 3 = 0")
+def c13_images(s, d):
+    return bodies.images(_blocks(s, d)).select("doc_id", "idx", "block_id", "caption", "mime", "n_payload", "context")
+
+
+@query("SELECT doc_id, md5(text) AS payload FROM documents WHERE doc_id % 3 = 0")
+def c14_get_image(s, d):
+    found = bodies.get_image(bodies.images(_blocks(s, d)), index=0)
+    return found.select("doc_id", F.right("url", F.lit(32)).alias("payload"))
+
+
+@query("SELECT doc_id, 1 AS n_images, 37 AS n_payload FROM documents WHERE doc_id % 3 = 0")
+def a5_image_counts(s, d):
+    return bodies.image_counts(bodies.images(_blocks(s, d)))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'data:image/png;base64,iVBOR' || md5(text) ELSE 'http://x/y.png' END AS url FROM documents")
+def p21_first_image(s, d):
+    return bodies.first_image(_blocks(s, d))
+
+
+@query("SELECT doc_id, '0000' AS path, 'art-h1' AS artifact_id FROM documents UNION ALL SELECT doc_id, p, " + "'art-' || regexp_replace(md5(doc_id || '|' || p), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') FROM documents, (VALUES ('0000.0000'), ('0001')) v(p)")
+def c15_artifact_ids(s, d):
+    return bodies.tag_artifacts(_blocks(s, d))
+
+
+@query("SELECT doc_id, '0000' AS root, unnest(['0000', '0000.0000']) AS path, 'heading' AS type FROM documents")
+def c20_select_blocks(s, d):
+    b = _blocks(s, d)
+    return bodies.select_blocks(b, b.where("type = 'heading'")).select("doc_id", "root", "path", "type")
+
+
+@query("SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 7 = 0 THEN 'Contents' ELSE lang END, 'Part of ' || source, nullif(text, ''), source, lang) AS text FROM documents WHERE trim(text) <> ''")
+def c18_source_text(s, d):
+    return bodies.source_text(_blocks(s, d))
+
+
+@query("SELECT doc_id, false AS empty FROM documents WHERE trim(text) <> ''")
+def c12_empty_body(s, d):
+    return chunks.is_empty_body(_blocks(s, d).withColumn("kind", F.col("type"))).where("not empty")
+
+
+@query("SELECT doc_id, text || chr(10) || source AS context FROM documents")
+def w6_image_context(s, d):
+    return chunks.image_context(_blocks(s, d).withColumn("kind", F.col("type"))).select("doc_id", "context")
+
+
+@query("SELECT doc_id, unnest([0, 1, 2, 3, 4, 5]) AS pos, unnest([h, p, p, p, p, p]) AS section FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Contents' ELSE lang END AS h, 'Part of ' || source AS p FROM documents)")
+def w3_section_of(s, d):
+    return chunks.section_of(_blocks(s, d).withColumn("kind", F.col("type")))
+
+
+@query("SELECT doc_id, 'a ' || source || ' b ' || lang || ' c' AS plain, 5 AS n_runs FROM documents")
+def c2_inline_runs(s, d):
+    rows = table(s, d, "documents").select("doc_id", F.concat(F.lit("a **"), "source", F.lit("** b `"), "lang", F.lit("` c")).alias("t"))
+    return bodies.inline_runs(rows, "doc_id", "t").select("doc_id", F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("plain"), F.size("runs").alias("n_runs"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n{2,}'), lambda p: trim(regexp_replace(p, '[ \\t\\n\\r]+', ' ', 'g')) <> '')) + 1 AS n_blocks FROM documents")
+def c9_ocr_to_body(s, d):
+    reach_workers(s)
+    rows = table(s, d, "documents").select("doc_id", bodies.ocr_to_body(F.lit("u"), F.col("text")).alias("body"))
+    return blocks.flatten_blocks(rows).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
+
+
+@query("SELECT page_id AS doc_id, count(*) AS n FROM (SELECT page_id, 1 FROM pages) GROUP BY 1".replace("count(*) AS n", "true AS same"))
+def c8_chunks_to_body(s, d):
+    c = html.html_chunks(table(s, d, "pages")).withColumnRenamed("page_id", "doc_id").withColumn("url", F.lit(None).cast("string"))
+    back = blocks.flatten_blocks(bodies.chunks_to_body(c)).groupBy("doc_id").agg(F.count("*").alias("m"))
+    return c.groupBy("doc_id").agg(F.count("*").alias("n")).join(back, "doc_id").select("doc_id", (F.col("n") == F.col("m")).alias("same"))
+
+
+@query("SELECT doc_id, source || chr(10) || lang AS text FROM documents")
+def c16_svg_text(s, d):
+    reach_workers(s)
+    svg = F.concat(F.lit("<svg><text x='1'> "), "source", F.lit(" </text><g><text><tspan>"), "lang", F.lit("</tspan></text></g></svg>"))
+    return table(s, d, "documents").select("doc_id", bodies.svg_text(svg).alias("text"))
+
+
+@query("SELECT doc_id, '![](u' || doc_id || ')' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || source END AS text FROM documents")
+def c19_strip_captions(s, d):
+    i = F.col("doc_id").cast("string")
+    docs = table(s, d, "documents")
+    rows = chunks.lines(docs.select("doc_id", F.concat(F.lit("![alt](u"), i, F.lit(")\n"), "source").alias("text")))
+    captions = docs.where("doc_id % 2 = 0").select(F.concat(F.lit("u"), i).alias("url"), F.upper("source").alias("caption"))
+    out = bodies.strip_captions(rows, captions).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("held"))
+    return out.select("doc_id", F.array_join(F.transform("held", lambda h: h["line"]), "\n").alias("text"))
+
+
+@query("SELECT doc_id, 1 AS n_sections, source AS title, CAST(least(doc_id % 6 + 1, 3) AS INTEGER) AS level FROM documents")
+def l3_parse_structure(s, d):
+    answer = F.concat(F.lit('{"sections": [{"level": '), (F.col("doc_id") % 6 + 1).cast("string"), F.lit(', "title": " '), "source", F.lit(' "}, {"level": 1, "title": " "}]}'))
+    rows = table(s, d, "documents").select("doc_id", bodies.parse_structure(answer).alias("p"))
+    return rows.select("doc_id", F.size("p").alias("n_sections"), F.col("p")[0]["title"].alias("title"), F.col("p")[0]["level"].alias("level"))
+
+
+@query("SELECT id, 'new' AS summary, title AS name FROM assets", True)
+def l4_merge_metadata(s, d):
+    reach_workers(s)
+    merged = kb.assets(s, d).select("id", bodies.merge_metadata(F.col("jsonld"), F.lit('{"summary": "new"}')).alias("j"))
+    return merged.select("id", F.get_json_object("j", "$.summary").alias("summary"), F.get_json_object("j", "$.name").alias("name"))
+
+
+# --- more of sources, joins, search and statecharts -------------------------------------
+
+
+@query("SELECT id, '---' || chr(10) || 'id: ' || id || chr(10) || 'type: ' || type || chr(10) || 'title: ' || title || chr(10) || 'updatedAtUtc: ' || strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || trim(body_md) AS text FROM assets", True)
+def s4_markdown_mirror(s, d):
+    return listings.markdown_mirror(kb.assets(s, d))
+
+
+@query("SELECT id, title, project_id FROM page_nodes", True)
+def s8_pages_to_nodes(s, d):
+    return kb.pages(s, d).select("id", "title", "project_id")
+
+
+@query("SELECT id, title FROM assets", True)
+def p5_resolve_jsonld(s, d):
+    a = kb.assets(s, d)
+    given = F.when(F.col("kind") == "draft", F.col("jsonld")).otherwise("")
+    resolved = F.when(given != "", given).otherwise(F.to_json(F.struct(F.col("title").alias("name"))))
+    return a.select("id", F.get_json_object(resolved, "$.name").alias("title"))
+
+
+@query("WITH" + BM25.replace("IDS", "0") + "SELECT type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT id, len(t) AS n FROM tok) JOIN nodes USING (id) GROUP BY 1", True)
+def j1_postings_join(s, d):
+    n = kb.nodes(s, d)
+    return search.postings(n).join(n.select("id", "type"), "id").groupBy("type").agg(F.sum("tf").alias("n"))
+
+
+@query("WITH" + BM25.replace("IDS", "0") + "," + VEC.replace("IDS", "0") + "SELECT count(*) AS n FROM (SELECT id FROM lex UNION SELECT id FROM near WHERE k <= 75)", True)
+def x2_candidate_union(s, d):
+    n = kb.nodes(s, d)
+    lexical, semantic = search.search_text(n, _three(s, d)), search.search_vectors(kb.vectors(s, d), _vectors_of(s, d), 75)
+    return lexical.select("query_id", "id").join(semantic.select("query_id", "id"), ["query_id", "id"], "full_outer").agg(F.count("*").alias("n"))
+
+
+@query("WITH" + BM25.replace("IDS", "0, 1, 2") + "SELECT query_id, id, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM lex) WHERE k <= 5", True)
+def w9_top_per_query(s, d):
+    n = kb.nodes(s, d)
+    hits = search.search_postings(search.postings(n), search.doc_stats(n), _three(s, d, (0, 1, 2)))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return search.top(hits, 5).select("query_id", "id", F.row_number().over(best).alias("k"))
+
+
+@query()
+def r9_search_nodes(s, d):
+    n = kb.nodes(s, d)
+    hits = search.with_summary(search.hybrid(n, kb.vectors(s, d), _three(s, d), _vectors_of(s, d), 25, "note"), n)
+    return _six(hits, "score", "score_lex", "score_sem").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS n_events, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS n_guards FROM orders")
+def f2_split_label(s, d):
+    k = F.col("o_orderkey")
+    label = F.concat(F.when(k % 3 == 0, "ESC / CLOSE").otherwise("then wait  SAVE"), F.when(k % 2 == 0, F.concat(F.lit(" [is "), "o_orderstatus", F.lit("]"))).otherwise(""))
+    parts = text.split_label(label)
+    return table(s, d, "orders").select("o_orderkey", F.size(parts["events"]).alias("n_events"), F.size(parts["guards"]).alias("n_guards"))
+
+
+@query("WITH" + CHARTS + "SELECT DISTINCT doc_id, name, CASE WHEN regexp_matches(name, 'success|done|complete|purchase') THEN 'success' WHEN regexp_matches(name, 'cancel|abort|close') THEN 'cancel' WHEN regexp_matches(name, 'error|fail') THEN 'error' ELSE 'screen' END AS role FROM (SELECT doc_id, source AS name FROM t UNION ALL SELECT doc_id, target FROM t)")
+def f3_infer_role(s, d):
+    return statechart.states_of(_transitions(s, d)).select("doc_id", "name", "role")
+
+
+@query("WITH" + CHARTS + "SELECT doc_id, count(*) FILTER (target = 'click') AS n_missing FROM t GROUP BY 1 HAVING count(*) FILTER (target = 'click') > 0")
+def f6_integrity(s, d):
+    e = statechart.edges_of(_transitions(s, d))
+    key = lambda c: F.concat_ws("|", F.col("doc_id").cast("string"), c)
+    nodes = statechart.states_of(_transitions(s, d)).where("name <> 'click'").select(key("name").alias("id"))
+    edges = e.select(key("source").alias("src_id"), F.col("kind").alias("predicate"), key("target").alias("dst_id"))
+    bad = graph.dangling_edges(edges, nodes).where("issue = 'missing-target'")
+    return bad.groupBy(F.substring_index("dst_id", "|", 1).cast("long").alias("doc_id")).agg(F.count("*").alias("n_missing"))
+
+
+@query(f"SELECT {uid('doc', 'vec_id')} AS id, CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE round(CAST(embedding[1] AS DOUBLE), 4) END AS x FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")
+def u2_upsert_vectors(s, d):
+    v = kb.vectors(s, d)
+    even = table(s, d, "embeddings").where("vec_id % 2 = 0").select(uuid_of(F.concat(F.lit("doc:"), F.col("vec_id").cast("string"))).alias("id"))
+    half = v.join(even, "id", "left").join(even.withColumn("hit", F.lit(True)), "id", "left")
+    new = half.select("id", F.when(F.col("hit"), F.array_repeat(F.lit(0.5).cast("float"), 64)).alias("embedding"))
+    return upserts.upsert_vectors(v, new, 64).select("id", F.round(F.col("embedding")[0].cast("double"), 4).alias("x"))

@@ -192,3 +192,23 @@ def test_stream_forms(spark, tmp_path):
         q.awaitTermination()
     assert spark.table("tasks").count() == 2
     assert {(r.kind, r.n) for r in jobs.audit_counts(rows).collect()} == {("k", 2), ("m", 1)}
+
+
+def test_block_operators(spark):
+    from graphloom.operators import bodies
+
+    assert [(r["text"], r["bold"], r["italic"], r["strike"], r["code"]) for r in bodies.runs_of("a **b _c_** ~~d~~ `**e**`")] == [
+        ("a ", False, False, False, False), ("b ", True, False, False, False), ("c", True, True, False, False), (" ", False, False, False, False), ("d", False, False, True, False), (" ", False, False, False, False), ("**e**", False, False, False, True),
+    ]
+    assert bodies.tables_of("<table><tr><th>a</th><td>b<p>c</p></td></tr><tr><td>d</td></tr></table>") == [[["a", "b\nc"], ["d", ""]]]
+    pages = spark.createDataFrame([(1, "<table><tr><td>x</td></tr></table>"), (2, None)], "page_id long, html string")
+    assert [(r.page_id, r.rows) for r in bodies.html_tables(pages).collect()] == [(1, [["x"]])]
+    body = json.dumps([{"type": "heading", "content": "Contents", "children": [{"type": "heading", "content": "Inner"}]}, {"type": "heading", "props": {"level": 9}, "content": "Real"}])
+    flat = blocks.flatten_blocks(spark.createDataFrame([(1, body)], "doc_id long, body string"))
+    assert [(r.level, r.title) for r in bodies.outline(flat).collect()] == [(3, "Real")]
+    tagged = bodies.tag_artifacts(flat).collect()
+    assert len({r.artifact_id for r in tagged}) == 3 and all(r.artifact_id.startswith("art-") for r in tagged)
+    assert bodies.tag_artifacts(flat).collect() == tagged
+    got, tally = bodies.with_report(flat, F.col("text") != "Real")
+    got.count()
+    assert tally.get == {"indexed": 3, "embedded": 2}
