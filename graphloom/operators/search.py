@@ -11,15 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.porter import porter_stem, stem
 from graphloom.functions.text import query_terms, tokens
+from graphloom.session import reach_workers
 
 K1, B = 1.2, 0.75
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """``(term, id, tf)`` over title and body."""
-    text = F.concat_ws(" ", "title", "body_md")
-    return nodes.select("id", F.explode(tokens(text)).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+def postings(nodes: DataFrame, stemmed: bool = False) -> DataFrame:
+    """``(term, id, tf)`` over title and body, of plain or of Porter-stemmed tokens."""
+    words = tokens(F.concat_ws(" ", "title", "body_md"))
+    if stemmed:
+        reach_workers(nodes.sparkSession)
+        words = porter_stem(words)
+    return nodes.select("id", F.explode(words).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
 def doc_stats(nodes: DataFrame) -> DataFrame:
@@ -88,6 +93,20 @@ def search_postings(posted: DataFrame, stats: DataFrame, queries: DataFrame) ->
     return found.join(need, "query_id").where("have = need").select("query_id", "id", "score")
 
 
+def stem_query(query: str) -> str:
+    """A query's words stemmed, for postings of stems; each stem is then a prefix."""
+    return " ".join(stem(w.lower()) for w in query.replace('"', "").split())
+
+
+def embed(texts: DataFrame, dims: int = 64) -> DataFrame:
+    """``(id, embedding)``: hashed bags of tokens with unit length; the stand-in where no model is at hand."""
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int")
+    rows = texts.select("id", F.explode(tokens(F.col("text"))).alias("t")).select("id", slot(F.col("t")).alias("slot"), F.when(F.pmod(F.hash("t"), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign"))
+    rows = rows.groupBy("id", "slot").agg(F.sum("sign").alias("x")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    value = lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)) / F.greatest("norm", F.lit(1e-12))
+    return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value).cast("array<float>").alias("embedding"))
+
+
 def top(rows: DataFrame, k: int, by: str = "score") -> DataFrame:
     """The best ``k`` of each query, ties to the smaller id."""
     best = Window.partitionBy("query_id").orderBy(F.desc(by), "id")

@@ -212,3 +212,18 @@ def test_block_operators(spark):
     got, tally = bodies.with_report(flat, F.col("text") != "Real")
     got.count()
     assert tally.get == {"indexed": 3, "embedded": 2}
+
+
+def test_porter(spark):
+    from graphloom.functions.porter import stem
+
+    pairs = "caresses caress ponies poni cats cat agreed agre plastered plaster motoring motor hopping hop filing file happy happi relational relat conditional condit vietnamization vietnam operator oper triplicate triplic hopefulness hope revival reviv adjustment adjust adoption adopt rate rate controll control sky sky été été".split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+    nodes = spark.createDataFrame([("1", "Motoring", "cats"), ("2", None, "a motor")], "id string, title string, body_md string")
+    stems = {(r.term, r.id) for r in search.postings(nodes, stemmed=True).collect()}
+    assert stems == {("motor", "1"), ("cat", "1"), ("a", "2"), ("motor", "2")} and search.stem_query('"Cats" motors') == "cat motor"
+
+
+def test_embed(spark):
+    rows = {r.id: r.embedding for r in search.embed(spark.createDataFrame([("a", "one two two"), ("b", "two ONE two"), ("c", "other"), ("d", "")], "id string, text string")).collect()}
+    assert set(rows) == {"a", "b", "c"} and rows["a"] == rows["b"] and all(abs(sum(x * x for x in v) - 1) < 1e-6 for v in rows.values())
