@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.maps import BUCKET_NAMES, bucket_of
@@ -103,8 +103,8 @@ def concat_bodies(nodes: DataFrame, ids: DataFrame, cap: int = 24000) -> DataFra
 
 def active_project(nodes: DataFrame, saved: str | None) -> DataFrame:
     """The saved project if it still exists, else the one changed last."""
-    rank = Window.orderBy(F.desc(F.coalesce(F.col("id") == saved, F.lit(False)) if saved else F.lit(False)), F.desc("updated_at"), "id")
-    return nodes.where("type = 'project'").withColumn("_n", F.row_number().over(rank)).where("_n = 1").select("id", "title")
+    is_saved = F.coalesce(F.col("id") == saved, F.lit(False)) if saved else F.lit(False)
+    return nodes.where("type = 'project'").orderBy(F.desc(is_saved), F.desc("updated_at"), "id").limit(1).select("id", "title")
 
 
 def markdown_mirror(nodes: DataFrame) -> DataFrame:

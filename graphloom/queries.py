@@ -419,7 +419,12 @@ def r13_term_stats(s, d):
     return search.term_stats(search.postings(kb.nodes(s, d)))
 
 
-@query()
+@query("""
+WITH b AS (SELECT doc_id, text, strpos(text, '[') AS p FROM cited),
+c AS (SELECT doc_id, substring(text, greatest(1, p - 240), p - greatest(1, p - 240)) AS t FROM b),
+e AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '\\[([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})\\]', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM c)
+SELECT doc_id, right(trim(string_split(regexp_replace(t, '([.!?;])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), chr(10))[-1]), 80) AS claim FROM e
+""", True)
 def r11_claim_before(s, d):
     rows = kb.cited_texts(s, d)
     return rows.select("doc_id", text.claim_before(F.col("text"), F.instr("text", "[")).alias("claim"))
@@ -517,9 +522,21 @@ def c1_lines(s, d):
     return chunks.lines(table(s, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.trim("line") == "").alias("n_blank"))
 
 
-@query()
+@query("""
+WITH a AS (SELECT doc_id, string_split(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM a)),
+k AS (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6}[ \\t]+[^ \\t]') THEN 'heading' WHEN regexp_matches(line, '^[ \\t]*[-*+][ \\t]+[^ \\t]') THEN 'bulletListItem'
+  WHEN regexp_matches(line, '^[ \\t]*[0-9]+[.)][ \\t]+[^ \\t]') THEN 'numberedListItem' WHEN regexp_matches(trim(line), '^!\\[[^\\]]*\\]\\([^)]+\\)$') THEN 'image' WHEN regexp_matches(trim(line), '^\\|.*\\|$') THEN 'table' ELSE 'paragraph' END AS kind FROM l),
+j AS (SELECT *, kind IN ('paragraph', 'table') AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) = kind, false) AS joins FROM k),
+r AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM j),
+g AS (SELECT doc_id, run, kind, min(pos) AS first, string_agg(line, chr(10) ORDER BY pos) AS w FROM r WHERE kind <> 'blank' GROUP BY 1, 2, 3)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS pos, kind,
+  CASE WHEN kind = 'heading' THEN least(length(regexp_extract(w, '^(#{1,6})', 1)), 3) ELSE 0 END AS level,
+  trim(CASE kind WHEN 'heading' THEN regexp_replace(w, '^#{1,6}[ \\t]+', '') WHEN 'bulletListItem' THEN regexp_replace(w, '^[ \\t]*[-*+][ \\t]+', '') WHEN 'numberedListItem' THEN regexp_replace(w, '^[ \\t]*[0-9]+[.)][ \\t]+', '') WHEN 'paragraph' THEN trim(regexp_replace(w, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) ELSE trim(w) END) AS text
+FROM g
+""")
 def c1_markdown_chunks(s, d):
-    return chunks.markdown_chunks(table(s, d, "documents"))
+    return chunks.markdown_chunks(table(s, d, "documents")).fillna(0, ["level"])
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<h1')) AS n_h1, len(regexp_extract_all(html, '<li')) AS n_li FROM pages")
@@ -617,9 +634,12 @@ def f5_humanize(s, d):
     return statechart.states_of(_transitions(s, d)).select("doc_id", "name", "title")
 
 
-@query()
+@query("WITH" + CHARTS + """, h AS (SELECT doc_id, source, upper(source) AS event,
+  array_to_string(list_transform(string_split(source, '_'), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') AS a,
+  array_to_string(list_transform(string_split(target, '_'), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') AS b FROM t)
+SELECT doc_id, 'Scenario: ' || a || ' to ' || b || chr(10) || '    Given ' || a || chr(10) || '    When ' || event || chr(10) || '    Then ' || b AS scenario FROM h""")
 def f7_scenarios(s, d):
-    return statechart.scenarios(statechart.edges_of(_transitions(s, d)))
+    return statechart.scenarios(statechart.edges_of(_transitions(s, d))).select("doc_id", "scenario")
 
 
 @query("WITH" + CHARTS + "SELECT doc_id, string_agg(source || ' --> ' || target || ' : ' || upper(source), chr(10) ORDER BY source || ' --> ' || target || ' : ' || upper(source)) AS text FROM t GROUP BY 1")
@@ -834,11 +854,11 @@ def w9_top_per_query(s, d):
     return search.top(hits, 5).select("query_id", "id", F.row_number().over(best).alias("k"))
 
 
-@query()
+@query("WITH" + BM25.replace("IDS", "0").replace("FROM nodes),", "FROM nodes WHERE type = 'note'),", 1) + "," + VEC.replace("IDS", "0") + "," + FUSE.replace("LIM", "25").replace("FROM near WHERE", "FROM near SEMI JOIN (SELECT id FROM nodes WHERE type = 'note') q USING (id) WHERE") + "SELECT query_id, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM w WHERE k <= 25 GROUP BY 1", True)
 def r9_search_nodes(s, d):
     n = kb.nodes(s, d)
     hits = search.with_summary(search.hybrid(n, kb.vectors(s, d), _three(s, d), _vectors_of(s, d), 25, "note"), n)
-    return _six(hits, "score", "score_lex", "score_sem").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
+    return _six(hits, "score", "score_lex", "score_sem").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"), F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS n_events, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS n_guards FROM orders")
