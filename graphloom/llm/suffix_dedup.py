@@ -272,6 +272,17 @@ def marked(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarra
     return segment[found], start[found] - begin[segment[found]], np.array(out_len, np.int64)
 
 
+def _portions(pick: np.ndarray, name: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Runs of whole names with some ``most`` bytes each: segments of different names share nothing."""
+    if not len(pick):
+        return
+    begin = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+    load = np.cumsum(np.add.reduceat(size, begin)) // most
+    cut = begin[np.flatnonzero(np.r_[True, load[1:] != load[:-1]])]
+    for a, b in zip(cut, [*cut[1:], len(pick)], strict=True):
+        yield pick[a:b]
+
+
 def united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans that touch or overlap as one, in order of document and start."""
     if not len(doc):
@@ -334,7 +345,7 @@ def repeated_spans(docs: DataFrame, least: int, shards: int, folder: str) -> Dat
                     size = end[own] - start[own]
                     found.append((name[own], ids[a + text[own]], start[own] - offsets[text[own]], size, data[spread(start[own], size)]))
                     size_now += int(size.sum())
-                if size_now > 1 << 24:
+                if size_now > 1 << 23:
                     yield from flush()
                     found, size_now = [], 0
             if found:
@@ -364,12 +375,13 @@ def repeated_spans(docs: DataFrame, least: int, shards: int, folder: str) -> Dat
             bounds = np.flatnonzero(np.r_[True, of_name[1:] != of_name[:-1]])
             mixed = np.minimum.reduceat(doc[head], bounds) < np.maximum.reduceat(doc[head], bounds)
             pick = np.flatnonzero(mixed[of_name])
-            if len(pick):
-                h = head[pick]
+            open_copies = np.add.reduceat((~done).astype(np.int64), head)
+            for part in _portions(pick, of_name[pick], size[head[pick]]):
+                h = head[part]
                 flat = data[spread(begin[h], size[h])]
                 segment, at, extent = marked(flat, np.cumsum(size[h]) - size[h], size[h], doc[h], least)
                 # all open copies of the segment, which lie in its first document
-                copies = np.add.reduceat((~done).astype(np.int64), head)[pick][segment]
+                copies = open_copies[part][segment]
                 row = spread(h[segment], copies)
                 at, extent = np.repeat(at, copies), np.repeat(extent, copies)
                 spans.append((doc[row], start[row] + at, start[row] + at + extent))

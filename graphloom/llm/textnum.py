@@ -79,9 +79,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans are in order, not empty and don't overlap."""
+    """A 64-bit hash of each span of bytes; spans are in order, not empty and don't overlap.
+
+    Spans are hashed some megabytes at a time, so that memory stays bounded.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(starts) > 1 and ends[-1] - starts[0] > 2 * SLICE_BYTES:
+        cuts = np.unique(np.searchsorted(starts, np.arange(starts[0], ends[-1], SLICE_BYTES)))
+        cuts = [0, *cuts[(cuts > 0) & (cuts < len(starts))].tolist(), len(starts)]
+        return np.concatenate([_hashed(data, starts[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    return _hashed(data, starts, ends)
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lengths = ends - starts
     total = int(lengths.sum())
     begin = np.zeros(len(starts), np.int64)
