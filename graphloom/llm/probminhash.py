@@ -270,7 +270,8 @@ def _across(members: DataFrame, sets: StoredSets, s: Settings, kind: str) -> Dat
         take = lambda k: ids.take(pa.array([p[k] for p in pairs], pa.int64()))
         return pa.table({"x": take(0), "y": take(1)})
 
-    found = met.groupBy("bucket", "low", "high").applyInArrow(compare, f"x {kind}, y {kind}")
+    # dealt by block, not by bucket: the blocks of a large bucket go to different tasks
+    found = met.repartition("bucket", "low", "high").groupBy("bucket", "low", "high").applyInArrow(compare, f"x {kind}, y {kind}")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -301,7 +302,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
         sets = StoredSets.store(shingle_sets(docs, open_.select(F.xxhash64("id").alias("h")), s, id_col, text_col))
         links = links.unionByName(_across(open_, sets, s, kind))
         groups = components(links)
-    classes = texts.join(groups, "id", "left").select("key", "key2", F.coalesce("label", "id").alias("class_id"))
+    # a table of its own, so that adaptive execution can split the rows of one text's many copies
+    classes = written(texts.join(groups, "id", "left").select("key", "key2", F.coalesce("label", "id").alias("class_id")), "classes")
     out = signed.select("_id", "key", "key2", "n_shingles").join(classes, ["key", "key2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "_id")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), own.alias("class_id"), "n_shingles")
