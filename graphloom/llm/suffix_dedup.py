@@ -308,8 +308,8 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, shards: int) ->
     return [s for s, _ in each], [_packed(_deltas(doc[o]), start[o], end[o]) for _, o in each]
 
 
-def repeated_spans(docs: DataFrame, least: int, shards: int, folder: str) -> DataFrame:
-    """``(shard, spans)``: parts of documents that repeat in smaller documents, dealt by document."""
+def repeated_segments(docs: DataFrame, least: int, shards: int, folder: str, settle: bool = True) -> DataFrame:
+    """``(shard, open, spans)``: segments with a repeated name, dealt by name; copies within a task already settled, if asked."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +327,7 @@ def repeated_spans(docs: DataFrame, least: int, shards: int, folder: str) -> Dat
                 head = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
                 least_doc = np.empty_like(doc)
                 least_doc[order] = np.repeat(doc[order][head], np.diff(np.r_[head, len(order)]))
-                done = doc > least_doc
+                done = (doc > least_doc) & settle
                 for s, raw in zip(*_spans(doc[done], start[done], (start + size)[done], shards), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([None], pa.binary()), pa.array([raw], pa.binary())], ["shard", "open", "spans"])
                 still = np.flatnonzero(~done)
@@ -351,20 +351,31 @@ def repeated_spans(docs: DataFrame, least: int, shards: int, folder: str) -> Dat
             if found:
                 yield from flush()
 
+    return docs.select("text", "id").mapInArrow(cut, "shard int, open binary, spans binary")
+
+
+def _segments_of(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """``name, doc, start, size, begin, data, code`` of a shard's open segments, by name, content and document."""
+    parts = [_unpacked(x.as_py(), np.uint64, np.int64, np.int64, np.int32, np.uint8) for x in group.column("open").drop_null()]
+    name = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    doc, start, size, data = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
+    size = size.astype(np.int64)
+    begin = np.cumsum(size) - size
+    code = mix(span_hashes(data, begin, begin + size) + name)
+    order = np.lexsort((start, doc, code, name))
+    return name[order], doc[order], start[order], size[order], begin[order], data, code[order]
+
+
+def repeated_spans(docs: DataFrame, least: int, shards: int, folder: str) -> DataFrame:
+    """``(shard, spans)``: parts of documents that repeat in smaller documents, dealt by document."""
+
     def settle(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         shards_out, out = [], []
         for raw in group.column("spans").drop_null():
             shards_out.append(key[0].as_py())
             out.append(raw.as_py())
-        parts = [_unpacked(x.as_py(), np.uint64, np.int64, np.int64, np.int32, np.uint8) for x in group.column("open").drop_null()]
-        if parts:
-            name = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-            doc, start, size, data = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
-            size = size.astype(np.int64)
-            begin = np.cumsum(size) - size
-            code = mix(span_hashes(data, begin, begin + size) + name)
-            order = np.lexsort((doc, code, name))
-            name, doc, start, size, begin, code = (x[order] for x in (name, doc, start, size, begin, code))
+        if group.column("open").null_count < group.num_rows:
+            name, doc, start, size, begin, data, code = _segments_of(group)
             new_name = np.r_[True, name[1:] != name[:-1]]
             head = np.flatnonzero(new_name | np.r_[True, code[1:] != code[:-1]])
             length = np.diff(np.r_[head, len(name)])
@@ -390,7 +401,53 @@ def repeated_spans(docs: DataFrame, least: int, shards: int, folder: str) -> Dat
             out += more[1]
         return pa.table({"shard": pa.array(shards_out, pa.int32()), "spans": pa.array(out, pa.binary())})
 
-    return docs.select("text", "id").mapInArrow(cut, "shard int, open binary, spans binary").groupBy("shard").applyInArrow(settle, "shard int, spans binary")
+    return repeated_segments(docs, least, shards, folder).groupBy("shard").applyInArrow(settle, "shard int, spans binary")
+
+
+def maximal_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(group, n_bytes, id, start)``: every maximal repeat of two documents or more with all its occurrences, in bytes.
+
+    A node of the interval tree is a group, nested ones included; so is a whole segment
+    that several places share. ``group`` is a hash of the repeated string. A repeat that
+    runs through several segments is reported as one group per stretch.
+    """
+    spark = docs.sparkSession
+    reach_workers(spark)
+    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder = mounted(fresh(spark, "repeats"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+    repeated_names(rows, least, shards, folder)
+
+    def groups(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        name, doc, start, size, begin, data, code = _segments_of(group)
+        head = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (code[1:] != code[:-1])])
+        copies = np.diff(np.r_[head, len(name)])
+        flat, own = data[spread(begin[head], size[head])], size[head]
+        at = np.cumsum(own) - own
+        strings = own - least + 1
+        segment, first = np.repeat(np.arange(len(own)), strings), spread(at, strings)
+        order, common = sorted_suffixes(np.concatenate([flat, np.zeros(16, np.uint8)]), first, (at + own)[segment] - first)
+        left = np.where(first[order] == at[segment[order]], -1 - np.arange(len(order)), np.r_[flat[:1] * 0, flat][first[order]].astype(np.int64))
+        prefixes = np.where(common >= least, common, 0).tolist()
+        found: list[tuple[np.ndarray, np.ndarray, int]] = [(np.array([k]), np.array([0]), int(own[k])) for k in np.flatnonzero(copies > 1).tolist()]
+        for prefix, lo, hi, maximal in interval_tree(prefixes, left.tolist(), least):
+            if maximal and not (hi - lo == 1):
+                which = segment[order[lo:hi]]
+                found.append((which, first[order[lo:hi]] - at[which], prefix))
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
+        for which, offset, length in found:
+            row = spread(head[which], copies[which])
+            ids = doc[row]
+            if ids.min() == ids.max():
+                continue
+            x = at[which[0]] + offset[0]
+            name_ = int.from_bytes(hashlib.blake2b(flat[x : x + length].tobytes(), digest_size=8).digest(), "little", signed=True)
+            out.append([np.full(len(row), name_), np.full(len(row), length), ids, start[row] + np.repeat(offset, copies[which])])
+        columns = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
+        return pa.table(dict(zip(("group", "n_bytes", "id", "start"), map(pa.array, columns), strict=True)))
+
+    found = repeated_segments(rows, least, shards, folder, settle=False).groupBy("shard").applyInArrow(groups, "group long, n_bytes long, id long, start long")
+    return found.withColumnRenamed("id", id_col)
 
 
 def _put_spans(key: tuple[pa.Scalar, ...], group: pa.Table, folder: str) -> pa.Table:

@@ -268,6 +268,26 @@ def test_repeat_removal_of_periodic_texts(spark, seed):
     assert got == brute_repeats(dict(rows))
 
 
+def test_maximal_repeats(spark):
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = noise(300)
+    rows = [(1, noise(80) + passage + noise(70)), (2, passage[:200] + noise(90)), (3, noise(60) + passage[100:]), (4, noise(200)), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.maximal_repeats(df).collect()
+    texts, groups = dict(rows), collections.defaultdict(list)
+    for r in got:
+        groups[r.group].append((r.doc_id, r.start, r.n_bytes))
+    for own in groups.values():
+        strings = {texts[i][s : s + n] for i, s, n in own}
+        assert len(strings) == 1 and len({i for i, _, _ in own}) > 1 and own[0][2] >= 50
+        # all occurrences, not just neighbours
+        assert {(i, m.start()) for i, t in texts.items() if t for m in re.finditer(f"(?={re.escape(next(iter(strings)))})", t)} == {(i, s) for i, s, _ in own}
+    covered = {(i, p) for own in groups.values() for i, s, n in own for p in range(s, s + n)}
+    want = {(i, p) for i, t in texts.items() if t for k in range(len(t) - 49) if sum(t[k : k + 50] in u for u in texts.values() if u) > 1 for p in range(k, k + 50)}
+    assert covered == want
+
+
 def test_interval_tree():
     text = "abracadabra$abrac#"
     order = sorted(range(len(text)), key=lambda i: text[i:])
