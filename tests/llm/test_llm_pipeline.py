@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from test_operators import brute_classes, brute_repeats, shingle_sets
+from test_llm_operators import brute_classes, brute_repeats, shingle_sets
 
 import corpus_pipeline
 from graphloom.llm import quality, queries
