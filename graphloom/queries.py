@@ -397,7 +397,24 @@ def r10_verbatim_passage(s, d):
     return search.passages(rows, claims).where("stage = 1").select("claim_id", "doc_id", "pos")
 
 
-@query()
+_FLAT = r"lower(trim(regexp_replace(X, '[ \t\n\x0B\f\r]+', ' ', 'g')))"
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(X), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in search.STOP) + "], t)))"
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, i - 1 AS pos, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+bl AS (SELECT doc_id, pos, {_FLAT.replace('X', 'text')} AS flat, {_WORDS.replace('X', 'text')} AS words FROM b),
+c AS (SELECT doc_id AS claim_id, doc_id, {_FLAT.replace('X', 'cl')} AS claim, {_WORDS.replace('X', 'cl')} AS asked FROM (SELECT doc_id, 'about ' || string_split(text, ' ')[-1] || ' ' || array_to_string(string_split(text, ' ')[2:7], ' x ') AS cl FROM b WHERE pos = 1)),
+f AS (SELECT claim_id, doc_id, pos, CASE WHEN contains(flat, claim) THEN 1 WHEN contains(flat, substring(claim, 1, 60)) THEN 2 WHEN contains(flat, substring(claim, 1, 40)) THEN 3 END AS stage, 0.0 AS score FROM c JOIN bl USING (doc_id) WHERE claim <> ''),
+n AS (SELECT doc_id, count(*) AS n FROM bl GROUP BY 1),
+df AS (SELECT doc_id, w, count(*) AS df FROM (SELECT doc_id, unnest(words) AS w FROM bl) GROUP BY 1, 2),
+a AS (SELECT claim_id, doc_id, len(asked) AS terms, unnest(asked) AS w FROM c),
+t AS (SELECT a.*, ln((n + 1) / (df + 1)) + 1 AS idf FROM a JOIN df USING (doc_id, w) JOIN n USING (doc_id)),
+h AS (SELECT claim_id, doc_id, terms, pos, sum(idf) AS s, count(*) AS hits FROM t JOIN (SELECT doc_id, pos, unnest(words) AS w FROM bl) x USING (doc_id, w) GROUP BY ALL),
+e AS (SELECT claim_id, doc_id, pos, stage, CAST(score AS DOUBLE) AS score FROM f WHERE stage IS NOT NULL UNION ALL SELECT claim_id, doc_id, pos, 4, round(s + 0.5 * hits / least(40, greatest(1, terms)), 9) FROM h WHERE hits >= 2 OR terms = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY stage, score DESC, pos) AS k FROM e)
+SELECT claim_id, doc_id, CAST(pos AS INTEGER) AS pos, stage, round(score, 6) AS score FROM r WHERE k = 1
+""")
 def r10_passage_match(s, d):
     rows = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     claims = rows.where("pos = 1").select(F.col("doc_id").alias("claim_id"), "doc_id", F.concat(F.lit("about "), F.reverse(F.split("text", " "))[0], F.lit(" "), F.array_join(F.slice(F.split("text", " "), 2, 6), " x ")).alias("claim"))
