@@ -17,7 +17,9 @@ its suffixes in one place:
    documents takes the marked bytes out.
 
 A segment ends where its name ends, so a repeat is found as overlapping stretches, whose
-union is the whole repeat. Suffixes are compared over at most ``DEPTH`` bytes.
+union is the whole repeat. Where a name holds on because its run recurs (table rows, lists,
+log lines), its segment is cut, so that no segment has more than ``2 * least - RUN`` bytes
+and suffixes are compared to the end of theirs.
 
 Defined results: a null or empty text stays empty; texts shorter than ``least`` bytes are
 kept whole; equal texts keep their first document only; ids are integers and name one text
@@ -40,12 +42,16 @@ from graphloom.llm.shared import fresh, map_file, mounted, put_file
 from graphloom.llm.textnum import mix, shard_of, slices, span_hashes, spread
 from graphloom.session import reach_workers
 
-#: Bytes of a short run, bytes over which suffixes are compared, names that a task holds.
-RUN, DEPTH, HELD = 16, 128, 1 << 21
+#: Bytes of a short run, names that a task holds.
+RUN, HELD = 16, 1 << 21
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``text, start, end, name`` of each segment; its strings of ``least`` bytes start at ``start .. end - least``."""
+    """``text, start, end, name`` of each segment; its strings of ``least`` bytes start at ``start .. end - least``.
+
+    One run names at most ``width`` strings, so only segments whose run recurs are cut. Equal
+    strings have equal names wherever the cuts fall, so no repeat is lost.
+    """
     n, width = len(data), least - RUN + 1
     size = np.diff(offsets)
     strings = np.maximum(size - least + 1, 0)
@@ -67,6 +73,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndar
     place, text = spread(offsets[:-1], strings), np.repeat(np.arange(len(size)), strings)
     name = h[place]
     new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (text[1:] != text[:-1])])
+    since = np.arange(len(place)) - np.repeat(new, np.diff(np.r_[new, len(place)]))
+    new = np.flatnonzero(since % width == 0)
     last = np.r_[new[1:], len(place)] - 1
     return text[new], place[new], place[last] + least, name[new]
 
@@ -163,7 +171,7 @@ def _stored(folder: str, kind: str, key: np.ndarray, shards: int) -> np.ndarray:
 def sorted_suffixes(data: np.ndarray, start: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes ``data[start : start + rest]`` in order, and each one's common prefix with the one before it.
 
-    ``data`` ends with 8 spare bytes at least. Prefixes count up to ``DEPTH`` bytes.
+    ``data`` ends with 8 spare bytes at least.
     """
     n = len(start)
     word = np.ndarray((len(data) - 7,), ">u8", data.tobytes(), strides=(1,))
@@ -178,7 +186,7 @@ def sorted_suffixes(data: np.ndarray, start: np.ndarray, rest: np.ndarray) -> tu
     common = np.zeros(n, np.int64)
     lo = np.zeros(min(n, 1), np.int64)  # where the groups that still tie begin, and their sizes
     size = np.array([n] if n else [], np.int64)
-    for depth in range(0, DEPTH, 8):
+    for depth in range(0, int(rest.max(initial=0)), 8):
         if not len(lo):
             break
         slot = spread(lo, size)

@@ -268,6 +268,24 @@ def test_repeat_removal_of_periodic_texts(spark, seed):
     assert got == brute_repeats(dict(rows))
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_repeat_removal_of_rows_that_diverge_later(spark, seed):
+    """Table rows, list items and log lines: one run recurs for hundreds of bytes, then the texts part."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(60):
+        line = (f'<td class="n{i}">{{:02}}</td>', f"  - list item {i} is {{:02}}\n", f"INFO served {i} in {{:02}} ms\n")[i % 3]
+        common = "".join(line.format((7 * k) % 100) for k in range(18))
+        for j in range(2):
+            rows.append((2 * i + j, common + "".join(line.format(rnd.randrange(100)) for _ in range(5))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digest(df, suffix_dedup.find_repeats(df)).collect()}
+    assert got == brute_repeats(dict(rows))
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    _, start, end, _ = suffix_dedup.segments(data, np.r_[0, np.cumsum([len(t.encode()) for _, t in rows])], 50)
+    assert (end - start).max() <= 2 * 50 - suffix_dedup.RUN
+
+
 def test_maximal_repeats(spark):
     rnd = random.Random(9)
     noise = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
