@@ -15,7 +15,9 @@ pairs is made but of links that join two groups.
 A link holds if the exact probability Jaccard similarity, or the plain one of the shingle
 sets, is at least ``threshold``; groups are the connected components of the links.
 
-With the default 25 bands of 5 registers, two texts of similarity 0.8 share a bucket with
+Both similarities have candidates of their own: a text that repeats a shingle has a second
+signature with all weights 1 and is placed by its bands too. Where no shingle repeats, the two
+signatures are the same one. With the default 25 bands of 5 registers, two texts of similarity 0.8 share a bucket with
 probability above 0.9999. Defined results: a text without words (null, empty, white space)
 is near nothing, and its class is its own id; a text of one to four words is one shingle;
 repeated rows are copies; a row without an id takes the class of its text; other columns
@@ -116,17 +118,29 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """``(id, key, key2, n_shingles, bands, signature)`` of every text; a narrow map."""
+    """``(id, key, key2, n_shingles, bands, signature)`` of every text; a narrow map.
+
+    A text that repeats a shingle has the bands and the signature of its weights, then those
+    of its plain set; any other text has one of each, which is both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 owner, code, count, key, key2 = features(data, offsets, s.words)
                 marks = signatures(owner, code, count.astype(np.float64), b - a, s.bands * s.rows)
-                keys = band_keys(marks, s.bands, s.rows)
                 n = np.bincount(owner, minlength=b - a)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * s.bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                raw = pa.array([m.tobytes() for m in marks], pa.binary())
+                again = np.bincount(owner[count > 1], minlength=b - a) > 0
+                own = again[owner]
+                plain = signatures(np.cumsum(again)[owner[own]] - 1, code[own], np.ones(int(own.sum())), int(again.sum()), s.bands * s.rows)
+                # each text's signatures in turn, the plain one last
+                at = np.r_[0, np.cumsum(1 + again)]
+                both = np.empty((at[-1], s.bands * s.rows), np.uint32)
+                both[at[:-1]] = marks
+                both[at[1:][again] - 1] = plain
+                keys = band_keys(both, s.bands, s.rows)
+                bands = pa.ListArray.from_arrays(pa.array(at * s.bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                raw = pa.array([both[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), pa.array(n, pa.int64()), bands, raw], ["_id", "key", "key2", "n_shingles", "bands", "signature"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -232,6 +246,11 @@ class StoredSets:
         return code[low : int(at[i])], count[low : int(at[i])]
 
 
+def _first_and_last(rows: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted and the plain part of each row, which are one where it has one only."""
+    return np.array([r[:width] for r in rows]).reshape(-1, width), np.array([r[-width:] for r in rows]).reshape(-1, width)
+
+
 def _across(members: DataFrame, sets: StoredSets, s: Settings, kind: str) -> DataFrame:
     """Verified links between members of one bucket that belong to different groups.
 
@@ -248,9 +267,9 @@ def _across(members: DataFrame, sets: StoredSets, s: Settings, kind: str) -> Dat
 
     def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         n = group.num_rows
-        marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(n, -1)
-        bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(n, -1)
-        band = int(np.flatnonzero(bands[0] == key[0].as_py())[0])
+        marks, plain = _first_and_last([np.frombuffer(x, np.uint32) for x in group.column("signature").to_pylist()], s.bands * s.rows)
+        bands, plain_bands = _first_and_last([np.array(x, np.int64) for x in group.column("bands").to_pylist()], s.bands)
+        band = int(np.flatnonzero((bands[0] == key[0].as_py()) | (plain_bands[0] == key[0].as_py()))[0])
         _, label = np.unique(group.column("label").to_numpy(zero_copy_only=False), return_inverse=True)
         h, first = group.column("h").to_pylist(), group.column("first").to_numpy()
         same = key[1].as_py() == key[2].as_py()
@@ -259,8 +278,12 @@ def _across(members: DataFrame, sets: StoredSets, s: Settings, kind: str) -> Dat
         pairs: list[tuple[int, int]] = []
         for i in left.tolist():
             rest = right[(label[right] != label[i]) & ((right > i) if same else True)]
-            share = (marks[rest] == marks[i]).mean(axis=1) if len(rest) else np.zeros(0)
-            good = (share >= s.likely) & ~(bands[rest, :band] == bands[i, :band]).any(axis=1)
+            share = np.maximum((marks[rest] == marks[i]).mean(axis=1), (plain[rest] == plain[i]).mean(axis=1)) if len(rest) else np.zeros(0)
+            met_before = np.zeros(len(rest), bool)
+            for x in (bands, plain_bands):
+                for y in (bands, plain_bands):
+                    met_before |= (x[rest, :band] == y[i, :band]).any(axis=1)
+            good = (share >= s.likely) & ~met_before
             # the likeliest first: a link spares the rest of its group
             for j in rest[good][np.argsort(-share[good], kind="stable")].tolist():
                 if label[i] != label[j] and similarity(*sets.get(h[i]), *sets.get(h[j])) >= s.threshold - 1e-12:
@@ -283,7 +306,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     # one text of each word sequence; equal texts have equal signatures, so any of them serves
     texts = signed.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("_id").alias("id")).where("id is not null")
     chosen = written(signed.join(texts.select(F.col("id").alias("_id"), "key", "key2"), ["_id", "key", "key2"]).dropDuplicates(["_id"]).select(F.col("_id").alias("id"), "bands", "signature"), "texts")
-    placed = chosen.select("id", F.explode("bands").alias("bucket"))
+    placed = chosen.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
     # A bucket's head is its member that meets most others over all its buckets: of a family of
     # copies the text they were made from, which is nearer to each than they are to one another.
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")

@@ -211,6 +211,21 @@ def test_near_duplicate_chains(spark):
     assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(df).collect()} == brute_classes(shingle_sets(dict(rows)))
 
 
+def test_near_duplicates_of_equal_sets_and_unequal_weights(spark):
+    """The last sentence repeated 60 times: plain similarity 0.98, probability Jaccard 0.24."""
+    rows = []
+    for i in range(20):
+        words = [f"w{i}x{k}" for k in range(300)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + words[-20:] * 59))]
+    # repeats of different parts: both texts are weighted, and the plain sets are alike
+    words = [f"both{k}" for k in range(300)]
+    rows += [(50, " ".join(words[:20] * 50 + words)), (51, " ".join(words + words[-20:] * 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(shingle_sets(dict(rows)))
+    assert want[1] == 0 and want[51] == 50
+    assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(df).collect()} == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rnd = np.random.default_rng(0)
     code = rnd.integers(1, 1 << 62, 400).astype(np.uint64)
