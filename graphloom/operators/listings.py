@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.maps import BUCKET_NAMES, bucket_of
@@ -91,14 +91,42 @@ def collection_counts(nodes: DataFrame) -> DataFrame:
     return known.join(counted, "collection_id", "left").select("collection_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def concat_bodies(nodes: DataFrame, ids: DataFrame, cap: int = 24000) -> DataFrame:
-    """``(group_id, text)``: the bodies of each group's ids in order, under their titles, cut at ``cap`` characters."""
+def concat_bodies(nodes: DataFrame, ids: DataFrame, cap: int = 24000, block: int = 512) -> DataFrame:
+    """``(group_id, text)``: the bodies of each group's ids in order, under their titles, cut at ``cap`` characters.
+
+    Only the parts that begin within the first ``cap`` characters are gathered. Where they
+    begin follows from running sums over the lengths: of blocks of at most about ``block``
+    parts by position, then of the parts within the blocks that begin early enough.
+    """
     part = F.concat(F.lit("## "), F.coalesce(F.when(F.trim("title") != "", F.col("title")), F.col("id")), F.lit("\n"), F.col("body_md"))
-    rows = ids.join(nodes.select("id", "title", "body_md"), "id").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n")
-    rows = rows.select("group_id", text.alias("text"))
-    left = F.length("text") - cap
-    return rows.select("group_id", F.when(left > 0, F.concat(F.substring("text", 1, cap), F.lit("\n[truncated — "), left.cast("string"), F.lit(" more chars]"))).otherwise(F.col("text")).alias("text"))
+    rows = ids.join(nodes.select("id", "title", "body_md"), "id").select("group_id", "pos", part.alias("part"))
+    # a missing body takes no room; any other part is followed by two line ends
+    rows = rows.select("group_id", "pos", F.substring("part", 1, cap).alias("head"), F.coalesce(F.length("part") + 2, F.lit(0)).cast("long").alias("room"))
+    blocks = _position_blocks(rows.select("group_id", "pos", "room"), block)
+    total = blocks.groupBy("group_id").agg((F.sum("room") - 2).alias("total"))
+    before = Window.partitionBy("group_id").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    early = blocks.withColumn("begin", F.coalesce(F.sum("room").over(before), F.lit(0))).where((F.col("begin") < cap) & (F.col("room") > 0))
+    early = early.select(F.col("group_id").alias("of"), "low", "high", "begin")
+    near = rows.where("room > 0").join(early, (F.col("group_id") == F.col("of")) & (F.col("pos") >= F.col("low")) & (F.col("pos") <= F.col("high")))
+    within = Window.partitionBy("group_id", "low").orderBy("pos", "head").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("at", F.col("begin") + F.coalesce(F.sum("room").over(within), F.lit(0))).where(F.col("at") < cap)
+    joined = near.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("at", "head"))).alias("parts"))
+    text = F.substring(F.array_join(F.transform("parts", lambda p: p["head"]), "\n\n"), 1, cap)
+    out = total.join(joined.select("group_id", text.alias("text")), "group_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    left = F.col("total") - cap
+    return out.select("group_id", F.when(left > 0, F.concat("text", F.lit("\n[truncated — "), left.cast("string"), F.lit(" more chars]"))).otherwise(F.col("text")).alias("text"))
+
+
+def _position_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``(group_id, low, high, room)``: each group's positions in stretches, with their rooms' sum.
+
+    Rows are ranged by (group, position) over tasks, and a task cuts its sorted rows every
+    ``block`` rows; equal positions of a group lie in one task and in one stretch.
+    """
+    at = F.monotonically_increasing_id()
+    sorted_ = rows.groupBy("group_id", "pos").agg(F.sum("room").alias("room")).repartitionByRange("group_id", "pos").sortWithinPartitions("group_id", "pos")
+    numbered = sorted_.withColumn("stretch", F.floor(at / block))
+    return numbered.groupBy("group_id", "stretch", F.spark_partition_id().alias("task")).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.sum("room").alias("room")).select("group_id", "low", "high", "room")
 
 
 def active_project(nodes: DataFrame, saved: str | None) -> DataFrame:

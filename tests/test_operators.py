@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import blocks, html, text
-from graphloom.operators import chat, chunks, graph, search, statechart, upserts
+from graphloom.operators import chat, chunks, graph, listings, search, statechart, upserts
 from graphloom.sources import records
 from graphloom.streaming import jobs
 
@@ -227,3 +227,20 @@ def test_porter(spark):
 def test_embed(spark):
     rows = {r.id: r.embedding for r in search.embed(spark.createDataFrame([("a", "one two two"), ("b", "two ONE two"), ("c", "other"), ("d", "")], "id string, text string")).collect()}
     assert set(rows) == {"a", "b", "c"} and rows["a"] == rows["b"] and all(abs(sum(x * x for x in v) - 1) < 1e-6 for v in rows.values())
+
+
+def test_concat_bodies_gathers_only_what_is_shown(spark):
+    """A group far larger than the cap: the same text, and no row holds much more than the cap."""
+    rows = [(f"n{i:04}", "" if i % 9 == 0 else f"t{i}", None if i % 11 == 5 else "é" * (i % 50)) for i in range(3000)]
+    nodes = spark.createDataFrame(rows, "id string, title string, body_md string")
+    ids = spark.createDataFrame([("all" if i % 3 else "some", i // 2, f"n{i:04}") for i in range(3000)] + [("none", 1, "n0005"), ("small", 2, "n0001"), ("small", 1, "n0003")], "group_id string, pos int, id string")
+    want = {}
+    for g in ("all", "some", "none", "small"):
+        own = sorted((r.pos, f"## {rows[int(r.id[1:])][1] or r.id}\n{rows[int(r.id[1:])][2]}") for r in ids.collect() if r.group_id == g and rows[int(r.id[1:])][2] is not None)
+        t = "\n\n".join(p for _, p in own)
+        want[g] = t if len(t) <= 700 else t[:700] + f"\n[truncated — {len(t) - 700} more chars]"
+    shown = listings.concat_bodies(nodes, ids, 700, 16)
+    assert {r.group_id: r.text for r in shown.collect()} == want
+    # the blocks are bounded, however large the group
+    sizes = listings._position_blocks(ids.select("group_id", "pos", F.lit(1).cast("long").alias("room")), 16)
+    assert max(r.room for r in sizes.collect()) <= 32 and sizes.agg(F.sum("room")).first()[0] == 3003
