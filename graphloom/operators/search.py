@@ -8,6 +8,8 @@ decimals, so that equal texts tie and the smaller id wins wherever sums are take
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from graphloom.session import reach_workers
 
 K1, B = 1.2, 0.75
 
+#: Vectors in a block of the table and in a block of queries.
+VECTORS, QUERIES = 4096, 256
+
 
 def postings(nodes: DataFrame, stemmed: bool = False) -> DataFrame:
     """``(term, id, tf)`` over title and body, of plain or of Porter-stemmed tokens."""
@@ -45,10 +50,13 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 def search_text(nodes: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """``(query_id, id, score)`` by BM25; every word of a query is a required prefix.
 
-    Terms of a few queries are constants of the plan: each node's tokens are tested in
-    place, so only matching nodes are shuffled.
+    The terms of a single query are constants of the plan: each node's tokens are tested in
+    place, so only matching nodes are shuffled. More queries are joined with the postings.
     """
-    asked = queries.select("query_id", query_terms(F.col("query")).alias("terms")).collect()  # the queries themselves
+    asked = queries.select("query_id", query_terms(F.col("query")).alias("terms")).limit(2).collect()
+    if len(asked) > 1:
+        found = search_postings(postings(nodes), doc_stats(nodes), queries).withColumn("query_id", F.col("query_id").cast("long"))
+        return top(found, limit) if limit else found
     prefixes = sorted({t for r in asked for t in r["terms"]})
     wanted = [(r["query_id"], t) for r in asked for t in sorted(set(r["terms"]))]
     if not wanted:
@@ -116,12 +124,18 @@ def top(rows: DataFrame, k: int, by: str = "score") -> DataFrame:
 def search_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, id, dist, similarity)``: the nearest ``k`` (1 to 200) of each query by Euclidean distance.
 
-    Queries are a parameter-sized table; the vectors are scanned once and only ``k`` rows
-    per query and task reach the last exchange.
+    A single query is a constant of the plan; more are dealt into blocks that meet blocks of
+    vectors. Only ``k`` rows per query and block reach the last exchange.
     """
     k = max(1, min(200, k))
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).collect()  # the queries themselves
+    asks = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    asked = asks.limit(2).collect()
     rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("v"))
+    if len(asked) > 1:
+        rows = _block_distances(rows, asks, k)
+        best = Window.partitionBy("query_id").orderBy("dist", "id")
+        rows = rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
+        return rows.select("query_id", "id", "dist", similarity(F.col("dist")).alias("similarity"))
     each = F.array(*(F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.array(*map(F.lit, r["q"])).alias("q")) for r in asked))
     rows = rows.select("id", "v", F.inline(each))
     gap = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
@@ -131,6 +145,32 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", "id", "dist", similarity(F.col("dist")).alias("similarity"))
 
 
+def _block_distances(rows: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, dist)``: each query's nearest ``k`` of every block of vectors of its dimension."""
+    reach_workers(rows.sparkSession)
+    rows = rows.where("id is not null and not exists(v, x -> x is null)").withColumn("dim", F.size("v"))
+    asks = asks.where("query_id is not null and not exists(q, x -> x is null)").withColumn("of_dim", F.size("q"))
+    v_blocks, q_blocks = (max(1, -(-x.count() // n)) for x, n in ((rows, VECTORS), (asks, QUERIES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.withColumn("v_block", F.pmod(F.xxhash64("id"), F.lit(v_blocks)).cast("int")).withColumn("q_block", every(q_blocks))
+    asks = asks.withColumn("of_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("of_v", every(v_blocks))
+
+    def nearest(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(mine) and len(asked):
+            mine = mine.sort_values("id", kind="stable")
+            v, ids = np.stack(mine["v"].to_list()), mine["id"].to_numpy()
+            for own, q in zip(asked["query_id"], asked["q"]):
+                dist = np.round(np.sqrt(((v - q) ** 2).sum(axis=1)), 9)
+                # rows follow ids, so the smaller id wins a tie
+                at = np.argsort(dist, kind="stable")[:k]
+                out.append(pd.DataFrame({"query_id": own, "id": ids[at], "dist": dist[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype=object), "dist": pd.Series(dtype="float64")})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.groupBy("dim", "v_block", "q_block").cogroup(asks.groupBy("of_dim", "of_v", "of_q")).applyInPandas(nearest, f"query_id long, id {kind}, dist double")
+
+
 def similarity(dist):
     """Cosine of unit vectors from their distance, within 0 and 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - dist * dist / 2))

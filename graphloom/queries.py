@@ -361,6 +361,22 @@ def r8_batch_bm25(s, d):
     return _six(search.search_postings(search.postings(n), search.doc_stats(n), _three(s, d, (0, 1, 2, 3, 4))), "score")
 
 
+#: Query rows of whole tables: every row whose id is divisible by 100.
+BM25_EVERY, VEC_EVERY = BM25.replace("doc_id IN (IDS)", "doc_id % 100 = 0"), VEC.replace("vec_id IN (IDS)", "vec_id % 100 = 0")
+
+
+@query("WITH" + BM25_EVERY + "SELECT query_id, id, round(score, 6) AS score FROM lex", True)
+def r8_every_bm25(s, d):
+    asked = table(s, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 3), " ").alias("query"))
+    return _six(search.search_text(kb.nodes(s, d), asked), "score")
+
+
+@query("WITH" + VEC_EVERY + "SELECT query_id, id, round(dist, 6) AS dist FROM near WHERE k <= 50", True)
+def r5_every_top_k(s, d):
+    asked = table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _six(search.search_vectors(kb.vectors(s, d), asked, 50), "dist").select("query_id", "id", "dist")
+
+
 @query("SELECT doc_id, regexp_replace(substring(text, 1, 500), '(?i)(^|[^\\p{L}\\p{N}])((?:the|on)[\\p{L}\\p{N}]*)', '\\1<mark>\\2</mark>', 'g') AS snippet FROM documents WHERE lang = 'en'")
 def r3_highlight(s, d):
     return table(s, d, "documents").where("lang = 'en'").select("doc_id", search.highlight(F.substring("text", 1, 500), ["the", "on"]).alias("snippet"))
