@@ -377,6 +377,11 @@ def r5_every_top_k(s, d):
     return _six(search.search_vectors(kb.vectors(s, d), asked, 50), "dist").select("query_id", "id", "dist")
 
 
+@query("SELECT doc_id, regexp_replace(text, '(?i)(^|[^\\p{L}\\p{N}])((?:the|on)[\\p{L}\\p{N}]*)', '\\1<mark>\\2</mark>', 'g') AS snippet FROM documents")
+def r3_highlight_whole(s, d):
+    return table(s, d, "documents").select("doc_id", search.highlight(F.col("text"), ["the", "on"]).alias("snippet"))
+
+
 @query("SELECT doc_id, regexp_replace(substring(text, 1, 500), '(?i)(^|[^\\p{L}\\p{N}])((?:the|on)[\\p{L}\\p{N}]*)', '\\1<mark>\\2</mark>', 'g') AS snippet FROM documents WHERE lang = 'en'")
 def r3_highlight(s, d):
     return table(s, d, "documents").where("lang = 'en'").select("doc_id", search.highlight(F.substring("text", 1, 500), ["the", "on"]).alias("snippet"))
