@@ -89,7 +89,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     sizes = F.broadcast(sizes.where("q_blocks > 0"))  # distinct dimensions, a handful
     dealt = rows.join(sizes, "dim")
     candidates = dealt.select(id_col, "v", "dim", F.pmod("deal", "c_blocks").cast("int").alias("c_block"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"))
-    queries = dealt.where("asks").select(F.col(id_col).alias("q_id"), F.col("v").alias("q_v"), F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("of_c"), F.pmod("deal", "q_blocks").cast("int").alias("of_q"))
+    # a query row that occurs more than once asks once
+    queries = dealt.where("asks").dropDuplicates([id_col, "v"]).select(F.col(id_col).alias("q_id"), F.col("v").alias("q_v"), F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("of_c"), F.pmod("deal", "q_blocks").cast("int").alias("of_q"))
 
     def run(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
@@ -99,6 +100,5 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
         return pd.DataFrame(found, columns=["query_id", id_col, "score"]).astype("int64")
 
     found = candidates.groupBy("dim", "c_block", "q_block").cogroup(queries.groupBy("q_dim", "of_c", "of_q")).applyInPandas(run, f"query_id long, {id_col} long, score long")
-    # a query row that occurs more than once finds each candidate once per copy; one copy answers
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), id_col, "score")

@@ -354,6 +354,15 @@ def test_top_k(spark, monkeypatch):
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_a_repeated_query(spark):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(1, 40)]
+    columns = "vec_id long, embedding array<float>"
+    ask = lambda r: {tuple(x) for x in topk.exact_top_k(spark.createDataFrame(r, columns), F.col("vec_id") % 10 == 0, 5, 1).collect()}
+    once = {r for r in ask(rows) if r[0] == 10}
+    more = {r for r in ask(rows + [rows[9]] * 2) if r[0] == 10}
+    assert more == once and len({r[2] for r in more}) == 5
+
+
 def test_threshold_search_stops_early(monkeypatch):
     """A bound below the k-th score ends the walk: far vectors of a skewed block are never scored."""
     vectors = np.zeros((5000, 4), np.int64)
