@@ -79,11 +79,6 @@ def has_secret(text: str | None) -> bool:
         return False
 
 
-def cut_bytes(text: str | None, limit: int) -> str | None:
-    """At most ``limit`` bytes, never a part of a character."""
-    return None if text is None else text.encode()[:limit].decode("utf-8", "ignore")
-
-
 @F.pandas_udf(StringType())
 def searchable_text(body: pd.Series) -> pd.Series:
     return body.map(searchable, na_action="ignore")
@@ -99,48 +94,90 @@ def secret_in(text: pd.Series) -> pd.Series:
     return text.map(has_secret)
 
 
-@F.pandas_udf(StringType())
-def embed_input(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: cut_bytes(t, 4096), na_action="ignore")
+#: Digits of a block's place among its siblings in a path.
+DIGITS = 6
+COLUMNS = (
+    "pos int, path string, parent string, depth int, wrapped boolean, block_id string, artifact_id string, type string, level int, toggle boolean, "
+    "text string, url string, caption string, context string, extracted string, purpose string, style_hint string"
+)
+_KINDS = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
 
+def prefixes(depth):
+    """Paths around a block at ``depth`` and its own, from its column ``path``."""
+    return F.transform(F.sequence(F.lit(0), depth), lambda d: F.substring("path", F.lit(1), d * (DIGITS + 1) + DIGITS))
 
-def _walk(blocks: list, path: str, depth: int) -> Iterator[tuple[str, int, dict]]:
+
+def _walk(blocks: list, parent: str, depth: int) -> Iterator[tuple[str, str, int, dict]]:
     for i, b in enumerate(blocks):
         if isinstance(b, dict):
-            here = f"{path}{i:04d}"
-            yield here, depth, b
-            yield from _walk(b.get("children") or [], here + ".", depth + 1)
+            here = f"{parent}.{i:0{DIGITS}d}" if parent else f"{i:0{DIGITS}d}"
+            yield here, parent, depth, b
+            children = b.get("children")
+            yield from _walk(children if isinstance(children, list) else [], here, depth + 1)
 
 
 def _inline(content) -> str:
+    """Text of a block's content: a string, or the runs of a list; anything else has none."""
     if isinstance(content, str):
         return content
-    return "".join(c.get("text", "") for c in content or [] if isinstance(c, dict))
+    runs = content if isinstance(content, list) else []
+    return "".join(_string(c.get("text") if isinstance(c, dict) else c) or "" for c in runs)
+
+
+def _string(value, trim: bool = False) -> str | None:
+    if not isinstance(value, str):
+        return None
+    return (value.strip() or None) if trim else value
+
+
+def _level(raw) -> int | None:
+    """Heading level 1 to 3; what is neither below 2 nor 2 counts as 3."""
+    if raw is None:
+        return None
+    try:
+        n = float(raw or 0)
+    except (TypeError, ValueError):
+        return 3
+    return 1 if n <= 1 else 2 if n == 2 else 3
+
+
+def _rows_of(body: str | None) -> list[tuple]:
+    try:
+        node = json.loads(body or "[]")
+        blocks = node.get("blocks") if isinstance(node, dict) else node
+        walked = list(_walk(blocks if isinstance(blocks, list) else [], "", 0))
+    except (ValueError, RecursionError):
+        return []
+    rows = []
+    for pos, (path, parent, depth, b) in enumerate(walked):
+        p = b.get("props") if isinstance(b.get("props"), dict) else {}
+        rows.append((
+            pos, path, parent, depth, isinstance(node, dict), _string(b.get("id")), _string(p.get("id")), _string(b.get("type")), _level(p.get("level")), bool(p.get("isToggleable")),
+            _inline(b.get("content")), _string(p.get("url")), _string(p.get("caption")), _string(p.get("contextText"), True), _string(p.get("extractedText"), True),
+            _string(p.get("sectionPurpose"), True), _string(p.get("sectionStyleHint"), True),
+        ))
+    return rows
 
 
 def flatten_blocks(df: DataFrame, id_col: str = "doc_id", body_col: str = "body") -> DataFrame:
-    """``(id, pos, path, depth, block_id, type, level, text, url, caption)`` of every block, parents first; a narrow map."""
+    """Every block of every body, parents first, as ``(id, ...)`` with :data:`COLUMNS`; a narrow map.
+
+    ``path`` holds the places of a block and of the blocks around it, ``parent`` is the path
+    around it, ``wrapped`` tells bodies ``{"blocks": [...]}`` from bare lists. A body that is
+    null or no JSON, or nests too deeply to parse, has no blocks; fields of another kind than
+    expected are null.
+    """
     reach_workers(df.sparkSession)
-    names = ["pos", "path", "depth", "block_id", "type", "level", "text", "url", "caption"]
+    fields = [c.rsplit(" ", 1) for c in COLUMNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, body in enumerate(batch.column(1).to_pylist()):
-                try:
-                    node = json.loads(body or "[]")
-                except (ValueError, RecursionError):
-                    continue
-                blocks = node.get("blocks") if isinstance(node, dict) else node
-                for pos, (path, depth, b) in enumerate(_walk(blocks if isinstance(blocks, list) else [], "", 0)):
-                    props = b.get("props") if isinstance(b.get("props"), dict) else {}
-                    level = props.get("level")
-                    rows.append((i, pos, path, depth, b.get("id"), b.get("type"), level if isinstance(level, int) else None, _inline(b.get("content")), props.get("url"), props.get("caption")))
-            columns = list(zip(*rows, strict=True)) or [()] * 10
-            kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            rows = [(i, *r) for i, body in enumerate(batch.column(1).to_pylist()) for r in _rows_of(body)]
+            columns = list(zip(*rows, strict=True)) or [()] * (len(fields) + 1)
             ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], ["_id", *names])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns[1:], fields, strict=True))], ["_id", *(n for n, _ in fields)])
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(body_col).alias("_body"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, pos int, path string, depth int, block_id string, type string, level int, text string, url string, caption string").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {kind}, {COLUMNS}").withColumnRenamed("_id", id_col)

@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 
 #: Node types by file extension; anything else is a note.
 NODE_TYPES = {
-    "pdf": ["pdf"], "slides": ["ppt", "pptx"], "docx": ["doc", "docx"], "spreadsheet": ["xls", "xlsx", "csv"], "email": ["eml", "msg"],
-    "image": ["png", "jpg", "jpeg", "gif", "webp", "svg", "bmp"],
-    "code": ["py", "js", "ts", "tsx", "jsx", "java", "c", "cpp", "h", "hpp", "cs", "go", "rs", "rb", "php", "swift", "kt", "scala", "sql", "sh", "json", "yaml", "yml", "xml", "toml", "css", "html"],
+    "pdf": ["pdf"], "slides": ["pptx", "ppt"], "docx": ["docx", "doc"], "spreadsheet": ["xlsx", "xls", "csv"], "email": ["msg"],
+    "image": ["png", "jpg", "jpeg", "gif", "webp", "bmp", "svg"],
+    "code": [
+        "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "rs", "go", "java", "cs", "cpp", "cc", "cxx", "c", "h", "hpp", "rb", "php", "kt", "swift", "scala", "lua",
+        "sh", "bash", "zsh", "ps1", "psm1", "sql", "toml", "yaml", "yml", "ini", "cfg", "conf", "json", "xml", "html", "htm", "css", "scss", "sass",
+    ],
+}
+#: Buckets of a project page by node type, in the order of the page.
+BUCKETS = {"note": "paragraphs", "docx": "documents", "slides": "slides", "pdf": "pdfs", "spreadsheet": "spreadsheets", "email": "emails", "image": "images", "code": "code", "url": "links"}
+BUCKET_NAMES = list(BUCKETS.values())
+#: MIME types by extension; anything else has none.
+MIME_TYPES = {
+    "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "txt": "text/plain", "md": "text/markdown", "html": "text/html", "msg": "application/vnd.ms-outlook",
 }
-#: Buckets of a project page by node type.
-BUCKETS = {"note": "notes", "docx": "documents", "pdf": "documents", "slides": "slides", "spreadsheet": "spreadsheets", "email": "emails", "image": "images", "code": "code", "url": "links"}
-BUCKET_NAMES = ["notes", "documents", "slides", "spreadsheets", "emails", "images", "code", "links", "other"]
-#: MIME types by extension.
-MIME_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "bmp": "image/bmp", "pdf": "application/pdf", "txt": "text/plain", "md": "text/markdown", "html": "text/html", "csv": "text/csv", "json": "application/json"}
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -28,6 +35,7 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def extension(filename: Column) -> Column:
+    """What follows the last dot, in lower case; the whole name where it has no dot."""
     return F.lower(F.substring_index(filename, ".", -1))
 
 
@@ -36,8 +44,10 @@ def node_type_of(filename: Column) -> Column:
 
 
 def bucket_of(node_type: Column) -> Column:
+    """Bucket of a node type, null for types that belong to none."""
     return _lookup(BUCKETS, node_type)
 
 
 def mime_of(ext: Column) -> Column:
-    return F.coalesce(_lookup(MIME_TYPES, F.lower(ext)), F.lit("application/octet-stream"))
+    """MIME type of an extension with or without its dot; the empty string for unknown ones."""
+    return F.coalesce(_lookup(MIME_TYPES, F.regexp_replace(F.lower(ext), r"^\.", "")), F.lit(""))

@@ -1,8 +1,7 @@
 """Block bodies: outlines, images, artifact ids, source text, and bodies built from chunks.
 
 All of it works on the rows of :func:`graphloom.functions.blocks.flatten_blocks`
-(``doc_id, pos, path, depth, block_id, type, level, text, url, caption``), where the
-``path`` of a block begins with the path of each block around it.
+(its ``COLUMNS``), where the ``path`` of a block begins with the path of each block around it.
 """
 
 from __future__ import annotations
@@ -16,48 +15,47 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from graphloom.functions.text import data_url, is_front_matter, paragraphs, repair_mime, uuid_of
+from graphloom.functions.blocks import prefixes
+from graphloom.functions.text import data_url, is_front_matter, paragraphs, repair_mime, stripped, uuid_of
 from graphloom.session import reach_workers
 
-RUNS = "array<struct<text:string,bold:boolean,italic:boolean,strike:boolean,code:boolean>>"
+RUNS = ArrayType(StructType([StructField("text", StringType()), *(StructField(k, BooleanType()) for k in ("bold", "italic", "strike", "code"))]))
 #: Block types that carry an artifact id.
-ARTIFACTS = ["image", "table", "codeBlock", "video", "audio", "file", "heading"]
-_MARKS = (("bold", re.compile(r"\*\*(.+?)\*\*|__(.+?)__")), ("strike", re.compile(r"~~(.+?)~~")), ("italic", re.compile(r"\*(.+?)\*|(?<!\w)_(.+?)_(?!\w)")))
-
-
-def runs_of(text: str, style: dict | None = None, level: int = 0) -> list[dict]:
-    """Styled runs of one line: code first, then bold, strike and italic; nothing inside code."""
-    style = style or {"bold": False, "italic": False, "strike": False, "code": False}
-    if level == 0:
-        out = []
-        for i, part in enumerate(re.split(r"`([^`]+)`", text)):
-            out += [{"text": part, **style, "code": True}] if i % 2 else runs_of(part, style, 1)
-        return out
-    if not text:
-        return []
-    if level > len(_MARKS):
-        return [{"text": text, **style}]
-    name, pattern = _MARKS[level - 1]
-    out, at = [], 0
-    for m in pattern.finditer(text):
-        out += runs_of(text[at : m.start()], style, level + 1)
-        out += runs_of(next(g for g in m.groups() if g), {**style, name: True}, level + 1)
-        at = m.end()
-    return out + runs_of(text[at:], style, level + 1)
+ARTIFACTS = ["paragraph", "heading", "image", "bulletListItem", "numberedListItem", "checkListItem", "table"]
+#: Inline marks in the order in which they are read.
+MARKS = (
+    ("code", re.compile(r"`([^`\n]+)`")), ("bold", re.compile(r"\*\*([^*\n]+)\*\*")), ("bold", re.compile(r"__([^_\n]+)__")), ("strike", re.compile(r"~~([^~\n]+)~~")),
+    ("italic", re.compile(r"\*([^*\n]+)\*")), ("italic", re.compile(r"_([^_\n]+)_")),
+)
+
+
+def runs_of(text: str) -> list[dict]:
+    """Styled runs of one text. A mark is looked for in what the marks before it left, never in code or twice in one run."""
+    runs = [{"text": text, "bold": False, "italic": False, "strike": False, "code": False}]
+    for style, mark in MARKS:
+        split = []
+        for run in runs:
+            if run[style] or run["code"]:
+                split.append(run)
+            else:
+                # the pieces between marks and the marked pieces take turns
+                split += [{**run, "text": piece, style: k % 2 == 1} for k, piece in enumerate(mark.split(run["text"])) if piece]
+        runs = split
+    return [r for r in runs if r["text"]]
+
+
+@F.pandas_udf(RUNS)
+def styled(text: pd.Series) -> pd.Series:
+    """Styled runs of each text."""
+    return text.map(lambda t: runs_of(t or ""))
 
 
 def inline_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, runs)`` of each text; a narrow map."""
     reach_workers(df.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "runs": [runs_of(t or "") for t in b["_text"]]})
-
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id {rows.schema['_id'].dataType.simpleString()}, runs {RUNS}").withColumnRenamed("_id", id_col)
+    return df.select(id_col, styled(F.col(text_col)).alias("runs"))
 
 
 class _Tables(HTMLParser):
@@ -113,10 +111,13 @@ def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 
 def chunks_to_body(chunks: DataFrame) -> DataFrame:
-    """``(doc_id, body)``: block JSON of chunks ``(doc_id, pos, kind, text, url)``; all but images become paragraphs."""
+    """``(doc_id, body)``: block JSON of chunks ``(doc_id, pos, kind, text, url)``; all but images become paragraphs of styled runs."""
+    reach_workers(chunks.sparkSession)
     image = F.col("kind") == "image"
-    block = F.struct("pos", F.when(image, "image").otherwise("paragraph").alias("type"), F.when(image, F.struct(F.col("url").alias("url"), F.col("text").alias("caption"))).alias("props"), F.when(~image, F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))).alias("content"))
-    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("b"))
+    on = lambda r, k: F.when(r[k], F.lit(True)).alias(k)
+    runs = F.transform("runs", lambda r: F.struct(F.lit("text").alias("type"), r["text"].alias("text"), F.struct(on(r, "bold"), on(r, "italic"), on(r, "strike"), on(r, "code")).alias("styles")))
+    block = F.struct("pos", F.when(image, "image").otherwise("paragraph").alias("type"), F.when(image, F.struct(F.col("url").alias("url"), F.col("text").alias("caption"))).alias("props"), F.when(~image, runs).alias("content"))
+    rows = chunks.withColumn("runs", styled(F.col("text"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("b"))
     return rows.select("doc_id", F.to_json(F.transform("b", lambda x: F.struct(x["type"].alias("type"), x["props"].alias("props"), x["content"].alias("content")))).alias("body"))
 
 
@@ -131,15 +132,20 @@ def ocr_to_body(url: Column, text: Column) -> Column:
 def images(blocks: DataFrame) -> DataFrame:
     """``(doc_id, idx, pos, block_id, caption, mime, n_payload, context, url)`` of all images with data URLs.
 
-    ``context`` is the text of the paragraphs that follow the image at once.
+    ``context`` is what is stamped on the image (text before it, text read from it), else the
+    text of the paragraphs that follow it at once among its siblings.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos")
+    order = Window.partitionBy("doc_id", "parent").orderBy("pos")
     rows = blocks.withColumn("island", F.sum(F.when(F.col("type") == "paragraph", 0).otherwise(1)).over(order))
-    held = rows.where("type = 'paragraph'").groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("held"))
-    held = held.select("doc_id", "island", F.array_join(F.transform("held", lambda h: h["text"]), "\n").alias("context"))
-    rows = rows.where("type = 'image'").withColumn("parts", data_url(F.col("url"))).where("parts is not null").join(held, ["doc_id", "island"], "left")
-    idx = (F.row_number().over(order) - 1).alias("idx")
-    return rows.select("doc_id", idx, "pos", "block_id", "caption", F.col("parts.mime").alias("mime"), F.length("parts.payload").cast("long").alias("n_payload"), F.coalesce("context", F.lit("")).alias("context"), "url")
+    held = rows.where("type = 'paragraph' and text <> ''").groupBy("doc_id", "parent", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("held"))
+    held = held.select("doc_id", "parent", "island", F.array_join(F.transform("held", lambda h: h["text"]), "\n").alias("after"))
+    rows = rows.where("type = 'image'").withColumn("parts", data_url(F.col("url"))).where("parts is not null").join(held, ["doc_id", "parent", "island"], "left")
+    stamped = F.concat_ws("\n\n", F.concat(F.lit("Context (text immediately before the image):\n"), "context"), F.concat(F.lit("Extracted text from the image (OCR):\n"), "extracted"))
+    idx = (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).alias("idx")
+    return rows.select(
+        "doc_id", idx, "pos", F.coalesce("block_id", "artifact_id").alias("block_id"), F.when(F.col("caption") != "", F.col("caption")).alias("caption"), F.col("parts.mime").alias("mime"),
+        F.length("parts.payload").cast("long").alias("n_payload"), F.when(stamped != "", stamped).otherwise(F.coalesce("after", F.lit(""))).alias("context"), "url",
+    )
 
 
 def get_image(found: DataFrame, block_id: str | None = None, index: int | None = None, payload: bool = True) -> DataFrame:
@@ -154,31 +160,37 @@ def image_counts(found: DataFrame) -> DataFrame:
 
 def first_image(blocks: DataFrame) -> DataFrame:
     """``(doc_id, url)`` of each body's first top-level image, its type repaired."""
-    rows = blocks.where("type = 'image' and depth = 0 and url <> ''").groupBy("doc_id").agg(F.min_by("url", "pos").alias("url"))
+    rows = blocks.where("wrapped and type = 'image' and depth = 0 and url <> ''").groupBy("doc_id").agg(F.min_by("url", "pos").alias("url"))
     return rows.select("doc_id", repair_mime(F.col("url")).alias("url"))
 
 
 def outline(blocks: DataFrame) -> DataFrame:
-    """``(doc_id, pos, level, title)`` of headings with text; front matter goes with all below it."""
-    heads = blocks.where("type = 'heading'")
-    dropped = heads.where(is_front_matter(F.col("text"))).select("doc_id", F.col("path").alias("gone"))
-    # the paths around a block are the prefixes of its own path, five characters a level
-    around = heads.select("doc_id", "pos", F.explode(F.transform(F.sequence(F.lit(0), F.col("depth")), lambda d: F.substring("path", F.lit(1), d * 5 + 4))).alias("gone"))
+    """``(doc_id, pos, type, level, text)``: headings with text, each followed by an empty paragraph of the same ``pos``.
+
+    Attachments (by their ids, or as headings that fold) and front matter go with all below them.
+    """
+    rows = blocks.where("wrapped")
+    heading = F.col("type") == "heading"
+    scaffold = (F.col("block_id") == "attachments-root") | F.col("block_id").startswith("attach-") | (heading & F.col("toggle"))
+    dropped = rows.where(F.coalesce(scaffold, F.lit(False)) | (heading & is_front_matter(F.col("text")))).select("doc_id", F.col("path").alias("gone"))
+    heads = rows.where("type = 'heading'")
+    around = heads.select("doc_id", "pos", F.explode(prefixes(F.col("depth"))).alias("gone"))
     hidden = around.join(dropped, ["doc_id", "gone"], "left_semi").select("doc_id", "pos").distinct()
-    rows = heads.where("trim(text) <> ''").join(hidden, ["doc_id", "pos"], "left_anti")
-    return rows.select("doc_id", "pos", F.greatest(F.lit(1), F.least(F.lit(3), F.coalesce("level", F.lit(1)))).alias("level"), F.trim("text").alias("title"))
+    shown = heads.where(stripped(F.col("text")) != "").join(hidden, ["doc_id", "pos"], "left_anti")
+    title = F.struct(F.lit("heading").alias("type"), F.coalesce("level", F.lit(1)).alias("level"), stripped(F.col("text")).alias("text"))
+    room = F.struct(F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), F.lit("").alias("text"))
+    return shown.select("doc_id", "pos", F.inline(F.array(title, room)))
 
 
 def tag_artifacts(blocks: DataFrame) -> DataFrame:
     """``(doc_id, path, artifact_id)``: ids of artifact blocks, kept where stamped, else made from document and path."""
     fresh = F.concat(F.lit("art-"), uuid_of(F.concat_ws("|", F.col("doc_id").cast("string"), "path")))
-    return blocks.where(F.col("type").isin(ARTIFACTS)).select("doc_id", "path", F.when(F.col("block_id").startswith("art-"), F.col("block_id")).otherwise(fresh).alias("artifact_id"))
+    return blocks.where(F.col("type").isin(ARTIFACTS)).select("doc_id", "path", F.when(F.col("artifact_id").startswith("art-"), F.col("artifact_id")).otherwise(fresh).alias("artifact_id"))
 
 
 def select_blocks(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
     """The topmost of the chosen blocks ``(doc_id, path)``, each with its whole subtree."""
     picked = blocks.join(chosen.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_semi")
-    prefixes = lambda last: F.transform(F.sequence(F.lit(0), last), lambda d: F.substring("path", F.lit(1), d * 5 + 4))
     above = picked.where("depth > 0").select("doc_id", "path", F.explode(prefixes(F.col("depth") - 1)).alias("up"))
     covered = above.join(picked.select("doc_id", F.col("path").alias("up")), ["doc_id", "up"], "left_semi").select("doc_id", "path")
     top = picked.select("doc_id", "path").join(covered.distinct(), ["doc_id", "path"], "left_anti").select("doc_id", F.col("path").alias("root"))
@@ -187,8 +199,9 @@ def select_blocks(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def source_text(blocks: DataFrame) -> DataFrame:
-    """``(doc_id, text)``: the text of all blocks but images, blank ones dropped, a blank line between."""
-    rows = blocks.where("type <> 'image' and trim(text) <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("held"))
+    """``(doc_id, text)``: the text of the outermost blocks but images, blank ones dropped, a blank line between; bare lists have none."""
+    full = blocks.where("wrapped and depth = 0 and (type is null or type <> 'image')")
+    rows = full.where(stripped(F.col("text")) != "").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("held"))
     return rows.select("doc_id", F.array_join(F.transform("held", lambda h: h["text"]), "\n\n").alias("text"))
 
 
@@ -219,9 +232,11 @@ def parse_structure(answer: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def merge_metadata(jsonld: pd.Series, extra: pd.Series) -> pd.Series:
-    """The keys of ``extra`` put into an open JSON object, all others as they are."""
+    """The keys of ``extra`` put into an open JSON object, all others as they are; without ``extra``, the object as it is."""
 
     def one(a: str | None, b: str | None) -> str | None:
+        if not isinstance(b, str):
+            return a
         try:
             base = json.loads(a or "{}")
             base.update(json.loads(b or "{}"))

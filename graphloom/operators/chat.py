@@ -5,22 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import extract_citations, snippet
+from graphloom.functions.text import extract_citations, snippet, strip_citations
 
 
-def prior_turns(turns: DataFrame, last: int = 4) -> DataFrame:
-    """``(conv_id, turn, context)``: the ``last`` turns before each one, empty ones removed after the cut."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-last, -1)
-    seen = F.collect_list(F.struct("role", "text")).over(before)
-    return turns.select("conv_id", "turn", F.filter(seen, lambda t: F.trim(t["text"]) != "").alias("context"))
+def prior_turns(turns: DataFrame, last: int = 4, include_current: bool = False) -> DataFrame:
+    """``(conv_id, turn, context)``: the ``last`` turns before each one, those with errors or no text removed after the cut.
 
+    Citations are taken out of what the assistant said. ``include_current`` counts the turn itself
+    among the last ones. An optional column ``error`` marks failed turns.
+    """
+    frame = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(*((1 - last, 0) if include_current else (-last, -1)))
+    failed = F.coalesce("error", F.lit("")) != "" if "error" in turns.columns else F.lit(False)
+    said = F.when(F.col("role") == "assistant", F.trim(strip_citations(F.col("text")))).otherwise(F.col("text"))
+    seen = F.collect_list(F.struct("role", said.alias("text"), (failed | (F.coalesce("text", F.lit("")) == "")).alias("gone"))).over(frame)
+    kept = F.transform(F.filter(seen, lambda t: ~t["gone"]), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return turns.select("conv_id", "turn", kept.alias("context"))
 
-def build_prompts(turns: DataFrame) -> DataFrame:
-    """``(conv_id, turn, prompt)`` of every user turn: the conversation so far and the question."""
+
+def build_prompts(turns: DataFrame, sections: DataFrame | None = None, closing: str = "Use the tools to find relevant nodes, then answer with inline [<node-id>] citations.") -> DataFrame:
+    """``(conv_id, turn, prompt)`` of every user turn: the conversation so far, the question, and a closing line.
+
+    ``sections`` (``conv_id, section``) puts a block on the section that is written in before it;
+    see :func:`graphloom.functions.text.section_context`.
+    """
     context = prior_turns(turns).join(turns.where("role = 'user'").select("conv_id", "turn", "text"), ["conv_id", "turn"])
     line = lambda t: F.concat(F.when(t["role"] == "user", "User: ").otherwise("Assistant: "), t["text"])
-    so_far = F.array_join(F.transform("context", line), "\n")
-    prompt = F.when(F.size("context") > 0, F.concat(F.lit("Prior conversation:\n"), so_far, F.lit("\n\nCurrent question: "), F.col("text"))).otherwise(F.col("text"))
+    so_far = F.array_join(F.transform("context", line), "\n\n")
+    prompt = F.concat(F.when(F.size("context") > 0, F.concat(F.lit("Prior conversation:\n"), so_far, F.lit("\n\n"))).otherwise(""), F.lit("Current question:\n"), F.coalesce("text", F.lit("")), F.lit("\n\n" + closing))
+    if sections is not None:
+        context = context.join(sections.select("conv_id", F.col("section").alias("_section")), "conv_id", "left")
+        prompt = F.concat(F.when(F.col("_section") != "", F.concat("_section", F.lit("\n\n"))).otherwise(""), prompt)
     return context.select("conv_id", "turn", prompt.alias("prompt"))
 
 
@@ -52,12 +66,19 @@ def resolve_citations(texts: DataFrame, nodes: DataFrame, id_col: str = "doc_id"
     return cites(texts, id_col).join(nodes.select(F.col("id").alias("cited_id"), "title", "type", snippet(F.col("body_md")).alias("snippet")), "cited_id")
 
 
-def gate_citations(texts: DataFrame, allowed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``(id, cited_id, used)``: whether each cited id was among those supplied."""
+def gate_citations(texts: DataFrame, allowed: DataFrame, id_col: str = "doc_id", tools: bool = False) -> DataFrame:
+    """``(id, cited_id, used)``: whether each cited id was among those supplied; all were where the model had tools to look."""
+    if tools:
+        return cites(texts, id_col).select(id_col, "cited_id", F.lit(True).alias("used"))
     ok = allowed.select(F.col("id").alias("cited_id"), F.lit(True).alias("used")).dropDuplicates(["cited_id"])
     return cites(texts, id_col).join(ok, "cited_id", "left").select(id_col, "cited_id", F.coalesce("used", F.lit(False)).alias("used"))
 
 
+#: What the audit keeps of a call, by its name there.
+AUDITED = {"command_id": "commandId", "has_selection": "hasSelection", "has_arg": "hasArg", "replace_selection": "replaceSelection", "n_citations": "citationCount", "duration_ms": "durationMs"}
+
+
 def redact_audit(calls: DataFrame) -> DataFrame:
-    """A call's audit body: command, flags, counts and duration, never text."""
-    return calls.select("call_id", F.to_json(F.struct("command_id", "ok", "tools", "cached", "n_citations", "duration_ms")).alias("body"))
+    """``(call_id, kind, body)``: a call's command, flags, counts and duration, never text; a missing flag is false."""
+    flag = lambda c: F.coalesce(c, F.lit(False)) if c.startswith(("has_", "replace_")) else F.col(c)
+    return calls.select("call_id", F.concat(F.lit("slash."), "command_id").alias("kind"), F.to_json(F.struct(*(flag(c).alias(n) for c, n in AUDITED.items()))).alias("body"))

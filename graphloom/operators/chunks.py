@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import collapsed, markdown_heading
+from graphloom.functions.text import stripped
+from graphloom.session import reach_workers
+
+_RULE = re.compile(r"\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*")
+_HEADING = re.compile(r"(#{1,6})\s+(.*)")
+_IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)\s*")
+_ITEMS = (("bulletListItem", re.compile(r"\s*[-*+]\s+(.*)")), ("numberedListItem", re.compile(r"\s*[0-9]+\.\s+(.*)")))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -13,47 +23,100 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("pos", "line"))
 
 
+def _is_row(line: str) -> bool:
+    """Whether a line begins and ends with a bar."""
+    line = line.strip()
+    return line.startswith("|") and line.endswith("|")
+
+
+def _cells(line: str) -> list[str]:
+    line = line.strip()
+    return [c.strip() for c in line.removeprefix("|").removesuffix("|").split("|")]
+
+
+def chunks_of(text: str) -> Iterator[tuple[str, int | None, str, str | None, list[list[str]] | None]]:
+    """``(kind, level, text, url, rows)`` of a Markdown text, line by line."""
+    rows = [x.rstrip() for x in text.replace("\r\n", "\n").split("\n")]
+    held: list[str] = []
+    at = 0
+
+    def paragraph() -> Iterator[tuple]:
+        joined = " ".join(" ".join(held).split())
+        held.clear()
+        if joined:
+            yield "paragraph", None, joined, None, None
+
+    while at < len(rows):
+        line, at = rows[at], at + 1
+        if not line:
+            yield from paragraph()
+            continue
+        # a table is a line of cells with a rule below it, and all lines of cells after that
+        if _is_row(line) and at < len(rows) and _RULE.fullmatch(rows[at]):
+            yield from paragraph()
+            cells, at = [_cells(line)], at + 1
+            while at < len(rows) and _is_row(rows[at]):
+                cells.append(_cells(rows[at]))
+                at += 1
+            yield "table", None, "\n".join("\t".join(r) for r in cells), None, cells
+        elif m := _HEADING.fullmatch(line):
+            yield from paragraph()
+            if m[2].strip():
+                yield "heading", min(len(m[1]), 3), m[2].strip(), None, None
+        elif m := _IMAGE.fullmatch(line):
+            yield from paragraph()
+            yield "image", None, m[1].strip() or "image", m[2].strip(), None
+        else:
+            for kind, pattern in _ITEMS:
+                if m := pattern.fullmatch(line):
+                    yield from paragraph()
+                    if m[1].strip():
+                        yield kind, None, m[1].strip(), None, None
+                    break
+            else:
+                held.append(line.strip())
+    yield from paragraph()
+
+
 def markdown_chunks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, kind, level, text)``: headings, bullets, numbered items, images, table rows and paragraphs.
+    """``(doc_id, pos, kind, level, text, url, rows)``: headings, list items, images, tables and paragraphs; a narrow map.
 
-    A paragraph is a run of other lines without a blank one; its white space is collapsed.
+    A paragraph is a run of other lines without a blank one; its white space is collapsed. The
+    text of an image is its name, that of a table its cells with tabs between. A null or blank
+    text has no chunks.
     """
-    line = F.col("line")
-    kind = (
-        F.when(F.trim(line) == "", "blank").when(markdown_heading(line) > 0, "heading").when(line.rlike(r"^\s*[-*+]\s+\S"), "bulletListItem").when(line.rlike(r"^\s*\d+[.)]\s+\S"), "numberedListItem")
-        .when(F.trim(line).rlike(r"^!\[[^\]]*\]\([^)]+\)$"), "image").when(F.trim(line).rlike(r"^\|.*\|$"), "table").otherwise("paragraph")
-    )
-    rows = lines(docs).withColumn("kind", kind)
-    # a run goes on while paragraph lines, or table lines, follow each other
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    joins = F.col("kind").isin("paragraph", "table") & (F.lag("kind").over(order) == F.col("kind"))
-    rows = rows.withColumn("run", F.sum(F.when(joins, 0).otherwise(1)).over(order)).where("kind <> 'blank'")
-    runs = rows.groupBy("doc_id", "run", "kind").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("held"))
-    whole = F.array_join(F.transform("held", lambda h: h["line"]), "\n")
-    text = (
-        F.when(F.col("kind") == "heading", F.regexp_replace(whole, r"^#{1,6}\s+", "")).when(F.col("kind") == "bulletListItem", F.regexp_replace(whole, r"^\s*[-*+]\s+", ""))
-        .when(F.col("kind") == "numberedListItem", F.regexp_replace(whole, r"^\s*\d+[.)]\s+", "")).when(F.col("kind") == "paragraph", collapsed(whole)).otherwise(F.trim(whole))
-    )
-    level = F.when(F.col("kind") == "heading", markdown_heading(whole))
-    pos = (F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) - 1).alias("pos")
-    return runs.select("doc_id", pos, "kind", level.alias("level"), F.trim(text).alias("text"))
+    reach_workers(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, pos, *c) for i, t in enumerate(batch.column(1).to_pylist()) for pos, c in enumerate(chunks_of(t or ""))]
+            columns = list(zip(*found, strict=True)) or [()] * 7
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())))
+            ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], ["_id", "pos", "kind", "level", "text", "url", "rows"])
+
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"_id {kind}, pos int, kind string, level int, text string, url string, rows array<array<string>>").withColumnRenamed("_id", "doc_id")
 
 
 def section_of(chunks: DataFrame) -> DataFrame:
-    """``(doc_id, pos, section)``: the nearest heading at or before each chunk."""
+    """``(doc_id, pos, section, purpose, style_hint)``: the nearest heading at or before each chunk, with what its author says of it."""
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    title = F.when(F.col("kind") == "heading", F.when(F.trim("text") == "", "(untitled section)").otherwise(F.col("text")))
-    return chunks.select("doc_id", "pos", F.last(title, ignorenulls=True).over(order).alias("section"))
+    extra = [F.col(c).alias(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in ("purpose", "style_hint")]
+    title = stripped(F.col("text"))
+    heading = F.when(F.col("kind") == "heading", F.struct(F.when(title == "", "(untitled section)").otherwise(title).alias("section"), *extra))
+    return chunks.select("doc_id", "pos", F.last(heading, ignorenulls=True).over(order).alias("h")).select("doc_id", "pos", "h.section", "h.purpose", "h.style_hint")
 
 
 def image_context(chunks: DataFrame) -> DataFrame:
-    """``(doc_id, pos, context)`` of each image: the paragraphs right after it."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    group = F.sum(F.when(F.col("kind") == "paragraph", 0).otherwise(1)).over(order)
+    """``(doc_id, pos, context)`` of each image: the paragraphs right after it, among its siblings where blocks nest."""
+    among = ["doc_id", "parent"] if "parent" in chunks.columns else ["doc_id"]
+    group = F.sum(F.when(F.col("kind") == "paragraph", 0).otherwise(1)).over(Window.partitionBy(*among).orderBy("pos"))
     rows = chunks.withColumn("island", group)
-    held = rows.where("kind = 'paragraph'").groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("held"))
+    held = rows.where("kind = 'paragraph' and text <> ''").groupBy(*among, "island").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("held"))
     text = F.array_join(F.transform("held", lambda h: h["text"]), "\n")
-    return rows.where("kind = 'image'").join(held, ["doc_id", "island"], "left").select("doc_id", "pos", F.coalesce(text, F.lit("")).alias("context"))
+    return rows.where("kind = 'image'").join(held, [*among, "island"], "left").select("doc_id", "pos", F.coalesce(text, F.lit("")).alias("context"))
 
 
 def flat_text(chunks: DataFrame) -> DataFrame:
@@ -63,6 +126,7 @@ def flat_text(chunks: DataFrame) -> DataFrame:
 
 
 def is_empty_body(chunks: DataFrame) -> DataFrame:
-    """``(doc_id, empty)``: whether nothing but headings and blank text is there."""
-    full = F.col("kind").isin("image", "table") | (F.col("kind").isin("paragraph", "bulletListItem", "numberedListItem") & (F.trim("text") != ""))
+    """``(doc_id, empty)``: whether nothing but headings and blank text is there, at any depth."""
+    worded = F.col("kind").isin("paragraph", "bulletListItem", "numberedListItem", "checkListItem") & (stripped(F.col("text")) != "")
+    full = F.coalesce(F.col("kind").isin("image", "table") | worded, F.lit(False))
     return chunks.groupBy("doc_id").agg((~F.bool_or(full)).alias("empty"))

@@ -13,11 +13,16 @@ KEY = ["src_id", "predicate", "dst_id"]
 
 
 def derive_edges(nodes: DataFrame) -> DataFrame:
-    """All edges that the nodes' metadata states: scope, containment, style guides."""
-    meta = lambda k: F.get_json_object("jsonld", f"$.{k}")
+    """All edges that the nodes' metadata states: scope, containment, style guides.
+
+    Nodes whose metadata has been promoted to columns are read from these, others from ``jsonld``.
+    """
+    promoted = {"piId": "pi_id", "projectId": "project_id", "collectionId": "collection_id", "referenceIds": "reference_ids"}
+    ready = set(promoted.values()) <= set(nodes.columns)
+    meta = lambda k: F.col(promoted[k]) if ready else F.get_json_object("jsonld", f"$.{k}")
     edge = lambda s, p, d: F.struct(s.alias("src_id"), F.lit(p).alias("predicate"), d.alias("dst_id"))
     own = F.col("id")
-    refs = F.from_json(F.get_json_object("jsonld", "$.referenceIds"), "array<string>")
+    refs = meta("referenceIds") if ready else F.from_json(meta("referenceIds"), "array<string>")
     guides = F.coalesce(F.transform(refs, lambda r: edge(r, "style-guides", own)), F.array().cast("array<struct<src_id:string,predicate:string,dst_id:string>>"))
     single = F.array(edge(own, "belongs-to-pi", meta("piId")), edge(own, "contains", meta("projectId")), edge(own, "contains", meta("collectionId")))
     rows = nodes.select("id", F.explode(F.concat(single, guides)).alias("e")).select("e.*")
@@ -59,11 +64,12 @@ def edges_of(edges: DataFrame, node_id: str, predicate: str, direction: str = "o
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an issue: a missing source or target, or a kind ``self`` between two nodes."""
+    """Edges with an issue: a missing source or target, or a predicate ``self`` between two nodes."""
     ids = nodes.select("id")
     no_src = edges.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_anti").withColumn("issue", F.lit("missing-source"))
     no_dst = edges.join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti").withColumn("issue", F.lit("missing-target"))
-    return no_src.select(*KEY, "issue").unionByName(no_dst.select(*KEY, "issue"))
+    odd = edges.where("predicate = 'self' and src_id <> dst_id").withColumn("issue", F.lit("self-between-two"))
+    return no_src.select(*KEY, "issue").unionByName(no_dst.select(*KEY, "issue")).unionByName(odd.select(*KEY, "issue"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -72,23 +78,48 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("dst_id").alias("id"), F.col("src_id").alias("other"), "predicate"))
 
 
+def _nearest(around: DataFrame, known: DataFrame, centres: DataFrame, most: int) -> DataFrame:
+    """``(id, other, predicate)``: of each centre its first ``most`` existing neighbours by (smallest predicate, id).
+
+    The limit is applied within tasks before rows are exchanged, so a hub sends ``most`` rows
+    from each task and not all of its neighbours.
+    """
+    own = around.join(centres.select("id").distinct(), "id", "left_semi").groupBy("id", "other").agg(F.min("predicate").alias("predicate"))
+    best = Window.partitionBy("id").orderBy("predicate", "other")
+    return own.join(known.select(F.col("id").alias("other")), "other", "left_semi").withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).select("id", "other", "predicate")
+
+
 def expand(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
     """``(seed, id, hop, predicate, type, title, snippet)``: neighbours of each seed up to two hops.
 
     A node counts for the hop at which it is first met, with the smallest predicate that
     leads to it; each seed keeps ``limit`` by (hop, predicate, id) among nodes that exist.
+
+    Only seeds whose first hop leaves room take a second one, and then each node on the way
+    offers its first ``2 * limit`` neighbours: at most ``limit`` of these are the seed or known
+    from the first hop, and at most ``limit`` come before the last one kept. So the second hop
+    has at most ``2 * limit`` rows per edge of a seed, however large a hub on the way is.
     """
     depth, limit = max(1, min(2, depth)), max(1, min(50, limit))
-    around = both_ways(edges)
-    seen = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop"), F.lit("").alias("predicate")).dropDuplicates(["seed"])
-    front = seen
-    for hop in range(1, depth + 1):
-        met = front.select("seed", "id").join(around, "id").groupBy("seed", F.col("other").alias("id")).agg(F.min("predicate").alias("predicate"))
-        front = met.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(hop).alias("hop"), "predicate")
-        seen = seen.unionByName(front)
-    rows = seen.where("hop > 0").join(nodes.select("id", "type", "title", F.substring("body_md", 1, 200).alias("snippet")), "id")
+    around, known = both_ways(edges), nodes.select("id")
+    seeds = seeds.select("seed").where("seed is not null").distinct()
+    one = _nearest(around, known, seeds.select(F.col("seed").alias("id")), limit + 1).where("other <> id")
+    best = Window.partitionBy("seed").orderBy("predicate", "id")
+    first = one.select(F.col("id").alias("seed"), F.col("other").alias("id"), "predicate").withColumn("n", F.row_number().over(best)).where(F.col("n") <= limit)
+    first = first.select("seed", "id", F.lit(1).alias("hop"), "predicate")
+    found = first
+    if depth == 2:
+        full = first.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("seed")
+        short = seeds.join(full, "seed", "left_anti")
+        # what lies on the way may be no node itself
+        way = short.select(F.col("seed").alias("id")).join(around, "id").select(F.col("id").alias("seed"), F.col("other").alias("id")).where("seed <> id").distinct()
+        two = way.join(_nearest(around, known, way, 2 * limit), "id").where("other <> seed").groupBy("seed", F.col("other").alias("id")).agg(F.min("predicate").alias("predicate"))
+        two = two.join(first.select("seed", "id"), ["seed", "id"], "left_anti")
+        found = first.unionByName(two.select("seed", "id", F.lit(2).alias("hop"), "predicate"))
     best = Window.partitionBy("seed").orderBy("hop", "predicate", "id")
-    return rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= limit).select("seed", "id", "hop", "predicate", "type", "title", "snippet")
+    kept = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= limit).drop("n")
+    rows = kept.join(nodes.select("id", "type", "title", F.substring("body_md", 1, 200).alias("snippet")), "id")
+    return rows.select("seed", "id", "hop", "predicate", "type", "title", "snippet")
 
 
 def member_counts(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.maps import BUCKET_NAMES, bucket_of
+from graphloom.functions.text import stripped
 
 
 def list_nodes(nodes: DataFrame, node_type: str | None = None, kind: str | None = None, pi_id: str | None = None) -> DataFrame:
@@ -63,9 +64,11 @@ def by_type(nodes: DataFrame, node_type: str = "note", project_id: str | None =
     return rows.select("id", "title", "updated_at").orderBy(F.desc("updated_at"), "id").limit(max(1, min(500, limit)))
 
 
-def collection_assets(nodes: DataFrame, collection: str) -> DataFrame:
-    """Assets of a stored collection, or of a bucket view named ``type-<bucket>``; collections are no assets."""
+def collection_assets(nodes: DataFrame, collection: str, project_id: str | None = None) -> DataFrame:
+    """Assets of a stored collection, or of a bucket view named ``type-<bucket>``, in one project if given; collections are no assets."""
     rows = nodes.where(~F.col("type").isin("collection", "project"))
+    if project_id is not None:
+        rows = rows.where(F.col("project_id") == project_id)
     hit = bucket_of(F.col("type")) == collection.removeprefix("type-") if collection.startswith("type-") else F.col("collection_id") == collection
     return rows.where(hit).select("id", "type", "title")
 
@@ -136,7 +139,9 @@ def active_project(nodes: DataFrame, saved: str | None) -> DataFrame:
 
 
 def markdown_mirror(nodes: DataFrame) -> DataFrame:
-    """``(id, text)``: front matter, title line and text of each node."""
-    title = F.regexp_replace("title", r"[\r\n]+", " ")
-    head = F.format_string("---\nid: %s\ntype: %s\ntitle: %s\nupdatedAtUtc: %s\n---\n\n# %s\n\n", "id", "type", title, F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), title)
-    return nodes.select("id", F.concat(head, F.trim("body_md")).alias("text"))
+    """``(id, text)``: front matter, title line and text of each node; an undecided node has an empty decision."""
+    title = F.replace("title", F.lit("\n"), F.lit(" "))
+    decision = F.coalesce("policy_decision_id", F.lit("")) if "policy_decision_id" in nodes.columns else F.lit("")
+    stamp = F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = F.format_string("---\nid: %s\ntype: %s\ntitle: %s\nupdatedAtUtc: %s\npolicyDecisionId: %s\n---\n\n# %s\n\n", "id", "type", title, stamp, decision, title)
+    return nodes.select("id", F.concat(head, stripped(F.coalesce("body_md", F.lit(""))), F.lit("\n")).alias("text"))

@@ -1,21 +1,28 @@
 """Lexical, vector and hybrid search, one plan for any number of queries.
 
-Queries are rows ``(query_id, query)`` and ``(query_id, vector)``. Lexical search joins
-query terms with postings by prefix: postings are keyed by the prefix lengths that the
-queries have, so the join is an equi-join. Scores and distances are rounded to nine
-decimals, so that equal texts tie and the smaller id wins wherever sums are taken.
+Queries are rows ``(query_id, query)`` and ``(query_id, vector)``. Lexical search reads an
+:class:`Index`: postings with their document's length, the vocabulary, and two totals. Words
+of a query are prefixes, which meet the vocabulary first, so that postings are joined by whole
+terms and those of other terms are never read past their file statistics. Scores and distances
+are rounded to nine decimals, so that equal texts tie and the smaller id wins wherever sums are
+taken.
 """
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphloom.functions.porter import porter_stem, stem
-from graphloom.functions.text import query_terms, tokens
-from graphloom.session import reach_workers
+from graphloom.functions.text import collapsed, query_terms, tokens
+from graphloom.session import reach_workers, written
 
 K1, B = 1.2, 0.75
 
@@ -23,13 +30,27 @@ K1, B = 1.2, 0.75
 VECTORS, QUERIES = 4096, 256
 
 
+#: Prefixes up to which a search names them in its plan, so that the scan of the index skips all else.
+NAMED = 64
+
+
+@dataclass(frozen=True)
+class Index:
+    """``postings``: ``term, id, tf, dl``; ``terms``: ``term, df``; ``stats``: one row ``n_nodes, avg_len``."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
 def postings(nodes: DataFrame, stemmed: bool = False) -> DataFrame:
-    """``(term, id, tf)`` over title and body, of plain or of Porter-stemmed tokens."""
+    """``(term, id, tf, dl)`` over title and body, of plain or of Porter-stemmed tokens; ``dl`` is the node's length."""
     words = tokens(F.concat_ws(" ", "title", "body_md"))
     if stemmed:
         reach_workers(nodes.sparkSession)
         words = porter_stem(words)
-    return nodes.select("id", F.explode(words).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    rows = nodes.select("id", words.alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    return rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def doc_stats(nodes: DataFrame) -> DataFrame:
@@ -47,58 +68,68 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("n_nodes"), F.avg("dl").alias("avg_len"))
 
 
-def search_text(nodes: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+def index_of(nodes: DataFrame, stemmed: bool = False) -> Index:
+    """The index of nodes, computed where it is used; :func:`store_index` is for more than one search."""
+    posted = postings(nodes, stemmed)
+    return Index(posted, term_stats(posted), corpus_stats(doc_stats(nodes)))
+
+
+def store_index(nodes: DataFrame, path: str, stemmed: bool = False) -> Index:
+    """Write the index below ``path`` and open it; postings are ranged and sorted by term, so that scans skip other terms."""
+    index = index_of(nodes, stemmed)
+    # ranges by term and id: a term that all nodes hold is spread over tasks too
+    index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    posted = nodes.sparkSession.read.parquet(f"{path}/postings")
+    term_stats(posted).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    return open_index(nodes.sparkSession, path)
+
+
+def open_index(spark, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
+
+
+def search_index(index: Index, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """``(query_id, id, score)`` by BM25; every word of a query is a required prefix.
 
-    The terms of a single query are constants of the plan: each node's tokens are tested in
-    place, so only matching nodes are shuffled. More queries are joined with the postings.
+    A prefix counts as one term: its occurrences and the nodes that hold it are those of all
+    terms that begin with it. The rarest prefix of a query names its candidates, and only
+    these are looked up under the others.
     """
-    asked = queries.select("query_id", query_terms(F.col("query")).alias("terms")).limit(2).collect()
-    if len(asked) > 1:
-        found = search_postings(postings(nodes), doc_stats(nodes), queries).withColumn("query_id", F.col("query_id").cast("long"))
-        return top(found, limit) if limit else found
-    prefixes = sorted({t for r in asked for t in r["terms"]})
-    wanted = [(r["query_id"], t) for r in asked for t in sorted(set(r["terms"]))]
-    if not wanted:
-        return nodes.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
-    counted = nodes.select("id", tokens(F.concat_ws(" ", "title", "body_md")).alias("t"))
-    tf = F.array(*(F.struct(F.lit(p).alias("term"), F.size(_starting(p)).cast("long").alias("tf")) for p in prefixes))
-    counted = counted.select("id", F.size("t").cast("long").alias("dl"), tf.alias("hits"))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.sum((F.col("hits")[i]["tf"] > 0).cast("long")).alias(f"df{i}") for i in range(len(prefixes)))).first()
-    out = None
-    for q in sorted({q for q, _ in wanted}):
-        own = [prefixes.index(t) for p, t in wanted if p == q]
-        score, all_in = F.lit(0.0), F.lit(True)
-        for i in own:
-            x = F.col("hits")[i]["tf"].cast("double")
-            df = stats[f"df{i}"]
-            idf = F.greatest(F.log((F.lit(float(stats["n"])) - df + 0.5) / (F.lit(float(df)) + 0.5)), F.lit(1e-6))
-            score = score + idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avg"])))
-            all_in = all_in & (x > 0)
-        rows = counted.where(all_in).select(F.lit(q).cast("long").alias("query_id"), "id", F.round(score, 9).alias("score"))
-        out = rows if out is None else out.unionByName(rows)
-    return top(out, limit) if limit else out
-
-
-def _starting(prefix: str):
-    return F.filter("t", lambda x: x.startswith(prefix))
-
-
-def search_postings(posted: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
-    """The same scores from a stored index, for many queries: an equi-join on term prefixes."""
-    words = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("prefix")).withColumn("width", F.length("prefix"))
-    widths = [r[0] for r in words.select("width").distinct().collect()]  # at most as many as a longest word has letters
-    keyed = posted.withColumn("width", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).where(F.length("term") >= F.col("width")).withColumn("prefix", F.expr("substring(term, 1, width)"))
-    tf = keyed.join(words.select("prefix", "width").distinct(), ["prefix", "width"]).groupBy("prefix", "id").agg(F.sum("tf").alias("tf"))
+    words = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("prefix"))
+    asked = [r[0] for r in words.select("prefix").distinct().limit(NAMED + 1).collect()]
+    terms, posted = index.terms, index.postings
+    if not asked:
+        return words.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("score")).limit(0)
+    if len(asked) <= NAMED:
+        named = reduce(lambda a, b: a | b, (F.col("term").startswith(p) for p in sorted(asked)))
+        terms, posted = terms.where(named), posted.where(named)
+        widths = sorted({len(p) for p in asked})
+    else:
+        widths = [r[0] for r in words.select(F.length("prefix")).distinct().collect()]  # at most as many as a longest word has letters
+    begun = terms.select("term", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")).alias("width")).where(F.length("term") >= F.col("width"))
+    begun = begun.select("term", F.expr("substring(term, 1, width)").alias("prefix")).join(words.select("prefix").distinct(), "prefix")
+    tf = posted.join(begun, "term").groupBy("prefix", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    if len(asked) > NAMED:
+        tf = written(tf, "prefixes")
     df = tf.groupBy("prefix").agg(F.count("*").alias("df"))
-    total = corpus_stats(stats).first()
-    hits = words.join(tf, "prefix").join(df, "prefix").join(stats, "id")
+    every = Window.partitionBy("query_id")
+    ranked = words.withColumn("need", F.count("*").over(every)).join(df, "prefix").withColumn("k", F.row_number().over(every.orderBy("df", "prefix")))
+    total = index.stats.first()
     x, n = F.col("tf").cast("double"), F.lit(float(total["n_nodes"]))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    one = idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(total["avg_len"])))
-    need = words.groupBy("query_id").agg(F.count("*").alias("need"))
-    found = hits.groupBy("query_id", "id").agg(F.round(F.sum(one), 9).alias("score"), F.count("*").alias("have"))
-    return found.join(need, "query_id").where("have = need").select("query_id", "id", "score")
+    one = (idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(total["avg_len"])))).alias("one")
+    lead = ranked.where("k = 1").join(tf, "prefix").select("query_id", "id", "need", one)
+    rest = lead.where("need > 1").select("query_id", "id").join(ranked.where("k > 1").select("query_id", "prefix", "df"), "query_id")
+    rest = rest.join(tf, ["prefix", "id"]).select("query_id", "id", F.lit(0).cast("long").alias("need"), one)
+    found = lead.unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("one"), 9).alias("score"), F.count("*").alias("have"), F.max("need").alias("need"))
+    found = found.where("have = need").select("query_id", "id", "score")
+    return top(found, limit) if limit else found
+
+
+def search_text(nodes: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """As :func:`search_index`, of nodes without a stored index."""
+    return search_index(index_of(nodes), queries, limit)
 
 
 def stem_query(query: str) -> str:
@@ -192,23 +223,92 @@ def with_summary(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return hits.join(meta, "id", "left")
 
 
-def hybrid(nodes: DataFrame, vectors: DataFrame, texts: DataFrame, query_vectors: DataFrame, limit: int, node_type: str | None = None) -> DataFrame:
-    """Both legs over-fetched threefold, fused; a type filter holds for both."""
-    lexical = search_text(nodes if node_type is None else nodes.where(F.col("type") == node_type), texts, 3 * limit)
-    semantic = search_vectors(vectors, query_vectors, 3 * limit)
-    if node_type is not None:
-        semantic = semantic.join(nodes.where(F.col("type") == node_type).select("id"), "id", "left_semi")
+def hybrid(index: Index, nodes: DataFrame, vectors: DataFrame, texts: DataFrame, query_vectors: DataFrame, limit: int, node_type: str | None = None, prefilter: bool = False) -> DataFrame:
+    """Both legs over-fetched threefold, then fused.
+
+    A type filter takes hits of other types out of the lexical leg before its cut, and out of the
+    semantic leg after it, or before it with ``prefilter``; terms are weighed over all nodes.
+    """
+    if node_type is None:
+        return fuse(search_index(index, texts, 3 * limit), search_vectors(vectors, query_vectors, 3 * limit), limit)
+    own = nodes.where(F.col("type") == node_type).select("id")
+    lexical = top(search_index(index, texts).join(own, "id", "left_semi").select("query_id", "id", "score"), 3 * limit)
+    semantic = search_vectors(vectors.join(own, "id", "left_semi") if prefilter else vectors, query_vectors, 3 * limit).join(own, "id", "left_semi")
     return fuse(lexical, semantic, limit)
 
 
+def _word_pattern(terms: list[str]) -> str:
+    """Words that begin with one of the terms, whatever characters the terms hold; the word is the first group after its left border."""
+    literal = lambda t: r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E"
+    return r"(?i)(^|[^\p{L}\p{N}])((?:" + "|".join(map(literal, terms)) + r")[\p{L}\p{N}]*)"
+
+
 def highlight(text, terms: list[str]):
     """``<mark>`` around words that begin with a term."""
-    pattern = r"(?i)(^|[^\p{L}\p{N}])((?:" + "|".join(terms) + r")[\p{L}\p{N}]*)"
-    return F.regexp_replace(text, pattern, "$1<mark>$2</mark>")
+    return F.regexp_replace(text, _word_pattern(terms), "$1<mark>$2</mark>") if terms else text
 
 
-#: Words of three letters or more that say nothing about a claim.
-STOP = "the and for are but not you all any can had her was one our out his has him how its may new now old see two way who did get let say she too use with that this from they have been were will would there their what which when your more about into than then them these some such only other also over most".split()
+def highlight_window(text, terms: list[str], size: int = 64, ellipsis: str = " … "):
+    """A snippet of at most ``size`` words with ``<mark>`` around those that begin with a term.
+
+    The window begins at the word from which it holds the most different terms, then the most
+    marked words, then the earliest, and is moved back so that what is marked lies in its
+    middle; an ellipsis stands for what is left out on either side. A text of no more words is
+    whole; a text without such words gives its beginning.
+    """
+    low = [t.lower() for t in terms]
+
+    @F.pandas_udf(StringType())
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: window_of(t, low, size, ellipsis), na_action="ignore")
+
+    return cut(text)
+
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def window_of(text: str, terms: list[str], size: int, ellipsis: str) -> str:
+    """The snippet of one text; see :func:`highlight_window`."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    low = [text[a:b].lower() for a, b in spans]
+    which = [next((k for k, t in enumerate(terms) if t and w.startswith(t)), -1) for w in low]
+    hits = np.flatnonzero(np.array(which, dtype=np.int64) >= 0)
+    begin = 0
+    if len(spans) > size and len(hits):
+        last = np.searchsorted(hits, hits + size)
+        kinds = np.array(which)[hits]
+        # for each term, how many marked words up to each place are of it
+        different = np.zeros(len(hits), np.int64)
+        for k in np.unique(kinds):
+            seen = np.r_[0, np.cumsum(kinds == k)]
+            different += seen[last] > seen[: len(hits)]
+        best = int(np.lexsort((hits, -(last - np.arange(len(hits))), -different))[0])
+        first, final = int(hits[best]), int(hits[last[best] - 1])
+        begin = max(0, min(first - (size - (final - first + 1)) // 2, len(spans) - size))
+    end = min(len(spans), begin + size)
+    at = spans[begin][0] if begin else 0
+    stop = spans[end - 1][1] if end < len(spans) else len(text)
+    out = [ellipsis] if begin else []
+    for a, b in (spans[h] for h in hits if begin <= h < end):
+        out += [text[at:a], "<mark>", text[a:b], "</mark>"]
+        at = b
+    return "".join([*out, text[at:stop], *([ellipsis] if end < len(spans) else [])])
+
+
+def search_nodes(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hits with their node's metadata and, on each row, ``provenance``: the ids of all hits of its query, best first."""
+    ids = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("held"))
+    ids = ids.select("query_id", F.transform("held", lambda h: h["id"]).alias("provenance"))
+    return with_summary(hits, nodes).join(ids, "query_id")
+
+
+#: Words that say nothing about a claim.
+STOP = (
+    "a an and or but if then than that this these those is are was were be been being do does did doing have has had having will would should could can may might must "
+    "i you he she it we they me us them my your his her its our their the of in on at to from for with by as into about over under between through "
+    "when where why how what which who whom not no so too very just also"
+).split()
 
 
 def passages(blocks: DataFrame, claims: DataFrame) -> DataFrame:
@@ -216,23 +316,37 @@ def passages(blocks: DataFrame, claims: DataFrame) -> DataFrame:
 
     First a block that holds the claim verbatim (collapsed, lower case), or its first 60
     or 40 characters; else the block with the most telling shared words, where a word
-    counts by how few blocks of the document have it.
+    counts by how few blocks of the document have it, and the share of the block's words that
+    match breaks near ties. Blank blocks are left out.
+
+    A block that holds 40 characters holds the words within them, so a claim meets only the
+    blocks with its longest such word; a claim without any meets all blocks of its document.
     """
-    words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 3) & ~t.isin(STOP)))
-    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    blocks = blocks.select("doc_id", "pos", flat(F.col("text")).alias("flat"), words(F.col("text")).alias("words"))
-    claims = claims.select("claim_id", "doc_id", flat(F.col("claim")).alias("claim"), words(F.col("claim")).alias("asked"))
-    pairs = claims.join(blocks, "doc_id")
-    inside = lambda n: F.contains("flat", F.substring("claim", 1, n)) & (F.length("claim") > 0)
+    words = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 3) & ~t.isin(STOP))
+    flat = lambda c: F.lower(collapsed(c))
+    blocks = blocks.select("doc_id", "pos", flat(F.col("text")).alias("flat"), words(F.col("text")).alias("all")).where("flat <> ''")
+    blocks = blocks.select("doc_id", "pos", "flat", F.size("all").alias("n_words"), F.array_distinct("all").alias("words"))
+    claims = claims.select("claim_id", "doc_id", flat(F.col("claim")).alias("claim"), F.array_distinct(words(F.col("claim"))).alias("asked"))
+    # whole words of the first 40 characters: the outer two may be parts of words
+    inner = F.split(F.substring("claim", 1, 40), " ")
+    inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
+    longest = F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    anchored = claims.where("claim <> ''").select("claim_id", "doc_id", "claim", longest.alias("anchor"))
+    inside = lambda n: F.contains("flat", F.substring("claim", 1, n))
     verbatim = F.when(inside(1 << 20), 1).when(inside(60), 2).when(inside(40), 3)
-    first = pairs.withColumn("stage", verbatim).where("stage is not null").select("claim_id", "doc_id", "pos", "stage", F.lit(0.0).alias("score"))
+    at_word = blocks.select("doc_id", "pos", "flat", F.explode(F.array_distinct(F.split("flat", " "))).alias("anchor"))
+    held = anchored.where("anchor <> ''").join(at_word, ["doc_id", "anchor"]).select("claim_id", "doc_id", "claim", "pos", "flat")
+    held = held.unionByName(anchored.where("anchor = ''").join(blocks.select("doc_id", "pos", "flat"), "doc_id").select("claim_id", "doc_id", "claim", "pos", "flat"))
+    first = held.withColumn("stage", verbatim).where("stage is not null").select("claim_id", "doc_id", "pos", "stage", F.lit(0.0).alias("score"))
     n = blocks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    df = blocks.select("doc_id", F.explode("words").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("df"))
+    told_by = blocks.select("doc_id", "pos", "n_words", F.explode("words").alias("w"))
+    df = told_by.groupBy("doc_id", "w").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
     asked = claims.select("claim_id", "doc_id", F.size("asked").alias("terms"), F.explode("asked").alias("w"))
     told = asked.join(df, ["doc_id", "w"]).join(n, "doc_id").select("claim_id", "doc_id", "terms", "w", idf.alias("idf"))
-    hit = told.join(blocks.select("doc_id", "pos", F.explode("words").alias("w")), ["doc_id", "w"]).groupBy("claim_id", "doc_id", "terms", "pos").agg(F.sum("idf").alias("sum"), F.count("*").alias("hits"))
-    hit = hit.where((F.col("hits") >= 2) | (F.col("terms") == 1)).withColumn("score", F.col("sum") + 0.5 * F.col("hits") / F.least(F.lit(40), F.greatest(F.lit(1), F.col("terms"))))
+    hit = told.join(told_by, ["doc_id", "w"]).groupBy("claim_id", "doc_id", "terms", "pos", "n_words").agg(F.sum("idf").alias("sum"), F.count("*").alias("hits"))
+    density = F.col("hits") / F.least(F.lit(40), F.greatest(F.lit(1), F.col("n_words")))
+    hit = hit.where((F.col("hits") >= 2) | (F.col("terms") == 1)).withColumn("score", F.col("sum") + 0.5 * density)
     every = first.unionByName(hit.select("claim_id", "doc_id", "pos", F.lit(4).alias("stage"), F.round("score", 9).alias("score")))
     best = Window.partitionBy("claim_id").orderBy("stage", F.desc("score"), "pos")
     return every.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import uuid_of
-from graphloom.session import table
+from graphloom.operators.search import Index, open_index, store_index
+from graphloom.session import fresh, table
 
 COLUMNS = ["id", "type", "title", "body_md", "jsonld", "kind", "project_id", "collection_id", "pi_id", "reference_ids", "summary", "updated_at"]
 
@@ -68,6 +69,21 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Where the lexical index of a folder was stored, by application, folder and its files.
+_STORED: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The lexical index of all nodes, written in the shared folder once per application and read from there."""
+    files = tuple(sorted(f for t in ("documents", "pages", "nation", "region") for f in table(spark, sf_dir, t).inputFiles()))
+    key = (spark.sparkContext.applicationId, sf_dir, files)
+    if key not in _STORED:
+        path = fresh(spark, "index")
+        store_index(nodes(spark, sf_dir), path)
+        _STORED[key] = path
+    return open_index(spark, _STORED[key])
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of nodes that exist."""
     e, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
@@ -109,12 +125,12 @@ cited AS (SELECT doc_id, text || ' [' || regexp_replace(md5('doc:' || ((doc_id *
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, body)``: block JSON of each document, with a nested heading, an image and text after it."""
     d = F.col("doc_id")
-    kind = "struct<id:string,type:string,props:struct<level:int,url:string,caption:string>,content:string>"
-    block = lambda i, t, level, url, caption, text: F.struct(F.lit(i).alias("id"), F.lit(t).alias("type"), F.struct(level.cast("int").alias("level"), url.cast("string").alias("url"), caption.cast("string").alias("caption")).alias("props"), text.cast("string").alias("content")).cast(kind)
+    kind = "struct<id:string,type:string,props:struct<id:string,level:int,url:string,caption:string>,content:string>"
+    block = lambda i, t, level, url, caption, text, stamp=None: F.struct(F.lit(i).alias("id"), F.lit(t).alias("type"), F.struct(F.lit(stamp).cast("string").alias("id"), level.cast("int").alias("level"), url.cast("string").alias("url"), caption.cast("string").alias("caption")).alias("props"), text.cast("string").alias("content")).cast(kind)
     none = F.lit(None)
     image = block("i1", "image", none, F.when(d % 3 == 0, F.concat(F.lit("data:application/octet-stream;base64,iVBOR"), F.md5("text"))).otherwise("http://x/y.png"), F.col("source"), none)
     inner = F.array(block("h2", "heading", d % 5 + 1, none, none, F.concat(F.lit("Part of "), "source")))
-    heading = block("art-h1", "heading", F.lit(1), none, none, F.when(d % 7 == 0, "Contents").otherwise(F.col("lang")))
+    heading = block("h1", "heading", F.lit(1), none, none, F.when(d % 7 == 0, "Contents").otherwise(F.col("lang")), "art-h1")
     parts = F.array(
         F.struct(heading["id"].alias("id"), heading["type"].alias("type"), heading["props"].alias("props"), heading["content"].alias("content"), inner.alias("children")),
         *(F.struct(b["id"].alias("id"), b["type"].alias("type"), b["props"].alias("props"), b["content"].alias("content"), F.lit(None).cast(f"array<{kind}>").alias("children")) for b in (image, block("p1", "paragraph", none, none, none, F.col("text")), block("p2", "paragraph", none, none, none, F.col("source")), block("l1", "bulletListItem", none, none, none, F.col("lang")))),

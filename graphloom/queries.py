@@ -15,7 +15,8 @@ from graphloom.functions import blocks, html, maps, text
 from graphloom.functions.text import uuid_of
 from graphloom.operators import bodies, chat, chunks, graph, listings, search, statechart, upserts
 from graphloom.plans import kb
-from graphloom.session import reach_workers, table
+from graphloom.session import fresh, reach_workers, table
+from graphloom.sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,14 +78,17 @@ def p9_point_read(s, d):
     return listings.read_node(n.where("kind = 'draft'"), n.where("kind = 'canonical'"), _id(s, "doc", 5)).select("id", "type", "title", "kind")
 
 
-@query("SELECT e AS ext, CASE e WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'png' THEN 'image' WHEN 'py' THEN 'code' WHEN 'csv' THEN 'spreadsheet' WHEN 'eml' THEN 'email' WHEN 'pptx' THEN 'slides' ELSE 'note' END AS node_type, count(*) AS n FROM (SELECT (['pdf','docx','png','py','csv','eml','pptx','bin'])[CAST(doc_id % 8 AS INT) + 1] AS e FROM documents) GROUP BY ALL")
+_EXTENSIONS = ["pdf", "ppt", "DOCX", "doc", "xls", "csv", "msg", "eml", "jpeg", "bmp", "mjs", "lua", "scss", "conf", "md", "txt", "zzz"]
+
+
+@query("SELECT lower(e) AS ext, CASE lower(e) WHEN 'pdf' THEN 'pdf' WHEN 'ppt' THEN 'slides' WHEN 'docx' THEN 'docx' WHEN 'doc' THEN 'docx' WHEN 'xls' THEN 'spreadsheet' WHEN 'csv' THEN 'spreadsheet' WHEN 'msg' THEN 'email' WHEN 'jpeg' THEN 'image' WHEN 'bmp' THEN 'image' WHEN 'mjs' THEN 'code' WHEN 'lua' THEN 'code' WHEN 'scss' THEN 'code' WHEN 'conf' THEN 'code' ELSE 'note' END AS node_type, count(*) AS n FROM (SELECT (" + str(_EXTENSIONS) + ")[CAST(doc_id % 17 AS INT) + 1] AS e FROM documents) GROUP BY ALL")
 def p11_node_type(s, d):
-    ext = F.get(F.array(*map(F.lit, ["pdf", "docx", "png", "py", "csv", "eml", "pptx", "bin"])), (F.col("doc_id") % 8).cast("int"))
-    rows = table(s, d, "documents").select(F.concat(F.lit("File."), F.upper(ext)).alias("name"))
+    ext = F.get(F.array(*map(F.lit, _EXTENSIONS)), (F.col("doc_id") % 17).cast("int"))
+    rows = table(s, d, "documents").select(F.concat("source", F.lit(".v2."), ext).alias("name"))
     return rows.groupBy(maps.extension(F.col("name")).alias("ext"), maps.node_type_of(F.col("name")).alias("node_type")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT id, CASE type WHEN 'note' THEN 'notes' WHEN 'docx' THEN 'documents' WHEN 'pdf' THEN 'documents' WHEN 'slides' THEN 'slides' WHEN 'spreadsheet' THEN 'spreadsheets' WHEN 'email' THEN 'emails' WHEN 'image' THEN 'images' WHEN 'code' THEN 'code' END AS bucket FROM assets", True)
+@query("SELECT id, CASE type WHEN 'note' THEN 'paragraphs' WHEN 'docx' THEN 'documents' WHEN 'pdf' THEN 'pdfs' WHEN 'slides' THEN 'slides' WHEN 'spreadsheet' THEN 'spreadsheets' WHEN 'email' THEN 'emails' WHEN 'image' THEN 'images' WHEN 'code' THEN 'code' END AS bucket FROM assets", True)
 def p12_bucket(s, d):
     return kb.assets(s, d).select("id", maps.bucket_of(F.col("type")).alias("bucket"))
 
@@ -100,9 +104,13 @@ def p14_secret(s, d):
     return table(s, d, "events").select("event_id", blocks.secret_in(F.col("props")).alias("secret"))
 
 
-@query("SELECT doc_id, length(regexp_replace(substring(text, 1, 4096), '[\\t\\n\\r\\x20-\\x7E]', '', 'g')) > length(substring(text, 1, 4096)) * 0.3 AS is_binary FROM documents")
+@query(r"""
+WITH b AS (SELECT doc_id, hex(encode(text))[1:8192] AS h FROM documents),
+c AS (SELECT doc_id, h, list_transform(range(0, length(h) // 2), lambda i: h[2 * i + 1:2 * i + 2]) AS bytes FROM b)
+SELECT doc_id, list_contains(bytes, '00') OR len(list_filter(bytes, lambda x: NOT (x BETWEEN '20' AND '7E' OR x IN ('09', '0A', '0D')))) > 0.3 * len(bytes) AS is_binary FROM c
+""")
 def p15_binary(s, d):
-    return table(s, d, "documents").select("doc_id", text.looks_binary(F.col("text")).alias("is_binary"))
+    return table(s, d, "documents").select("doc_id", text.looks_binary(F.encode("text", "UTF-8")).alias("is_binary"))
 
 
 @query("SELECT doc_id, 'image/png' AS mime, md5(substring(text, 1, 50)) AS payload FROM documents WHERE doc_id % 2 = 0")
@@ -121,17 +129,16 @@ def p18_snippet(s, d):
     return kb.assets(s, d).select("id", text.snippet(F.col("body_md")).alias("snippet"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'text/csv' ELSE 'application/octet-stream' END AS mime FROM documents")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/pdf' WHEN 2 THEN '' WHEN 3 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' ELSE '' END AS mime FROM documents")
 def p19_mime(s, d):
-    ext = F.get(F.array(*map(F.lit, ["PNG", "pdf", "csv", "zzz"])), (F.col("doc_id") % 4).cast("int"))
+    ext = F.get(F.array(*map(F.lit, ["PNG", ".pdf", "csv", "docx", "zzz"])), (F.col("doc_id") % 5).cast("int"))
     return table(s, d, "documents").select("doc_id", maps.mime_of(ext).alias("mime"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'data:image/jpeg;base64,/9j/' || doc_id WHEN doc_id % 3 = 1 THEN 'data:image/png;base64,iVBOR' || doc_id ELSE 'data:image/gif;base64,x' || doc_id END AS url FROM documents")
+@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'data:image/jpeg;base64,/9j/' WHEN 1 THEN 'data:image/png;base64,iVBOR' WHEN 2 THEN 'data:image/gif;base64,R0lGO' WHEN 3 THEN 'data:image/webp;base64,UklGR' WHEN 4 THEN 'data:image/svg+xml;base64,PHN2Z' WHEN 5 THEN 'data:image/svg+xml;base64,PD94b' WHEN 6 THEN 'data:image/png;base64,R0lGx' ELSE 'data:image/gif;base64,x' END || md5(text) AS url FROM documents")
 def p20_repair_mime(s, d):
-    i = F.col("doc_id").cast("string")
-    head = "data:application/octet-stream;base64,"
-    url = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(head + "/9j/"), i)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(head + "iVBOR"), i)).otherwise(F.concat(F.lit("data:image/gif;base64,x"), i))
+    heads = [f"data:application/octet-stream;base64,{h}" for h in ("/9j/", "iVBOR", "R0lGO", "UklGR", "PHN2Z", "PD94b", "R0lGx")] + ["data:image/gif;base64,x"]
+    url = F.concat(F.get(F.array(*map(F.lit, heads)), (F.col("doc_id") % 8).cast("int")), F.md5("text"))
     return table(s, d, "documents").select("doc_id", text.repair_mime(url).alias("url"))
 
 
@@ -154,15 +161,32 @@ def p3_first_text(s, d):
     return p2_plain_text(s, d).select("doc_id", F.substring("plain", 1, 200).alias("first_text"))
 
 
-@query("SELECT o_orderkey, substring(o_orderpriority || chr(10) || chr(10) || repeat(o_orderstatus, 5000), 1, 4096) AS input FROM orders")
+def _cut_sql(hexes: str, limit: str) -> str:
+    """SQL for the text of the first bytes of a hexadecimal string, cut before a character that would be split."""
+    steps = " ".join(f"WHEN substring({hexes}, 2 * ({limit} - {k}) + 1, 1) NOT IN ('8', '9', 'A', 'B') THEN {limit} - {k}" for k in range(4))
+    return f"decode(unhex(CASE WHEN length({hexes}) <= 2 * ({limit}) THEN {hexes} ELSE substring({hexes}, 1, CAST(2 * (CASE {steps} END) AS BIGINT)) END))"
+
+
+@query(f"SELECT doc_id, source || chr(10) || chr(10) || {_cut_sql('h', 'room')} AS input FROM (SELECT doc_id, source, hex(encode(text)) AS h, 4096 - 2 - strlen(source) AS room FROM documents WHERE trim(text) <> '')")
 def p4_embed_input(s, d):
-    return table(s, d, "orders").select("o_orderkey", text.embed_input_ascii(F.col("o_orderpriority"), F.repeat("o_orderstatus", F.lit(5000))).alias("input"))
+    return table(s, d, "documents").where("trim(text) <> ''").select("doc_id", text.embed_input(F.col("source"), F.col("text")).alias("input"))
 
 
-@query("SELECT o_orderkey, substring(repeat(o_orderpriority, 1000), 101, 8192) AS body_window, length(repeat(o_orderpriority, 1000)) > 8292 AS truncated FROM orders")
+@query(f"""
+WITH b AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS total FROM documents),
+e AS (SELECT *, CAST(least(101, total) AS BIGINT) AS lo, CAST(least(601, total) AS BIGINT) AS hi FROM b),
+c AS (SELECT *, (SELECT min(i) FROM range(lo, lo + 4) r(i) WHERE substring(h, 2 * i + 1, 1) NOT IN ('8', '9', 'A', 'B')) AS up, (SELECT max(i) FROM range(hi - 3, hi + 1) r(i) WHERE substring(h, 2 * i + 1, 1) NOT IN ('8', '9', 'A', 'B')) AS down FROM e),
+k AS (SELECT *, greatest(down, lo) AS stop FROM c), w AS (SELECT *, least(up, stop) AS start FROM k)
+SELECT doc_id, decode(unhex(substring(h, 2 * start + 1, 2 * (stop - start)))) AS body, true AS truncated, CAST(start AS INTEGER) AS "offset", CAST(stop - start AS INTEGER) AS "length", CAST(total AS INTEGER) AS total FROM w
+""")
 def p10_body_window(s, d):
-    body = F.repeat("o_orderpriority", F.lit(1000))
-    return table(s, d, "orders").select("o_orderkey", F.substring(body, 101, 8192).alias("body_window"), (F.octet_length(body) > 8292).alias("truncated"))
+    """500 bytes of every body from byte 101 on."""
+    return table(s, d, "documents").select("doc_id", text.body_window(F.col("text"), 101, 500).alias("w")).select("doc_id", "w.*")
+
+
+@query(f"SELECT doc_id, CASE WHEN strlen(text) > 8192 THEN {_cut_sql('hex(encode(text))', '8192')} ELSE text END AS body, strlen(text) > 8192 AS truncated FROM documents")
+def p10_default_window(s, d):
+    return table(s, d, "documents").select("doc_id", text.body_window(F.col("text")).alias("w")).select("doc_id", "w.body", "w.truncated")
 
 
 # --- joins ------------------------------------------------------------------------------
@@ -307,25 +331,26 @@ def g10_expand(s, d):
 # --- search -----------------------------------------------------------------------------
 
 
-def _three(s: SparkSession, d: str, ids=(0,)) -> DataFrame:
-    docs = table(s, d, "documents").where(F.col("doc_id").isin(*ids))
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    """Query rows of a search: the first three words of every document whose id is divisible by 100."""
+    docs = table(s, d, "documents").where("doc_id % 100 = 0")
     return docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 3), " ").alias("query"))
 
 
-def _vectors_of(s: SparkSession, d: str, ids=(0,)) -> DataFrame:
-    return table(s, d, "embeddings").where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _asked_vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 BM25 = r"""
 tok AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, body_md)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM nodes),
 stat AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM tok),
-qry AS (SELECT DISTINCT doc_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:3]) AS p FROM documents WHERE doc_id IN (IDS)),
+qry AS (SELECT DISTINCT doc_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:3]) AS p FROM documents WHERE doc_id % 100 = 0),
 tf AS (SELECT query_id, p, id, len(t) AS dl, len(list_filter(t, lambda x: starts_with(x, p))) AS tf FROM tok, qry),
 df AS (SELECT query_id, p, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1, 2),
 lex AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 9) AS score FROM tf JOIN df USING (query_id, p), stat WHERE tf > 0 GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM qry q WHERE q.query_id = tf.query_id))
 """
 VEC = f"""
-vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id IN (IDS)),
+vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
 vec AS (SELECT {uid('doc', 'vec_id')} AS id, embedding AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
 dist AS (SELECT query_id, id, round(sqrt(list_sum(list_transform(list_zip(CAST(v AS DOUBLE[]), CAST(q AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist FROM vec, vq),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS k FROM dist))
@@ -345,36 +370,30 @@ def _six(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(trim(substring(text, 1, 60)), '[ \\t\\n\\r]+'), lambda t: lower(t)), lambda t: t <> ''), ' ') AS terms FROM documents")
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+'), lambda t: replace(t, '\"', '')), lambda t: t <> ''), lambda t: '\"' || t || '\"*'), ' ') AS match FROM documents")
 def r1_prepare_query(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(text.query_terms(F.substring("text", 1, 60)), " ").alias("terms"))
+    return table(s, d, "documents").select("doc_id", text.match_string(F.col("text")).alias("match"))
 
 
-@query("WITH" + BM25.replace("IDS", "0") + "SELECT query_id, id, round(score, 6) AS score FROM lex", True)
+@query("WITH" + BM25 + "SELECT query_id, id, round(score, 6) AS score FROM lex", True)
 def r2_bm25(s, d):
-    return _six(search.search_text(kb.nodes(s, d), _three(s, d)), "score")
+    return _six(search.search_index(kb.index(s, d), _asked(s, d)), "score")
 
 
-@query("WITH" + BM25.replace("IDS", "0, 1, 2, 3, 4") + "SELECT query_id, id, round(score, 6) AS score FROM lex", True)
+@query("WITH" + BM25 + "SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM lex) WHERE k <= 25", True)
 def r8_batch_bm25(s, d):
-    n = kb.nodes(s, d)
-    return _six(search.search_postings(search.postings(n), search.doc_stats(n), _three(s, d, (0, 1, 2, 3, 4))), "score")
-
+    return _six(search.search_index(kb.index(s, d), _asked(s, d), 25), "score")
 
-#: Query rows of whole tables: every row whose id is divisible by 100.
-BM25_EVERY, VEC_EVERY = BM25.replace("doc_id IN (IDS)", "doc_id % 100 = 0"), VEC.replace("vec_id IN (IDS)", "vec_id % 100 = 0")
 
-
-@query("WITH" + BM25_EVERY + "SELECT query_id, id, round(score, 6) AS score FROM lex", True)
+@query("WITH" + BM25 + "SELECT query_id, id, round(score, 6) AS score FROM lex", True)
 def r8_every_bm25(s, d):
-    asked = table(s, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 3), " ").alias("query"))
-    return _six(search.search_text(kb.nodes(s, d), asked), "score")
+    """The same as r2_bm25, of nodes without a stored index."""
+    return _six(search.search_text(kb.nodes(s, d), _asked(s, d)), "score")
 
 
-@query("WITH" + VEC_EVERY + "SELECT query_id, id, round(dist, 6) AS dist FROM near WHERE k <= 50", True)
+@query("WITH" + VEC + "SELECT query_id, id, round(dist, 6) AS dist FROM near WHERE k <= 50", True)
 def r5_every_top_k(s, d):
-    asked = table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return _six(search.search_vectors(kb.vectors(s, d), asked, 50), "dist").select("query_id", "id", "dist")
+    return _six(search.search_vectors(kb.vectors(s, d), _asked_vectors(s, d), 50), "dist").select("query_id", "id", "dist")
 
 
 @query("SELECT doc_id, regexp_replace(text, '(?i)(^|[^\\p{L}\\p{N}])((?:the|on)[\\p{L}\\p{N}]*)', '\\1<mark>\\2</mark>', 'g') AS snippet FROM documents")
@@ -382,32 +401,44 @@ def r3_highlight_whole(s, d):
     return table(s, d, "documents").select("doc_id", search.highlight(F.col("text"), ["the", "on"]).alias("snippet"))
 
 
-@query("SELECT doc_id, regexp_replace(substring(text, 1, 500), '(?i)(^|[^\\p{L}\\p{N}])((?:the|on)[\\p{L}\\p{N}]*)', '\\1<mark>\\2</mark>', 'g') AS snippet FROM documents WHERE lang = 'en'")
+@query(r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS t, regexp_extract_all(text, '[^\p{L}\p{N}]*[\p{L}\p{N}]+') AS p FROM documents),
+k AS (SELECT *, len(t) AS n, list_transform(t, lambda x: CASE WHEN starts_with(lower(x), 'the') THEN 1 WHEN starts_with(lower(x), 'on') THEN 2 ELSE 0 END) AS kind FROM w),
+h AS (SELECT *, list_filter(range(1, n + 1), lambda i: kind[i] > 0) AS hits FROM k),
+s AS (SELECT *, list_max(list_transform(hits, lambda x: (CAST(len(list_distinct(list_filter(kind[x:x + 63], lambda y: y > 0))) AS BIGINT) * 1000 + len(list_filter(kind[x:x + 63], lambda y: y > 0))) * 10000000 - x)) AS top FROM h),
+f AS (SELECT *, CASE WHEN top IS NULL THEN NULL ELSE 10000000 - 1 - ((top - 1) % 10000000) + 0 END AS x FROM s),
+g AS (SELECT *, list_max(list_filter(range(x, least(x + 63, n) + 1), lambda i: kind[i] > 0)) AS y FROM f),
+b AS (SELECT *, CASE WHEN n <= 64 OR x IS NULL THEN 0 ELSE greatest(0, least(x - 1 - (64 - (y - x + 1)) // 2, n - 64)) END AS b FROM g),
+e AS (SELECT *, least(n, b + 64) AS e FROM b),
+c AS (SELECT doc_id, b, e, n, array_to_string(p[b + 1:e], '') AS body, t[b + 1] AS first, regexp_extract(text, '[^\p{L}\p{N}]*$') AS tail, p FROM e),
+z AS (SELECT *, CASE WHEN b > 0 THEN substring(body, length(p[b + 1]) - length(first) + 1) ELSE body END AS cut FROM c)
+SELECT doc_id, CASE WHEN b > 0 THEN ' … ' ELSE '' END || regexp_replace(cut, '(?i)(^|[^\p{L}\p{N}])((?:the|on)[\p{L}\p{N}]*)', '\1<mark>\2</mark>', 'g') || CASE WHEN e < n THEN ' … ' ELSE tail END AS snippet FROM z
+""")
 def r3_highlight(s, d):
-    return table(s, d, "documents").where("lang = 'en'").select("doc_id", search.highlight(F.substring("text", 1, 500), ["the", "on"]).alias("snippet"))
+    return table(s, d, "documents").select("doc_id", search.highlight_window(F.col("text"), ["the", "on"], 64).alias("snippet"))
 
 
-@query("WITH" + BM25.replace("IDS", "0") + "SELECT query_id, lex.id, round(score, 6) AS score FROM lex JOIN nodes USING (id) WHERE type = 'note'", True)
+@query("WITH" + BM25 + "SELECT query_id, lex.id, round(score, 6) AS score FROM lex JOIN nodes USING (id) WHERE type = 'note'", True)
 def r4_type_filter(s, d):
-    n = kb.nodes(s, d)
-    hits = search.search_text(n, _three(s, d)).join(n.where("type = 'note'").select("id"), "id", "left_semi")
-    return _six(hits.select("query_id", "id", "score"), "score")
+    notes = kb.nodes(s, d).where("type = 'note'").select("id")
+    return _six(search.search_index(kb.index(s, d), _asked(s, d)).join(notes, "id", "left_semi").select("query_id", "id", "score"), "score")
 
 
-@query("WITH" + VEC.replace("IDS", "0, 7") + "SELECT query_id, id, round(dist, 6) AS dist FROM near WHERE k <= 50", True)
+@query("WITH" + VEC + "SELECT query_id, id, round(dist, 6) AS dist FROM near WHERE k <= 1", True)
 def r5_vector_top_k(s, d):
-    return _six(search.search_vectors(kb.vectors(s, d), _vectors_of(s, d, (0, 7)), 50), "dist").select("query_id", "id", "dist")
+    """The one nearest vector of each; a bound below 1 counts as 1."""
+    return _six(search.search_vectors(kb.vectors(s, d), _asked_vectors(s, d), 0), "dist").select("query_id", "id", "dist")
 
 
-@query("WITH" + VEC.replace("IDS", "3") + "SELECT query_id, id, round(greatest(0, least(1, 1 - dist * dist / 2)), 6) AS similarity FROM near WHERE k <= 200", True)
+@query("WITH" + VEC + "SELECT query_id, id, round(greatest(0, least(1, 1 - dist * dist / 2)), 6) AS similarity FROM near WHERE k <= 200", True)
 def r6_similarity(s, d):
-    return _six(search.search_vectors(kb.vectors(s, d), _vectors_of(s, d, (3,)), 200), "similarity").select("query_id", "id", "similarity")
+    return _six(search.search_vectors(kb.vectors(s, d), _asked_vectors(s, d), 200), "similarity").select("query_id", "id", "similarity")
 
 
-@query("WITH" + BM25.replace("IDS", "0") + "," + VEC.replace("IDS", "0") + "," + FUSE.replace("LIM", "25") + "SELECT w.query_id, w.id, round(lex, 6) AS score_lex, round(sem, 6) AS score_sem, round(0.4 * lex + 0.4 * sem, 6) AS score, n.type, n.title, n.summary FROM w JOIN nodes n ON n.id = w.id WHERE k <= 25", True)
+@query("WITH" + BM25 + "," + VEC + "," + FUSE.replace("LIM", "25") + "SELECT w.query_id, w.id, round(lex, 6) AS score_lex, round(sem, 6) AS score_sem, round(0.4 * lex + 0.4 * sem, 6) AS score, n.type, n.title, n.summary FROM w JOIN nodes n ON n.id = w.id WHERE k <= 25", True)
 def r7_hybrid_search(s, d):
     n = kb.nodes(s, d)
-    hits = search.hybrid(n, kb.vectors(s, d), _three(s, d), _vectors_of(s, d), 25)
+    hits = search.hybrid(kb.index(s, d), n, kb.vectors(s, d), _asked(s, d), _asked_vectors(s, d), 25)
     return _six(search.with_summary(hits, n), "score_lex", "score_sem", "score").select("query_id", "id", "score_lex", "score_sem", "score", "type", "title", "summary")
 
 
@@ -419,42 +450,52 @@ def r10_verbatim_passage(s, d):
 
 
 _FLAT = r"lower(trim(regexp_replace(X, '[ \t\n\x0B\f\r]+', ' ', 'g')))"
-_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(X), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in search.STOP) + "], t)))"
-
-
-@query(f"""
+_WORDS = "list_filter(regexp_extract_all(lower(X), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in search.STOP) + "], t))"
+PASSAGES = f"""
 WITH b AS (SELECT doc_id, i - 1 AS pos, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-bl AS (SELECT doc_id, pos, {_FLAT.replace('X', 'text')} AS flat, {_WORDS.replace('X', 'text')} AS words FROM b),
-c AS (SELECT doc_id AS claim_id, doc_id, {_FLAT.replace('X', 'cl')} AS claim, {_WORDS.replace('X', 'cl')} AS asked FROM (SELECT doc_id, 'about ' || string_split(text, ' ')[-1] || ' ' || array_to_string(string_split(text, ' ')[2:7], ' x ') AS cl FROM b WHERE pos = 1)),
+bl AS (SELECT doc_id, pos, {_FLAT.replace('X', 'text')} AS flat, {_WORDS.replace('X', 'text')} AS held, list_distinct(held) AS words FROM b WHERE flat <> ''),
+c AS (SELECT doc_id AS claim_id, doc_id, {_FLAT.replace('X', 'cl')} AS claim, list_distinct({_WORDS.replace('X', 'cl')}) AS asked FROM (CLAIMS)),
 f AS (SELECT claim_id, doc_id, pos, CASE WHEN contains(flat, claim) THEN 1 WHEN contains(flat, substring(claim, 1, 60)) THEN 2 WHEN contains(flat, substring(claim, 1, 40)) THEN 3 END AS stage, 0.0 AS score FROM c JOIN bl USING (doc_id) WHERE claim <> ''),
 n AS (SELECT doc_id, count(*) AS n FROM bl GROUP BY 1),
 df AS (SELECT doc_id, w, count(*) AS df FROM (SELECT doc_id, unnest(words) AS w FROM bl) GROUP BY 1, 2),
 a AS (SELECT claim_id, doc_id, len(asked) AS terms, unnest(asked) AS w FROM c),
 t AS (SELECT a.*, ln((n + 1) / (df + 1)) + 1 AS idf FROM a JOIN df USING (doc_id, w) JOIN n USING (doc_id)),
-h AS (SELECT claim_id, doc_id, terms, pos, sum(idf) AS s, count(*) AS hits FROM t JOIN (SELECT doc_id, pos, unnest(words) AS w FROM bl) x USING (doc_id, w) GROUP BY ALL),
-e AS (SELECT claim_id, doc_id, pos, stage, CAST(score AS DOUBLE) AS score FROM f WHERE stage IS NOT NULL UNION ALL SELECT claim_id, doc_id, pos, 4, round(s + 0.5 * hits / least(40, greatest(1, terms)), 9) FROM h WHERE hits >= 2 OR terms = 1),
+h AS (SELECT claim_id, doc_id, terms, pos, n_words, sum(idf) AS s, count(*) AS hits FROM t JOIN (SELECT doc_id, pos, len(held) AS n_words, unnest(words) AS w FROM bl) x USING (doc_id, w) GROUP BY ALL),
+e AS (SELECT claim_id, doc_id, pos, stage, CAST(score AS DOUBLE) AS score FROM f WHERE stage IS NOT NULL UNION ALL SELECT claim_id, doc_id, pos, 4, round(s + 0.5 * hits / least(40, greatest(1, n_words)), 9) FROM h WHERE hits >= 2 OR terms = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY stage, score DESC, pos) AS k FROM e)
 SELECT claim_id, doc_id, CAST(pos AS INTEGER) AS pos, stage, round(score, 6) AS score FROM r WHERE k = 1
-""")
+"""
+
+
+@query(PASSAGES.replace("CLAIMS", "SELECT doc_id, 'about ' || string_split(text, ' ')[-1] || ' ' || array_to_string(string_split(text, ' ')[2:7], ' x ') AS cl FROM b WHERE pos = 1"))
 def r10_passage_match(s, d):
     rows = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     claims = rows.where("pos = 1").select(F.col("doc_id").alias("claim_id"), "doc_id", F.concat(F.lit("about "), F.reverse(F.split("text", " "))[0], F.lit(" "), F.array_join(F.slice(F.split("text", " "), 2, 6), " x ")).alias("claim"))
     return _six(search.passages(rows, claims), "score")
 
 
+@query("SELECT claim_id, pos, stage FROM (" + PASSAGES.replace("CLAIMS", "SELECT doc_id, substring(text, 4, 50) || CASE WHEN doc_id % 2 = 0 THEN ' and more' ELSE '' END AS cl FROM documents") + ")")
+def w5_best_block(s, d):
+    """One block per claim: a stretch of the text from its fourth character on, half of them with words after it."""
+    docs = table(s, d, "documents")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    claims = docs.select(F.col("doc_id").alias("claim_id"), "doc_id", F.concat(F.substring("text", 4, 50), F.when(F.col("doc_id") % 2 == 0, " and more").otherwise("")).alias("claim"))
+    return search.passages(rows, claims).select("claim_id", "pos", "stage")
+
+
 @query("SELECT doc_id, substring(trim(regexp_replace(replace(regexp_replace('<mark>' || text || '</mark> … x', '</?mark>', '', 'g'), '…', ' '), '[ \\t\\n\\r]+', ' ', 'g')), 1, 80) AS anchor FROM documents")
 def r12_snippet_anchor(s, d):
     return table(s, d, "documents").select("doc_id", text.snippet_anchor(F.concat(F.lit("<mark>"), "text", F.lit("</mark> … x"))).alias("anchor"))
 
 
-@query("WITH" + BM25.replace("IDS", "0") + "SELECT n AS n_nodes, round(avg, 6) AS avg_len FROM stat", True)
+@query("WITH" + BM25 + "SELECT n AS n_nodes, round(avg, 6) AS avg_len FROM stat", True)
 def r13_corpus_stats(s, d):
-    return _six(search.corpus_stats(search.doc_stats(kb.nodes(s, d))), "avg_len")
+    return _six(kb.index(s, d).stats, "avg_len")
 
 
-@query("WITH" + BM25.replace("IDS", "0") + "SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(t) AS term FROM tok) GROUP BY 1", True)
+@query("WITH" + BM25 + "SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(t) AS term FROM tok) GROUP BY 1", True)
 def r13_term_stats(s, d):
-    return search.term_stats(search.postings(kb.nodes(s, d)))
+    return kb.index(s, d).terms
 
 
 @query("""
@@ -477,7 +518,7 @@ def a1_health(s, d):
     return listings.health(n, graph.derive_edges(n))
 
 
-@query("WITH b AS (SELECT unnest(['notes','documents','slides','spreadsheets','emails','images','code','links','other']) AS bucket), m AS (SELECT project_id, CASE type WHEN 'note' THEN 'notes' WHEN 'docx' THEN 'documents' WHEN 'pdf' THEN 'documents' WHEN 'slides' THEN 'slides' WHEN 'spreadsheet' THEN 'spreadsheets' WHEN 'email' THEN 'emails' WHEN 'image' THEN 'images' WHEN 'code' THEN 'code' WHEN 'url' THEN 'links' END AS bucket FROM nodes WHERE project_id IS NOT NULL) SELECT p.project_id, b.bucket, count(m.bucket) AS n FROM (SELECT DISTINCT project_id FROM m) p CROSS JOIN b LEFT JOIN m ON m.project_id = p.project_id AND m.bucket = b.bucket GROUP BY 1, 2", True)
+@query("WITH b AS (SELECT unnest(['paragraphs','documents','slides','pdfs','spreadsheets','emails','images','code','links']) AS bucket), m AS (SELECT project_id, CASE type WHEN 'note' THEN 'paragraphs' WHEN 'docx' THEN 'documents' WHEN 'pdf' THEN 'pdfs' WHEN 'slides' THEN 'slides' WHEN 'spreadsheet' THEN 'spreadsheets' WHEN 'email' THEN 'emails' WHEN 'image' THEN 'images' WHEN 'code' THEN 'code' WHEN 'url' THEN 'links' END AS bucket FROM nodes WHERE project_id IS NOT NULL) SELECT p.project_id, b.bucket, count(m.bucket) AS n FROM (SELECT DISTINCT project_id FROM m) p CROSS JOIN b LEFT JOIN m ON m.project_id = p.project_id AND m.bucket = b.bucket GROUP BY 1, 2", True)
 def a2_bucket_counts(s, d):
     return listings.bucket_counts(kb.nodes(s, d))
 
@@ -505,9 +546,10 @@ def w1_newest(s, d):
     return listings.newest(kb.nodes(s, d), 50)
 
 
-@query("SELECT conv_id, turn, coalesce(list_filter(list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), lambda t: trim(t.text) <> ''), []) AS context FROM conversations".replace("SELECT conv_id, turn, coalesce", "SELECT conv_id, turn, len(coalesce").replace("[]) AS context", "[])) AS n_context"))
+@query("SELECT conv_id, turn, md5(coalesce(string_agg(CASE WHEN text <> '' THEN role || ':' || CASE WHEN role = 'assistant' THEN trim(text) ELSE text END END, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '')) AS context FROM conversations")
 def w2_prior_turns(s, d):
-    return chat.prior_turns(table(s, d, "conversations")).select("conv_id", "turn", F.size("context").cast("long").alias("n_context"))
+    said = F.transform("context", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return chat.prior_turns(table(s, d, "conversations")).select("conv_id", "turn", F.md5(F.array_join(said, "|")).alias("context"))
 
 
 @query("WITH c AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rest, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), k AS (SELECT conv_id, min(p) FILTER (p % 2 = 0 AND (rest <= 1500 OR p >= n - 2)) AS cut FROM c GROUP BY 1) SELECT c.conv_id, c.turn, c.role, c.text FROM c JOIN k USING (conv_id) WHERE p >= coalesce(cut, 0)")
@@ -545,6 +587,13 @@ def x4_cited_and_allowed(s, d):
     return chat.gate_citations(kb.cited_texts(s, d), kb.assets(s, d).where("type = 'pdf'"))
 
 
+@query("SELECT c.doc_id, c.cited AS cited_id, c.cited IN (SELECT id FROM assets WHERE type = 'pdf') AS used, true AS used_with_tools FROM (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '\\[([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})\\]', 1))) AS cited FROM cited) c", True)
+def l5_gate_citations(s, d):
+    texts, allowed = kb.cited_texts(s, d), kb.assets(s, d).where("type = 'pdf'")
+    tools = chat.gate_citations(texts, allowed, tools=True).withColumnRenamed("used", "used_with_tools")
+    return chat.gate_citations(texts, allowed).join(tools, ["doc_id", "cited_id"])
+
+
 @query("SELECT o_custkey, o_orderstatus FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)")
 def x5_insert_ignore(s, d):
     o = table(s, d, "orders").select("o_custkey", "o_orderstatus")
@@ -560,21 +609,25 @@ def c1_lines(s, d):
     return chunks.lines(table(s, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.trim("line") == "").alias("n_blank"))
 
 
-@query("""
-WITH a AS (SELECT doc_id, string_split(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM a)),
-k AS (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6}[ \\t]+[^ \\t]') THEN 'heading' WHEN regexp_matches(line, '^[ \\t]*[-*+][ \\t]+[^ \\t]') THEN 'bulletListItem'
-  WHEN regexp_matches(line, '^[ \\t]*[0-9]+[.)][ \\t]+[^ \\t]') THEN 'numberedListItem' WHEN regexp_matches(trim(line), '^!\\[[^\\]]*\\]\\([^)]+\\)$') THEN 'image' WHEN regexp_matches(trim(line), '^\\|.*\\|$') THEN 'table' ELSE 'paragraph' END AS kind FROM l),
-j AS (SELECT *, kind IN ('paragraph', 'table') AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) = kind, false) AS joins FROM k),
+#: The given texts hold no tables: a line of bars without a rule below it is a paragraph.
+CHUNKS = """
+WITH a AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS pos, regexp_replace(ls[i], '[ \\t\\n\\x0B\\f\\r]+$', '') AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM a)),
+k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6}[ \\t]+[^ \\t]') THEN 'heading' WHEN regexp_matches(line, '^!\\[[^\\]]*\\]\\([^)]+\\)$') THEN 'image'
+  WHEN regexp_matches(line, '^[ \\t]*[-*+][ \\t]+[^ \\t]') THEN 'bulletListItem' WHEN regexp_matches(line, '^[ \\t]*[0-9]+\\.[ \\t]+[^ \\t]') THEN 'numberedListItem' ELSE 'paragraph' END AS kind FROM l),
+j AS (SELECT *, kind = 'paragraph' AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) = kind, false) AS joins FROM k),
 r AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM j),
 g AS (SELECT doc_id, run, kind, min(pos) AS first, string_agg(line, chr(10) ORDER BY pos) AS w FROM r WHERE kind <> 'blank' GROUP BY 1, 2, 3)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS pos, kind,
   CASE WHEN kind = 'heading' THEN least(length(regexp_extract(w, '^(#{1,6})', 1)), 3) ELSE 0 END AS level,
-  trim(CASE kind WHEN 'heading' THEN regexp_replace(w, '^#{1,6}[ \\t]+', '') WHEN 'bulletListItem' THEN regexp_replace(w, '^[ \\t]*[-*+][ \\t]+', '') WHEN 'numberedListItem' THEN regexp_replace(w, '^[ \\t]*[0-9]+[.)][ \\t]+', '') WHEN 'paragraph' THEN trim(regexp_replace(w, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) ELSE trim(w) END) AS text
+  trim(CASE kind WHEN 'heading' THEN regexp_replace(w, '^#{1,6}[ \\t]+', '') WHEN 'bulletListItem' THEN regexp_replace(w, '^[ \\t]*[-*+][ \\t]+', '') WHEN 'numberedListItem' THEN regexp_replace(w, '^[ \\t]*[0-9]+\\.[ \\t]+', '') WHEN 'paragraph' THEN trim(regexp_replace(w, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) ELSE trim(w) END) AS text
 FROM g
-""")
+"""
+
+
+@query(CHUNKS)
 def c1_markdown_chunks(s, d):
-    return chunks.markdown_chunks(table(s, d, "documents")).fillna(0, ["level"])
+    return chunks.markdown_chunks(table(s, d, "documents")).select("doc_id", "pos", "kind", F.coalesce("level", F.lit(0)).alias("level"), "text")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<h1')) AS n_h1, len(regexp_extract_all(html, '<li')) AS n_li FROM pages")
@@ -583,10 +636,20 @@ def c3_html_chunks(s, d):
     return table(s, d, "pages").select("page_id").join(c, "page_id", "left").fillna(0)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'image-' || doc_id WHEN doc_id % 3 = 1 THEN 'image-' || doc_id ELSE source END AS alt FROM documents")
+@query("SELECT doc_id, len(ls) AS n_rows, len(ls) * list_max(list_transform(ls, lambda l: len(string_split(l, ' ')))) AS n_cells FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)")
+def c4_html_tables(s, d):
+    """Every text as a table, a row per line and a cell per word."""
+    plain = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    row = lambda line: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.split(line, " "), lambda w: F.concat(F.lit("<td>"), w, F.lit("</td>"))), ""), F.lit("</tr>"))
+    html_ = F.concat(F.lit("<p>x</p><table>"), F.array_join(F.transform(F.split(plain, "\n"), row), ""), F.lit("</table>"))
+    found = bodies.html_tables(table(s, d, "documents").select("doc_id", html_.alias("html")), "doc_id")
+    return found.select("doc_id", F.size("rows").cast("long").alias("n_rows"), F.aggregate(F.transform("rows", lambda r: F.size(r).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_cells"))
+
+
+@query("SELECT doc_id, CASE doc_id % 7 WHEN 2 THEN source WHEN 4 THEN 'A dog in ' || source ELSE 'image-' || doc_id END AS alt FROM documents")
 def c5_clean_alt(s, d):
-    alt = F.when(F.col("doc_id") % 3 == 0, "A screenshot of a page").when(F.col("doc_id") % 3 == 1, "  ").otherwise(F.col("source"))
-    return table(s, d, "documents").select("doc_id", text.clean_alt(alt, F.col("doc_id")).alias("alt"))
+    alts = [F.lit("A screenshot of a page"), F.lit(" \n "), F.col("source"), F.lit("an  ICON"), F.concat(F.lit("A dog in "), "source"), F.concat("source", F.lit(" Description automatically generated.")), F.lit("AI generated content may be incorrect")]
+    return table(s, d, "documents").select("doc_id", text.clean_alt(F.get(F.array(*alts), (F.col("doc_id") % 7).cast("int")), F.col("doc_id")).alias("alt"))
 
 
 @query("SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10) || chr(10)), '\\n{2,}'), lambda p: trim(regexp_replace(p, '[ \\t\\n\\r]+', ' ', 'g'))), lambda p: p <> '') AS parts FROM documents".replace("SELECT doc_id, list_filter", "SELECT doc_id, array_to_string(list_filter").replace("<> '') AS parts", "<> ''), '|') AS parts"))
@@ -600,9 +663,10 @@ def c7_pad_rows(s, d):
     return table(s, d, "documents").select("doc_id", F.aggregate(F.transform(text.pad_rows(rows), lambda r: F.size(r).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_cells"))
 
 
-@query("SELECT p_partkey, lower(trim(p_type)) IN ('contents', 'index') AS front FROM part")
+@query("SELECT p_partkey, p_partkey % 9 IN (0, 1, 2, 3, 6, 7) AS front FROM part")
 def c11_front_matter(s, d):
-    return table(s, d, "part").select("p_partkey", text.is_front_matter(F.col("p_type")).alias("front"))
+    heads = [*map(F.lit, ["Contents", " TABLE  OF\tContents\n", "Cover Page", "acknowledgments", "Appendix A", "Change Log", "List of Acronyms", "Document Control"]), F.col("p_type")]
+    return table(s, d, "part").select("p_partkey", text.is_front_matter(F.get(F.array(*heads), (F.col("p_partkey") % 9).cast("int"))).alias("front"))
 
 
 # --- model answers ----------------------------------------------------------------------
@@ -623,9 +687,9 @@ def l2_parse_metadata(s, d):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS n_refs, 'a' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' b' END AS stripped FROM documents")
 def l6_image_refs(s, d):
-    i = F.col("doc_id").cast("string")
-    one = F.concat(F.lit("![x](chunky://image/n"), i, F.lit("/k1)"))
-    msg = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a"), one, one)).otherwise(F.concat(F.lit("a"), one, F.lit(" bchunky://image/n"), i, F.lit("/k2")))
+    i = F.md5("text")
+    one = F.concat(F.lit("![x](kb://image/"), i, F.lit("/k1)"))
+    msg = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a"), one, one)).otherwise(F.concat(F.lit("a"), one, F.lit(" bkb://image/"), i, F.lit("/k2")))
     return table(s, d, "documents").select("doc_id", F.size(text.image_refs(msg)).alias("n_refs"), text.strip_image_refs(msg).alias("stripped"))
 
 
@@ -634,14 +698,20 @@ def l7_strip_citations(s, d):
     return kb.cited_texts(s, d).select("doc_id", text.strip_citations(F.col("text")).alias("text"))
 
 
-@query("WITH c AS (SELECT *, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS prior FROM conversations) SELECT conv_id, turn, CASE WHEN prior IS NOT NULL THEN 'Prior conversation:' || chr(10) || prior || chr(10) || chr(10) || 'Current question: ' || text ELSE text END AS prompt FROM c WHERE role = 'user'")
+@query("WITH c AS (SELECT *, string_agg(CASE WHEN text <> '' THEN CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || CASE WHEN role = 'assistant' THEN trim(text) ELSE text END END, chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS prior FROM conversations) SELECT conv_id, turn, coalesce('Prior conversation:' || chr(10) || prior || chr(10) || chr(10), '') || 'Current question:' || chr(10) || text || chr(10) || chr(10) || 'Use the tools to find relevant nodes, then answer with inline [<node-id>] citations.' AS prompt FROM c WHERE role = 'user'")
 def l8_build_prompts(s, d):
     return chat.build_prompts(table(s, d, "conversations"))
 
 
-@query("SELECT event_id AS call_id, '{\"command_id\":\"' || event_type || '\",\"ok\":true,\"tools\":false,\"cached\":false,\"n_citations\":1,\"duration_ms\":' || user_id || '}' AS body FROM events")
+@query("SELECT doc_id, 'Current section context:' || chr(10) || CASE WHEN doc_id % 3 <> 0 THEN '- Heading: ' || source || chr(10) ELSE '' END || '- Purpose: ' || text || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '- Style: ' || lang || chr(10) ELSE '' END || 'Write content that fits the purpose and follows the style. Do not repeat the heading.' AS block FROM documents WHERE text <> ''")
+def l8_section_context(s, d):
+    given = F.when(F.col("doc_id") % 3 != 0, F.col("source")), F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("")
+    return table(s, d, "documents").where("text <> ''").select("doc_id", text.section_context(*given).alias("block"))
+
+
+@query("SELECT event_id AS call_id, 'slash.' || event_type AS kind, '{\"commandId\":\"' || event_type || '\",\"hasSelection\":true,\"hasArg\":false,\"replaceSelection\":false,\"citationCount\":1,\"durationMs\":' || user_id || '}' AS body FROM events")
 def l9_redact_audit(s, d):
-    e = table(s, d, "events").select(F.col("event_id").alias("call_id"), F.col("event_type").alias("command_id"), F.lit(True).alias("ok"), F.lit(False).alias("tools"), F.lit(False).alias("cached"), F.lit(1).alias("n_citations"), F.col("user_id").alias("duration_ms"), "props")
+    e = table(s, d, "events").select(F.col("event_id").alias("call_id"), F.col("event_type").alias("command_id"), F.lit(True).alias("has_selection"), F.lit(False).alias("has_arg"), F.lit(None).cast("boolean").alias("replace_selection"), F.lit(1).alias("n_citations"), F.col("user_id").alias("duration_ms"), "props")
     return chat.redact_audit(e)
 
 
@@ -662,32 +732,47 @@ def f1_import_transitions(s, d):
     return _transitions(s, d).select("doc_id", "source", "target", "label")
 
 
-@query("WITH" + CHARTS + "SELECT doc_id, source, target, upper(source) AS event, CASE WHEN source = target THEN 'self' WHEN upper(source) SIMILAR TO '.*(ESC|BACK|CANCEL|CLOSE|VETO|ABORT).*' THEN 'back' ELSE 'forward' END AS kind FROM t")
+@query("WITH" + CHARTS + "SELECT doc_id, source, target, upper(source) AS event, CASE WHEN source = target THEN 'self' WHEN regexp_matches(upper(source), '\\b(ESC|BACK|CANCEL|CLOSE|VETO|ABORT)\\b') THEN 'back' ELSE 'forward' END AS kind FROM t")
 def f4_edge_kind(s, d):
     return statechart.edges_of(_transitions(s, d)).select("doc_id", "source", "target", F.get("events", F.lit(0)).alias("event"), "kind")
 
 
-@query("WITH" + CHARTS + "SELECT DISTINCT doc_id, name, upper(substring(name, 1, 1)) || substring(name, 2) AS title FROM (SELECT doc_id, source AS name FROM t UNION ALL SELECT doc_id, target FROM t)")
+@query("WITH" + CHARTS + "SELECT DISTINCT doc_id, name, upper(substring(name, 1, 1)) || substring(name, 2) AS title FROM (SELECT doc_id, source AS name FROM t UNION ALL SELECT doc_id, target FROM t) UNION ALL SELECT DISTINCT doc_id, '__start__', 'Start' FROM t")
 def f5_humanize(s, d):
     return statechart.states_of(_transitions(s, d)).select("doc_id", "name", "title")
 
 
-@query("WITH" + CHARTS + """, h AS (SELECT doc_id, source, upper(source) AS event,
-  array_to_string(list_transform(string_split(source, '_'), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') AS a,
-  array_to_string(list_transform(string_split(target, '_'), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') AS b FROM t)
-SELECT doc_id, 'Scenario: ' || a || ' to ' || b || chr(10) || '    Given ' || a || chr(10) || '    When ' || event || chr(10) || '    Then ' || b AS scenario FROM h""")
+_NAMED = """, l AS (SELECT *, source || ' --> ' || target || ' : ' || upper(source) AS line FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos FROM l),
+s AS (SELECT doc_id, name, min(spot) AS spot, array_to_string(list_transform(string_split(name, '_'), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') AS title FROM (SELECT doc_id, source AS name, 2 * pos AS spot FROM o UNION ALL SELECT doc_id, target, 2 * pos + 1 FROM o) GROUP BY 1, 2),
+g AS (SELECT doc_id, o.pos, dense_rank() OVER (PARTITION BY doc_id ORDER BY a.spot) AS grp, a.title, '**Scenario**: ' || upper(source) || chr(10) || '**Given** on "' || a.title || '"' || chr(10) || '**When** ' || upper(source) || chr(10) || '**Then** ' || CASE WHEN source = target THEN 'remains on "' || a.title WHEN regexp_matches(upper(source), '\\b(ESC|BACK|CANCEL|CLOSE|VETO|ABORT)\\b') THEN 'returns to "' || b.title ELSE 'navigates to "' || b.title END || '"' AS scenario
+  FROM o JOIN s a USING (doc_id) JOIN s b USING (doc_id) WHERE a.name = source AND b.name = target)
+"""
+
+
+def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = _transitions(s, d)
+    return statechart.states_of(t), statechart.edges_of(t)
+
+
+@query("WITH" + CHARTS + _NAMED + "SELECT doc_id, CAST(grp AS INTEGER) AS \"group\", scenario FROM g")
 def f7_scenarios(s, d):
-    return statechart.scenarios(statechart.edges_of(_transitions(s, d))).select("doc_id", "scenario")
+    return statechart.scenarios(*_graph(s, d)).select("doc_id", "group", "scenario")
+
+
+@query("WITH" + CHARTS + _NAMED + ", p AS (SELECT doc_id, grp, '#### ' || grp || '. ' || title || chr(10) || chr(10) || string_agg(scenario, chr(10) || chr(10) ORDER BY pos) AS part FROM g GROUP BY doc_id, grp, title) SELECT doc_id, '### Feature: Imported Flow' || chr(10) || chr(10) || '**Background:**' || chr(10) || '**Given** the flow is launched' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY grp) || chr(10) AS text FROM p GROUP BY 1")
+def f7_feature_text(s, d):
+    return statechart.feature_text(*_graph(s, d))
 
 
-@query("WITH" + CHARTS + "SELECT doc_id, string_agg(source || ' --> ' || target || ' : ' || upper(source), chr(10) ORDER BY source || ' --> ' || target || ' : ' || upper(source)) AS text FROM t GROUP BY 1")
+@query("WITH" + CHARTS + "SELECT doc_id, 'stateDiagram-v2' || chr(10) || '  [*] --> __start__' || chr(10) || string_agg('  ' || source || ' --> ' || target || ' : ' || upper(source), chr(10) ORDER BY source || ' --> ' || target || ' : ' || upper(source)) AS text FROM t GROUP BY 1")
 def f8_export_transitions(s, d):
-    return statechart.export_transitions(statechart.edges_of(_transitions(s, d)))
+    return statechart.export_transitions(*_graph(s, d))
 
 
 @query()
 def f9_layer_rank(s, d):
-    return statechart.layer_rank(_transitions(s, d))
+    return statechart.layer_rank(*_graph(s, d))
 
 
 # --- upserts ----------------------------------------------------------------------------
@@ -708,14 +793,39 @@ def u4_merge_edit(s, d):
 @query(f"SELECT id, type, title, CASE WHEN kind = 'draft' AND type = 'note' THEN 'canonical' ELSE kind END AS kind, CASE WHEN kind = 'draft' AND type = 'note' THEN {uid('decision', 'id')} END AS policy_decision_id, CASE WHEN kind = 'draft' AND type = 'note' THEN TIMESTAMP '2025-01-01' ELSE updated_at END AS updated_at FROM assets", True)
 def u3_promote(s, d):
     n = kb.assets(s, d)
-    return upserts.promote(n, n.where("type = 'note'"), "2025-01-01")
+    return upserts.promote(n, n.where("type = 'note'"), "2025-01-01").nodes.select("id", "type", "title", "kind", "policy_decision_id", "updated_at")
 
 
-@query(f"SELECT id, CASE WHEN type = 'pdf' THEN {uid('nation', '1')} WHEN type = 'code' THEN NULL ELSE collection_id END AS collection_id FROM assets", True)
+@query(f"SELECT 'workspace.promoteDraft' AS kind, '2025-01-01' AS timestamp, '{{\"actor\":\"job\",\"decisionId\":\"' || {uid('decision', 'id')} || '\",\"draftId\":\"' || id || '\",\"nodeType\":\"note\",\"canonicalPath\":\"kb/notes/' || id || '.json\",\"promotedAtUtc\":\"2025-01-01\"}}' AS body FROM assets WHERE kind = 'draft' AND type = 'note'", True)
+def u3_audit(s, d):
+    n = kb.assets(s, d)
+    return upserts.promote(n, n.where("type = 'note'"), "2025-01-01").audit
+
+
+@query("SELECT src_id, predicate, dst_id FROM edges", True)
+def u3_edges(s, d):
+    """Edges after a promotion: derived anew, they are what they were."""
+    n = kb.nodes(s, d)
+    return upserts.promote(n, n.where("type = 'note'"), "2025-01-01").edges
+
+
+def _moves(n: DataFrame) -> DataFrame:
+    return n.where("type in ('pdf', 'code')").select("id", F.when(F.col("type") == "pdf", _key("nation", 1)).alias("collection_id"))
+
+
+@query(f"SELECT id, CASE WHEN type = 'pdf' THEN {uid('nation', '1')} WHEN type = 'code' THEN NULL ELSE collection_id END AS collection_id, CASE WHEN type = 'pdf' THEN {uid('nation', '1')} WHEN type = 'code' THEN NULL ELSE collection_id END AS in_metadata, title AS name FROM assets", True)
 def u5_reassign(s, d):
     n = kb.assets(s, d)
-    moves = n.where("type in ('pdf', 'code')").select("id", F.when(F.col("type") == "pdf", _key("nation", 1)).alias("collection_id"))
-    return upserts.reassign(n, moves).select("id", "collection_id")
+    meta = lambda k: F.get_json_object("jsonld", f"$.{k}")
+    return upserts.reassign(n, _moves(n)).select("id", "collection_id", meta("collectionId").alias("in_metadata"), meta("name").alias("name"))
+
+
+@query(f"SELECT src_id, predicate, dst_id FROM edges WHERE NOT (predicate = 'contains' AND dst_id IN (SELECT id FROM collections) AND src_id IN (SELECT id FROM assets WHERE type IN ('pdf', 'code'))) UNION ALL SELECT id, 'contains', {uid('nation', '1')} FROM assets WHERE type = 'pdf'", True)
+def u5_edges(s, d):
+    """Edges after the same moves."""
+    n = kb.nodes(s, d)
+    moved = upserts.reassign(n, _moves(n))
+    return upserts.reassign_edges(graph.derive_edges(n), moved.join(_moves(n).select("id"), "id", "left_semi"))
 
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
@@ -737,17 +847,17 @@ def _blocks(s: SparkSession, d: str) -> DataFrame:
     return blocks.flatten_blocks(kb.bodies(s, d))
 
 
-@query("SELECT doc_id, unnest([0, 1, 2, 3, 4, 5]) AS pos, unnest(['0000', '0000.0000', '0001', '0002', '0003', '0004']) AS path, unnest(['heading', 'heading', 'image', 'paragraph', 'paragraph', 'bulletListItem']) AS type FROM documents")
+@query("SELECT doc_id, unnest([0, 1, 2, 3, 4, 5]) AS pos, unnest(['000000', '000000.000000', '000001', '000002', '000003', '000004']) AS path, unnest(['heading', 'heading', 'image', 'paragraph', 'paragraph', 'bulletListItem']) AS type FROM documents")
 def c17_flatten_blocks(s, d):
     return _blocks(s, d).select("doc_id", "pos", "path", "type")
 
 
-@query("SELECT doc_id, 1 AS pos, CAST(least(doc_id % 5 + 1, 3) AS INTEGER) AS level, 'Part of ' || source AS title FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 0, 1, lang FROM documents WHERE doc_id % 7 <> 0")
+@query("WITH h AS (SELECT doc_id, 1 AS pos, CAST(least(doc_id % 5 + 1, 3) AS INTEGER) AS level, 'Part of ' || source AS text FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 0, 1, lang FROM documents WHERE doc_id % 7 <> 0) SELECT doc_id, pos, 'heading' AS type, level, text FROM h UNION ALL SELECT doc_id, pos, 'paragraph', 0, '' FROM h")
 def c10_outline(s, d):
-    return bodies.outline(_blocks(s, d))
+    return bodies.outline(_blocks(s, d)).fillna(0, ["level"])
 
 
-@query("SELECT doc_id, 0 AS idx, 'i1' AS block_id, source AS caption, 'application/octet-stream' AS mime, CAST(37 AS BIGINT) AS n_payload, text || chr(10) || source AS context FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, 0 AS idx, 'i1' AS block_id, source AS caption, 'application/octet-stream' AS mime, CAST(37 AS BIGINT) AS n_payload, concat_ws(chr(10), nullif(text, ''), source) AS context FROM documents WHERE doc_id % 3 = 0")
 def c13_images(s, d):
     return bodies.images(_blocks(s, d)).select("doc_id", "idx", "block_id", "caption", "mime", "n_payload", "context")
 
@@ -768,35 +878,39 @@ def p21_first_image(s, d):
     return bodies.first_image(_blocks(s, d))
 
 
-@query("SELECT doc_id, '0000' AS path, 'art-h1' AS artifact_id FROM documents UNION ALL SELECT doc_id, p, " + "'art-' || regexp_replace(md5(doc_id || '|' || p), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') FROM documents, (VALUES ('0000.0000'), ('0001')) v(p)")
+@query("SELECT doc_id, '000000' AS path, 'art-h1' AS artifact_id FROM documents UNION ALL SELECT doc_id, p, " + "'art-' || regexp_replace(md5(doc_id || '|' || p), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') FROM documents, (VALUES ('000000.000000'), ('000001'), ('000002'), ('000003'), ('000004')) v(p)")
 def c15_artifact_ids(s, d):
     return bodies.tag_artifacts(_blocks(s, d))
 
 
-@query("SELECT doc_id, '0000' AS root, unnest(['0000', '0000.0000']) AS path, 'heading' AS type FROM documents")
+@query("SELECT doc_id, '000000' AS root, unnest(['000000', '000000.000000']) AS path, 'heading' AS type FROM documents")
 def c20_select_blocks(s, d):
     b = _blocks(s, d)
     return bodies.select_blocks(b, b.where("type = 'heading'")).select("doc_id", "root", "path", "type")
 
 
-@query("SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 7 = 0 THEN 'Contents' ELSE lang END, 'Part of ' || source, nullif(text, ''), source, lang) AS text FROM documents WHERE trim(text) <> ''")
+@query("SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 7 = 0 THEN 'Contents' ELSE lang END, CASE WHEN trim(text) <> '' THEN text END, source, lang) AS text FROM documents")
 def c18_source_text(s, d):
     return bodies.source_text(_blocks(s, d))
 
 
-@query("SELECT doc_id, false AS empty FROM documents WHERE trim(text) <> ''")
+@query("SELECT doc_id, lang = 'en' OR trim(text) = '' AS empty FROM documents")
 def c12_empty_body(s, d):
-    return chunks.is_empty_body(_blocks(s, d).withColumn("kind", F.col("type"))).where("not empty")
+    """Bodies of one heading with one block in it: another heading where the text is English, else an item of a check list."""
+    kind = F.when(F.col("lang") == "en", "heading").otherwise("checkListItem")
+    inner = F.array(F.struct(kind.alias("type"), F.array(F.struct(F.col("text").alias("text"))).alias("content")))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("heading").alias("type"), F.col("source").alias("content"), inner.alias("children"))).alias("blocks")))
+    return chunks.is_empty_body(blocks.flatten_blocks(table(s, d, "documents").select("doc_id", body.alias("body"))).withColumnRenamed("type", "kind"))
 
 
-@query("SELECT doc_id, text || chr(10) || source AS context FROM documents")
+@query("SELECT doc_id, concat_ws(chr(10), nullif(text, ''), source) AS context FROM documents")
 def w6_image_context(s, d):
     return chunks.image_context(_blocks(s, d).withColumn("kind", F.col("type"))).select("doc_id", "context")
 
 
 @query("SELECT doc_id, unnest([0, 1, 2, 3, 4, 5]) AS pos, unnest([h, p, p, p, p, p]) AS section FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Contents' ELSE lang END AS h, 'Part of ' || source AS p FROM documents)")
 def w3_section_of(s, d):
-    return chunks.section_of(_blocks(s, d).withColumn("kind", F.col("type")))
+    return chunks.section_of(_blocks(s, d).withColumn("kind", F.col("type"))).select("doc_id", "pos", "section")
 
 
 @query("SELECT doc_id, 'a ' || source || ' b ' || lang || ' c' AS plain, 5 AS n_runs FROM documents")
@@ -812,11 +926,13 @@ def c9_ocr_to_body(s, d):
     return blocks.flatten_blocks(rows).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
 
 
-@query("SELECT page_id AS doc_id, count(*) AS n FROM (SELECT page_id, 1 FROM pages) GROUP BY 1".replace("count(*) AS n", "true AS same"))
+@query("SELECT doc_id, count(*) AS n_blocks, md5(string_agg(text, chr(10) ORDER BY pos)) AS digest FROM (" + CHUNKS + ") WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '[`*_~]')) GROUP BY 1")
 def c8_chunks_to_body(s, d):
-    c = html.html_chunks(table(s, d, "pages")).withColumnRenamed("page_id", "doc_id").withColumn("url", F.lit(None).cast("string"))
-    back = blocks.flatten_blocks(bodies.chunks_to_body(c)).groupBy("doc_id").agg(F.count("*").alias("m"))
-    return c.groupBy("doc_id").agg(F.count("*").alias("n")).join(back, "doc_id").select("doc_id", (F.col("n") == F.col("m")).alias("same"))
+    """Bodies of all documents' chunks; those without inline marks come back as they were."""
+    c = chunks.markdown_chunks(table(s, d, "documents"))
+    back = blocks.flatten_blocks(bodies.chunks_to_body(c)).where("type = 'paragraph'").groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("held"))
+    plain = table(s, d, "documents").where(~F.col("text").rlike("[`*_~]")).select("doc_id")
+    return back.join(plain, "doc_id", "left_semi").select("doc_id", "n_blocks", F.md5(F.array_join(F.transform("held", lambda h: h["text"]), "\n")).alias("digest"))
 
 
 @query("SELECT doc_id, source || chr(10) || lang AS text FROM documents")
@@ -853,7 +969,7 @@ def l4_merge_metadata(s, d):
 # --- more of sources, joins, search and statecharts -------------------------------------
 
 
-@query("SELECT id, '---' || chr(10) || 'id: ' || id || chr(10) || 'type: ' || type || chr(10) || 'title: ' || title || chr(10) || 'updatedAtUtc: ' || strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || trim(body_md) AS text FROM assets", True)
+@query("SELECT id, '---' || chr(10) || 'id: ' || id || chr(10) || 'type: ' || type || chr(10) || 'title: ' || title || chr(10) || 'updatedAtUtc: ' || strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || 'policyDecisionId: ' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || trim(body_md, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) AS text FROM assets", True)
 def s4_markdown_mirror(s, d):
     return listings.markdown_mirror(kb.assets(s, d))
 
@@ -863,6 +979,27 @@ def s8_pages_to_nodes(s, d):
     return kb.pages(s, d).select("id", "title", "project_id")
 
 
+@query("WITH" + BM25 + f"SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT id, unnest(t) FROM tok) UNION ALL SELECT 'terms', count(*) FROM (SELECT DISTINCT unnest(t) FROM tok)", True)
+def s9_save_index(s, d):
+    """All index tables written in the shared folder, and how many rows each has when read again."""
+    n, path = kb.nodes(s, d), fresh(s, "saved")
+    records.save_index(n, graph.derive_edges(n), kb.vectors(s, d), path)
+    out = None
+    for what in ("nodes", "edges", "vectors", "postings", "terms"):
+        one = s.read.parquet(f"{path}/{what}").agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT count(*) AS indexed, count(*) FILTER (id IN (SELECT {uid('doc', 'vec_id')} FROM embeddings)) AS embedded FROM nodes", True)
+def a6_run_report(s, d):
+    """What a run indexed and embedded, as an action on its rows counts it."""
+    has = kb.vectors(s, d).select("id", F.lit(True).alias("has"))
+    rows, tally = bodies.with_report(kb.nodes(s, d).join(has, "id", "left"), F.coalesce("has", F.lit(False)))
+    rows.write.format("noop").mode("overwrite").save()
+    return s.createDataFrame([tally.get])
+
+
 @query("SELECT id, title FROM assets", True)
 def p5_resolve_jsonld(s, d):
     a = kb.assets(s, d)
@@ -871,55 +1008,48 @@ def p5_resolve_jsonld(s, d):
     return a.select("id", F.get_json_object(resolved, "$.name").alias("title"))
 
 
-@query("WITH" + BM25.replace("IDS", "0") + "SELECT type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT id, len(t) AS n FROM tok) JOIN nodes USING (id) GROUP BY 1", True)
+@query("WITH" + BM25 + "SELECT type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT id, len(t) AS n FROM tok) JOIN nodes USING (id) GROUP BY 1", True)
 def j1_postings_join(s, d):
-    n = kb.nodes(s, d)
-    return search.postings(n).join(n.select("id", "type"), "id").groupBy("type").agg(F.sum("tf").alias("n"))
+    return kb.index(s, d).postings.join(kb.nodes(s, d).select("id", "type"), "id").groupBy("type").agg(F.sum("tf").alias("n"))
 
 
-@query("WITH" + BM25.replace("IDS", "0") + "," + VEC.replace("IDS", "0") + "SELECT count(*) AS n FROM (SELECT id FROM lex UNION SELECT id FROM near WHERE k <= 75)", True)
+@query("WITH" + BM25 + "," + VEC + "SELECT query_id, count(*) AS n FROM (SELECT query_id, id FROM lex UNION SELECT query_id, id FROM near WHERE k <= 75) GROUP BY 1", True)
 def x2_candidate_union(s, d):
-    n = kb.nodes(s, d)
-    lexical, semantic = search.search_text(n, _three(s, d)), search.search_vectors(kb.vectors(s, d), _vectors_of(s, d), 75)
-    return lexical.select("query_id", "id").join(semantic.select("query_id", "id"), ["query_id", "id"], "full_outer").agg(F.count("*").alias("n"))
+    lexical, semantic = search.search_index(kb.index(s, d), _asked(s, d)), search.search_vectors(kb.vectors(s, d), _asked_vectors(s, d), 75)
+    return lexical.select("query_id", "id").join(semantic.select("query_id", "id"), ["query_id", "id"], "full_outer").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH" + BM25.replace("IDS", "0, 1, 2") + "SELECT query_id, id, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM lex) WHERE k <= 5", True)
+@query("WITH" + BM25 + "SELECT query_id, id, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM lex) WHERE k <= 5", True)
 def w9_top_per_query(s, d):
-    n = kb.nodes(s, d)
-    hits = search.search_postings(search.postings(n), search.doc_stats(n), _three(s, d, (0, 1, 2)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return search.top(hits, 5).select("query_id", "id", F.row_number().over(best).alias("k"))
+    return search.search_index(kb.index(s, d), _asked(s, d), 5).select("query_id", "id", F.row_number().over(best).alias("k"))
 
 
-@query("WITH" + BM25.replace("IDS", "0").replace("FROM nodes),", "FROM nodes WHERE type = 'note'),", 1) + "," + VEC.replace("IDS", "0") + "," + FUSE.replace("LIM", "25").replace("FROM near WHERE", "FROM near SEMI JOIN (SELECT id FROM nodes WHERE type = 'note') q USING (id) WHERE") + "SELECT query_id, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM w WHERE k <= 25 GROUP BY 1", True)
+@query("WITH" + BM25 + "," + VEC + "," + FUSE.replace("LIM", "25").replace("FROM lex)", "FROM lex SEMI JOIN (SELECT id FROM nodes WHERE type = 'note') q USING (id))").replace("FROM near WHERE", "FROM near SEMI JOIN (SELECT id FROM nodes WHERE type = 'note') q USING (id) WHERE") + "SELECT w.query_id, w.id, round(0.4 * lex + 0.4 * sem, 6) AS score, n.title, n.summary, string_agg(w.id, ',') OVER (PARTITION BY w.query_id ORDER BY round(0.4 * lex + 0.4 * sem, 9) DESC, w.id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS provenance FROM w JOIN nodes n ON n.id = w.id WHERE k <= 25", True)
 def r9_search_nodes(s, d):
     n = kb.nodes(s, d)
-    hits = search.with_summary(search.hybrid(n, kb.vectors(s, d), _three(s, d), _vectors_of(s, d), 25, "note"), n)
-    return _six(hits, "score", "score_lex", "score_sem").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"), F.count("*").alias("n"))
+    hits = search.search_nodes(search.hybrid(kb.index(s, d), n, kb.vectors(s, d), _asked(s, d), _asked_vectors(s, d), 25, "note"), n)
+    return _six(hits, "score").select("query_id", "id", "score", "title", "summary", F.array_join("provenance", ",").alias("provenance"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS n_events, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS n_guards FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ESC|CLOSE now' WHEN 1 THEN 'then wait|SAVE' ELSE 'F10' END AS events, CASE WHEN o_orderkey % 2 = 0 THEN 'is ' || o_orderstatus ELSE '' END AS guards FROM orders")
 def f2_split_label(s, d):
     k = F.col("o_orderkey")
-    label = F.concat(F.when(k % 3 == 0, "ESC / CLOSE").otherwise("then wait  SAVE"), F.when(k % 2 == 0, F.concat(F.lit(" [is "), "o_orderstatus", F.lit("]"))).otherwise(""))
-    parts = text.split_label(label)
-    return table(s, d, "orders").select("o_orderkey", F.size(parts["events"]).alias("n_events"), F.size(parts["guards"]).alias("n_guards"))
+    label = F.concat(F.when(k % 3 == 0, "ESC / CLOSE now").when(k % 3 == 1, "then wait  SAVE").otherwise("F10 / closes it"), F.when(k % 2 == 0, F.concat(F.lit(" [ is "), "o_orderstatus", F.lit("] []"))).otherwise(""))
+    # empty brackets are no guard, and no event either
+    parts = text.split_label(F.replace(label, F.lit(" []"), F.lit("")))
+    return table(s, d, "orders").select("o_orderkey", F.array_join(parts["events"], "|").alias("events"), F.array_join(parts["guards"], "|").alias("guards"))
 
 
-@query("WITH" + CHARTS + "SELECT DISTINCT doc_id, name, CASE WHEN regexp_matches(name, 'success|done|complete|purchase') THEN 'success' WHEN regexp_matches(name, 'cancel|abort|close') THEN 'cancel' WHEN regexp_matches(name, 'error|fail') THEN 'error' ELSE 'screen' END AS role FROM (SELECT doc_id, source AS name FROM t UNION ALL SELECT doc_id, target FROM t)")
+@query("WITH" + CHARTS + "SELECT DISTINCT doc_id, name, CASE WHEN regexp_matches(name, 'success|complete|done|confirmed|stored|saved|ok\\b|result') AND NOT regexp_matches(name, 'cancel|closing|closed|unloaded|garbage|abort|exit|quit') THEN 'success' WHEN regexp_matches(name, 'cancel|closing|closed|unloaded|garbage|abort|exit|quit') THEN 'cancel' WHEN regexp_matches(name, 'error|invalid|fail|reject|missing|identical|warn') THEN 'error' ELSE 'screen' END AS role FROM (SELECT doc_id, source AS name FROM t UNION ALL SELECT doc_id, target FROM t) UNION ALL SELECT DISTINCT doc_id, '__start__', 'start' FROM t")
 def f3_infer_role(s, d):
     return statechart.states_of(_transitions(s, d)).select("doc_id", "name", "role")
 
 
-@query("WITH" + CHARTS + "SELECT doc_id, count(*) FILTER (target = 'click') AS n_missing FROM t GROUP BY 1 HAVING count(*) FILTER (target = 'click') > 0")
+@query("WITH" + CHARTS + "SELECT doc_id, 'D2' AS rule, 'edge \"' || source || ' --> ' || target || '\" references missing ' || which || ' node \"click\"' AS message FROM t, (VALUES ('source'), ('target')) v(which) WHERE CASE which WHEN 'source' THEN source ELSE target END = 'click'")
 def f6_integrity(s, d):
-    e = statechart.edges_of(_transitions(s, d))
-    key = lambda c: F.concat_ws("|", F.col("doc_id").cast("string"), c)
-    nodes = statechart.states_of(_transitions(s, d)).where("name <> 'click'").select(key("name").alias("id"))
-    edges = e.select(key("source").alias("src_id"), F.col("kind").alias("predicate"), key("target").alias("dst_id"))
-    bad = graph.dangling_edges(edges, nodes).where("issue = 'missing-target'")
-    return bad.groupBy(F.substring_index("dst_id", "|", 1).cast("long").alias("doc_id")).agg(F.count("*").alias("n_missing"))
+    states, edges = _graph(s, d)
+    return statechart.integrity(states.where("name <> 'click'"), edges).select("doc_id", "rule", "message")
 
 
 @query(f"SELECT {uid('doc', 'vec_id')} AS id, CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE round(CAST(embedding[1] AS DOUBLE), 4) END AS x FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")

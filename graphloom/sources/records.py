@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import looks_binary
+from graphloom.session import reach_workers, written
+
 RECORD = "id string, draft struct<type:string,title:string,bodyMd:string,jsonld:string,piId:string>, updatedAtUtc string, actor string, kind string, policyDecisionId string"
 
 
-def read_records(spark: SparkSession, path: str, kind: str = "draft") -> DataFrame:
-    """Node rows of JSON records; broken ones and those without an id are skipped, canonical ones need a type."""
-    raw = spark.read.schema(RECORD).option("mode", "PERMISSIVE").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def read_records(spark: SparkSession, path: str, kind: str = "draft", multi_line: bool = True) -> DataFrame:
+    """Node rows of JSON records; broken ones and those without an id are skipped, canonical ones need a type.
+
+    Files hold one record each, or one per line without ``multi_line``, as :func:`write_canonical` writes them.
+    """
+    raw = spark.read.schema(RECORD).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
+    return node_rows(raw.select("*", F.col("_metadata.file_path").alias("source_path")), kind)
+
+
+def node_rows(raw: DataFrame, kind: str) -> DataFrame:
+    """Node rows of records with their ``source_path``, of a batch or of a stream."""
     rows = raw.select(
         "id", F.coalesce(F.when(F.col("draft.type") != "", F.col("draft.type")), F.lit("draft") if kind == "draft" else F.lit(None).cast("string")).alias("type"),
         F.col("draft.title").alias("title"), F.col("draft.bodyMd").alias("body_md"),
         F.when(F.col("draft.jsonld") != "", F.col("draft.jsonld")).otherwise(F.to_json("draft")).alias("jsonld"),
         F.coalesce(F.get_json_object("draft.jsonld", "$.piId"), "draft.piId").alias("pi_id"),
-        F.lit(kind).alias("kind"), F.coalesce("updatedAtUtc", F.lit("1970-01-01T00:00:00Z")).alias("updated_at_utc"), F.col("_metadata.file_path").alias("source_path"),
+        F.lit(kind).alias("kind"), F.coalesce("updatedAtUtc", F.lit("1970-01-01T00:00:00Z")).alias("updated_at_utc"), "source_path",
     )
     return rows.where("id is not null and id <> '' and type is not null")
 
 
-def write_canonical(nodes: DataFrame, path: str) -> None:
-    """One folder per type; only the folders of types at hand are rewritten."""
-    nodes.write.partitionBy("type").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def write_canonical(records: DataFrame, path: str) -> None:
+    """Put records into folders named ``<type>s`` as JSON lines, the latest of each id.
+
+    ``records`` has the columns of :data:`RECORD`. What the folders hold already counts as
+    well: an id stays in one folder, that of its latest record. All is written aside first, and
+    only folders with records are rewritten; types are a closed vocabulary, so the folders are few.
+    """
+    spark = records.sparkSession
+    columns = [c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", RECORD).split(",")]
+    rows = records.select(*columns)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        old = spark.read.schema(RECORD).option("recursiveFileLookup", True).json(path)
+        rows = rows.unionByName(old.select(*columns))
+    known = rows.where("id is not null and id <> '' and draft.type <> ''")
+    latest = known.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct(F.coalesce("updatedAtUtc", F.lit("")), F.to_json("draft"))).alias("r")).select("r.*")
+    kept = written(latest, "canonical")
+    for (node_type,) in kept.select("draft.type").distinct().orderBy("type").collect():
+        kept.where(F.col("draft.type") == node_type).write.mode("overwrite").json(f"{path}/{node_type}s")
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
@@ -31,25 +62,87 @@ def append_audit(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("kind", "timestamp", "body")).alias("value")).write.mode("append").text(path)
 
 
+#: Extensions of images, and MIME types that name a format whatever the extension.
+IMAGES = ("svg", "png", "jpg", "jpeg", "gif", "webp", "bmp")
+FORMAT_MIMES = {
+    "pdf": ["application/pdf"], "docx": ["application/vnd.openxmlformats-officedocument.wordprocessingml.document"],
+    "pptx": ["application/vnd.openxmlformats-officedocument.presentationml.presentation"], "xlsx": ["application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"],
+    "csv": ["text/csv", "application/csv", "application/vnd.ms-excel"], "msg": ["application/vnd.ms-outlook", "application/x-outlook-msg"],
+}
+
+
+def format_of(name: Column, content: Column, mime: Column) -> Column:
+    """Format of a file by its first bytes, extension and MIME type, in that order of trust; ``rejected`` for what is none of them and no text."""
+    head, ext, mime = F.hex(F.substring(content, 1, 4)), F.lower(F.substring_index(name, ".", -1)), F.lower(F.coalesce(mime, F.lit("")))
+    named = lambda f: (ext == f) | mime.isin(FORMAT_MIMES[f])
+    ole = head == "D0CF11E0"
+    # a ZIP without extension is told apart by the folders in it
+    inside = F.decode(content, "ISO-8859-1")
+    zipped = F.when(F.contains(inside, F.lit("word/")), "docx").when(F.contains(inside, F.lit("ppt/")), "pptx").when(F.contains(inside, F.lit("xl/")), "xlsx")
+    markdown = ext.isin("md", "markdown", "mdown") | mime.isin("text/markdown", "text/x-markdown")
+    return (
+        F.when((head == "25504446") | named("pdf"), "pdf").when(named("docx"), "docx").when(named("pptx"), "pptx").when(named("xlsx"), "xlsx").when(named("csv"), "csv")
+        .when(head.startswith("504B") & (ext == "") & zipped.isNotNull(), zipped).when(named("msg"), "msg").when(ext.isin("doc", "xls", "ppt"), "legacy-office").when(ole, "rejected")
+        .when(ext.isin(*IMAGES) | mime.startswith("image/"), "image").when(looks_binary(content), "rejected").when(markdown, "md").otherwise("txt")
+    )
+
+
 def route_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, format)`` by first bytes, then extension; unknown binary is ``rejected``."""
+    """``(path, length, format)`` of dropped files; see :func:`format_of`. Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    head, ext = F.hex(F.substring("content", 1, 4)), F.lower(F.substring_index("path", ".", -1))
-    nul = F.instr(F.hex(F.substring("content", 1, 4096)), "00") % 2 == 1
-    kind = (
-        F.when(head == "25504446", "pdf").when(head == "D0CF11E0", "legacy-office").when(head.startswith("504B"), F.when(ext.isin("docx", "pptx", "xlsx"), ext).otherwise("zip"))
-        .when(ext.isin("csv", "md", "html", "htm", "txt", "json"), ext).when(nul, "rejected").otherwise("txt")
-    )
-    return files.select("path", "length", kind.alias("format"))
+    name = F.substring_index("path", "/", -1)
+    return files.select("path", "length", format_of(name, F.col("content"), F.lit("")).alias("format"))
+
+
+def cells_of(text: str) -> list[list[str]]:
+    """Rows of a CSV text: quotes anywhere hold commas and line ends, doubled ones are quotes; CR is dropped outside them.
+
+    Trailing rows without any text go, and rows are filled up to the widest.
+    """
+    rows, row, field, at = [], [], [], 0
+    for m in re.finditer(r'"((?:[^"]|"")*)(?:"|$)|([,\n])|\r|[^",\r\n]+', text):
+        if m[2] is None:
+            field.append(m[1].replace('""', '"') if m[1] is not None else m[0] if m[0] != "\r" else "")
+            continue
+        row.append("".join(field))
+        field = []
+        if m[2] == "\n":
+            rows.append(row)
+            row = []
+    if row or "".join(field):
+        rows.append([*row, "".join(field)])
+    while rows and not any(rows[-1]):
+        rows.pop()
+    width = max(map(len, rows), default=0)
+    return [r + [""] * (width - len(r)) for r in rows]
 
 
 def read_csv_tables(spark: SparkSession, path: str) -> DataFrame:
-    """CSV cells as strings, quotes doubled inside quotes, quoted line breaks kept."""
+    """``(path, rows)``: one table per CSV file, ragged rows filled up; a narrow map over files.
+
+    For files of regular rows that are too large for one row of Spark, use :func:`read_csv_rows`.
+    """
+    reach_workers(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tables = [cells_of(t or "") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tables, pa.list_(pa.list_(pa.string())))], ["path", "rows"])
+
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(run, "path string, rows array<array<string>>")
+
+
+def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """CSV cells as string columns with Spark's own reader: quotes doubled inside quotes, quoted line breaks kept."""
     return spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("header", False).csv(path)
 
 
-def save_index(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, postings: DataFrame, path: str) -> None:
-    """The index tables: nodes by type, the others as they are."""
+def save_index(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, path: str):
+    """The index tables below ``path``: nodes by type, edges by predicate, vectors, and the lexical index, which is returned."""
+    from graphloom.operators.search import store_index
+
     nodes.write.partitionBy("type").mode("overwrite").parquet(f"{path}/nodes")
-    for name, df in (("edges", edges), ("vectors", vectors), ("postings", postings)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    edges.write.partitionBy("predicate").mode("overwrite").parquet(f"{path}/edges")
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    return store_index(nodes, path)
