@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.shared import fresh, map_file, mounted, put_file, store_hashes, written
+from graphloom.llm.shared import fresh, map_file, mounted, put_file, shards_for, store_hashes, written
 from graphloom.llm.textnum import lower, mix, slices, span_hashes, words
 from graphloom.session import reach_workers
 
@@ -219,7 +219,7 @@ class StoredSets:
     def store(cls, sets: DataFrame) -> StoredSets:
         """Write ``(h, code, count)`` in the shared folder, a few files per shard."""
         spark = sets.sparkSession
-        folder, shards = mounted(fresh(spark, "sets")), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        folder, shards = mounted(fresh(spark, "sets")), shards_for(sets)
 
         def put(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
             h = group.column("h").to_numpy()

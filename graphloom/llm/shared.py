@@ -1,11 +1,11 @@
-"""The shared folder of the cluster: written tables and files that every worker can open.
+"""Files in the shared folder of the cluster that every worker can open, and how many shards data takes.
 
-The folder is the one that ``spark.checkpoint.dir`` names. Only where that is unset, as
-in tests on one machine, a temporary folder is made and set.
+The folder is the one that ``spark.checkpoint.dir`` names; see :mod:`graphloom.session`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -14,74 +14,90 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import fresh, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    sc.setCheckpointDir(made)
-    return made
+__all__ = ["HashFiles", "fresh", "map_file", "mounted", "put_file", "shards_for", "shared_dir", "store_hashes", "written"]
 
+#: Bytes of the table that a shard stands for; what a task holds of one shard is a small multiple.
+SHARD_BYTES = 64 << 20
 
-def fresh(spark: SparkSession, kind: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/graphloom-{kind}-{uuid.uuid4().hex}"
 
+def shards_for(df: DataFrame) -> int:
+    """How many shards the data of ``df`` is dealt into: by its bytes, and at least one per shuffle partition.
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet in the shared folder and read it again.
-
-    Later stages reread the files, so a lost executor costs no recomputation.
+    The bytes are the planner's estimate, which for files is their size; where it knows none,
+    the strings and binaries are measured.
     """
-    spark = df.sparkSession
-    path = fresh(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 52:
+        long = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+        size = df.agg(*(F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)).alias(c) for c in long)).first() if long else (0,)
+        size = int(sum(size))
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
 
 def mounted(uri: str) -> str:
-    """The path under which workers open files of a mounted shared folder.
-
-    Memory mapping needs a file system that the operating system mounts, so a shared
-    folder in an object store is refused with a clear message.
-    """
+    """How workers name files below a folder: by path where it is mounted, else by URI."""
     parts = urlparse(uri)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"memory-mapped files need a mounted shared folder in spark.checkpoint.dir, not {uri}")
-    return parts.path
+    return parts.path if parts.scheme in ("", "file") else uri
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, opened from a worker, and the path in it."""
+    return fs.FileSystem.from_uri(path)
 
 
 def put_file(path: str, *arrays) -> None:
     """Write arrays of one length one after the other, each at a multiple of 64 bytes, all or nothing.
 
-    The first 64 bytes hold the length.
-
-    A retried or speculative task writes the same bytes under another name first, and the
-    rename replaces whole files only.
+    The first 64 bytes hold the length. A retried or speculative task writes the same bytes:
+    on a mounted folder under another name first, and the rename replaces whole files only; an
+    object store shows an object only once it is whole.
     """
+    parts = []
+    for a in (np.array([len(arrays[0])], np.int64), *arrays):
+        raw = a.tobytes()
+        parts += [raw, b"\0" * (-len(raw) % 64)]
+    if "://" in path:
+        store, at = _store(path)
+        with store.open_output_stream(at) as f:
+            for x in parts:
+                f.write(x)
+        return
     os.makedirs(os.path.dirname(path), exist_ok=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
-        for a in (np.array([len(arrays[0])], np.int64), *arrays):
-            f.write(a.tobytes())
-            f.write(b"\0" * (-f.tell() % 64))
+        for x in parts:
+            f.write(x)
     os.replace(part, path)
 
 
+def _near(path: str) -> str | None:
+    """A local copy of a file in a store that cannot be mounted; a cache that a lost worker's successor fills again."""
+    copy = os.path.join(tempfile.gettempdir(), "graphloom-cache", hashlib.sha256(path.encode()).hexdigest())
+    if not os.path.exists(copy):
+        store, at = _store(path)
+        if store.get_file_info(at).type == fs.FileType.NotFound:
+            return None
+        os.makedirs(os.path.dirname(copy), exist_ok=True)
+        part = f"{copy}.{uuid.uuid4().hex}"
+        with store.open_input_stream(at) as f, open(part, "wb") as out:
+            while chunk := f.read(1 << 22):
+                out.write(chunk)
+        os.replace(part, copy)
+    return copy
+
+
 def map_file(path: str, types: tuple) -> list[np.ndarray]:
     """The arrays of :func:`put_file`, mapped into memory; a missing file has empty arrays."""
-    if not os.path.exists(path):
+    here = _near(path) if "://" in path else path if os.path.exists(path) else None
+    if here is None:
         return [np.zeros(0, t) for t in types]
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.memmap(here, np.uint8, "r")
     n, at, out = int(raw[:8].view(np.int64)[0]), 64, []
     for t in types:
         end = at + n * np.dtype(t).itemsize
@@ -96,9 +112,7 @@ def store_hashes(hashes: DataFrame, kind: str) -> HashFiles:
     Tasks look values up by binary search in the mapped files, so a set of any size
     filters a scan without a shuffle of the scanned rows and without a broadcast.
     """
-    spark = hashes.sparkSession
-    folder, shards = mounted(fresh(spark, kind)), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    os.makedirs(folder, exist_ok=True)
+    folder, shards = mounted(fresh(hashes.sparkSession, kind)), shards_for(hashes)
 
     def put(batches):
         held: dict[int, list[np.ndarray]] = {}

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import fresh, map_file, mounted, put_file
+from graphloom.llm.shared import fresh, map_file, mounted, put_file, shards_for
 from graphloom.llm.textnum import mix, shard_of, slices, span_hashes, spread
 from graphloom.session import reach_workers
 
@@ -421,9 +421,9 @@ def maximal_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     reach_workers(spark)
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = mounted(fresh(spark, "repeats"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+    shards = shards_for(rows)
     repeated_names(rows, least, shards, folder)
 
     def groups(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -494,9 +494,9 @@ def find_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
     reach_workers(spark)
     if least < RUN:
         raise ValueError(f"strings of at least {RUN} bytes are supported")
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = mounted(fresh(spark, "repeats"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+    shards = shards_for(rows)
     repeated_names(rows, least, shards, folder)
 
     def put(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
