@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -121,46 +122,61 @@ def test_suffix_array_is_sorted():
             assert s[x : x + c].tolist() == s[y : y + c].tolist() and (max(x, y) + c == size or s[x + c] != s[y + c])
 
 
-def test_kneser_ney(docs, by_id):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney(docs, by_id, order):
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    rows = kneser_ney.train_and_score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1).collect()
+    rows = kneser_ney.train_and_score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, order=order).collect()
     tokens = {i: WORD.findall(low(t)) + ["</s>"] for i, t in by_id.items()}
-    c, pairs = collections.Counter(), collections.Counter()
+    grams = lambda own: list(zip(*((["<s>"] * (order - 1) + own)[k:] for k in range(order))))
+    c, counts = collections.Counter(), {order: collections.Counter()}
     for r in rows:
         assert r.held_out == held(r.doc_id)
         if not r.held_out:
             c.update(tokens[r.doc_id])
-            pairs.update(zip(["<s>", *tokens[r.doc_id]], tokens[r.doc_id]))
-    before = collections.Counter(w for _, w in pairs)
-    of = lambda values: [0.0, *kneser_ney.discounts([sum(v == k for v in values) for k in (1, 2, 3, 4)])]
-    d, e = of(pairs.values()), of(before.values())
-    n, v, a = sum(c.values()), len(c), sum(before.values())
-    left = sum(e[min(x, 3)] for x in before.values()) / a
+            counts[order].update(grams(tokens[r.doc_id]))
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    d = {k: [0.0, *kneser_ney.discounts([sum(v == x for v in counts[k].values()) for x in (1, 2, 3, 4)])] for k in counts}
+    n, v, a = sum(c.values()), len(c), sum(counts[1].values())
+    left = sum(d[1][min(x, 3)] for x in counts[1].values()) / a
     total, taken = collections.Counter(), collections.Counter()
-    for (h, _), x in pairs.items():
-        total[h] += x
-        taken[h] += d[min(x, 3)]
-
-    def p(h, w):
-        lower = max(before[w] - e[min(before[w], 3)], 0) / a + left / (v + 1)
-        return lower if h not in total else (max(pairs[h, w] - d[min(pairs[h, w], 3)], 0) + taken[h] * lower) / total[h]
-
-    assert sum(p("<s>", w) for w in c) + p("<s>", "never seen") == pytest.approx(1)
+    for k in range(2, order + 1):
+        for g, x in counts[k].items():
+            total[g[:-1]] += x
+            taken[g[:-1]] += d[k][min(x, 3)]
+
+    def p(g):
+        k, x = len(g), counts[len(g)][g]
+        if k == 1:
+            return max(x - d[1][min(x, 3)], 0) / a + left / (v + 1)
+        return p(g[1:]) if g[:-1] not in total else (max(x - d[k][min(x, 3)], 0) + taken[g[:-1]] * p(g[1:])) / total[g[:-1]]
+
+    for h in [("<s>",) * (order - 1), next(g for g in counts[order] if "<s>" not in g)[:-1]]:
+        assert sum(p((*h, w)) for w in c) + p((*h, "never seen")) == pytest.approx(1)
     for r in rows:
         own = tokens[r.doc_id]
-        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *own], own)), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(p(g)) for g in grams(own)), rel=1e-9)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel=1e-9)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(c[w] > 0 for w in own), n)
-    only = kneser_ney.train_and_score(docs, F.lit(True)).collect()
+    only = kneser_ney.train_and_score(docs, F.lit(True), order=order).collect()
     assert all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in only)
-    assert kneser_ney.train_and_score(empty(docs), F.lit(False)).count() == 0
+    assert kneser_ney.train_and_score(empty(docs), F.lit(False), order=order).count() == 0
+
 
+def test_gram_blobs_round_trip():
+    columns = tuple(np.array(x, np.uint64) for x in ([1, 1, 1, 9], [4, 4, 6, 2], [3, 5, 1, 2]))
+    count = np.array([1, 300, 2, 1 << 40])
+    for width in (1, 2, 3):
+        grams, got = kneser_ney.unblob(kneser_ney.blob(columns[-width:], count))
+        assert [g.tolist() for g in grams] == [x.tolist() for x in columns[-width:]] and got.tolist() == count.tolist()
 
-def test_pair_blobs_round_trip():
-    first = np.array([1, 1, 5, 9], np.uint64)
-    second, count = np.array([4, 6, 1, 2], np.uint64), np.array([1, 300, 2, 70000])
-    for x, y in zip(kneser_ney.unblob(kneser_ney.blob(first, second, count)), (first, second, count), strict=True):
-        assert x.tolist() == y.tolist()
+
+def test_counts_are_exact(tmp_path):
+    """Counts beyond 24 bits, and beyond 32, come back as they were."""
+    count = np.array([1, (1 << 24) + 1, (1 << 32) - 2, (1 << 32) - 1, (1 << 40) + 7])
+    kneser_ney._put_counts(f"{tmp_path}/word-0", np.arange(5, dtype=np.uint64), count)
+    mapped = kneser_ney.Mapped(kneser_ney.Model(str(tmp_path), 1, 2, 0, 0, 0, (), 1.0))
+    assert mapped.counts("word", np.array([4, 3, 2, 1, 0, 9], np.uint64), np.zeros(6, np.int64)).astype(int).tolist() == [*count[::-1].tolist(), 0]
 
 
 def shingle_sets(by_id):
@@ -332,46 +348,81 @@ def test_interval_tree():
 
 
 def brute_top(rows, k):
-    good = [(i, np.floor(256 * np.array(v, np.float64)).astype(int)) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    """Exact scores by Python's integers; a repeated query asks once with its smallest vector."""
+    good = [(i, v, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = {}
-    for q, v in good:
-        if q % 50 == 0:
-            out[q] = sorted((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v))[:k]
+    for q in {(i, len(v)) for i, v, _ in good if i % 50 == 0}:
+        own = min((v, w) for i, v, w in good if (i, len(v)) == q)[1]
+        scores = sorted((-sum(a * b for a, b in zip(own, w)), i) for i, _, w in good if i != q[0] and len(w) == q[1])[:k]
+        if scores:
+            out.setdefault(q[0], []).extend((max(-(1 << 63), min((1 << 63) - 1, -s)), i) for s, i in scores)
     return out
 
 
+def found_top(spark, rows, **settings):
+    got = collections.defaultdict(list)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0, **settings).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r.query_id]) + 1
+        got[r.query_id].append((r.score, r.vec_id))
+    return dict(got)
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 64)
     monkeypatch.setattr(topk, "QUERIES", 3)
     rnd = np.random.default_rng(4)
     rows = [(i, rnd.normal(0, 0.1, 8).tolist()) for i in range(400)]
     rows += [(400 + i, rows[3][1]) for i in range(20)] + [(500, [0.0] * 8), (550, None), (600, [float("nan")] * 8), (650, [None] + [0.1] * 7), (700, [0.5] * 3), (750, [0.25] * 3), (800, [])]
+    assert found_top(spark, rows) == brute_top(rows, 5)
+    assert found_top(spark, rows, k=1) == brute_top(rows, 1)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = collections.defaultdict(list)
-    for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((-r.score, r.vec_id))
-    assert dict(got) == {q: v for q, v in brute_top(rows, 5).items() if v}
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_top_k_of_a_repeated_query(spark):
-    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(1, 40)]
-    columns = "vec_id long, embedding array<float>"
-    ask = lambda r: {tuple(x) for x in topk.exact_top_k(spark.createDataFrame(r, columns), F.col("vec_id") % 10 == 0, 5, 1).collect()}
-    once = {r for r in ask(rows) if r[0] == 10}
-    more = {r for r in ask(rows + [rows[9]] * 2) if r[0] == 10}
-    assert more == once and len({r[2] for r in more}) == 5
+def test_top_k_of_repeated_rows(spark):
+    """Copies of a query ask once and never find themselves; copies of a candidate each count; unlike vectors of one id too."""
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(120)]
+    rows += [rows[50]] * 3 + [rows[49]] * 4 + [(100, [9.0, 9.0]), (100, [-1.0, 3.0])]
+    got = found_top(spark, rows)
+    assert got == brute_top(rows, 5) and all(len(v) == 5 for v in got.values())
+
+
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Components from 1e10 to the largest double beside small ones: exact order, scores beyond a long as the nearest long."""
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    rnd = random.Random(1)
+    size = lambda: rnd.choice([1.0, 3e3, 1e10, 1e12, 1.7e308])
+    rows = [(i, [rnd.uniform(-1, 1) * size() for _ in range(3)]) for i in range(160)] + [(200, [1e15, 1.0, 0.0]), (201, [1e15 + 1, 0.0, 0.0]), (202, [1e15, 255.0, 0.0])]
+    assert found_top(spark, rows) == brute_top(rows, 5)
+
+
+def test_sortable_scores():
+    numbers = [0, 1, -1, 9, 10, -9, -10, 99, -99, 10**30, -(10**30), 10**600, 12345, -12345]
+    assert sorted(numbers) == sorted(numbers, key=topk._sortable)
 
 
 def test_threshold_search_stops_early(monkeypatch):
-    """A bound below the k-th score ends the walk: far vectors of a skewed block are never scored."""
-    vectors = np.zeros((5000, 4), np.int64)
-    vectors[:, 0] = np.arange(5000)
+    """A bound below the k-th score ends the walk, and the score is carried on: later blocks of lesser vectors are not scored."""
     scored = []
-    take = np.lexsort
-    monkeypatch.setattr(topk.np, "lexsort", lambda keys: scored.append(len(keys[0])) or take(keys))
-    found = topk.threshold_search(vectors, np.arange(5000), np.array([[1, 0, 0, 0]]), np.array([-1]), 5)
-    assert [f[1] for f in found] == [4999, 4998, 4997, 4996, 4995] and sum(scored) < 500
+    take = topk.best_of
+    monkeypatch.setattr(topk, "best_of", lambda at, score, k: scored.append(len(at)) or take(at, score, k))
+    blocks = []
+    for b in range(4):
+        vectors = np.zeros((5000, 4))
+        vectors[:, 0] = np.arange(5000) - 6000 * b
+        blocks.append(topk.Block(np.arange(5000) + 5000 * b, vectors, 1))
+    found = topk.threshold_search(iter(blocks), np.array([[1.0, 0, 0, 0]]), np.array([-1]), 1, 5)
+    assert [f[1] for f in found] == [4999, 4998, 4997, 4996, 4995] and sum(scored) < 500 and len(scored) <= 2
+
+
+def test_blocks_are_not_copied_per_query_block(spark, monkeypatch):
+    """Only results are shuffled after the blocks are stored, however many query blocks there are."""
+    monkeypatch.setattr(topk, "CANDIDATES", 32)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    df = spark.createDataFrame([(i, [float(i % 13), float(i % 7)]) for i in range(600)], "vec_id long, embedding array<double>")
+    plan = topk.exact_top_k(df, F.col("vec_id") % 50 == 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding" not in plan and "v#" not in plan and "CoGroup" not in plan
 
 
 def test_preference_format(spark):
