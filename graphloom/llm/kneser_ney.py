@@ -1,18 +1,20 @@
-"""An interpolated modified Kneser-Ney model of word pairs, counted in Spark.
-
-Training counts word pairs per task (bounded tables, emitted as compact blobs), merges
-them per shard of the first word, and from the distinct pairs the number of different
-words before each word, merged per shard of the second word. Every shard is stored in the
-shared folder as sorted 64-bit hash arrays with their values. Scoring workers map those
-files into memory and find all pairs of a slice of texts by binary search; nothing of the
-model passes through the driver but the shards' totals.
-
-Probability of a token ``w`` after ``h``:
-``p(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) * p(w)`` with
-``p(w) = max(a(w) - D'(a), 0) / A + g' / (V + 1)``, where ``a`` counts different
-predecessors, ``D`` and ``D'`` are the modified discounts from the counts of counts, and
-``g`` gives out what they took away. One share of the uniform part stands for all unknown
-words. A document's first word follows a begin mark; its end is a token of its own.
+"""An interpolated modified Kneser-Ney model of word n-grams, counted in Spark.
+
+Training counts the n-grams of the model's order per task (bounded tables, emitted as compact
+blobs) and merges them per shard of their context, all words but the last. From the distinct
+n-grams of one order follow, per shard, the number of different words before each shorter one,
+which are merged per shard of their own context, down to single words. Every shard is stored in
+the shared folder as sorted 64-bit hash arrays with their values. Scoring workers map those files
+into memory and find all n-grams of a slice of texts by binary search; nothing of the model passes
+through the driver but the totals of each order.
+
+Probability of a token ``w`` after the words ``h``, of which ``h'`` are all but the first:
+``p(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) * p(w|h')``, and ``p(w|h')`` if ``h`` was never seen.
+``c`` counts occurrences at the model's order and different predecessors below it, ``D`` are the
+modified discounts of each order from its counts of counts, and ``g`` gives out what they took
+away. Single words have ``p(w) = max(a(w) - D(a), 0) / A + g / (V + 1)``; one share of the
+uniform part stands for all unknown words. A document begins after marks that fill the context;
+its end is a token of its own.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. Defined results: a null or empty
 text is one end token; with no training text every token has probability 1/(V+1) = 1;
@@ -31,97 +33,123 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import fresh, map_file, mounted, put_file
+from graphloom.llm.shared import fresh, map_file, mounted, put_file, shards_for
 from graphloom.llm.textnum import lower, mix, shard_of, slices, span_hashes, words
 from graphloom.session import reach_workers
 
 BEGIN, END = np.uint64(1), np.uint64(2)
-#: Distinct pairs that a counting task holds before it emits them.
+#: Distinct n-grams that a counting task holds before it emits them.
 HELD = 1 << 21
+#: Counts are stored in 32 bits; one that does not fit is this and lies in a file of its own.
+BEYOND = (1 << 32) - 1
 
+Grams = tuple[np.ndarray, ...]
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens and of the token before each, and the offsets of each text."""
+
+def tokens(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[Grams, np.ndarray]:
+    """Hashes of all tokens with the ``order - 1`` tokens before each, the farthest first, and the offsets of each text."""
     data = lower(data)
     starts, ends, n = words(data, offsets)
     at = np.r_[0, np.cumsum(n)]
     own = np.insert(span_hashes(data, starts, ends), at[1:], END)
     at = at + np.arange(len(at))
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    before[at[:-1]] = BEGIN
-    return own, before, at
-
-
-def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * np.uint64(0x9E3779B97F4A7C15) + mix(second ^ np.uint64(0xA0761D6478BD642F)))
-
-
-def summed(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, with their counts added up."""
-    if not len(first):
-        return first, second, count
-    order = np.lexsort((second, first))
-    first, second, count = first[order], second[order], count[order]
-    new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-    return first[new], second[new], np.add.reduceat(count, new)
-
-
-def blob(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> bytes:
-    """Pairs sorted by ``first`` in few bytes: each first word once, small counts in one byte."""
-    new = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-    size = np.diff(np.r_[new, len(first)]).astype(np.uint32)
+    columns = [own]
+    for _ in range(order - 1):
+        before = np.empty_like(own)
+        before[1:] = columns[0][:-1]
+        before[at[:-1]] = BEGIN
+        columns.insert(0, before)
+    return tuple(columns), at
+
+
+def key_of(columns: Grams) -> np.ndarray:
+    """One hash of several words; that of a single word is its own."""
+    key = columns[0]
+    for c in columns[1:]:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + mix(c ^ np.uint64(0xA0761D6478BD642F)))
+    return key
+
+
+def _new(columns: Grams) -> np.ndarray:
+    """Where in order another n-gram begins."""
+    changed = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        changed |= c[1:] != c[:-1]
+    return np.flatnonzero(np.r_[True, changed][: len(columns[0])])
+
+
+def summed(grams: Grams, count: np.ndarray) -> tuple[Grams, np.ndarray]:
+    """Distinct n-grams in order, with their counts added up."""
+    if not len(count):
+        return grams, count
+    order = np.lexsort(grams[::-1])
+    grams, count = tuple(c[order] for c in grams), count[order]
+    new = _new(grams)
+    return tuple(c[new] for c in grams), np.add.reduceat(count, new)
+
+
+def together(parts: list[tuple[Grams, np.ndarray]]) -> tuple[Grams, np.ndarray]:
+    """Several tables of n-grams as one."""
+    return summed(tuple(np.concatenate(c) for c in zip(*(g for g, _ in parts))), np.concatenate([c for _, c in parts]))
+
+
+def blob(grams: Grams, count: np.ndarray) -> bytes:
+    """N-grams in order in few bytes: each context once, small counts in one byte."""
+    context = grams[:-1] or grams
+    new = _new(context)
+    size = np.diff(np.r_[new, len(count)]).astype(np.uint32)
     large = np.flatnonzero(count > 255)
-    head = np.array([len(new), len(first), len(large)], np.int64)
+    head = np.array([len(grams), len(new), len(count), len(large)], np.int64)
     packed = zlib.compress(size.tobytes() + np.minimum(count, 255).astype(np.uint8).tobytes() + large.astype(np.uint32).tobytes() + count[large].astype(np.int64).tobytes(), 1)
-    return head.tobytes() + first[new].tobytes() + second.tobytes() + packed
+    return head.tobytes() + b"".join(c[new].tobytes() for c in grams[:-1]) + grams[-1].tobytes() + packed
 
 
-def unblob(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    groups, n, large = np.frombuffer(raw, np.int64, 3).tolist()
-    first = np.frombuffer(raw, np.uint64, groups, 24)
-    second = np.frombuffer(raw, np.uint64, n, 24 + 8 * groups)
-    rest = zlib.decompress(raw[24 + 8 * (groups + n) :])
+def unblob(raw: bytes) -> tuple[Grams, np.ndarray]:
+    width, groups, n, large = np.frombuffer(raw, np.int64, 4).tolist()
+    context = [np.frombuffer(raw, np.uint64, groups, 32 + 8 * groups * k) for k in range(width - 1)]
+    end = 32 + 8 * groups * (width - 1)
+    last = np.frombuffer(raw, np.uint64, n, end)
+    rest = zlib.decompress(raw[end + 8 * n :])
     size = np.frombuffer(rest, np.uint32, groups)
     count = np.frombuffer(rest, np.uint8, n, 4 * groups).astype(np.int64)
     at = np.frombuffer(rest[4 * groups + n :], np.uint32, large)
     count[at] = np.frombuffer(rest[4 * groups + n + 4 * large :], np.int64, large)
-    return np.repeat(first, size), second, count
+    return (*(np.repeat(c, size) for c in context), last), count
 
 
-def by_shard(first: np.ndarray, second: np.ndarray, count: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    of = shard_of(first, shards)
+def by_shard(grams: Grams, count: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    of = shard_of(key_of(grams[:-1] or grams), shards)
     order = np.argsort(of, kind="stable")
     bounds = np.searchsorted(of[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(bounds)).tolist():
         own = order[bounds[s] : bounds[s + 1]]
-        yield s, blob(first[own], second[own], count[own])
+        yield s, blob(tuple(c[own] for c in grams), count[own])
 
 
-def pair_counts(docs: DataFrame, text_col: str, shards: int) -> DataFrame:
-    """``(shard, pairs)``: the pair counts of each task as one blob per shard."""
+def gram_counts(docs: DataFrame, text_col: str, order: int, shards: int) -> DataFrame:
+    """``(shard, grams)``: the n-gram counts of each task as one blob per shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        none = (tuple(np.zeros(0, np.uint64) for _ in range(order)), np.zeros(0, np.int64))
+        held = [none]
 
         def flush() -> Iterator[pa.RecordBatch]:
             for s, raw in by_shard(*held[0], shards):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([raw], pa.binary())], ["shard", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([raw], pa.binary())], ["shard", "grams"])
 
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
-                own, before, _ = tokens(data, offsets)
-                more = summed(before, own, np.ones(len(own), np.int64))
-                held.append(more)
-                if sum(len(x[0]) for x in held[1:]) > max(1 << 19, len(held[0][0]) // 2):
-                    held[:] = [summed(*map(np.concatenate, zip(*held)))]
-                    if len(held[0][0]) > HELD:
+                grams, _ = tokens(data, offsets, order)
+                held.append(summed(grams, np.ones(len(grams[-1]), np.int64)))
+                if sum(len(c) for _, c in held[1:]) > max(1 << 19, len(held[0][1]) // 2):
+                    held[:] = [together(held)]
+                    if len(held[0][1]) > HELD:
                         yield from flush()
-                        held[:] = [tuple(x[:0] for x in held[0])]
-        held[:] = [summed(*map(np.concatenate, zip(*held)))]
+                        held[:] = [none]
+        held[:] = [together(held)]
         yield from flush()
 
-    return docs.select(text_col).mapInArrow(run, "shard int, pairs binary")
+    return docs.select(text_col).mapInArrow(run, "shard int, grams binary")
 
 
 def counts_of_counts(values: np.ndarray) -> list[int]:
@@ -140,65 +168,96 @@ def discounts(n: list[int]) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Where a trained model lies, and its totals."""
+    """Where a trained model lies, and its totals; discounts are those of single words first."""
 
     folder: str
     shards: int
+    order: int
     tokens: int
     vocabulary: int
     successions: int
-    pair_discounts: tuple[float, float, float]
-    lower_discounts: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]
     lower_left: float
 
     def save(self) -> None:
         put_file(f"{self.folder}/model.json", np.frombuffer(json.dumps(self.__dict__).encode(), np.uint8))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count ``docs`` and store the model in the shared folder; its shards are as many as shuffle partitions."""
-    spark = docs.sparkSession
-    reach_workers(spark)
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    folder = mounted(fresh(spark, "kneser-ney"))
+def _put_counts(path: str, key: np.ndarray, count: np.ndarray) -> None:
+    """Counts by sorted key, in 32 bits; those that need more lie beside them."""
+    put_file(path, key, np.minimum(count, BEYOND).astype(np.uint32))
+    large = count >= BEYOND
+    if large.any():
+        put_file(f"{path}-large", key[large], count[large].astype(np.int64))
 
-    def pairs(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        """One shard of pairs: two files, and blobs of (word, different words before it)."""
+
+LEVEL = "shard int, kind string, grams binary, n array<bigint>, total long, distinct long, three long"
+
+
+def _level(folder: str, shards: int, k: int, top: bool):
+    """Merging of one shard of ``k``-grams: its files, its totals, and blobs of the next shorter n-grams."""
+
+    def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        parts = [unblob(x.as_py()) for x in group.column("pairs")]
-        first, second, count = summed(*map(np.concatenate, zip(*parts)))
-        of = pair_key(first, second)
-        order = np.argsort(of)
-        put_file(f"{folder}/pair-{shard}", of[order], count[order].astype(np.float32))
-        new = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-        kinds = [np.add.reduceat((count == 1).astype(np.float64), new), np.add.reduceat((count == 2).astype(np.float64), new), np.add.reduceat((count > 2).astype(np.float64), new)]
-        put_file(f"{folder}/context-{shard}", first[new], np.add.reduceat(count, new).astype(np.float64), *(k.astype(np.float32) for k in kinds))
-        word, before = np.unique(second, return_counts=True)
-        rows = list(by_shard(word, word, before.astype(np.int64), shards))
+        grams, count = together([unblob(x.as_py()) for x in group.column("grams")])
+        rows: list[tuple[int, str, bytes]] = []
+        if k == 1:
+            _put_counts(f"{folder}/word-{shard}", grams[0], count)
+        else:
+            of = key_of(grams)
+            order = np.argsort(of)
+            _put_counts(f"{folder}/gram-{k}-{shard}", of[order], count[order])
+            new = _new(grams[:-1])
+            context = key_of(tuple(c[new] for c in grams[:-1]))
+            kinds = [np.add.reduceat(x.astype(np.int64), new).astype(np.uint32) for x in (count == 1, count == 2, count > 2)]
+            total = np.add.reduceat(count, new)
+            by = np.argsort(context)
+            put_file(f"{folder}/context-{k}-{shard}", context[by], total[by].astype(np.float64), *(x[by] for x in kinds))
+            rows = [(s, "low", raw) for s, raw in by_shard(*summed(grams[1:], np.ones(len(count), np.int64)), shards)]
+            if top and k > 2:
+                # how often each word occurs: at order 2 the contexts' totals tell
+                rows += [(s, "raw", raw) for s, raw in by_shard(*summed((grams[-2][new],), total), shards)]
         n = len(rows)
-        stats = counts_of_counts(count)
-        return pa.table({"shard": pa.array([r[0] for r in rows] + [-1], pa.int32()), "pairs": pa.array([r[1] for r in rows] + [None], pa.binary()), "n": pa.array([None] * n + [stats], pa.list_(pa.int64())), "tokens": pa.array([None] * n + [int(count.sum())], pa.int64())})
+        none = [None] * n
+        columns = ([r[0] for r in rows] + [-1], [r[1] for r in rows] + ["sum"], [r[2] for r in rows] + [None], none + [counts_of_counts(count)], none + [int(count.sum())], none + [len(count)], none + [int((count > 2).sum())])
+        kinds_ = (pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(("shard", "kind", "grams", "n", "total", "distinct", "three"), columns, kinds_, strict=True)})
 
-    counted = pair_counts(docs, text_col, shards).groupBy("shard").applyInArrow(pairs, "shard int, pairs binary, n array<bigint>, tokens long")
-    kept = fresh(spark, "kneser-ney-lower")
-    counted.write.parquet(kept)
-    counted = spark.read.parquet(kept)
+    return merge
 
-    def lowers(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        """One shard of words with the number of different words before each."""
-        shard = key[0].as_py()
-        parts = [unblob(x.as_py()) for x in group.column("pairs")]
-        word, _, before = summed(*map(np.concatenate, zip(*parts)))
-        put_file(f"{folder}/lower-{shard}", word, before.astype(np.float32))
-        return pa.table({"n": pa.array([counts_of_counts(before)], pa.list_(pa.int64())), "words": pa.array([len(word)], pa.int64()), "total": pa.array([int(before.sum())], pa.int64()), "three": pa.array([int((before > 2).sum())], pa.int64())})
-
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    each = [F.coalesce(F.sum(F.col("n")[i]), F.lit(0)).alias(f"n{i}") for i in range(4)]
-    low = counted.where("shard >= 0").select("shard", "pairs").groupBy("shard").applyInArrow(lowers, "n array<bigint>, words long, total long, three long").agg(*each, total("words"), total("total"), total("three")).first()
-    top = counted.where("shard < 0").agg(*each, total("tokens")).first()
-    d = discounts([low[f"n{i}"] for i in range(4)])
-    taken = d[0] * low.n0 + d[1] * low.n1 + d[2] * low.three
-    model = Model(folder, shards, top.tokens, low.words, low.total, tuple(discounts([top[f"n{i}"] for i in range(4)])), tuple(d), taken / low.total if low.total else 1.0)
+
+def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
+    """Count ``docs`` and store the model of n-grams up to ``order`` (2 or more) in the shared folder."""
+    spark = docs.sparkSession
+    reach_workers(spark)
+    if order < 2:
+        raise ValueError("a model has an order of 2 at least")
+    shards = shards_for(docs.select(text_col))
+    folder = mounted(fresh(spark, "kneser-ney"))
+    totals = {}
+    rows, raw = gram_counts(docs, text_col, order, shards), None
+    for k in range(order, 0, -1):
+        # written at once, so that totals and shorter n-grams are read from one run
+        path = fresh(spark, f"kneser-ney-{k}")
+        rows.groupBy("shard").applyInArrow(_level(folder, shards, k, k == order), LEVEL).write.parquet(path)
+        done = spark.read.schema(LEVEL).parquet(path)
+        each = [F.coalesce(F.sum(F.col("n")[i]), F.lit(0)).alias(f"n{i}") for i in range(4)]
+        totals[k] = done.where("shard < 0").agg(*each, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "three"))).first()
+        if k == order and order > 2:
+            raw = done.where("kind = 'raw'").select("shard", "grams")
+        rows = done.where("kind = 'low'").select("shard", "grams")
+    if raw is not None:
+
+        def put(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            (word,), count = together([unblob(x.as_py()) for x in group.column("grams")])
+            put_file(f"{folder}/raw-{key[0].as_py()}", word, count.astype(np.float64))
+            return pa.table({"n": pa.array([len(word)], pa.int64())})
+
+        raw.groupBy("shard").applyInArrow(put, "n long").agg(F.sum("n")).collect()
+    d = tuple(tuple(discounts([totals[k][f"n{i}"] for i in range(4)])) for k in range(1, order + 1))
+    low = totals[1]
+    taken = d[0][0] * low.n0 + d[0][1] * low.n1 + d[0][2] * low.three
+    model = Model(folder, shards, order, totals[order].total, low.distinct, low.total, d, taken / low.total if low.total else 1.0)
     model.save()
     return model
 
@@ -209,8 +268,8 @@ class Mapped:
     def __init__(self, model: Model):
         self.model, self.files = model, {}
 
-    def arrays(self, kind: str, shard: int, types: tuple) -> list[np.ndarray]:
-        name = f"{self.model.folder}/{kind}-{shard}"
+    def arrays(self, name: str, types: tuple) -> list[np.ndarray]:
+        name = f"{self.model.folder}/{name}"
         if name not in self.files:
             self.files[name] = map_file(name, types)
         return self.files[name]
@@ -222,7 +281,7 @@ class Mapped:
         bounds = np.searchsorted(of[order], np.arange(self.model.shards + 1))
         for s in np.flatnonzero(np.diff(bounds)).tolist():
             own = order[bounds[s] : bounds[s + 1]]
-            stored, *values = self.arrays(kind, s, types)
+            stored, *values = self.arrays(f"{kind}-{s}", types)
             if len(stored):
                 at = np.minimum(np.searchsorted(stored, keys[own]), len(stored) - 1)
                 hit = stored[at] == keys[own]
@@ -230,25 +289,40 @@ class Mapped:
                     o[own[hit]] = v[at[hit]]
         return out
 
-    def score(self, own: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counts(self, kind: str, keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Counts of :func:`_put_counts`."""
+        (count,) = self.find(kind, keys, of, (np.uint64, np.uint32))
+        large = np.flatnonzero(count == BEYOND)
+        for i in large.tolist():
+            key, value = self.arrays(f"{kind}-{of[i]}-large", (np.uint64, np.int64))
+            count[i] = value[np.searchsorted(key, keys[i])]
+        return count
+
+    def score(self, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log10 probability of each token, that of the base, and whether training knows the token."""
-        m = self.model
+        m, own = self.model, grams[-1]
         word, which = np.unique(own, return_inverse=True)
-        (a,) = self.find("lower", word, shard_of(word, m.shards), (np.uint64, np.float32))
-        d = np.array([0.0, *m.lower_discounts])
-        lower_p = np.maximum(a - d[np.minimum(a, 3).astype(np.int64)], 0) / max(m.successions, 1) + m.lower_left / (m.vocabulary + 1)
-        context, at = np.unique(before, return_inverse=True)
-        of = shard_of(context, m.shards)
-        total, n1, n2, n3 = self.find("context", context, of, (np.uint64, np.float64, np.float32, np.float32, np.float32))
-        e = np.array([0.0, *m.pair_discounts])
-        seen = total > 0
-        left = np.where(seen, (e[1] * n1 + e[2] * n2 + e[3] * n3) / np.where(seen, total, 1), 1.0)
-        (c,) = self.find("pair", pair_key(before, own), of[at], (np.uint64, np.float32))
-        p = left[at] * lower_p[which]
-        hit = c > 0
-        p[hit] += np.maximum(c[hit] - e[np.minimum(c[hit], 3).astype(np.int64)], 0) / total[at[hit]]
+        a = self.counts("word", word, shard_of(word, m.shards))
+        d = np.array([0.0, *m.discounts[0]])
+        p = (np.maximum(a - d[np.minimum(a, 3).astype(np.int64)], 0) / max(m.successions, 1) + m.lower_left / (m.vocabulary + 1))[which]
+        kinds = (np.uint64, np.float64, np.uint32, np.uint32, np.uint32)
+        for k in range(2, m.order + 1):
+            part = grams[m.order - k :]
+            context, at = np.unique(key_of(part[:-1]), return_inverse=True)
+            of = shard_of(context, m.shards)
+            total, n1, n2, n3 = self.find(f"context-{k}", context, of, kinds)
+            e = np.array([0.0, *m.discounts[k - 1]])
+            left = np.where(total > 0, (e[1] * n1 + e[2] * n2 + e[3] * n3) / np.where(total > 0, total, 1), 1.0)
+            c = self.counts(f"gram-{k}", key_of(part), of[at])
+            p = left[at] * p
+            hit = c > 0
+            p[hit] += np.maximum(c[hit] - e[np.minimum(c[hit], 3).astype(np.int64)], 0) / total[at[hit]]
         # a word begins as many pairs as it has occurrences; the end occurs once a text, as the begin mark does
-        raw = self.find("context", np.where(word == END, BEGIN, word), shard_of(np.where(word == END, BEGIN, word), m.shards), (np.uint64, np.float64, np.float32, np.float32, np.float32))[0]
+        seen = np.where(word == END, BEGIN, word)
+        if m.order == 2:
+            raw = self.find("context-2", seen, shard_of(seen, m.shards), kinds)[0]
+        else:
+            (raw,) = self.find("raw", seen, shard_of(seen, m.shards), (np.uint64, np.float64))
         base = np.log10((raw + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1)))
         return np.log10(p), base[which], (raw > 0)[which]
 
@@ -271,8 +345,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = mapped(model)
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
-                own, before, at = tokens(data, offsets)
-                p, base, known = scorer.score(own, before)
+                grams, at = tokens(data, offsets, model.order)
+                p, base, known = scorer.score(grams)
                 n, first = np.diff(at), at[:-1]
                 s = np.add.reduceat(p, first)
                 values = [pa.array(n, pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), first), pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(s), pa.array(10.0 ** np.minimum(-s / n, 300.0))]
@@ -284,9 +358,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"{kinds}, n_tokens long, n_known long, base_score double, score double, perplexity double").withColumnRenamed("_id", id_col)
 
 
-def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """Train on the rows that are not held out, score all rows."""
     docs = docs.select(F.col(id_col), F.col(text_col), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = train(docs.where(~F.col("held_out")), text_col)
+    model = train(docs.where(~F.col("held_out")), text_col, order)
     out = score(docs, model, id_col, text_col, keep=("held_out",))
     return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
