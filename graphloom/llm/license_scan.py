@@ -24,8 +24,6 @@ need five words; repeated rows are reported each; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,34 +88,38 @@ def with_shingles(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("shingles", F.when(F.size("_words") >= WORDS, runs).otherwise(F.array().cast("array<bigint>"))).drop("_words")
 
 
-def _seeded(seed: int) -> Callable[[Column], Column]:
-    return lambda x: F.xxhash64(x, F.lit(seed))
-
-
-def _named(values: Column, size: int, band: int) -> Column:
-    """Band values as keys that tell sizes and bands apart."""
-    return F.transform(F.array_distinct(values), lambda x: F.xxhash64(x, F.lit(size * len(SEEDS) + band)))
+def with_bands(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Column ``bands``: for every size and seed the distinct minima of all windows, from ``shingles``.
 
-
-def with_keys(rows: DataFrame, sizes: list[int], own: Column | None = None) -> DataFrame:
-    """Column ``keys``: the named bands of all windows of the sizes, or of each row's ``own`` size, from ``shingles``.
-
-    A window's minimum is the smaller one of its two halves.
+    A window's minimum is the smaller one of its two halves. A shingle is its own hash under
+    the first seed, and the one window of one shingle under all of them.
     """
     kept, parts = rows.columns, []
     for band, seed in enumerate(SEEDS):
-        rows = rows.withColumn(f"b1_{band}", F.transform("shingles", _seeded(seed)))
-        at = 1
-        while at < max(sizes):
-            half = f"b{at}_{band}"
+        first = "shingles"
+        if band:
+            first = f"b1_{band}"
+            rows = rows.withColumn(first, F.transform("shingles", lambda x, s=seed: F.xxhash64(x, F.lit(s))))
+        half, at = first, 1
+        while True:
+            if at in sizes and (at > 1 or not band):
+                parts.append(F.array_distinct(half))
+            if at == max(sizes):
+                break
             n = F.greatest(F.size(half) - at, F.lit(0))
-            rows = rows.withColumn(f"b{2 * at}_{band}", F.zip_with(F.slice(half, F.lit(1), n), F.slice(half, F.lit(at + 1), n), lambda a, b: F.least(a, b)))
-            at *= 2
-        # a window of one shingle has that shingle for a minimum under every hash
-        for size in (s for s in sizes if s > 1 or not band):
-            named = _named(F.col(f"b{size}_{band}"), size, band)
-            parts.append(named if own is None else F.when(own == size, named).otherwise(F.array().cast("array<bigint>")))
-    return rows.withColumn("keys", F.concat(*parts)).select(*kept, "keys")
+            rows = rows.withColumn(f"b{2 * at}_{band}", F.zip_with(F.slice(half, F.lit(1), n), F.slice(half, F.lit(at + 1), n), lambda x, y: F.least(x, y)))
+            half, at = f"b{2 * at}_{band}", 2 * at
+    return rows.withColumn("bands", F.array(*parts)).select(*kept, "bands")
+
+
+def keys_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """``(*columns, part, key)``: each band value with the size and seed that it belongs to.
+
+    The outer forms of explode, since the others filter by the size of the array, which would
+    compute all steps once more.
+    """
+    rows = rows.select(*columns, F.posexplode_outer("bands").alias("part", "values"))
+    return rows.select(*columns, "part", F.explode_outer("values").alias("key"))
 
 
 def window_size(n: Column, least: float) -> Column:
@@ -129,12 +131,15 @@ def window_size(n: Column, least: float) -> Column:
 
 
 def prepared(templates: DataFrame, least: float) -> DataFrame:
-    """``(license, shingles, n_shingles, size, keys)`` of each template; its shingles are distinct, its keys those of its size."""
+    """``(license, wanted, n_shingles, size, bands)`` of each template; ``wanted`` are its distinct shingles."""
     rows = with_shingles(templates, "text").withColumn("n_shingles", F.size(F.array_distinct("shingles")).cast("long"))
     short = F.concat(F.lit("template "), "license", F.lit(f" has fewer than {WORDS} words"))
     rows = rows.withColumn("size", F.when(F.col("n_shingles") > 0, window_size(F.col("n_shingles"), least)).otherwise(F.raise_error(short).cast("int")))
-    rows = with_keys(rows, list(SIZES), F.col("size"))
-    return rows.select("license", F.array_distinct("shingles").alias("wanted"), "n_shingles", "size", "keys")
+    return with_bands(rows, list(SIZES)).select("license", F.array_distinct("shingles").alias("wanted"), "n_shingles", "size", "bands")
+
+
+#: The size of each part of the bands of all sizes.
+PARTS = [*SIZES, *SIZES[1:] * (len(SEEDS) - 1)]
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -146,14 +151,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, lea
     """``(id, license, n_shingles, n_found, containment)`` of every template found in every whole text."""
     spark = docs.sparkSession
     known = written(prepared(_table(spark, templates), least), "templates")
-    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # at most as many as SIZES
-    keys = _bounded(written(known.select("license", F.explode("keys").alias("key")).distinct(), "bands"))
+    # a template is looked up by the bands of its own size only; texts have bands of all sizes
+    of_size = F.get(F.array(*map(F.lit, PARTS)), F.col("part"))
+    keys = _bounded(written(keys_of(known, "license", "size").where(of_size == F.col("size")).select("license", "part", "key").distinct(), "bands"))
     # a row is known by its id and its text; equal rows are verified as one and reported each
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_h", F.xxhash64("_text"))
-    banded = with_keys(with_shingles(rows, "_text").drop("_text"), sizes or [1])
-    # the outer form, since the other one filters by the size of the array, which would compute all steps once more
-    banded = banded.select("_id", "_h", F.explode_outer("keys").alias("key"))
-    candidates = _bounded(written(banded.join(keys, "key").select("_id", "_h", "license").distinct(), "candidates"))
+    banded = keys_of(with_bands(with_shingles(rows, "_text").drop("_text"), list(SIZES)), "_id", "_h").join(keys, ["part", "key"]).select("_id", "_h", "license")
+    candidates = _bounded(written(banded.distinct(), "candidates"))
     own = candidates.select(F.col("_id").alias("_of"), F.col("_h").alias("_g"), "license")
     met = rows.join(own, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_g"))).select("_id", "_text", "license")
     met = with_shingles(met.join(known.select("license", "wanted", "n_shingles"), "license"), "_text")
