@@ -309,17 +309,19 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     placed = chosen.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
     # A bucket's head is its member that meets most others over all its buckets: of a family of
     # copies the text they were made from, which is nearer to each than they are to one another.
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # both sides of a join on buckets are tables, so that adaptive execution can split a large bucket
+    shared = written(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = written(placed.join(shared, "bucket"), "met")
     known = met.groupBy("id").agg(F.sum("n").alias("meets"))
-    heads = met.join(known, "id").groupBy("bucket").agg(F.max(F.struct("meets", F.xxhash64("id"), F.col("id").alias("head"))).alias("m")).select("bucket", "m.head")
+    heads = written(met.join(known, "id").groupBy("bucket").agg(F.max(F.struct("meets", F.xxhash64("id"), F.col("id").alias("head"))).alias("m")).select("bucket", "m.head"), "heads")
     members = written(met.join(heads, "bucket").select("bucket", "id", "head"), "members")
     star = members.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     links = written(verify(written(star, "pairs"), docs, s, id_col, text_col), "links")
     groups = components(links)
     # buckets in which different groups still meet
     labelled = members.select("bucket", "id").join(groups, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    labelled = written(labelled, "labelled")
+    mixed = written(labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "mixed")
     open_ = written(labelled.join(mixed, "bucket").join(chosen, "id"), "mixed")
     if open_.limit(1).count():
         sets = StoredSets.store(shingle_sets(docs, open_.select(F.xxhash64("id").alias("h")), s, id_col, text_col))

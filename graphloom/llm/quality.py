@@ -36,6 +36,10 @@ class Limits:
     longest_repeat_share: float = 0.25
     symbols_per_word: float = 0.10
 
+    def __post_init__(self):
+        if self.window < 1 or self.window & (self.window - 1):
+            raise ValueError(f"the window of repeated words is a power of two, not {self.window}")
+
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True

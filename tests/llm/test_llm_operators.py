@@ -103,7 +103,14 @@ def test_quality(docs, by_id):
         n, chars, symbols, lines, repeat, longest = brute_quality(by_id[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.longest_repeat) == (n, chars, symbols, lines, repeat, longest)
         assert r.base_failed == (n < 20 or 100 * repeat > 30 * n)
-        assert not (r.base_failed and r.kept)
+        w = WORD.findall(by_id[r.doc_id])
+        spans = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        cover = {j for i in range(len(w) - 7) if spans[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        covered = sum(len(w[j]) for j in cover)
+        assert r.repeat_chars == covered
+        assert r.kept == (not r.base_failed and covered <= 0.30 * chars and longest <= 0.25 * n and symbols <= 0.10 * n)
+    with pytest.raises(ValueError, match="power of two"):
+        quality.Limits(window=10)
     kept = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
     rest = quality.keep(docs)
     assert rest.columns == docs.columns and {r.doc_id for r in rest.collect()} == kept and 0 in kept
@@ -255,7 +262,8 @@ def test_signatures_estimate_probability_jaccard():
     assert probminhash.similarity(a, wa, b, wb) == pytest.approx(max(exact, len(x.keys() & y.keys()) / len({*x, *y})))
 
 
-def brute_repeats(by_id):
+def covered_bytes(by_id):
+    """Of each text its bytes, and which of them lie in a 50-byte string of a document with a smaller id."""
     first, out = {}, {}
     for i, t in sorted(by_id.items()):
         b = t.encode()
@@ -267,11 +275,38 @@ def brute_repeats(by_id):
         for p in range(len(b) - 49):
             if first[b[p : p + 50]] < i:
                 gone[p : p + 50] = b"\1" * 50
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        out[i] = len(b), sum(gone), sum(1 for p in range(len(b)) if gone[p] and not (p and gone[p - 1])), hashlib.sha256(kept).hexdigest()
+        out[i] = b, gone
     return out
 
 
+def kept_bytes(by_id):
+    return {i: bytes(x for x, g in zip(b, gone) if not g) for i, (b, gone) in covered_bytes(by_id).items()}
+
+
+def brute_repeats(by_id):
+    spans = lambda gone: sum(1 for p in range(len(gone)) if gone[p] and not (p and gone[p - 1]))
+    kept = kept_bytes(by_id)
+    return {i: (len(b), sum(gone), spans(gone), hashlib.sha256(kept[i]).hexdigest()) for i, (b, gone) in covered_bytes(by_id).items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeat_removal_of_recurring_runs(spark, seed):
+    """A fuzzer of the hard case: one 16-byte run recurs every few bytes, for hundreds of bytes, in texts that share stretches of it."""
+    rnd = random.Random(seed)
+    run = "<td class='a'>0:"
+    piece = lambda: run + "".join(rnd.choice("abcdefgh") for _ in range(rnd.choice((4, 8, 8, 12))))
+    base = "".join(piece() for _ in range(40))
+    rows = [(1, base[:312])]
+    for i in range(2, 50):
+        a = rnd.randrange(len(base) - 60)
+        shared = base[a : a + rnd.randint(20, 500)]
+        rows.append((i, rnd.choice(("", "é" * 9, piece())) + shared + rnd.choice(("", "other text " * 4, piece() * 3)) + base[: rnd.choice((0, 0, 200))]))
+    rows.append((60, base[:72] + base[:312] + "tail"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digest(df, suffix_dedup.find_repeats(df)).collect()}
+    assert got == brute_repeats(dict(rows)) and got[60][1] >= 312
+
+
 def test_repeat_removal(docs, by_id):
     repeats = suffix_dedup.find_repeats(docs)
     want = brute_repeats(by_id)
@@ -444,7 +479,17 @@ def test_token_counts(docs, by_id):
             got[r.doc_id][r.line] = r.n_tokens
         for i, t in by_id.items():
             assert sum(got[i].values()) == len(tok.encode(t, add_special_tokens=False).ids)
-            assert len(got[i]) == t.count("\n") + 1
+            # each token's bytes against the lines' bytes; a line end belongs to the line before it
+            enc, _ = token_counts.encoder(path)
+            ends = np.cumsum([len(x.encode()) + 1 for x in t.split("\n")])
+            ends[-1] -= 1
+            want, at = [0] * len(ends), 0
+            for token in enc.encode_ordinary(t):
+                n = len(enc.decode_single_token_bytes(token))
+                own = [int(np.searchsorted(ends, p, side="right")) for p in range(at, at + n)]
+                want[own[0] if rule == "first" else max(own, key=lambda k: (own.count(k), -k))] += 1
+                at += n
+            assert [got[i][k] for k in sorted(got[i])] == want and sorted(got[i]) == list(range(len(ends)))
     assert token_counts.by_line(empty(docs), path).count() == 0
 
 

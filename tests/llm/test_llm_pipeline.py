@@ -4,10 +4,10 @@ import os
 
 import duckdb
 import pytest
-from test_llm_operators import brute_classes, brute_repeats, shingle_sets
+from test_llm_operators import brute_classes, kept_bytes, shingle_sets
 
 import corpus_pipeline
-from graphloom.llm import quality, queries
+from graphloom.llm import bpe, quality, queries
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -23,17 +23,36 @@ def test_stages(spark, docs, by_id):
     assert sorted(r.doc_id for r in one.collect()) == sorted(set(brute_classes(sets).values())) and one.columns == docs.columns
     rest = stages[2](spark, one, None).cache()
     texts = {r.doc_id: r.text for r in rest.collect()}
-    want = brute_repeats({i: by_id[i] for i in texts})
-    assert rest.columns == docs.columns and all(len(t.encode()) <= want[i][0] - want[i][1] for i, t in texts.items())
+    # exactly the bytes that brute force keeps, without parts of characters
+    want = kept_bytes({i: by_id[i] for i in texts})
+    assert rest.columns == docs.columns and texts == {i: b.decode("utf-8", "ignore") for i, b in want.items()}
+    assert any(len(b) < len(by_id[i].encode()) for i, b in want.items())
     packed = stages[3](spark, rest, None).toPandas()
     assert set(packed.doc_id) == set(texts) and packed.groupby("sequence_id").length.sum().max() <= 4096
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), None).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    """Of rows with one id one stays, the same one every time."""
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, words), (1, words.replace("w", "x")), (2, words.replace("w", "y")), (2, words.replace("w", "y"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df.repartition(n), None).collect()) for n in (1, 3)]
+    assert got[0] == got[1] and [i for i, _ in got[0]] == [1, 2]
+
+
 @needs_tables
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 50
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {r.doc_id: r.text for r in docs.join(quality.judge(docs).where("kept").select("doc_id"), "doc_id").collect()}
+    one = set(brute_classes(shingle_sets(good)).values())
+    rows = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(rows.doc_id) == one and rows.groupby("sequence_id").length.sum().max() <= 4096
+    codec = bpe.BpeCodec(bpe.vocabulary_path())
+    texts = {i: b.decode("utf-8", "ignore") for i, b in kept_bytes({i: good[i] for i in one}).items()}
+    for i, own in rows.groupby("doc_id"):
+        assert own.length.sum() == len(codec.encode([texts[i]])[0]) + 1
 
 
 @needs_tables
