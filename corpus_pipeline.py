@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, packing, probminhash, quality, suffix_dedup
@@ -26,10 +26,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    An id names one document: of rows with one id, the one with the smallest hash of its text stands for it.
+    """
     classes = probminhash.near_duplicates(docs)
     kept = classes.where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
-    rows = docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1").drop("_n")
     return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
