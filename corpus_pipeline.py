@@ -32,8 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     classes = probminhash.near_duplicates(docs)
     kept = classes.where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
-    rows = docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1").drop("_n")
+    rows = docs.join(written(kept.where("doc_id is not null"), "kept"), "doc_id", "left_semi")
+    # only texts of ids that occur again are sorted
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.isEmpty():
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        chosen = rows.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        rows = rows.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(chosen.select(*docs.columns))
     return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
