@@ -254,14 +254,13 @@ def _first_and_last(rows: list[np.ndarray], width: int) -> tuple[np.ndarray, np.
 def _across(members: DataFrame, sets: StoredSets, s: Settings, kind: str) -> DataFrame:
     """Verified links between members of one bucket that belong to different groups.
 
-    ``members``: ``bucket, id, label, bands, signature``. A bucket is dealt into blocks of
-    at most about ``block`` members, and every two blocks meet once, whatever the bucket's
+    ``members``: ``bucket, n, id, label, bands, signature`` with all ``n`` members of each
+    bucket. A bucket is dealt into blocks of at most about ``block`` members, and every two blocks meet once, whatever the bucket's
     size. Likely pairs are verified where they meet, each pair in the first band that it
     shares, and none whose groups a link of the same block has joined already, so that no
     more links leave a block than it has members.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    dealt = members.join(sizes.select("bucket", F.ceil(F.col("n") / s.block).cast("int").alias("blocks")), "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / s.block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = dealt.withColumn("other", other).select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") <= F.col("other")).alias("first"), "id", F.xxhash64("id").alias("h"), "label", "bands", "signature")
 
@@ -314,12 +313,12 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     met = written(placed.join(shared, "bucket"), "met")
     known = met.groupBy("id").agg(F.sum("n").alias("meets"))
     heads = written(met.join(known, "id").groupBy("bucket").agg(F.max(F.struct("meets", F.xxhash64("id"), F.col("id").alias("head"))).alias("m")).select("bucket", "m.head"), "heads")
-    members = written(met.join(heads, "bucket").select("bucket", "id", "head"), "members")
+    members = written(met.join(heads, "bucket").select("bucket", "n", "id", "head"), "members")
     star = members.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     links = written(verify(written(star, "pairs"), docs, s, id_col, text_col), "links")
     groups = components(links)
     # buckets in which different groups still meet
-    labelled = members.select("bucket", "id").join(groups, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    labelled = members.select("bucket", "n", "id").join(groups, "id", "left").select("bucket", "n", "id", F.coalesce("label", "id").alias("label"))
     labelled = written(labelled, "labelled")
     mixed = written(labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "mixed")
     open_ = written(labelled.join(mixed, "bucket").join(chosen, "id"), "mixed")
