@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.shared import fresh, map_file, mounted, put_file, shards_for, store_hashes, written
+from graphloom.llm.shared import fresh, map_file, mounted, once, only, put_file, shards_for, store_hashes, written
 from graphloom.llm.textnum import lower, mix, slices, span_hashes, words
 from graphloom.session import reach_workers
 
@@ -191,7 +191,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, t
 def verify(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
     """The pairs ``(a, b)`` whose texts are similar enough, from their exact shingle counts."""
     wanted = pairs.select(F.xxhash64("a").alias("h")).union(pairs.select(F.xxhash64("b").alias("h")))
-    sets = written(shingle_sets(docs, wanted, s, id_col, text_col).dropDuplicates(["_id"]), "shingles")
+    sets = once(written(shingle_sets(docs, wanted, s, id_col, text_col), "shingles"), "_id")
     kind = sets.schema["_id"].dataType.simpleString()
     left = sets.select(F.col("_id").alias("a"), F.col("code").alias("code_a"), F.col("count").alias("count_a"))
     right = sets.select(F.col("_id").alias("b"), F.col("code").alias("code_b"), F.col("count").alias("count_b"))
@@ -304,7 +304,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     kind = signed.schema["_id"].dataType.simpleString()
     # one text of each word sequence; equal texts have equal signatures, so any of them serves
     texts = signed.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("_id").alias("id")).where("id is not null")
-    chosen = written(signed.join(texts.select(F.col("id").alias("_id"), "key", "key2"), ["_id", "key", "key2"]).dropDuplicates(["_id"]).select(F.col("_id").alias("id"), "bands", "signature"), "texts")
+    picked = only(signed.where("_id is not null"), F.xxhash64("_id", "key", "key2"), texts.select(F.xxhash64("id", "key", "key2")), "picked")
+    chosen = once(written(picked.select(F.col("_id").alias("id"), "bands", "signature"), "texts"), "id")
     placed = chosen.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
     # A bucket's head is its member that meets most others over all its buckets: of a family of
     # copies the text they were made from, which is nearer to each than they are to one another.
@@ -321,8 +322,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     labelled = members.select("bucket", "n", "id").join(groups, "id", "left").select("bucket", "n", "id", F.coalesce("label", "id").alias("label"))
     labelled = written(labelled, "labelled")
     mixed = written(labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "mixed")
-    open_ = written(labelled.join(mixed, "bucket").join(chosen, "id"), "mixed")
-    if open_.limit(1).count():
+    open_ = written(labelled.join(mixed, "bucket"), "mixed")
+    if not open_.isEmpty():
+        open_ = written(open_.join(only(chosen, F.xxhash64("id"), open_.select(F.xxhash64("id")), "open"), "id"), "mixed")
         sets = StoredSets.store(shingle_sets(docs, open_.select(F.xxhash64("id").alias("h")), s, id_col, text_col))
         links = links.unionByName(_across(open_, sets, s, kind))
         groups = components(links)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.session import fresh, shared_dir, written
 
-__all__ = ["HashFiles", "fresh", "map_file", "mounted", "put_file", "shards_for", "shared_dir", "store_hashes", "written"]
+__all__ = ["HashFiles", "fresh", "map_file", "mounted", "once", "only", "put_file", "shards_for", "shared_dir", "store_hashes", "written"]
 
 #: Bytes of the table that a shard stands for; what a task holds of one shard is a small multiple.
 SHARD_BYTES = 64 << 20
@@ -149,3 +149,23 @@ class HashFiles:
                 at = np.minimum(np.searchsorted(stored, value[own]), len(stored) - 1)
                 out[own] = stored[at] == value[own]
         return out
+
+
+def only(df: DataFrame, h: Column, hashes: DataFrame, kind: str) -> DataFrame:
+    """Rows of ``df`` whose hash ``h`` is in the one column of ``hashes``; a narrow map, so that wide rows are not shuffled."""
+    known, names = store_hashes(hashes, kind), df.columns
+
+    def keep(batches):
+        for batch in batches:
+            own = known.has(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("_shard", "_h")))
+            yield batch.filter(pa.array(own, pa.bool_())).select(names)
+
+    return df.withColumn("_h", h).withColumn("_shard", known.shard("_h")).mapInArrow(keep, df.schema)
+
+
+def once(df: DataFrame, column: str) -> DataFrame:
+    """One row of each value of ``column``, which is not null; of ``df``, a table, only rows whose value occurs again are shuffled."""
+    again = written(df.groupBy(column).count().where("count > 1").select(column), "again")
+    if again.isEmpty():
+        return df
+    return written(df.join(again, column, "left_anti").unionByName(df.join(again, column, "left_semi").dropDuplicates([column])), "once")
