@@ -137,7 +137,7 @@ class HashFiles:
     folder: str
     shards: int
 
-    def shard(self, column: str) -> Column:
+    def shard(self, column: str | Column) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.shards)).cast("int")
 
     def has(self, shard: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -152,15 +152,17 @@ class HashFiles:
 
 
 def only(df: DataFrame, h: Column, hashes: DataFrame, kind: str) -> DataFrame:
-    """Rows of ``df`` whose hash ``h`` is in the one column of ``hashes``; a narrow map, so that wide rows are not shuffled."""
-    known, names = store_hashes(hashes, kind), df.columns
+    """Rows of ``df`` whose hash ``h`` is in the one column of ``hashes``; wide rows are neither shuffled nor sent to Python.
 
-    def keep(batches):
-        for batch in batches:
-            own = known.has(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("_shard", "_h")))
-            yield batch.filter(pa.array(own, pa.bool_())).select(names)
+    Exact where ``h`` is the hash of one integer, which no other integer shares.
+    """
+    known = store_hashes(hashes, kind)
+
+    @F.arrow_udf("boolean")
+    def held(shard: pa.Array, value: pa.Array) -> pa.Array:
+        return pa.array(known.has(shard.to_numpy(zero_copy_only=False), value.to_numpy(zero_copy_only=False)), pa.bool_())
 
-    return df.withColumn("_h", h).withColumn("_shard", known.shard("_h")).mapInArrow(keep, df.schema)
+    return df.where(held(known.shard(h), h))
 
 
 def once(df: DataFrame, column: str) -> DataFrame:
