@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, packing, probminhash, quality, suffix_dedup
-from graphloom.llm.shared import written
+from graphloom.llm.shared import only, written
 from graphloom.session import table
 
 
@@ -32,7 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     classes = probminhash.near_duplicates(docs)
     kept = classes.where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
-    rows = docs.join(written(kept.where("doc_id is not null"), "kept"), "doc_id", "left_semi")
+    # whole texts stay where they are: ids are looked up in mapped files, not joined
+    ids = written(kept.where("doc_id is not null"), "kept").select(F.xxhash64("doc_id"))
+    rows = only(docs.where("doc_id is not null"), F.xxhash64("doc_id"), ids, "kept")
     # only texts of ids that occur again are sorted
     again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if not again.isEmpty():
