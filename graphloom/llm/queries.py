@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, kneser_ney, license_scan, packing, preference, probminhash, quality, suffix_dedup, token_counts, topk
+from graphloom.llm import bpe, kneser_ney, license_scan, packing, preference, probminhash, quality, simhash, suffix_dedup, token_counts, topk
 from graphloom.session import table
 
 
@@ -64,8 +64,13 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op11_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its SimHash fingerprint and the group of its near duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), bits=4, shingle=4, seed=42)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_token_counts, op3_preference_format, op4_bpe_round_trip, op5_license_scan, op6_common_prefix_tree, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_token_counts, op3_preference_format, op4_bpe_round_trip, op5_license_scan, op6_common_prefix_tree, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k, op11_simhash_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
