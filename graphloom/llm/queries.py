@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, kneser_ney, license_scan, packing, preference, probminhash, quality, simhash, suffix_dedup, token_counts, topk
+from graphloom.llm import bpe, kneser_ney, license_scan, packing, preference, probminhash, quality, simhash, suffix_dedup, token_counts, topk, turn_repair
 from graphloom.session import table
 
 
@@ -69,8 +69,13 @@ def op11_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), bits=4, shingle=4, seed=42)
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by hash and repaired by the cheapest edits."""
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_token_counts, op3_preference_format, op4_bpe_round_trip, op5_license_scan, op6_common_prefix_tree, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k, op11_simhash_trees)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_token_counts, op3_preference_format, op4_bpe_round_trip, op5_license_scan, op6_common_prefix_tree, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k, op11_simhash_trees, op12_turn_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
