@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, kneser_ney, license_scan, packing, preference, probminhash, quality, simhash, suffix_dedup, token_counts, topk, turn_repair
+from graphloom.llm import bpe, kneser_ney, license_scan, packing, phrases, preference, probminhash, quality, simhash, suffix_dedup, token_counts, topk, turn_repair
 from graphloom.session import table
 
 
@@ -74,12 +74,17 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, share=100, limit=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_token_counts, op3_preference_format, op4_bpe_round_trip, op5_license_scan, op6_common_prefix_tree, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k, op11_simhash_trees, op12_turn_repair)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_token_counts, op3_preference_format, op4_bpe_round_trip, op5_license_scan, op6_common_prefix_tree, op7_quality_rules, op8_best_two_fit, op9_probminhash, op10_threshold_top_k, op11_simhash_trees, op12_turn_repair, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_format": OP3_SQL, "op5_license_scan": op5_sql(), "op10_threshold_top_k": OP10_SQL}
+    return {"op3_preference_format": OP3_SQL, "op5_license_scan": op5_sql(), "op10_threshold_top_k": OP10_SQL, "op13_phrases": OP13_SQL}
 
 
 OP10_SQL = """
@@ -102,6 +107,49 @@ WITH g AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), o AS (
+  SELECT lang, piece, unnest(w) AS w, unnest(range(len(w))) AS i FROM w
+), l AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER v AS w2, lead(w, 2) OVER v AS w3, lead(w, 3) OVER v AS w4, lead(w, 4) OVER v AS w5 FROM o WINDOW v AS (PARTITION BY piece ORDER BY i)
+), g AS (
+  SELECT lang, w1 AS phrase, 1 AS k FROM l
+  UNION ALL SELECT lang, w1 || ' ' || w2, 2 FROM l WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3 FROM l WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 FROM l WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5, 5 FROM l WHERE w5 IS NOT NULL
+), f AS (
+  SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY ALL
+), t AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 100
+), h AS (
+  -- what a longer candidate holds
+  SELECT lang, array_to_string(w[x.i:x.i+y.m-1], ' ') AS phrase, max(a) AS longer
+  FROM c, (VALUES (1), (2), (3), (4)) x(i), (VALUES (2), (3), (4)) y(m)
+  WHERE x.i + y.m - 1 <= k AND y.m < k GROUP BY ALL
+), s AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j+1:], ' ') AS tail
+  FROM c, (VALUES (1), (2), (3), (4)) v(j) WHERE j < k
+), r AS (
+  SELECT s.lang, s.phrase, s.a, s.j, l.a AS l, r.a AS r, t.n, CAST(CAST(1000 AS HUGEINT) * s.a * t.n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM s JOIN f l ON l.lang = s.lang AND l.phrase = s.head JOIN f r ON r.lang = s.lang AND r.phrase = s.tail JOIN t ON t.lang = s.lang
+), b AS (
+  SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), z AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+  FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE h.longer IS NULL OR 100 * h.longer < 100 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000
+"""
+
 OP3_SQL = """
 WITH said AS (
   SELECT conv_id, min(turn) AS first, max(turn) AS last, arg_min(text, turn) AS early

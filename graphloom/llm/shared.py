@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.session import fresh, shared_dir, written
 
-__all__ = ["HashFiles", "fresh", "map_file", "mounted", "once", "only", "put_file", "shards_for", "shared_dir", "store_hashes", "written"]
+__all__ = ["BitFilter", "HashFiles", "fresh", "map_file", "mounted", "once", "only", "put_file", "shards_for", "shared_dir", "store_filter", "store_hashes", "written"]
 
 #: Bytes of the table that a shard stands for; what a task holds of one shard is a small multiple.
 SHARD_BYTES = 64 << 20
@@ -151,6 +151,63 @@ class HashFiles:
         return out
 
 
+#: Bits of a filter for each value, the most that a filter has, and those of one file.
+FILTER_BITS, FILTER_MOST, FILTER_FILE = 16, 1 << 32, 1 << 26
+
+
+@dataclass(frozen=True)
+class BitFilter:
+    """Files of :func:`store_filter`: a set of 64-bit hashes that has false members but misses none."""
+
+    folder: str
+    bits: int
+    per: int  # bits of one file
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The file and two bits in it for each hash."""
+        per = np.uint64(self.per - 1)
+        two = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        return ((h >> np.uint64(32)) % np.uint64(self.bits // self.per)).astype(np.int64), h & per, two & per
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        file, one, two = self.places(h)
+        for f in np.unique(file).tolist():
+            own = np.flatnonzero(file == f) if self.bits > self.per else slice(None)
+            (held,) = map_file(f"{self.folder}/{f}", (np.uint8,))
+            if len(held):
+                out[own] = np.logical_and(*((held[(x[own] >> np.uint64(3)).astype(np.int64)] >> (x[own] & np.uint64(7)).astype(np.uint8)) & 1 for x in (one, two)))
+        return out
+
+
+def store_filter(hashes: DataFrame, kind: str) -> BitFilter:
+    """The one long column of ``hashes`` as a bit table in the shared folder.
+
+    Its size follows the number of hashes up to a bound, beyond which it lets more through; callers
+    only save work by it and decide by exact counts.
+    """
+    n, column = hashes.count(), hashes.columns[0]
+    bits = 1 << min(FILTER_MOST.bit_length() - 1, max(16, (FILTER_BITS * n).bit_length()))
+    made = BitFilter(mounted(fresh(hashes.sparkSession, kind)), bits, min(bits, FILTER_FILE))
+    files = bits // made.per
+
+    def put(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            file, one, two = made.places(batch.column(1).to_numpy().view(np.uint64))
+            for f in np.unique(file).tolist():
+                table = held.setdefault(f, np.zeros(made.per // 8, np.uint8))
+                at = np.concatenate([one[file == f], two[file == f]])
+                np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7), dtype=np.uint64).astype(np.uint8))
+        for f, table in held.items():
+            put_file(f"{made.folder}/{f}", table)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64())], ["file"])
+
+    file = F.pmod(F.shiftrightunsigned(column, 32), F.lit(files)).alias("file")
+    hashes.select(file, column).repartition(files, "file").mapInArrow(put, "file long").agg(F.count("*")).collect()
+    return made
+
+
 def only(df: DataFrame, h: Column, hashes: DataFrame, kind: str) -> DataFrame:
     """Rows of ``df`` whose hash ``h`` is in the one column of ``hashes``; wide rows are neither shuffled nor sent to Python.
 

@@ -61,11 +61,14 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words ``[^\\x20\\x09-\\x0D]+``, and how many words each text has."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words ``[^\\x20\\x09-\\x0D]+``, and how many words each text has.
+
+    ``between`` tells for each of the 256 bytes whether it parts words.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
