@@ -154,7 +154,7 @@ def entries(rows: Iterator[tuple]) -> Iterator[tuple]:
                 yield conv, turn, role, text, n, "duplicate"
 
 
-SEGMENTS = "part int, seq int, costs array<long>, ranks array<int>, audits array<string>, closed boolean, blank long, duplicate long, truncated long, illegal long, head string, tail string, low long, high long, turns long, copies array<long>, roles array<string>, texts array<string>"
+SEGMENTS = "part int, seq int, costs array<long>, ranks array<int>, audits array<string>, opened boolean, closed boolean, blank long, duplicate long, truncated long, illegal long, head string, tail string, low long, high long, turns long, copies array<long>, roles array<string>, texts array<string>"
 
 
 def segment(rows: list[tuple], opened: bool, closed: bool) -> dict:
@@ -177,7 +177,7 @@ def segment(rows: list[tuple], opened: bool, closed: bool) -> dict:
     illegal = sum(a + b not in LEGAL for a, b in zip(initials, initials[1:])) + sum(n - 1 for *_, n, _ in rows)
     known = [t for _, t, *_ in rows if t is not None]
     return {
-        "costs": costs, "ranks": ranks, "audits": audits, "closed": closed, "blank": count("blank"), "duplicate": count("duplicate"), "truncated": count("truncated"),
+        "costs": costs, "ranks": ranks, "audits": audits, "opened": opened, "closed": closed, "blank": count("blank"), "duplicate": count("duplicate"), "truncated": count("truncated"),
         "illegal": illegal, "head": initials[0], "tail": initials[-1], "low": min(known, default=None), "high": max(known, default=None), "turns": len(set(known)),
         "copies": forced, "roles": ["" if f else r[2] for f, r in zip(forced, rows)], "texts": ["" if f else r[3] for f, r in zip(forced, rows)],
     }
@@ -314,29 +314,17 @@ def pieces(chosen: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
-def repair(turns: DataFrame, damaged: DataFrame | None = None) -> DataFrame:
-    """One row for each conversation of ``turns``: faults, the cheapest edits and the hash of the repaired turns.
-
-    The rows to repair are those of ``damaged``, ``(conv_id, turn, role, text)`` without null roles and texts; by default those that :func:`damage` makes.
-    """
-    reach_workers(turns.sparkSession)
-    cut = written(segments(in_order(damage(turns) if damaged is None else damaged)), "segments")
-    # small numbers per segment; Spark broadcasts them where they are few
-    parts = pieces(cut.join(choose(cut), ["part", "seq"]))
-    # every conversation has a row, also if no turn of it is left
-    marks = turns.select("conv_id").distinct().select("conv_id", F.lit(-1).alias("part"), F.lit(-1).alias("seq"))
-    rows = parts.unionByName(marks, allowMissingColumns=True).repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
-    schema = f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
+def together(rows: DataFrame) -> DataFrame:
+    """One row for each conversation from the pieces of its segments, which follow one another in a partition; the text is hashed as it passes."""
+    schema = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
     arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for conv, own in by_conversation(batches):
-            total = dict.fromkeys(("conv_id", *COUNTS, "cost", "turns"), 0) | {"conv_id": conv}
+            total = dict.fromkeys((*COUNTS, "cost", "turns"), 0)
             audit, digest, lines, low, high, tail = [], hashlib.sha256(), False, None, None, None
             for r in own:
-                if r["part"] < 0:
-                    continue
                 for k in (*COUNTS, "cost"):
                     total[k] += r[k]
                 total["illegal"] += tail is not None and tail + r["head"] not in LEGAL
@@ -348,7 +336,7 @@ def repair(turns: DataFrame, damaged: DataFrame | None = None) -> DataFrame:
                     digest.update((("\n" if lines else "") + r["lines"]).encode())
                     lines = True
             seen = total.pop("turns")
-            out.append(total | {"gaps": high - low + 1 - seen if seen else 0, "audit": "".join(audit), "repaired_sha256": digest.hexdigest()})
+            out.append(total | {"conv_id": conv, "gaps": high - low + 1 - seen if seen else 0, "audit": "".join(audit), "repaired_sha256": digest.hexdigest()})
             if len(out) >= 1024:
                 yield pa.RecordBatch.from_pylist(out, arrow)
                 out = []
@@ -356,3 +344,22 @@ def repair(turns: DataFrame, damaged: DataFrame | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, arrow)
 
     return rows.mapInArrow(run, schema)
+
+
+def repair(turns: DataFrame, damaged: DataFrame | None = None) -> DataFrame:
+    """One row for each conversation of ``turns``: faults, the cheapest edits and the hash of the repaired turns.
+
+    The rows to repair are those of ``damaged``, ``(conv_id, turn, role, text)`` without null roles and texts; by default those that :func:`damage` makes.
+    """
+    reach_workers(turns.sparkSession)
+    cut = written(segments(in_order(damage(turns) if damaged is None else damaged)), "segments")
+    # a conversation in one segment is finished where it lies
+    is_whole = F.col("opened") & F.col("closed")
+    whole = together(pieces(cut.where(is_whole).withColumn("path", F.lit(END)).withColumn("last", F.lit("")).withColumn("last_cost", F.lit(0))))
+    rest = cut.where(~is_whole)
+    others = together(pieces(rest.join(choose(rest), ["part", "seq"])).repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq"))
+    # every conversation has a row, also if no turn of it is left
+    ids, seen = turns.select("conv_id").distinct(), cut.select(F.col("conv_id").alias("seen")).distinct()
+    zeros = [F.lit(0).cast("long").alias(c) for c in ("gaps", *COUNTS, "cost")]
+    gone = ids.join(seen, F.col("conv_id").eqNullSafe(F.col("seen")), "left_anti").select("conv_id", *zeros, F.lit("").alias("audit"), F.lit(hashlib.sha256().hexdigest()).alias("repaired_sha256"))
+    return whole.unionByName(others).unionByName(gone)
