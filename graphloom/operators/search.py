@@ -22,14 +22,11 @@ from pyspark.sql.types import StringType
 
 from graphloom.functions.porter import porter_stem, stem
 from graphloom.functions.text import collapsed, query_terms, tokens
-from graphloom.session import reach_workers, written
+from graphloom.operators.vectors import VectorIndex, rows_of, search_blocks, store_vectors
+from graphloom.session import fresh, reach_workers, written
 
 K1, B = 1.2, 0.75
 
-#: Vectors in a block of the table and in a block of queries.
-VECTORS, QUERIES = 4096, 256
-
-
 #: Prefixes up to which a search names them in its plan, so that the scan of the index skips all else.
 NAMED = 64
 
@@ -152,23 +149,24 @@ def top(rows: DataFrame, k: int, by: str = "score") -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
 
-def search_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search_vectors(vectors: DataFrame | VectorIndex, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, id, dist, similarity)``: the nearest ``k`` (1 to 200) of each query by Euclidean distance.
 
-    A single query is a constant of the plan; more are dealt into blocks that meet blocks of
-    vectors. Only ``k`` rows per query and block reach the last exchange.
+    A stored index is searched block by block. Of vectors without one, a single query is a
+    constant of the plan; for more the index is stored first.
     """
     k = max(1, min(200, k))
-    asks = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    if isinstance(vectors, VectorIndex):
+        rows = search_blocks(vectors, queries, k)
+        return rows.select("query_id", "id", "dist", similarity(F.col("dist")).alias("similarity"))
+    asks = rows_of(queries, "query_id", "vector")
     asked = asks.limit(2).collect()
-    rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("v"))
     if len(asked) > 1:
-        rows = _block_distances(rows, asks, k)
-        best = Window.partitionBy("query_id").orderBy("dist", "id")
-        rows = rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
-        return rows.select("query_id", "id", "dist", similarity(F.col("dist")).alias("similarity"))
-    each = F.array(*(F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.array(*map(F.lit, r["q"])).alias("q")) for r in asked))
-    rows = rows.select("id", "v", F.inline(each))
+        return search_vectors(store_vectors(vectors, fresh(vectors.sparkSession, "vectors")), queries, k)
+    kind = queries.schema["query_id"].dataType
+    each = F.array(*(F.struct(F.lit(r["id"]).cast(kind).alias("query_id"), F.array(*map(F.lit, r["v"])).alias("q")) for r in asked))
+    rows = rows_of(vectors, "id", "embedding")
+    rows = rows.where(F.col("dim") == len(asked[0]["v"])).select("id", "v", F.inline(each)) if asked else rows.select("id", "v", F.lit(None).cast(kind).alias("query_id"), F.col("v").alias("q")).limit(0)
     gap = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     rows = rows.select("query_id", "id", F.round(F.sqrt(gap), 9).alias("dist"))
     best = Window.partitionBy("query_id").orderBy("dist", "id")
@@ -176,32 +174,6 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", "id", "dist", similarity(F.col("dist")).alias("similarity"))
 
 
-def _block_distances(rows: DataFrame, asks: DataFrame, k: int) -> DataFrame:
-    """``(query_id, id, dist)``: each query's nearest ``k`` of every block of vectors of its dimension."""
-    reach_workers(rows.sparkSession)
-    rows = rows.where("id is not null and not exists(v, x -> x is null)").withColumn("dim", F.size("v"))
-    asks = asks.where("query_id is not null and not exists(q, x -> x is null)").withColumn("of_dim", F.size("q"))
-    v_blocks, q_blocks = (max(1, -(-x.count() // n)) for x, n in ((rows, VECTORS), (asks, QUERIES)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = rows.withColumn("v_block", F.pmod(F.xxhash64("id"), F.lit(v_blocks)).cast("int")).withColumn("q_block", every(q_blocks))
-    asks = asks.withColumn("of_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("of_v", every(v_blocks))
-
-    def nearest(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(mine) and len(asked):
-            mine = mine.sort_values("id", kind="stable")
-            v, ids = np.stack(mine["v"].to_list()), mine["id"].to_numpy()
-            for own, q in zip(asked["query_id"], asked["q"]):
-                dist = np.round(np.sqrt(((v - q) ** 2).sum(axis=1)), 9)
-                # rows follow ids, so the smaller id wins a tie
-                at = np.argsort(dist, kind="stable")[:k]
-                out.append(pd.DataFrame({"query_id": own, "id": ids[at], "dist": dist[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype=object), "dist": pd.Series(dtype="float64")})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.groupBy("dim", "v_block", "q_block").cogroup(asks.groupBy("of_dim", "of_v", "of_q")).applyInPandas(nearest, f"query_id long, id {kind}, dist double")
-
-
 def similarity(dist):
     """Cosine of unit vectors from their distance, within 0 and 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - dist * dist / 2))
@@ -223,11 +195,12 @@ def with_summary(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return hits.join(meta, "id", "left")
 
 
-def hybrid(index: Index, nodes: DataFrame, vectors: DataFrame, texts: DataFrame, query_vectors: DataFrame, limit: int, node_type: str | None = None, prefilter: bool = False) -> DataFrame:
+def hybrid(index: Index, nodes: DataFrame, vectors: DataFrame | VectorIndex, texts: DataFrame, query_vectors: DataFrame, limit: int, node_type: str | None = None, prefilter: bool = False) -> DataFrame:
     """Both legs over-fetched threefold, then fused.
 
     A type filter takes hits of other types out of the lexical leg before its cut, and out of the
-    semantic leg after it, or before it with ``prefilter``; terms are weighed over all nodes.
+    semantic leg after it, or before it with ``prefilter``, which needs the vectors and not their index;
+    terms are weighed over all nodes.
     """
     if node_type is None:
         return fuse(search_index(index, texts, 3 * limit), search_vectors(vectors, query_vectors, 3 * limit), limit)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import uuid_of
 from graphloom.operators.search import Index, open_index, store_index
+from graphloom.operators.vectors import VectorIndex, open_vectors, store_vectors
 from graphloom.session import fresh, table
 
 COLUMNS = ["id", "type", "title", "body_md", "jsonld", "kind", "project_id", "collection_id", "pi_id", "reference_ids", "summary", "updated_at"]
@@ -69,19 +72,29 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-#: Where the lexical index of a folder was stored, by application, folder and its files.
+#: Where the indexes of a folder were stored, by kind, application, folder and its files.
 _STORED: dict[tuple, str] = {}
 
 
-def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The lexical index of all nodes, written in the shared folder once per application and read from there."""
-    files = tuple(sorted(f for t in ("documents", "pages", "nation", "region") for f in table(spark, sf_dir, t).inputFiles()))
-    key = (spark.sparkContext.applicationId, sf_dir, files)
+def _stored(spark: SparkSession, sf_dir: str, kind: str, tables: tuple[str, ...], store: Callable[[str], object]) -> str:
+    """The path of an index, written by ``store`` in the shared folder once per application."""
+    files = tuple(sorted(f for t in tables for f in table(spark, sf_dir, t).inputFiles()))
+    key = (kind, spark.sparkContext.applicationId, sf_dir, files)
     if key not in _STORED:
-        path = fresh(spark, "index")
-        store_index(nodes(spark, sf_dir), path)
+        path = fresh(spark, kind)
+        store(path)
         _STORED[key] = path
-    return open_index(spark, _STORED[key])
+    return _STORED[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The lexical index of all nodes."""
+    return open_index(spark, _stored(spark, sf_dir, "index", ("documents", "pages", "nation", "region"), lambda path: store_index(nodes(spark, sf_dir), path)))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored blocks of all vectors."""
+    return open_vectors(spark, _stored(spark, sf_dir, "vectors", ("embeddings", "documents"), lambda path: store_vectors(vectors(spark, sf_dir), path)))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,7 +393,7 @@ def r8_every_bm25(s, d):
 
 @query("WITH" + VEC + "SELECT query_id, id, round(dist, 6) AS dist FROM near WHERE k <= 50", True)
 def r5_every_top_k(s, d):
-    return _six(search.search_vectors(kb.vectors(s, d), _asked_vectors(s, d), 50), "dist").select("query_id", "id", "dist")
+    return _six(search.search_vectors(kb.vector_index(s, d), _asked_vectors(s, d), 50), "dist").select("query_id", "id", "dist")
 
 
 @query("SELECT doc_id, regexp_replace(text, '(?i)(^|[^\\p{L}\\p{N}])((?:the|on)[\\p{L}\\p{N}]*)', '\\1<mark>\\2</mark>', 'g') AS snippet FROM documents")
@@ -427,18 +427,18 @@ def r4_type_filter(s, d):
 @query("WITH" + VEC + "SELECT query_id, id, round(dist, 6) AS dist FROM near WHERE k <= 1", True)
 def r5_vector_top_k(s, d):
     """The one nearest vector of each; a bound below 1 counts as 1."""
-    return _six(search.search_vectors(kb.vectors(s, d), _asked_vectors(s, d), 0), "dist").select("query_id", "id", "dist")
+    return _six(search.search_vectors(kb.vector_index(s, d), _asked_vectors(s, d), 0), "dist").select("query_id", "id", "dist")
 
 
 @query("WITH" + VEC + "SELECT query_id, id, round(greatest(0, least(1, 1 - dist * dist / 2)), 6) AS similarity FROM near WHERE k <= 200", True)
 def r6_similarity(s, d):
-    return _six(search.search_vectors(kb.vectors(s, d), _asked_vectors(s, d), 200), "similarity").select("query_id", "id", "similarity")
+    return _six(search.search_vectors(kb.vector_index(s, d), _asked_vectors(s, d), 200), "similarity").select("query_id", "id", "similarity")
 
 
 @query("WITH" + BM25 + "," + VEC + "," + FUSE.replace("LIM", "25") + "SELECT w.query_id, w.id, round(lex, 6) AS score_lex, round(sem, 6) AS score_sem, round(0.4 * lex + 0.4 * sem, 6) AS score, n.type, n.title, n.summary FROM w JOIN nodes n ON n.id = w.id WHERE k <= 25", True)
 def r7_hybrid_search(s, d):
     n = kb.nodes(s, d)
-    hits = search.hybrid(kb.index(s, d), n, kb.vectors(s, d), _asked(s, d), _asked_vectors(s, d), 25)
+    hits = search.hybrid(kb.index(s, d), n, kb.vector_index(s, d), _asked(s, d), _asked_vectors(s, d), 25)
     return _six(search.with_summary(hits, n), "score_lex", "score_sem", "score").select("query_id", "id", "score_lex", "score_sem", "score", "type", "title", "summary")
 
 
@@ -1015,7 +1015,7 @@ def j1_postings_join(s, d):
 
 @query("WITH" + BM25 + "," + VEC + "SELECT query_id, count(*) AS n FROM (SELECT query_id, id FROM lex UNION SELECT query_id, id FROM near WHERE k <= 75) GROUP BY 1", True)
 def x2_candidate_union(s, d):
-    lexical, semantic = search.search_index(kb.index(s, d), _asked(s, d)), search.search_vectors(kb.vectors(s, d), _asked_vectors(s, d), 75)
+    lexical, semantic = search.search_index(kb.index(s, d), _asked(s, d)), search.search_vectors(kb.vector_index(s, d), _asked_vectors(s, d), 75)
     return lexical.select("query_id", "id").join(semantic.select("query_id", "id"), ["query_id", "id"], "full_outer").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
@@ -1028,7 +1028,7 @@ def w9_top_per_query(s, d):
 @query("WITH" + BM25 + "," + VEC + "," + FUSE.replace("LIM", "25").replace("FROM lex)", "FROM lex SEMI JOIN (SELECT id FROM nodes WHERE type = 'note') q USING (id))").replace("FROM near WHERE", "FROM near SEMI JOIN (SELECT id FROM nodes WHERE type = 'note') q USING (id) WHERE") + "SELECT w.query_id, w.id, round(0.4 * lex + 0.4 * sem, 6) AS score, n.title, n.summary, string_agg(w.id, ',') OVER (PARTITION BY w.query_id ORDER BY round(0.4 * lex + 0.4 * sem, 9) DESC, w.id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS provenance FROM w JOIN nodes n ON n.id = w.id WHERE k <= 25", True)
 def r9_search_nodes(s, d):
     n = kb.nodes(s, d)
-    hits = search.search_nodes(search.hybrid(kb.index(s, d), n, kb.vectors(s, d), _asked(s, d), _asked_vectors(s, d), 25, "note"), n)
+    hits = search.search_nodes(search.hybrid(kb.index(s, d), n, kb.vector_index(s, d), _asked(s, d), _asked_vectors(s, d), 25, "note"), n)
     return _six(hits, "score").select("query_id", "id", "score", "title", "summary", F.array_join("provenance", ",").alias("provenance"))
 
 

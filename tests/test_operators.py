@@ -597,20 +597,3 @@ def test_concat_bodies_gathers_only_what_is_shown(spark):
     # the blocks are bounded, however large the group
     sizes = listings._position_blocks(ids.select("group_id", "pos", F.lit(1).cast("long").alias("room")), 16)
     assert max(r.room for r in sizes.collect()) <= 32 and sizes.agg(F.sum("room")).first()[0] == 3003
-
-
-def test_many_vector_queries_meet_blocks(spark, monkeypatch):
-    """As many queries as rows are not planned as literals, and give what each gives alone."""
-    monkeypatch.setattr(search, "VECTORS", 16)
-    monkeypatch.setattr(search, "QUERIES", 8)
-    rows = [(f"n{i:03}", [float((i * k) % 7) for k in (1, 3, 5)]) for i in range(60)]
-    vectors = spark.createDataFrame(rows, "id string, embedding array<float>")
-    queries = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows[:30])], "query_id long, vector array<float>")
-    found = search.search_vectors(vectors, queries, 5)
-    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20000
-    got = {}
-    for r in found.collect():
-        got.setdefault(r.query_id, set()).add((r.id, r.dist))
-    gap = lambda a, b: round(sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5, 9)
-    assert got == {i: {(n, d) for d, n in sorted((gap(v, w), n) for n, w in rows)[:5]} for i, (_, v) in enumerate(rows[:30])}
-    assert "Cogroup" in found._jdf.queryExecution().optimizedPlan().toString() or "CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()
