@@ -16,7 +16,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -284,6 +285,34 @@ STOP = (
 ).split()
 
 
+#: Bytes of a window and of a gram in it; a window is known by the least hash of its grams.
+WINDOW, GRAM = 40, 12
+
+
+def window_marks(data: np.ndarray) -> np.ndarray:
+    """The least gram hash of every window of some bytes, each once; none of fewer bytes than a window has."""
+    if len(data) < WINDOW:
+        return np.zeros(0, np.int64)
+    grams = np.zeros(len(data) - GRAM + 1, np.uint64)
+    for j in range(GRAM):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + data[j : j + len(grams)].astype(np.uint64)
+    grams = ((grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).min(axis=1))
+
+
+def _marks(text: Column, most: int | None = None) -> Column:
+    """The marks of all windows of a text, or of its first ``most`` bytes."""
+
+    @F.arrow_udf("array<long>")
+    def marks(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_binary())
+        found = [window_marks(np.frombuffer(t.as_buffer(), np.uint8)[:most]) if t.is_valid else np.zeros(0, np.int64) for t in texts]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+
+    return marks(text)
+
+
 def passages(blocks: DataFrame, claims: DataFrame) -> DataFrame:
     """``(claim_id, doc_id, pos, stage, score)``: the best block of each claim's document.
 
@@ -292,30 +321,43 @@ def passages(blocks: DataFrame, claims: DataFrame) -> DataFrame:
     counts by how few blocks of the document have it, and the share of the block's words that
     match breaks near ties. Blank blocks are left out.
 
-    A block that holds 40 characters holds the words within them, so a claim meets only the
-    blocks with its longest such word; a claim without any meets all blocks of its document.
+    Blocks are found by marks: the least gram hash of every window of 40 bytes, about one mark for
+    15 bytes. A block that holds a claim's first 40 characters has the mark of the claim's first
+    window. Shorter claims have none and are found by their longest whole word, or in all blocks of
+    their document if they hold none. Marks and words travel without the text, which is joined for
+    hits only and decides there.
     """
+    spark = blocks.sparkSession
+    reach_workers(spark)
     words = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 3) & ~t.isin(STOP))
     flat = lambda c: F.lower(collapsed(c))
-    blocks = blocks.select("doc_id", "pos", flat(F.col("text")).alias("flat"), words(F.col("text")).alias("all")).where("flat <> ''")
-    blocks = blocks.select("doc_id", "pos", "flat", F.size("all").alias("n_words"), F.array_distinct("all").alias("words"))
-    claims = claims.select("claim_id", "doc_id", flat(F.col("claim")).alias("claim"), F.array_distinct(words(F.col("claim"))).alias("asked"))
-    # whole words of the first 40 characters: the outer two may be parts of words
-    inner = F.split(F.substring("claim", 1, 40), " ")
+    held = blocks.select("doc_id", "pos", flat(F.col("text")).alias("flat"), words(F.col("text")).alias("all")).where("flat <> ''")
+    held = written(held.select("doc_id", "pos", "flat", F.size("all").alias("n_words"), F.array_distinct("all").alias("words")), "blocks")
+    claims = written(claims.select("claim_id", "doc_id", flat(F.col("claim")).alias("claim"), F.array_distinct(words(F.col("claim"))).alias("asked")), "claims")
+
+    begins = F.substring("claim", 1, 40)
+    said = claims.where("claim <> ''").select("claim_id", "doc_id", "claim", begins.alias("begins"), (F.octet_length(begins) >= WINDOW).alias("long"))
+    marked = said.where("long").select("claim_id", "doc_id", "claim", F.get(_marks(F.col("begins"), WINDOW), 0).alias("mark"))
+    by_mark = marked.join(held.select("doc_id", "pos", F.explode(_marks(F.col("flat"))).alias("mark")), ["doc_id", "mark"]).select("claim_id", "doc_id", "claim", "pos")
+    # whole words of a short claim: the outer two may be parts of words
+    inner = F.split("claim", " ")
     inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
     longest = F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    anchored = claims.where("claim <> ''").select("claim_id", "doc_id", "claim", longest.alias("anchor"))
+    short = said.where("not long").select("claim_id", "doc_id", "claim", longest.alias("word"))
+    worded = held.join(short.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "pos", F.explode(F.array_distinct(F.split("flat", " "))).alias("word"))
+    by_word = short.where("word <> ''").join(worded, ["doc_id", "word"]).select("claim_id", "doc_id", "claim", "pos")
+    by_doc = short.where("word = ''").join(held.select("doc_id", "pos"), "doc_id").select("claim_id", "doc_id", "claim", "pos")
     inside = lambda n: F.contains("flat", F.substring("claim", 1, n))
-    verbatim = F.when(inside(1 << 20), 1).when(inside(60), 2).when(inside(40), 3)
-    at_word = blocks.select("doc_id", "pos", "flat", F.explode(F.array_distinct(F.split("flat", " "))).alias("anchor"))
-    held = anchored.where("anchor <> ''").join(at_word, ["doc_id", "anchor"]).select("claim_id", "doc_id", "claim", "pos", "flat")
-    held = held.unionByName(anchored.where("anchor = ''").join(blocks.select("doc_id", "pos", "flat"), "doc_id").select("claim_id", "doc_id", "claim", "pos", "flat"))
-    first = held.withColumn("stage", verbatim).where("stage is not null").select("claim_id", "doc_id", "pos", "stage", F.lit(0.0).alias("score"))
-    n = blocks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    told_by = blocks.select("doc_id", "pos", "n_words", F.explode("words").alias("w"))
+    verbatim = F.when(F.contains("flat", F.col("claim")), 1).when(inside(60), 2).when(inside(40), 3)
+    near = by_mark.unionByName(by_word).unionByName(by_doc).join(held.select("doc_id", "pos", "flat"), ["doc_id", "pos"])
+    first = near.withColumn("stage", verbatim).where("stage is not null").select("claim_id", "doc_id", "pos", "stage", F.lit(0.0).alias("score"))
+
+    n = held.groupBy("doc_id").agg(F.count("*").alias("n"))
+    asked = claims.select("claim_id", "doc_id", F.size("asked").alias("terms"), F.explode("asked").alias("w"))
+    # words that some claim on the document has, in each of its blocks
+    told_by = written(held.select("doc_id", "pos", "n_words", F.explode("words").alias("w")).join(asked.select("doc_id", "w").distinct(), ["doc_id", "w"], "left_semi"), "words")
     df = told_by.groupBy("doc_id", "w").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    asked = claims.select("claim_id", "doc_id", F.size("asked").alias("terms"), F.explode("asked").alias("w"))
     told = asked.join(df, ["doc_id", "w"]).join(n, "doc_id").select("claim_id", "doc_id", "terms", "w", idf.alias("idf"))
     hit = told.join(told_by, ["doc_id", "w"]).groupBy("claim_id", "doc_id", "terms", "pos", "n_words").agg(F.sum("idf").alias("sum"), F.count("*").alias("hits"))
     density = F.col("hits") / F.least(F.lit(40), F.greatest(F.lit(1), F.col("n_words")))
