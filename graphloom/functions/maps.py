@@ -51,3 +51,12 @@ def bucket_of(node_type: Column) -> Column:
 def mime_of(ext: Column) -> Column:
     """MIME type of an extension with or without its dot; the empty string for unknown ones."""
     return F.coalesce(_lookup(MIME_TYPES, F.regexp_replace(F.lower(ext), r"^\.", "")), F.lit(""))
+
+
+#: MIME types by extension of images within office files; others cannot be shown.
+IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "jfif": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml"}
+
+
+def image_mime_of(ext: Column) -> Column:
+    """MIME type of an embedded image by its extension; null for those that browsers do not show, as TIFF and Windows metafiles."""
+    return _lookup(IMAGE_TYPES, ext)

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from graphloom.functions.blocks import prefixes
+from graphloom.functions.html import tables_of
 from graphloom.functions.text import data_url, is_front_matter, paragraphs, repair_mime, stripped, uuid_of
 from graphloom.session import reach_workers
 
@@ -58,51 +58,13 @@ def inline_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, styled(F.col(text_col)).alias("runs"))
 
 
-class _Tables(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tables: list[list[list[str]]] = []
-        self.cell: list[str] | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1]:
-            self.cell = []
-        elif tag in ("p", "div", "br", "li") and self.cell:
-            self.cell.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            lines = "".join(self.cell).split("\n")
-            self.tables[-1][-1].append("\n".join(x for x in (" ".join(p.split()) for p in lines) if x))
-            self.cell = None
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
-
-
-def tables_of(html: str) -> list[list[list[str]]]:
-    parser = _Tables()
-    parser.feed(html or "")
-    parser.close()
-    out = []
-    for t in parser.tables:
-        width = max(map(len, t), default=0)
-        out.append([r + [""] * (width - len(r)) for r in t])
-    return out
-
-
 def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(id, pos, rows)`` of every table of every page, ragged rows padded; a narrow map."""
     reach_workers(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, t) for i, h in enumerate(batch.column(1).to_pylist()) for k, t in enumerate(tables_of(h))]
+            rows = [(i, k, t) for i, h in enumerate(batch.column(1).to_pylist()) for k, t in enumerate(tables_of(h or ""))]
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.string())))], ["_id", "pos", "rows"])
 

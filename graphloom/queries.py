@@ -135,6 +135,12 @@ def p19_mime(s, d):
     return table(s, d, "documents").select("doc_id", maps.mime_of(ext).alias("mime"))
 
 
+@query("SELECT doc_id, (['image/png', 'image/jpeg', NULL, 'image/jpeg', NULL, 'image/svg+xml', NULL])[doc_id % 7 + 1] AS mime FROM documents")
+def p19_image_mime(s, d):
+    ext = F.get(F.array(*map(F.lit, ["png", "jfif", "tif", "jpg", "emf", "svg", "PNG"])), (F.col("doc_id") % 7).cast("int"))
+    return table(s, d, "documents").select("doc_id", maps.image_mime_of(ext).alias("mime"))
+
+
 @query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'data:image/jpeg;base64,/9j/' WHEN 1 THEN 'data:image/png;base64,iVBOR' WHEN 2 THEN 'data:image/gif;base64,R0lGO' WHEN 3 THEN 'data:image/webp;base64,UklGR' WHEN 4 THEN 'data:image/svg+xml;base64,PHN2Z' WHEN 5 THEN 'data:image/svg+xml;base64,PD94b' WHEN 6 THEN 'data:image/png;base64,R0lGx' ELSE 'data:image/gif;base64,x' END || md5(text) AS url FROM documents")
 def p20_repair_mime(s, d):
     heads = [f"data:application/octet-stream;base64,{h}" for h in ("/9j/", "iVBOR", "R0lGO", "UklGR", "PHN2Z", "PD94b", "R0lGx")] + ["data:image/gif;base64,x"]
@@ -630,10 +636,20 @@ def c1_markdown_chunks(s, d):
     return chunks.markdown_chunks(table(s, d, "documents")).select("doc_id", "pos", "kind", F.coalesce("level", F.lit(0)).alias("level"), "text")
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<h1')) AS n_h1, len(regexp_extract_all(html, '<li')) AS n_li FROM pages")
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->|<[^>]*>|[^<]+') AS t FROM pages),
+u AS (SELECT page_id, unnest(t) AS t, unnest(range(len(t))) AS i FROM p),
+b AS (SELECT *, t IN ('<p>', '</p>', '</div>', '<br>', '<h1>', '</h1>', '<li>', '</li>', '<ul>') OR t LIKE '<div%' AS breaks, t LIKE '<%' AS tag FROM u),
+g AS (SELECT *, sum(CASE WHEN breaks THEN 1 ELSE 0 END) OVER w AS part, sum(CASE t WHEN '<b>' THEN 1 ELSE 0 END) OVER w AS bold FROM b WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+c AS (SELECT page_id, part, max(CASE WHEN breaks THEN t END) AS opens, min(CASE WHEN NOT tag THEN bold END) > 0 AS bold,
+  trim(regexp_replace(replace(replace(regexp_replace(replace(string_agg(CASE WHEN NOT tag THEN t ELSE '' END, '' ORDER BY i), '&quot;', '"'), '&amp;?', '&', 'g'), '&copy;', chr(169)), '&middot;', chr(183)), '[ \t\n\r]+', ' ', 'g')) AS text FROM g GROUP BY 1, 2)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY part) - 1 AS INTEGER) AS pos, CASE opens WHEN '<h1>' THEN 'heading' WHEN '<li>' THEN 'bulletListItem' ELSE 'paragraph' END AS kind,
+  CASE opens WHEN '<h1>' THEN 1 ELSE 0 END AS level, text, bold FROM c WHERE text <> ''
+""")
 def c3_html_chunks(s, d):
-    c = html.html_chunks(table(s, d, "pages")).groupBy("page_id").agg(F.count_if(F.col("kind") == "heading").alias("n_h1"), F.count_if(F.col("kind") == "bulletListItem").alias("n_li"))
-    return table(s, d, "pages").select("page_id").join(c, "page_id", "left").fillna(0)
+    """Formatting that is not closed goes on in the blocks after it."""
+    c = html.html_chunks(table(s, d, "pages"))
+    return c.select("page_id", "pos", "kind", F.coalesce("level", F.lit(0)).alias("level"), "text", F.get("inline", 0)["bold"].alias("bold"))
 
 
 @query("SELECT doc_id, len(ls) AS n_rows, len(ls) * list_max(list_transform(ls, lambda l: len(string_split(l, ' ')))) AS n_cells FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)")

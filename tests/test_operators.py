@@ -39,13 +39,6 @@ def test_flatten_blocks(spark):
     assert [blocks._level(x) for x in (None, 0, 1, 2, 2.5, 9, "2", "x", True, "")] == [None, 1, 1, 2, 3, 3, 2, 3, 1, 1]
 
 
-def test_html_chunks():
-    page = "<html><head><title>x</title></head><body><h5>Big</h5><p>one <b>two</b></p><ol><li>n</li></ol><ul><li>b</li></ul><script>no</script><img alt='pic'>tail</body></html>"
-    assert html.chunks_of(page) == [("heading", 3, "Big"), ("paragraph", None, "one two"), ("numberedListItem", None, "n"), ("bulletListItem", None, "b"), ("image", None, "pic"), ("paragraph", None, "tail")]
-    assert ("paragraph", None, "no") in html.chunks_of("<body><script>no</script></body>", keep_scripts=True)
-    assert html.chunks_of("") == []
-
-
 def test_markdown_chunks(spark):
     body = "# Title\r\n\nfirst  line\nsecond\n\n- item\n2. num\n3) prose\n![a](b)\n| a | b |\n|---|:--:|\n| c |\n||\n#### deep\n#\n-\n| not | a table |\n ![x](y)\n| h |\n--- | ---\n| r |\n![](z)"
     df = spark.createDataFrame([(1, body), (2, None), (3, " \n")], "doc_id long, text string")
