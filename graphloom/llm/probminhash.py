@@ -20,7 +20,8 @@ signature with all weights 1 and is placed by its bands too. Where no shingle re
 signatures are the same one. With the default 25 bands of 5 registers, two texts of similarity 0.8 share a bucket with
 probability above 0.9999. Defined results: a text without words (null, empty, white space)
 is near nothing, and its class is its own id; a text of one to four words is one shingle;
-repeated rows are copies; a row without an id takes the class of its text; other columns
+repeated rows are copies; rows of one id are one document: of different texts the one with words whose
+sequence has the smallest hash stands for it, and all its rows have that text's class; a row without an id takes the class of its text; other columns
 are ignored; an empty table gives no rows.
 """
 
@@ -167,8 +168,11 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return max(plain, float((1 / spread).sum()))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """``(_id, h, code, count)``: exact shingle counts of the documents whose id hash is in ``wanted``; one scan, no shuffle of texts."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str, several: DataFrame | None = None) -> DataFrame:
+    """``(_id, h, code, count)``: exact shingle counts of the documents whose id hash is in ``wanted``; one scan, no shuffle of texts.
+
+    Of an id in ``several`` only the text that stands for it counts.
+    """
     known = store_hashes(wanted, "wanted")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,22 +180,25 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, t
             own = known.has(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "h")))
             batch = batch.filter(pa.array(own))
             for a, b, data, offsets in slices(batch.column(1)):
-                owner, code, count, _, _ = features(data, offsets, s.words)
+                owner, code, count, key, key2 = features(data, offsets, s.words)
                 at = np.searchsorted(owner, np.arange(b - a + 1)).tolist()
                 count = count.astype(np.int32)
                 both = [(code[x:y].tobytes(), count[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["_id", "h", "code", "count"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["_id", "h", "key", "key2", "code", "count"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(id_col).alias("h"))
     kind = rows.schema["_id"].dataType.simpleString()
     rows = rows.select("_id", "_text", "h", known.shard("h").alias("shard"))
-    return rows.mapInArrow(shingle, f"_id {kind}, h long, code binary, count binary")
+    found = rows.mapInArrow(shingle, f"_id {kind}, h long, key long, key2 long, code binary, count binary")
+    if several is not None:
+        found = found.join(several.select(F.col("id").alias("_id"), "stands"), "_id", "left").where("stands is null or (key = stands.key and key2 = stands.key2)")
+    return found.select("_id", "h", "code", "count")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str, several: DataFrame | None = None) -> DataFrame:
     """The pairs ``(a, b)`` whose texts are similar enough, from their exact shingle counts."""
     wanted = pairs.select(F.xxhash64("a").alias("h")).union(pairs.select(F.xxhash64("b").alias("h")))
-    sets = once(written(shingle_sets(docs, wanted, s, id_col, text_col), "shingles"), "_id")
+    sets = once(written(shingle_sets(docs, wanted, s, id_col, text_col, several), "shingles"), "_id")
     kind = sets.schema["_id"].dataType.simpleString()
     left = sets.select(F.col("_id").alias("a"), F.col("code").alias("code_a"), F.col("count").alias("count_a"))
     right = sets.select(F.col("_id").alias("b"), F.col("code").alias("code_b"), F.col("count").alias("count_b"))
@@ -302,8 +309,19 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     reach_workers(docs.sparkSession)
     signed = written(sign(docs, s, id_col, text_col), "signed")
     kind = signed.schema["_id"].dataType.simpleString()
+    rows = signed.select("_id", "key", "key2", "n_shingles")
+    # ids with different texts, and the one that stands for each
+    both = F.struct((F.col("n_shingles") == 0).alias("blank"), "key", "key2")
+    several = written(rows.where("_id is not null").groupBy(F.col("_id").alias("id")).agg(F.min(both).alias("stands"), F.max(both).alias("other")).where("stands <> other").select("id", "stands"), "several")
+    own = rows
+    if several.isEmpty():
+        several = None
+    else:
+        known = rows.join(several, rows["_id"] == several["id"], "left")
+        rows = written(known.select("_id", F.coalesce("stands.key", "key").alias("key"), F.coalesce("stands.key2", "key2").alias("key2"), "n_shingles"), "rows")
+        own = known.where("stands is null or (key = stands.key and key2 = stands.key2)").select("_id", "key", "key2", "n_shingles")
     # one text of each word sequence; equal texts have equal signatures, so any of them serves
-    texts = signed.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("_id").alias("id")).where("id is not null")
+    texts = own.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("_id").alias("id")).where("id is not null")
     picked = only(signed.where("_id is not null"), F.xxhash64("_id", "key", "key2"), texts.select(F.xxhash64("id", "key", "key2")), "picked")
     chosen = once(written(picked.select(F.col("_id").alias("id"), "bands", "signature"), "texts"), "id")
     placed = chosen.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
@@ -316,7 +334,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     heads = written(met.join(known, "id").groupBy("bucket").agg(F.max(F.struct("meets", F.xxhash64("id"), F.col("id").alias("head"))).alias("m")).select("bucket", "m.head"), "heads")
     members = written(met.join(heads, "bucket").select("bucket", "n", "id", "head"), "members")
     star = members.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    links = written(verify(written(star, "pairs"), docs, s, id_col, text_col), "links")
+    links = written(verify(written(star, "pairs"), docs, s, id_col, text_col, several), "links")
     groups = components(links)
     # buckets in which different groups still meet
     labelled = members.select("bucket", "n", "id").join(groups, "id", "left").select("bucket", "n", "id", F.coalesce("label", "id").alias("label"))
@@ -325,11 +343,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     open_ = written(labelled.join(mixed, "bucket"), "mixed")
     if not open_.isEmpty():
         open_ = written(open_.join(only(chosen, F.xxhash64("id"), open_.select(F.xxhash64("id")), "open"), "id"), "mixed")
-        sets = StoredSets.store(shingle_sets(docs, open_.select(F.xxhash64("id").alias("h")), s, id_col, text_col))
+        sets = StoredSets.store(shingle_sets(docs, open_.select(F.xxhash64("id").alias("h")), s, id_col, text_col, several))
         links = links.unionByName(_across(open_, sets, s, kind))
         groups = components(links)
     # a table of its own, so that adaptive execution can split the rows of one text's many copies
     classes = written(texts.join(groups, "id", "left").select("key", "key2", F.coalesce("label", "id").alias("class_id")), "classes")
-    out = signed.select("_id", "key", "key2", "n_shingles").join(classes, ["key", "key2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "_id")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias(id_col), own.alias("class_id"), "n_shingles")
+    out = rows.join(classes, ["key", "key2"], "left")
+    return out.select(F.col("_id").alias(id_col), F.coalesce("class_id", "_id").alias("class_id"), "n_shingles")

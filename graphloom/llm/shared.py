@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.session import fresh, shared_dir, written
 
-__all__ = ["BitFilter", "HashFiles", "fresh", "map_file", "mounted", "once", "only", "put_file", "shards_for", "shared_dir", "store_filter", "store_hashes", "written"]
+__all__ = ["BitFilter", "HashFiles", "fresh", "map_file", "mounted", "once", "only", "put_file", "shards_for", "shared_dir", "store_filter", "store_hashes", "unused", "written"]
 
 #: Bytes of the table that a shard stands for; what a task holds of one shard is a small multiple.
 SHARD_BYTES = 64 << 20
@@ -208,8 +208,16 @@ def store_filter(hashes: DataFrame, kind: str) -> BitFilter:
     return made
 
 
-def only(df: DataFrame, h: Column, hashes: DataFrame, kind: str) -> DataFrame:
-    """Rows of ``df`` whose hash ``h`` is in the one column of ``hashes``; wide rows are neither shuffled nor sent to Python.
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case of letters."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def only(df: DataFrame, h: Column, hashes: DataFrame, kind: str, but: bool = False) -> DataFrame:
+    """Rows of ``df`` whose hash ``h`` is in the one column of ``hashes``, or all but those; wide rows are neither shuffled nor sent to Python.
 
     Exact where ``h`` is the hash of one integer, which no other integer shares.
     """
@@ -219,7 +227,8 @@ def only(df: DataFrame, h: Column, hashes: DataFrame, kind: str) -> DataFrame:
     def held(shard: pa.Array, value: pa.Array) -> pa.Array:
         return pa.array(known.has(shard.to_numpy(zero_copy_only=False), value.to_numpy(zero_copy_only=False)), pa.bool_())
 
-    return df.where(held(known.shard(h), h))
+    found = held(known.shard(h), h)
+    return df.where(~found if but else found)
 
 
 def once(df: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from test_llm_operators import brute_classes, kept_bytes, shingle_sets
 
 import corpus_pipeline
-from graphloom.llm import bpe, quality, queries
+from graphloom.llm import bpe, probminhash, quality, queries
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -42,6 +42,27 @@ def test_rows_of_one_id(spark):
     assert got[0] == got[1] and [i for i, _ in got[0]] == [1, 2]
 
 
+def test_texts_of_one_id(spark):
+    """Of an id with different texts one text counts; a copy of the other under another id stays, and columns may have any name."""
+    base = " ".join(f"w{k}" for k in range(60))
+    other = base.replace("w", "x")
+    for swap in (False, True):
+        a, b = (other, base) if swap else (base, other)
+        rows = [(1, a, 1, 2, 3), (1, b, 1, 2, 3), (2, b, 1, 2, 3), (3, a, 1, 2, 3), (4, "", 1, 2, 3), (4, b + " y", 1, 2, 3), (None, a, 1, 2, 3)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, _n int, N int, n_ int")
+        seen = set()
+        for n in (1, 3, 5):
+            kept = corpus_pipeline.near_dedup(spark, df.repartition(n), None)
+            assert kept.columns == df.columns
+            got = sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect())
+            # one row of each id at most, and some copy of either text is left
+            assert len(got) == len({i for i, _ in got}) and {t for _, t in got} >= {a, b}
+            classes = probminhash.near_duplicates(df.repartition(n)).where("doc_id is not null").collect()
+            assert len(classes) == 6 and len({(r.doc_id, r.class_id) for r in classes}) == 4
+            seen.add((tuple(got), tuple(sorted((r.doc_id, r.class_id) for r in classes))))
+        assert len(seen) == 1
+
+
 @needs_tables
 def test_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
