@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, packing, probminhash, quality, suffix_dedup
-from graphloom.llm.shared import only, written
+from graphloom.llm.shared import only, unused, written
 from graphloom.session import table
 
 
@@ -28,20 +28,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    An id names one document: of rows with one id, the one with the smallest hash of its text stands for it.
+    An id names one document: of rows with one id, the one with the smallest hash of its text
+    is that document, and the others go before groups are formed.
     """
-    classes = probminhash.near_duplicates(docs)
+    rows, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    # only texts of ids that occur again are sorted
+    again = written(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.isEmpty():
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", F.to_json(F.struct(*docs.columns)))
+        hashes, n = again.select(F.xxhash64("doc_id")), unused(docs, "n")
+        chosen = only(rows, F.xxhash64("doc_id"), hashes, "again").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
+        rows = written(only(rows, F.xxhash64("doc_id"), hashes, "again", but=True).unionByName(chosen), "of-one-id")
+    classes = probminhash.near_duplicates(rows.unionByName(none))
     kept = classes.where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
     # whole texts stay where they are: ids are looked up in mapped files, not joined
     ids = written(kept.where("doc_id is not null"), "kept").select(F.xxhash64("doc_id"))
-    rows = only(docs.where("doc_id is not null"), F.xxhash64("doc_id"), ids, "kept")
-    # only texts of ids that occur again are sorted
-    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if not again.isEmpty():
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        chosen = rows.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-        rows = rows.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(chosen.select(*docs.columns))
-    return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return only(rows, F.xxhash64("doc_id"), ids, "kept").unionByName(none).select(*docs.columns)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
