@@ -8,15 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from graphloom.functions.blocks import searchable_text
-from graphloom.functions.text import embed_input, stripped
-from graphloom.operators.graph import derive_edges
-from graphloom.operators.search import Index, corpus_stats, embed, postings, term_stats
+from graphloom.operators.search import embed
 from graphloom.operators.upserts import coalesce_saves
-from graphloom.session import reach_workers, written
+from graphloom.session import reach_workers
 from graphloom.sources.records import RECORD, node_rows
-
-TABLES = ("nodes", "edges", "vectors", "postings")
+from graphloom.streaming.generations import update_tables
 
 
 def audit_counts(audit: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -31,72 +27,17 @@ def dedupe_tasks(tasks: DataFrame, within: str = "10 minutes") -> DataFrame:
     return tasks.withWatermark("ts", within).dropDuplicatesWithinWatermark(["key"])
 
 
-def run_incremental(spark: SparkSession, source: str, target: str, checkpoint: str, buckets: int = 16, embedder: Callable[[DataFrame], DataFrame] = embed) -> StreamingQuery:
+def run_incremental(spark: SparkSession, source: str, target: str, checkpoint: str, embedder: Callable[[DataFrame], DataFrame] = embed) -> StreamingQuery:
     """Index new record files below ``source``: nodes, edges, vectors and postings below ``target`` follow, each batch once.
 
-    ``buckets`` (by the hash of the node's id) is fixed for the life of ``target``; a batch
-    rewrites only the buckets that its nodes lie in. A batch that is repeated after a failure
-    replaces the same rows by the same rows. Read the tables with :func:`open_tables`.
+    A batch adds a generation, which is listed with the batch's number; see :mod:`graphloom.streaming.generations`.
+    One stream writes to a target. Read the tables with :func:`~graphloom.streaming.generations.open_tables`.
     """
     reach_workers(spark)
     stream = spark.readStream.schema(RECORD).option("multiLine", True).json(source)
     rows = node_rows(stream.select("*", F.col("_metadata.file_path").alias("source_path")), "canonical")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        update_tables(coalesce_saves(batch, "id", ["updated_at_utc"]), target, buckets, embedder)
+        update_tables(coalesce_saves(batch, "id", ["updated_at_utc"]), target, embedder, batch_id)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def update_tables(changed: DataFrame, target: str, buckets: int, embedder: Callable[[DataFrame], DataFrame]) -> None:
-    """Put changed nodes, one row per id, into the tables below ``target``.
-
-    A row older than the stored one changes nothing. Edges and postings of a node are those
-    of its new record only; a node whose new text is blank keeps its vector.
-    """
-    spark = changed.sparkSession
-    of = F.pmod(F.xxhash64("owner"), F.lit(buckets)).cast("int")
-    changed = written(changed.withColumn("raw", F.col("body_md")).withColumn("body_md", searchable_text(F.col("raw"))).withColumn("owner", F.col("id")).withColumn("bucket", of), "changed")
-    touched = [r[0] for r in changed.select("bucket").distinct().collect()]  # at most ``buckets``
-    if not touched:
-        return
-    stored = {t: spark.read.parquet(f"{target}/{t}").where(F.col("bucket").isin(touched)) for t in TABLES if _exists(spark, f"{target}/{t}")}
-    if stored:
-        newer = stored["nodes"].select("id", F.col("updated_at_utc").alias("_at"))
-        changed = written(changed.join(newer, "id", "left").where("_at is null or updated_at_utc >= _at").select(*changed.columns), "winning")
-    text = embed_input(F.col("title"), F.col("body_md"))
-    style = F.when(F.col("predicate") == "style-guides", F.col("dst_id")).otherwise(F.col("src_id"))
-    new = {
-        "nodes": changed.drop("bucket"),
-        "edges": derive_edges(changed).select("*", style.alias("owner")),
-        "vectors": embedder(changed.select("id", text.alias("text")).where(stripped(F.col("text")) != "")).select("id", "embedding", F.col("id").alias("owner")),
-        "postings": postings(changed).select("*", F.col("id").alias("owner")),
-    }
-    owners = changed.select("owner")
-    for name, rows in new.items():
-        gone = rows.select("owner").distinct() if name == "vectors" else owners
-        rows = rows.withColumn("bucket", of)
-        if name in stored:
-            rows = rows.unionByName(stored[name].join(gone, "owner", "left_anti").select(*rows.columns))
-        # a bucket that lost all rows is overwritten too, by a row without an owner
-        empty = spark.createDataFrame([(b,) for b in touched], "bucket int").select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name != "bucket" else F.col("bucket") for f in rows.schema))
-        out = written(rows.unionByName(empty), name)
-        out.repartition("bucket").sortWithinPartitions(*("bucket", "term") if name == "postings" else ("bucket", "owner")).write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{target}/{name}")
-
-
-def open_tables(spark: SparkSession, target: str) -> dict[str, DataFrame]:
-    """The tables that :func:`run_incremental` keeps; open them anew after a batch, which replaces files."""
-    return {t: spark.read.parquet(f"{target}/{t}").where("owner is not null").drop("owner", "bucket") for t in TABLES}
-
-
-def open_incremental_index(spark: SparkSession, target: str) -> Index:
-    """The lexical index over these tables; every bucket's postings are sorted by term."""
-    t = open_tables(spark, target)
-    posted = t["postings"]
-    lengths = t["nodes"].select("id").join(posted.groupBy("id").agg(F.first("dl").alias("dl")), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
-    return Index(posted, term_stats(posted), corpus_stats(lengths))

@@ -465,48 +465,6 @@ def test_csv_tables(spark, tmp_path):
     assert [list(r) for r in records.read_csv_rows(spark, str(tmp_path / "c.csv")).collect()] == [["a", 'x "y"\nz'], ["b", None]]
 
 
-def test_incremental_equals_full(spark, tmp_path):
-    """Batches of new records, late ones and blank ones leave the tables that one run over the newest records gives."""
-    source, target = tmp_path / "in", tmp_path / "out"
-    source.mkdir()
-
-    def put(name, i, at, title, body="", **meta):
-        (source / f"{name}.json").write_text(json.dumps({"id": i, "draft": {"type": "note", "title": title, "bodyMd": body, "jsonld": json.dumps(meta)}, "updatedAtUtc": at}))
-
-    def run():
-        jobs.run_incremental(spark, str(source), str(target), str(tmp_path / "cp"), 4).awaitTermination()
-        return jobs.open_tables(spark, str(target))
-
-    put(1, "a", "2024-01-02", "Fox", json.dumps([{"type": "paragraph", "content": "red fox"}]), projectId="p", referenceIds=["g"])
-    put(2, "a", "2024-01-01", "Old")
-    put(3, "b", "2024-01-01", "Hen", "hen house", collectionId="c")
-    put(4, "c", "2024-01-01", "Owl", "night")
-    t = run()
-    assert {(r.id, r.title) for r in t["nodes"].collect()} == {("a", "Fox"), ("b", "Hen"), ("c", "Owl")}
-    vector = {r.id: r.embedding for r in t["vectors"].collect()}
-    put(5, "a", "2023-01-01", "Late", "late", projectId="late")
-    put(6, "b", "2024-02-01", "Hen", "hen barn")
-    put(7, "c", "2024-02-01", " ", " ")
-    t = run()
-    nodes = {r.id: r for r in t["nodes"].collect()}
-    assert {i: (r.title, r.body_md) for i, r in nodes.items()} == {"a": ("Fox", "red fox paragraph"), "b": ("Hen", "hen barn"), "c": (" ", " ")}
-    assert {(r.src_id, r.predicate, r.dst_id) for r in t["edges"].collect()} == {("a", "contains", "p"), ("g", "style-guides", "a")}
-    assert {(r.term, r.id, r.tf) for r in t["postings"].collect()} == {("fox", "a", 2), ("red", "a", 1), ("paragraph", "a", 1), ("hen", "b", 2), ("barn", "b", 1)}
-    now = {r.id: r.embedding for r in t["vectors"].collect()}
-    # a blank text keeps the vector, a changed one has a new one
-    assert now["c"] == vector["c"] and now["a"] == vector["a"] and now["b"] != vector["b"]
-    full = search.index_of(t["nodes"])
-    asked = spark.createDataFrame([(1, "hen"), (2, "f")], "query_id long, query string")
-    key = lambda i: {(r.query_id, r.id, r.score) for r in search.search_index(i, asked).collect()}
-    assert key(jobs.open_incremental_index(spark, str(target))) == key(full) != set()
-    # a repeated batch changes nothing
-    held = lambda tables: {n: sorted(map(str, df.collect())) for n, df in tables.items() if n != "nodes"}
-    before = held(t)
-    again = records.read_records(spark, str(source), "canonical").groupBy("id").agg(F.max_by(F.struct("*"), "updated_at_utc").alias("r")).select("r.*")
-    jobs.update_tables(again, str(target), 4, search.embed)
-    assert held(jobs.open_tables(spark, str(target))) == before
-
-
 def test_stream_forms(spark, tmp_path):
     rows = spark.createDataFrame([("k", "2024-01-01 00:05:00"), ("k", "2024-01-01 00:06:00"), ("m", "2024-01-01 02:00:00")], "key string, t string").select("key", F.to_timestamp("t").alias("ts"), F.col("key").alias("kind"))
     rows.write.parquet(str(tmp_path / "s"))
