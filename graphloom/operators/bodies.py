@@ -31,19 +31,21 @@ MARKS = (
 )
 
 
+def _marked(text: str, marks: tuple, styles: frozenset[str]) -> Iterator[tuple[str, frozenset[str]]]:
+    """``(text, styles)`` of the parts of a text that stands under some styles, for the marks that are left to read."""
+    marks = tuple(m for m in marks if m[0] not in styles and "code" not in styles)
+    if not text or not marks:
+        yield from [(text, styles)] * bool(text)
+        return
+    (style, mark), rest = marks[0], marks[1:]
+    # a mark has one group, so that every second piece lies within one
+    for k, piece in enumerate(mark.split(text)):
+        yield from _marked(piece, rest, styles | {style} if k % 2 else styles)
+
+
 def runs_of(text: str) -> list[dict]:
-    """Styled runs of one text. A mark is looked for in what the marks before it left, never in code or twice in one run."""
-    runs = [{"text": text, "bold": False, "italic": False, "strike": False, "code": False}]
-    for style, mark in MARKS:
-        split = []
-        for run in runs:
-            if run[style] or run["code"]:
-                split.append(run)
-            else:
-                # the pieces between marks and the marked pieces take turns
-                split += [{**run, "text": piece, style: k % 2 == 1} for k, piece in enumerate(mark.split(run["text"])) if piece]
-        runs = split
-    return [r for r in runs if r["text"]]
+    """Styled runs of one text. A mark is looked for within what the marks before it have cut, never in code or twice around one piece."""
+    return [{"text": t} | {k: k in styles for k in ("bold", "italic", "strike", "code")} for t, styles in _marked(text, MARKS, frozenset())]
 
 
 @F.pandas_udf(RUNS)

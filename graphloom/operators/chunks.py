@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,6 @@ from graphloom.session import reach_workers
 _RULE = re.compile(r"\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*")
 _HEADING = re.compile(r"(#{1,6})\s+(.*)")
 _IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)\s*")
-_ITEMS = (("bulletListItem", re.compile(r"\s*[-*+]\s+(.*)")), ("numberedListItem", re.compile(r"\s*[0-9]+\.\s+(.*)")))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -23,59 +24,53 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("pos", "line"))
 
 
-def _is_row(line: str) -> bool:
-    """Whether a line begins and ends with a bar."""
-    line = line.strip()
-    return line.startswith("|") and line.endswith("|")
-
-
-def _cells(line: str) -> list[str]:
-    line = line.strip()
-    return [c.strip() for c in line.removeprefix("|").removesuffix("|").split("|")]
-
-
-def chunks_of(text: str) -> Iterator[tuple[str, int | None, str, str | None, list[list[str]] | None]]:
-    """``(kind, level, text, url, rows)`` of a Markdown text, line by line."""
-    rows = [x.rstrip() for x in text.replace("\r\n", "\n").split("\n")]
-    held: list[str] = []
-    at = 0
-
-    def paragraph() -> Iterator[tuple]:
-        joined = " ".join(" ".join(held).split())
-        held.clear()
-        if joined:
-            yield "paragraph", None, joined, None, None
-
-    while at < len(rows):
-        line, at = rows[at], at + 1
-        if not line:
-            yield from paragraph()
-            continue
-        # a table is a line of cells with a rule below it, and all lines of cells after that
-        if _is_row(line) and at < len(rows) and _RULE.fullmatch(rows[at]):
-            yield from paragraph()
-            cells, at = [_cells(line)], at + 1
-            while at < len(rows) and _is_row(rows[at]):
-                cells.append(_cells(rows[at]))
-                at += 1
-            yield "table", None, "\n".join("\t".join(r) for r in cells), None, cells
-        elif m := _HEADING.fullmatch(line):
-            yield from paragraph()
-            if m[2].strip():
-                yield "heading", min(len(m[1]), 3), m[2].strip(), None, None
-        elif m := _IMAGE.fullmatch(line):
-            yield from paragraph()
-            yield "image", None, m[1].strip() or "image", m[2].strip(), None
-        else:
-            for kind, pattern in _ITEMS:
-                if m := pattern.fullmatch(line):
-                    yield from paragraph()
-                    if m[1].strip():
-                        yield kind, None, m[1].strip(), None, None
-                    break
-            else:
-                held.append(line.strip())
-    yield from paragraph()
+#: What a line can be, in the order of trust; a line that is none of them is text.
+_LINE = re.compile(r"(?P<blank>)|(?P<heading>#{1,6}\s+.*)|(?P<image>!\[[^\]]*\]\([^)]+\))|(?P<bulletListItem>\s*[-*+]\s+.*)|(?P<numberedListItem>\s*[0-9]+\.\s+.*)|(?P<text>.*)")
+_BODY = {"heading": _HEADING, "image": _IMAGE, "bulletListItem": re.compile(r"\s*[-*+]\s+(.*)"), "numberedListItem": re.compile(r"\s*[0-9]+\.\s+(.*)")}
+
+
+def _tables(lines: list[str]) -> list[tuple[int, int]]:
+    """``(first, end)`` of the tables: a line between bars over a rule, and the lines between bars that follow the rule.
+
+    Where one table could begin within another, the earlier one has its lines.
+    """
+    bars = np.array([len(t := x.strip()) > 0 and t[0] == t[-1] == "|" for x in lines], bool)
+    rule = np.array([_RULE.fullmatch(x) is not None for x in lines], bool)
+    heads = np.flatnonzero(bars[:-1] & rule[1:])
+    others = np.append(np.flatnonzero(~bars), len(lines))
+    out: list[tuple[int, int]] = []
+    for first, end in zip(heads.tolist(), others[np.searchsorted(others, heads + 2)].tolist()):
+        if not out or first >= out[-1][1]:
+            out.append((first, end))
+    return out
+
+
+def chunks_of(text: str) -> list[tuple[str, int | None, str, str | None, list[list[str]] | None]]:
+    """``(kind, level, text, url, rows)`` of a Markdown text.
+
+    Every line has a kind, tables take the lines that they cover, and runs of text lines are paragraphs.
+    """
+    lines = [x.rstrip() for x in text.replace("\r\n", "\n").split("\n")]
+    kinds = [m.lastgroup if (m := _LINE.fullmatch(x)) else "text" for x in lines]
+    groups = list(range(len(lines)))  # lines of one number make one chunk
+    for first, end in _tables(lines):
+        kinds[first:end], groups[first:end] = ["table"] * (end - first), [first] * (end - first)
+    for k in range(1, len(lines)):
+        if kinds[k] == kinds[k - 1] == "text":
+            groups[k] = groups[k - 1]
+    out = []
+    for first, own in groupby(range(len(lines)), key=groups.__getitem__):
+        own, kind = list(own), kinds[first]
+        if kind == "table":
+            cells = [[c.strip() for c in lines[k].strip()[1:-1].split("|")] if len(lines[k].strip()) > 1 else [""] for k in own if k != first + 1]
+            out.append(("table", None, "\n".join("\t".join(r) for r in cells), None, cells))
+        elif kind == "text":
+            out.append(("paragraph", None, " ".join(" ".join(lines[k] for k in own).split()), None, None))
+        elif kind != "blank":
+            m = _BODY[kind].fullmatch(lines[first])
+            name = m[len(m.groups())].strip() if kind != "image" else m[1].strip() or "image"
+            out.append((kind, min(len(m[1]), 3) if kind == "heading" else None, name, m[2].strip() if kind == "image" else None, None))
+    return [c for c in out if c[2] or c[0] == "table"]
 
 
 def markdown_chunks(docs: DataFrame) -> DataFrame:
