@@ -6,9 +6,13 @@ and unions of whole tables, so that running it twice changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import fresh, written
+
 KEY = ["src_id", "predicate", "dst_id"]
 
 
@@ -78,18 +82,49 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("dst_id").alias("id"), F.col("src_id").alias("other"), "predicate"))
 
 
-def _nearest(around: DataFrame, known: DataFrame, centres: DataFrame, most: int) -> DataFrame:
-    """``(id, other, predicate)``: of each centre its first ``most`` existing neighbours by (smallest predicate, id).
+#: Seeds keep at most so many neighbours, and of a node on the way at most twice as many count.
+MOST = 50
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """What expansion reads: ``near`` (id, n, other, predicate), the first ``2 * MOST + 1`` existing neighbours of each id by
+    (smallest predicate, neighbour); ``lost`` (id, other), neighbours that are no nodes; ``cards`` (id, type, title, snippet)."""
+
+    near: DataFrame
+    lost: DataFrame
+    cards: DataFrame
+
 
-    The limit is applied within tasks before rows are exchanged, so a hub sends ``most`` rows
-    from each task and not all of its neighbours.
+def store_adjacency(edges: DataFrame, nodes: DataFrame, path: str) -> Adjacency:
+    """Write the adjacency of a graph below ``path``, sorted by id, and open it.
+
+    The limit is applied within tasks before rows are exchanged, so a hub sends its first rows
+    from each task and not all of its neighbours, and has no more rows than other nodes after that.
     """
-    own = around.join(centres.select("id").distinct(), "id", "left_semi").groupBy("id", "other").agg(F.min("predicate").alias("predicate"))
+    spark = edges.sparkSession
+    pairs = both_ways(edges).groupBy("id", "other").agg(F.min("predicate").alias("predicate"))
+    known = nodes.select(F.col("id").alias("other"), F.lit(True).alias("known"))
+    pairs = written(pairs.join(known, "other", "left"), "pairs")
     best = Window.partitionBy("id").orderBy("predicate", "other")
-    return own.join(known.select(F.col("id").alias("other")), "other", "left_semi").withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).select("id", "other", "predicate")
+    near = pairs.where("known").withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * MOST + 1).select("id", "n", "other", "predicate")
+    cards = nodes.select("id", "type", "title", F.substring("body_md", 1, 200).alias("snippet"))
+    for name, rows, by in (("near", near, ["id", "n"]), ("lost", pairs.where("known is null").select("id", "other"), ["id", "other"]), ("cards", cards, ["id"])):
+        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
+    return open_adjacency(spark, path)
+
+
+def open_adjacency(spark: SparkSession, path: str) -> Adjacency:
+    """The adjacency of :func:`store_adjacency`."""
+    return Adjacency(*(spark.read.parquet(f"{path}/{name}") for name in ("near", "lost", "cards")))
 
 
 def expand(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
+    """As :func:`expand_stored`, of a graph without a stored adjacency."""
+    return expand_stored(store_adjacency(edges, nodes, fresh(edges.sparkSession, "adjacency")), seeds, depth, limit)
+
+
+def expand_stored(graph: Adjacency, seeds: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
     """``(seed, id, hop, predicate, type, title, snippet)``: neighbours of each seed up to two hops.
 
     A node counts for the hop at which it is first met, with the smallest predicate that
@@ -100,26 +135,23 @@ def expand(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 2,
     from the first hop, and at most ``limit`` come before the last one kept. So the second hop
     has at most ``2 * limit`` rows per edge of a seed, however large a hub on the way is.
     """
-    depth, limit = max(1, min(2, depth)), max(1, min(50, limit))
-    around, known = both_ways(edges), nodes.select("id")
-    seeds = seeds.select("seed").where("seed is not null").distinct()
-    one = _nearest(around, known, seeds.select(F.col("seed").alias("id")), limit + 1).where("other <> id")
+    depth, limit = max(1, min(2, depth)), max(1, min(MOST, limit))
+    seeds = written(seeds.select("seed").where("seed is not null").distinct(), "seeds")
     best = Window.partitionBy("seed").orderBy("predicate", "id")
-    first = one.select(F.col("id").alias("seed"), F.col("other").alias("id"), "predicate").withColumn("n", F.row_number().over(best)).where(F.col("n") <= limit)
-    first = first.select("seed", "id", F.lit(1).alias("hop"), "predicate")
-    found = first
+    one = graph.near.where(F.col("n") <= limit + 1).select(F.col("id").alias("seed"), F.col("other").alias("id"), "predicate").where("seed <> id").join(seeds, "seed", "left_semi")
+    first = one.withColumn("n", F.row_number().over(best)).where(F.col("n") <= limit).select("seed", "id", F.lit(1).alias("hop"), "predicate")
+    found = first = written(first, "first-hop")
     if depth == 2:
         full = first.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("seed")
-        short = seeds.join(full, "seed", "left_anti")
-        # what lies on the way may be no node itself
-        way = short.select(F.col("seed").alias("id")).join(around, "id").select(F.col("id").alias("seed"), F.col("other").alias("id")).where("seed <> id").distinct()
-        two = way.join(_nearest(around, known, way, 2 * limit), "id").where("other <> seed").groupBy("seed", F.col("other").alias("id")).agg(F.min("predicate").alias("predicate"))
+        short = written(seeds.join(full, "seed", "left_anti"), "short")
+        # all neighbours of a short seed: those of its first hop, and what is no node itself
+        way = first.join(short, "seed", "left_semi").select("seed", "id").unionByName(graph.lost.select(F.col("id").alias("seed"), F.col("other").alias("id")).join(short, "seed", "left_semi").where("seed <> id"))
+        two = way.join(graph.near.where(F.col("n") <= 2 * limit), "id").where("other <> seed").groupBy("seed", F.col("other").alias("id")).agg(F.min("predicate").alias("predicate"))
         two = two.join(first.select("seed", "id"), ["seed", "id"], "left_anti")
         found = first.unionByName(two.select("seed", "id", F.lit(2).alias("hop"), "predicate"))
     best = Window.partitionBy("seed").orderBy("hop", "predicate", "id")
     kept = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= limit).drop("n")
-    rows = kept.join(nodes.select("id", "type", "title", F.substring("body_md", 1, 200).alias("snippet")), "id")
-    return rows.select("seed", "id", "hop", "predicate", "type", "title", "snippet")
+    return kept.join(graph.cards, "id").select("seed", "id", "hop", "predicate", "type", "title", "snippet")
 
 
 def member_counts(edges: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import uuid_of
+from graphloom.operators.graph import Adjacency, derive_edges, open_adjacency, store_adjacency
 from graphloom.operators.search import Index, open_index, store_index
 from graphloom.operators.vectors import VectorIndex, open_vectors, store_vectors
-from graphloom.session import fresh, table
+from graphloom.session import fresh, table, written
 
 COLUMNS = ["id", "type", "title", "body_md", "jsonld", "kind", "project_id", "collection_id", "pi_id", "reference_ids", "summary", "updated_at"]
 
@@ -92,6 +93,16 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return open_index(spark, _stored(spark, sf_dir, "index", ("documents", "pages", "nation", "region"), lambda path: store_index(nodes(spark, sf_dir), path)))
 
 
+def adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The stored neighbours of all nodes."""
+
+    def store(path: str) -> None:
+        every = written(nodes(spark, sf_dir), "nodes")
+        store_adjacency(derive_edges(every), every, path)
+
+    return open_adjacency(spark, _stored(spark, sf_dir, "adjacency", ("documents", "pages", "nation", "region"), store))
+
+
 def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     """The stored blocks of all vectors."""
     return open_vectors(spark, _stored(spark, sf_dir, "vectors", ("embeddings", "documents"), lambda path: store_vectors(vectors(spark, sf_dir), path)))

@@ -15,7 +15,7 @@ from graphloom.functions import blocks, html, maps, text
 from graphloom.functions.text import uuid_of
 from graphloom.operators import bodies, chat, chunks, graph, listings, search, statechart, upserts
 from graphloom.plans import kb
-from graphloom.session import fresh, reach_workers, table
+from graphloom.session import fresh, reach_workers, table, written
 from graphloom.sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,7 +331,7 @@ SELECT seed, id, hop, predicate, type, title, snippet FROM r WHERE k <= 50
 def g10_expand(s, d):
     n = kb.nodes(s, d)
     seeds = n.where("type = 'code' and collection_id is null").select(F.col("id").alias("seed"))
-    return graph.expand(graph.derive_edges(n), n, seeds, 2, 50)
+    return graph.expand_stored(kb.adjacency(s, d), seeds, 2, 50)
 
 
 # --- search -----------------------------------------------------------------------------
@@ -767,8 +767,9 @@ g AS (SELECT doc_id, o.pos, dense_rank() OVER (PARTITION BY doc_id ORDER BY a.sp
 
 
 def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = _transitions(s, d)
-    return statechart.states_of(t), statechart.edges_of(t)
+    """States and edges of all charts, each computed once."""
+    t = written(_transitions(s, d), "transitions")
+    return written(statechart.states_of(t), "states"), written(statechart.edges_of(t), "edges")
 
 
 @query("WITH" + CHARTS + _NAMED + "SELECT doc_id, CAST(grp AS INTEGER) AS \"group\", scenario FROM g")
@@ -1048,12 +1049,12 @@ def r9_search_nodes(s, d):
     return _six(hits, "score").select("query_id", "id", "score", "title", "summary", F.array_join("provenance", ",").alias("provenance"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ESC|CLOSE now' WHEN 1 THEN 'then wait|SAVE' ELSE 'F10' END AS events, CASE WHEN o_orderkey % 2 = 0 THEN 'is ' || o_orderstatus ELSE '' END AS guards FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'ESC|CLOSE now' WHEN 1 THEN 'then wait|SAVE' WHEN 2 THEN 'F10' ELSE 'STOP []' END AS events, CASE WHEN o_orderkey % 2 = 0 THEN 'is ' || o_orderstatus ELSE '' END AS guards FROM orders")
 def f2_split_label(s, d):
+    """Empty brackets are no guard: they stay in what is left of the label, and are no event of their own."""
     k = F.col("o_orderkey")
-    label = F.concat(F.when(k % 3 == 0, "ESC / CLOSE now").when(k % 3 == 1, "then wait  SAVE").otherwise("F10 / closes it"), F.when(k % 2 == 0, F.concat(F.lit(" [ is "), "o_orderstatus", F.lit("] []"))).otherwise(""))
-    # empty brackets are no guard, and no event either
-    parts = text.split_label(F.replace(label, F.lit(" []"), F.lit("")))
+    label = F.concat(F.when(k % 4 == 0, "ESC / CLOSE now").when(k % 4 == 1, "then wait  SAVE").when(k % 4 == 2, "F10 / closes it").otherwise("STOP []"), F.when(k % 2 == 0, F.concat(F.lit(" [ is "), "o_orderstatus", F.lit("] []"))).otherwise(""))
+    parts = text.split_label(label)
     return table(s, d, "orders").select("o_orderkey", F.array_join(parts["events"], "|").alias("events"), F.array_join(parts["guards"], "|").alias("guards"))
 
 
@@ -1062,10 +1063,13 @@ def f3_infer_role(s, d):
     return statechart.states_of(_transitions(s, d)).select("doc_id", "name", "role")
 
 
-@query("WITH" + CHARTS + "SELECT doc_id, 'D2' AS rule, 'edge \"' || source || ' --> ' || target || '\" references missing ' || which || ' node \"click\"' AS message FROM t, (VALUES ('source'), ('target')) v(which) WHERE CASE which WHEN 'source' THEN source ELSE target END = 'click'")
+@query("WITH" + CHARTS + "SELECT doc_id, 'D2' AS rule, 'edge \"' || source || ' --> ' || target || '\" references missing ' || which || ' node \"click\"' AS message FROM t, (VALUES ('source'), ('target')) v(which) WHERE CASE which WHEN 'source' THEN source ELSE target END = 'click' UNION ALL SELECT doc_id, 'D4', 'scenario \"by hand for ' || target || '\" missing Given/When/Then' FROM t WHERE source = 'view' UNION ALL SELECT doc_id, 'D4', 'scenario outline \"' || target || '\" has no Examples' FROM t WHERE source = 'signup'")
 def f6_integrity(s, d):
+    """Without one state of each chart, and with scenarios written by hand that lack their steps or their examples."""
     states, edges = _graph(s, d)
-    return statechart.integrity(states.where("name <> 'click'"), edges).select("doc_id", "rule", "message")
+    steps = F.lit("\n**Given** a\n**When** b\n**Then** c")
+    own = F.when(F.col("source") == "view", F.concat(F.lit("**Scenario**: by hand for "), "target", F.lit("\n**Given** a"))).when(F.col("source") == "signup", F.concat(F.lit("**Scenario Outline**: "), "target", steps))
+    return statechart.integrity(states.where("name <> 'click'"), edges.withColumn("scenario_override", own)).select("doc_id", "rule", "message")
 
 
 @query(f"SELECT {uid('doc', 'vec_id')} AS id, CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE round(CAST(embedding[1] AS DOUBLE), 4) END AS x FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")
