@@ -11,6 +11,7 @@ taken.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,13 +33,25 @@ K1, B = 1.2, 0.75
 NAMED = 64
 
 
+#: Nodes of a block of the index, groups of like length that blocks are taken from, and letters of the prefixes that are counted when it is built.
+BLOCK, LENGTHS, DEEP = 1024, 64, 24
+#: After so many blocks of each query a search looks at the score that is to beat before it reads on.
+STEPS = (2, 16)
+
+
 @dataclass(frozen=True)
 class Index:
-    """``postings``: ``term, id, tf, dl``; ``terms``: ``term, df``; ``stats``: one row ``n_nodes, avg_len``."""
+    """``postings``: ``term, id, tf, dl``; ``terms``: ``term, df``; ``stats``: one row ``n_nodes, avg_len``.
+
+    A stored index has more: postings with their ``block``; ``blocks``: ``term, block, tf, dl``, the largest and the smallest in
+    the block; ``prefixes``: ``prefix, df``.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    blocks: DataFrame | None = None
+    prefixes: DataFrame | None = None
 
 
 def postings(nodes: DataFrame, stemmed: bool = False) -> DataFrame:
@@ -73,18 +86,52 @@ def index_of(nodes: DataFrame, stemmed: bool = False) -> Index:
 
 
 def store_index(nodes: DataFrame, path: str, stemmed: bool = False) -> Index:
-    """Write the index below ``path`` and open it; postings are ranged and sorted by term, so that scans skip other terms."""
+    """Write the index below ``path`` and open it; postings are ranged and sorted by term and block, so that scans skip others.
+
+    Nodes of like length share blocks, so that what the best node of a block can score is little more than what it does.
+    """
     index = index_of(nodes, stemmed)
-    # ranges by term and id: a term that all nodes hold is spread over tasks too
-    index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    words = tokens(F.concat_ws(" ", "title", "body_md"))
+    if stemmed:
+        words = porter_stem(words)
+    own = nodes.select(F.array_distinct(words).alias("t"))
+    begun = F.array_distinct(F.flatten(F.transform("t", lambda t: F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(DEEP))), lambda n: F.substring(t, F.lit(1), n)))))
+    # prefixes of a node are distinct, so that counts are summed within tasks before they are exchanged
+    prefixes = own.select(F.explode(begun).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
+    n, edges = doc_stats(nodes).agg(F.count("*"), F.percentile_approx("dl", [k / LENGTHS for k in range(1, LENGTHS)])).first()
+    edges = sorted({e for e in edges or [] if e is not None})
+    of_length = F.size(F.filter(F.lit(edges or [0]).cast("array<bigint>"), lambda e: e <= F.col("dl")))
+    share = max(1, -(-n // (BLOCK * max(1, len(edges)))))
+    block = (of_length * share + F.pmod(F.xxhash64("id"), F.lit(share))).cast("int")
+    # ranges by term and block: a term that all nodes hold is spread over tasks too
+    index.postings.withColumn("block", block).repartitionByRange("term", "block", "id").sortWithinPartitions("term", "block", "id").write.mode("overwrite").parquet(f"{path}/postings")
     posted = nodes.sparkSession.read.parquet(f"{path}/postings")
-    term_stats(posted).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    maxima = posted.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    for name, rows, by in (("terms", term_stats(posted), ["term"]), ("blocks", maxima, ["term", "block"]), ("prefixes", prefixes, ["prefix"])):
+        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
     return open_index(nodes.sparkSession, path)
 
 
 def open_index(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats", "blocks", "prefixes")))
+
+
+def _asked(words: DataFrame, index: Index) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``(term, prefix)`` of the terms that begin with an asked prefix, and a filter for tables by term that scans can use.
+
+    Few prefixes are named in the plan; the vocabulary, which is small beside the postings, meets more of them in a join.
+    """
+    asked = [r[0] for r in words.select("prefix").distinct().limit(NAMED + 1).collect()]
+    named: Callable[[DataFrame], DataFrame] = lambda df: df
+    if len(asked) <= NAMED:
+        begins = reduce(lambda a, b: a | b, (F.col("term").startswith(p) for p in sorted(asked)), F.lit(False))
+        named = lambda df: df.where(begins)
+        widths = sorted({len(p) for p in asked})
+    else:
+        widths = [r[0] for r in words.select(F.length("prefix")).distinct().collect()]  # at most as many as a longest word has letters
+    begun = named(index.terms).select("term", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")).alias("width")).where(F.length("term") >= F.col("width"))
+    return begun.select("term", F.expr("substring(term, 1, width)").alias("prefix")).join(words.select("prefix").distinct(), "prefix"), named
 
 
 def search_index(index: Index, queries: DataFrame, limit: int | None = None) -> DataFrame:
@@ -93,36 +140,70 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
     A prefix counts as one term: its occurrences and the nodes that hold it are those of all
     terms that begin with it. The rarest prefix of a query names its candidates, and only
     these are looked up under the others.
+
+    With a limit and a stored index, a query reads the blocks first that can score most, and then only those that can
+    beat its last kept score; what it leaves unread cannot be among the first ``limit``.
     """
     words = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("prefix"))
-    asked = [r[0] for r in words.select("prefix").distinct().limit(NAMED + 1).collect()]
-    terms, posted = index.terms, index.postings
-    if not asked:
-        return words.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("score")).limit(0)
-    if len(asked) <= NAMED:
-        named = reduce(lambda a, b: a | b, (F.col("term").startswith(p) for p in sorted(asked)))
-        terms, posted = terms.where(named), posted.where(named)
-        widths = sorted({len(p) for p in asked})
-    else:
-        widths = [r[0] for r in words.select(F.length("prefix")).distinct().collect()]  # at most as many as a longest word has letters
-    begun = terms.select("term", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")).alias("width")).where(F.length("term") >= F.col("width"))
-    begun = begun.select("term", F.expr("substring(term, 1, width)").alias("prefix")).join(words.select("prefix").distinct(), "prefix")
-    tf = posted.join(begun, "term").groupBy("prefix", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-    if len(asked) > NAMED:
-        tf = written(tf, "prefixes")
-    df = tf.groupBy("prefix").agg(F.count("*").alias("df"))
-    every = Window.partitionBy("query_id")
-    ranked = words.withColumn("need", F.count("*").over(every)).join(df, "prefix").withColumn("k", F.row_number().over(every.orderBy("df", "prefix")))
+    begun, named = _asked(words, index)
     total = index.stats.first()
-    x, n = F.col("tf").cast("double"), F.lit(float(total["n_nodes"]))
-    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    one = (idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(total["avg_len"])))).alias("one")
-    lead = ranked.where("k = 1").join(tf, "prefix").select("query_id", "id", "need", one)
-    rest = lead.where("need > 1").select("query_id", "id").join(ranked.where("k > 1").select("query_id", "prefix", "df"), "query_id")
-    rest = rest.join(tf, ["prefix", "id"]).select("query_id", "id", F.lit(0).cast("long").alias("need"), one)
-    found = lead.unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("one"), 9).alias("score"), F.count("*").alias("have"), F.max("need").alias("need"))
-    found = found.where("have = need").select("query_id", "id", "score")
-    return top(found, limit) if limit else found
+    n, average = float(total["n_nodes"]), total["avg_len"]
+
+    def one(tf: Column, dl: Column, df: Column) -> Column:
+        x = tf.cast("double")
+        idf = F.greatest(F.log((F.lit(n) - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        return idf * x * (K1 + 1) / (x + K1 * (1 - B + B * dl / F.lit(average)))
+
+    every = Window.partitionBy("query_id")
+    by_query = lambda df: words.withColumn("need", F.count("*").over(every)).join(df, "prefix").withColumn("k", F.row_number().over(every.orderBy("df", "prefix")))
+
+    def scores(ranked: DataFrame, tf: DataFrame, within: DataFrame | None = None) -> DataFrame:
+        """Of each query the nodes that hold all its prefixes, in the blocks ``within`` (query_id, block)."""
+        at = ["prefix"] if within is None else ["prefix", "block"]
+        own = ranked if within is None else ranked.join(within, "query_id")
+        value = one(F.col("tf"), F.col("dl"), F.col("df")).alias("one")
+        lead = own.where("k = 1").join(tf, at).select("query_id", "id", "need", value)
+        rest = lead.where("need > 1").select("query_id", "id").join(ranked.where("k > 1").select("query_id", "prefix", "df"), "query_id")
+        rest = rest.join(tf.drop("block"), ["prefix", "id"]).select("query_id", "id", F.lit(0).cast("long").alias("need"), value)
+        found = lead.unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("one"), 9).alias("score"), F.count("*").alias("have"), F.max("need").alias("need"))
+        return found.where("have = need").select("query_id", "id", "score")
+
+    if index.blocks is None or not limit:
+        tf = named(index.postings).join(begun, "term").groupBy("prefix", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        # a stored copy serves both the counts and the scores
+        tf = tf if index.prefixes is not None else written(tf, "prefixes")
+        found = scores(by_query(_frequency(index, words, begun, named) if index.prefixes is not None else tf.groupBy("prefix").agg(F.count("*").alias("df"))), tf)
+        return top(found, limit) if limit else found
+
+    begun = written(begun, "begun")
+    ranked = written(by_query(_frequency(index, words, begun, named)), "asked")
+    # what a block can score at most: its largest counts in its shortest node, under all terms of a prefix
+    most = named(index.blocks).join(begun, "term").groupBy("prefix", "block").agg(F.sum("tf").alias("tf"), F.min("dl").alias("dl"))
+    bounds = ranked.join(most, "prefix").groupBy("query_id", "block").agg(F.sum(one(F.col("tf"), F.col("dl"), F.col("df"))).alias("bound"), F.count("*").alias("have"), F.max("need").alias("need"))
+    bounds = written(bounds.where("have = need").withColumn("place", F.row_number().over(every.orderBy(F.desc("bound"), "block"))).select("query_id", "block", "bound", "place"), "bounds")
+
+    def read(within: DataFrame) -> DataFrame:
+        """The best ``limit`` of each query in these blocks."""
+        wanted = ranked.select("query_id", "prefix").join(within, "query_id").select("prefix", "block").distinct()
+        terms = begun.join(wanted, "prefix")
+        tf = named(index.postings).join(terms, ["term", "block"]).groupBy("prefix", "block", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        return written(top(scores(ranked, tf, within), limit), "hits")
+
+    hits = read(bounds.where(F.col("place") <= STEPS[0]).select("query_id", "block"))
+    for low, high in zip(STEPS, (*STEPS[1:], None), strict=True):
+        beat = hits.groupBy("query_id").agg(F.min("score").alias("last"), F.count("*").alias("n")).where(F.col("n") >= limit).select("query_id", "last")
+        rest = bounds.where(F.col("place") > low) if high is None else bounds.where(F.col("place").between(low + 1, high))
+        open_ = rest.join(beat, "query_id", "left").where(F.col("last").isNull() | (F.col("bound") >= F.col("last") - 2e-9)).select("query_id", "block")
+        hits = written(top(hits.unionByName(read(written(open_, "open"))), limit), "hits")
+    return hits
+
+
+def _frequency(index: Index, words: DataFrame, begun: DataFrame, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(prefix, df)`` of the asked prefixes: as counted when the index was built, or from the postings of long ones."""
+    asked = words.select("prefix").distinct()
+    stored = index.prefixes.join(asked, "prefix")
+    long = begun.where(F.length("prefix") > DEEP)
+    return stored.unionByName(named(index.postings).join(long, "term").groupBy("prefix").agg(F.countDistinct("id").alias("df")))
 
 
 def search_text(nodes: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
