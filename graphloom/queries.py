@@ -787,7 +787,38 @@ def f8_export_transitions(s, d):
     return statechart.export_transitions(*_graph(s, d))
 
 
-@query()
+#: The depth-first walk step by step, one row for each chart and step, then all paths along the edges that it keeps.
+LAYERS = """
+WITH RECURSIVE e AS (
+  SELECT doc_id, source AS s, target AS t, row_number() OVER (PARTITION BY doc_id ORDER BY source || ' --> ' || target) AS pos
+  FROM (SELECT DISTINCT user_id AS doc_id, event_type AS source, next AS target FROM (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL)
+), n AS (
+  SELECT doc_id, name, min(place) AS place FROM (SELECT doc_id, s AS name, 2 * pos AS place FROM e UNION ALL SELECT doc_id, t, 2 * pos + 1 FROM e UNION ALL SELECT doc_id, '__start__', -1 FROM e) GROUP BY 1, 2
+), c AS (
+  SELECT doc_id, names, edges FROM (SELECT doc_id, list(name ORDER BY place) AS names FROM n GROUP BY 1) JOIN (SELECT doc_id, list({'s': s, 't': t} ORDER BY pos) FILTER (WHERE s <> t) AS edges FROM e GROUP BY 1) USING (doc_id)
+), w AS (
+  SELECT doc_id, names, coalesce(edges, []) AS edges, CAST([] AS VARCHAR[]) AS stack, CAST([] AS BIGINT[]) AS ptr, CAST([] AS VARCHAR[]) AS seen, CAST([] AS VARCHAR[][]) AS kept, false AS done FROM c
+  UNION ALL
+  SELECT doc_id, names, edges,
+    CASE WHEN root THEN CASE WHEN len(open) = 0 THEN stack ELSE [open[1]] END WHEN nxt IS NULL THEN stack[1:len(stack) - 1] WHEN list_contains(seen, nxt) THEN stack ELSE list_append(stack, nxt) END,
+    CASE WHEN root THEN [1] WHEN nxt IS NULL THEN ptr[1:len(ptr) - 1] WHEN list_contains(seen, nxt) THEN list_append(ptr[1:len(ptr) - 1], i + 1) ELSE list_append(list_append(ptr[1:len(ptr) - 1], i + 1), 1) END,
+    CASE WHEN root THEN CASE WHEN len(open) = 0 THEN seen ELSE list_append(seen, open[1]) END WHEN nxt IS NULL OR list_contains(seen, nxt) THEN seen ELSE list_append(seen, nxt) END,
+    CASE WHEN root OR nxt IS NULL OR list_contains(stack, nxt) THEN kept ELSE list_append(kept, [stack[-1], nxt]) END,
+    root AND len(open) = 0
+  FROM (SELECT *, nb[i] AS nxt FROM (
+    SELECT *, len(stack) = 0 AS root, ptr[-1] AS i, list_transform(list_filter(edges, lambda x: x.s = stack[-1]), lambda x: x.t) AS nb, list_filter(names, lambda x: NOT list_contains(seen, x)) AS open FROM w WHERE NOT done))
+), k AS (
+  SELECT doc_id, x[1] AS s, x[2] AS t FROM (SELECT doc_id, unnest(kept) AS x FROM w WHERE done)
+), r AS (
+  SELECT doc_id, name, CAST(0 AS BIGINT) AS rank FROM n
+  UNION
+  SELECT k.doc_id, k.t, r.rank + 1 FROM r JOIN k ON k.doc_id = r.doc_id AND k.s = r.name
+)
+SELECT doc_id, name, max(rank) AS rank FROM r GROUP BY 1, 2
+"""
+
+
+@query(LAYERS)
 def f9_layer_rank(s, d):
     return statechart.layer_rank(*_graph(s, d))
 
