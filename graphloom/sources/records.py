@@ -18,7 +18,7 @@ RECORD = "id string, draft struct<type:string,title:string,bodyMd:string,jsonld:
 def read_records(spark: SparkSession, path: str, kind: str = "draft", multi_line: bool = True) -> DataFrame:
     """Node rows of JSON records; broken ones and those without an id are skipped, canonical ones need a type.
 
-    Files hold one record each, or one per line without ``multi_line``, as :func:`write_canonical` writes them.
+    Files hold one record each, or one per line without ``multi_line``. For what :func:`write_canonical` writes, see :func:`canonical_rows`.
     """
     raw = spark.read.schema(RECORD).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
     return node_rows(raw.select("*", F.col("_metadata.file_path").alias("source_path")), kind)
@@ -36,25 +36,52 @@ def node_rows(raw: DataFrame, kind: str) -> DataFrame:
     return rows.where("id is not null and id <> '' and type is not null")
 
 
+_COLUMNS = [c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", RECORD).split(",")]
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The latest record of each id, of equal ones the greatest draft; those without id or type go."""
+    known = rows.where("id is not null and id <> '' and draft.type <> ''")
+    return known.groupBy("id").agg(F.max_by(F.struct(*_COLUMNS), F.struct(F.coalesce("updatedAtUtc", F.lit("")), F.to_json("draft"))).alias("r")).select("r.*")
+
+
+def _put(rows: DataFrame, path: str) -> None:
+    """Add records to the folders of their types, which are a closed vocabulary, so that there are few."""
+    for (node_type,) in rows.select("draft.type").distinct().orderBy("type").collect():
+        rows.where(F.col("draft.type") == node_type).write.mode("append").json(f"{path}/{node_type}s")
+
+
 def write_canonical(records: DataFrame, path: str) -> None:
-    """Put records into folders named ``<type>s`` as JSON lines, the latest of each id.
+    """Add records to folders named ``<type>s`` as JSON lines, the latest of each id of the batch.
 
-    ``records`` has the columns of :data:`RECORD`. What the folders hold already counts as
-    well: an id stays in one folder, that of its latest record. All is written aside first, and
-    only folders with records are rewritten; types are a closed vocabulary, so the folders are few.
+    ``records`` has the columns of :data:`RECORD`. A batch adds files and changes none, so it writes in proportion to
+    itself. A folder may hold several records of an id, and so may two folders if its type has changed: readers take the latest
+    (:func:`read_canonical`). A batch that fails half-way may be written again.
     """
-    spark = records.sparkSession
-    columns = [c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", RECORD).split(",")]
-    rows = records.select(*columns)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        old = spark.read.schema(RECORD).option("recursiveFileLookup", True).json(path)
-        rows = rows.unionByName(old.select(*columns))
-    known = rows.where("id is not null and id <> '' and draft.type <> ''")
-    latest = known.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct(F.coalesce("updatedAtUtc", F.lit("")), F.to_json("draft"))).alias("r")).select("r.*")
-    kept = written(latest, "canonical")
-    for (node_type,) in kept.select("draft.type").distinct().orderBy("type").collect():
-        kept.where(F.col("draft.type") == node_type).write.mode("overwrite").json(f"{path}/{node_type}s")
+    _put(written(_latest(records.select(*_COLUMNS)), "canonical"), path)
+
+
+def read_canonical(spark: SparkSession, path: str) -> DataFrame:
+    """The latest record of each id in the folders of :func:`write_canonical`, in the columns of :data:`RECORD`."""
+    return _latest(spark.read.schema(RECORD).option("recursiveFileLookup", True).json(path).select(*_COLUMNS))
+
+
+def canonical_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Node rows of the latest records."""
+    return node_rows(read_canonical(spark, path).withColumn("source_path", F.concat(F.lit(f"{path}/"), "draft.type", F.lit("s"))), "canonical")
+
+
+def compact_canonical(spark: SparkSession, path: str) -> None:
+    """Write the latest records again and take the files before them away; no writer may be at work.
+
+    The new files are whole before an old one goes: a failure in between leaves records twice, which readers do not see.
+    """
+    old = [r[0] for r in spark.read.schema(RECORD).option("recursiveFileLookup", True).json(path).select(F.input_file_name()).distinct().collect()]  # names of files
+    if old:
+        _put(written(read_canonical(spark, path), "canonical"), path)
+        for name in old:
+            file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+            file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, False)
 
 
 def append_audit(rows: DataFrame, path: str) -> None:

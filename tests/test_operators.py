@@ -431,8 +431,18 @@ def test_sinks(spark, tmp_path):
     put(row("1", "note", "2024-01-01", "old"), row("1", "note", "2024-01-02", "new"), row("2", "pdf", "2024-01-01", "two"), row(None, "pdf", "2024", "lost"), row("9", "", "2024", "no type"))
     put(row("3", "pdf", "2024-01-01", "three"), row("2", "pdf", "2023-01-01", "late"))
     assert sorted(p.name for p in (tmp_path / "kb").iterdir()) == ["notes", "pdfs"]
-    got = records.read_records(spark, str(tmp_path / "kb"), "canonical", multi_line=False).collect()
-    assert {(r.id, r.type, r.title) for r in got} == {("1", "note", "new"), ("2", "pdf", "two"), ("3", "pdf", "three")} and len(got) == 3
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "kb").rglob("*.json")}
+    held = lambda: sorted((r.id, r.type, r.title) for r in records.canonical_rows(spark, str(tmp_path / "kb")).collect())
+    assert held() == [("1", "note", "new"), ("2", "pdf", "two"), ("3", "pdf", "three")]
+    # a batch adds files and leaves the others; an id that changes its type has its latest record only
+    before = files()
+    put(row("3", "note", "2024-03-01", "moved"))
+    assert before.items() < files().items() and len(files()) == len(before) + 1
+    want = [("1", "note", "new"), ("2", "pdf", "two"), ("3", "note", "moved")]
+    assert held() == want
+    records.compact_canonical(spark, str(tmp_path / "kb"))
+    assert held() == want and not before.keys() & files().keys()
+    assert spark.read.schema(records.RECORD).option("recursiveFileLookup", True).json(str(tmp_path / "kb")).count() == 3
     audit = spark.createDataFrame([("k", "t", "b")], "kind string, timestamp string, body string")
     records.append_audit(audit, str(tmp_path / "audit"))
     records.append_audit(audit, str(tmp_path / "audit"))
