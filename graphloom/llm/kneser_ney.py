@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import fresh, map_file, mounted, put_file, shards_for
+from graphloom.llm.shared import Maps, fresh, mounted, put_file, shards_for
 from graphloom.llm.textnum import lower, mix, shard_of, slices, span_hashes, words
 from graphloom.session import reach_workers
 
@@ -266,13 +266,10 @@ class Mapped:
     """A worker's view of a model: sorted arrays mapped from the shared folder."""
 
     def __init__(self, model: Model):
-        self.model, self.files = model, {}
+        self.model, self.files = model, Maps()
 
     def arrays(self, name: str, types: tuple) -> list[np.ndarray]:
-        name = f"{self.model.folder}/{name}"
-        if name not in self.files:
-            self.files[name] = map_file(name, types)
-        return self.files[name]
+        return self.files.get(f"{self.model.folder}/{name}", types)
 
     def find(self, kind: str, keys: np.ndarray, of: np.ndarray, types: tuple) -> list[np.ndarray]:
         """The values of each key, 0 where it is not stored."""

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.shared import fresh, map_file, mounted, once, only, put_file, shards_for, store_hashes, written
+from graphloom.llm.shared import Maps, fresh, mounted, once, only, put_file, shards_for, store_hashes, written
 from graphloom.llm.textnum import lower, mix, slices, span_hashes, words
 from graphloom.session import reach_workers
 
@@ -220,7 +220,7 @@ class StoredSets:
     KINDS = (("key", np.int64), ("at", np.int64), ("code", np.uint64), ("count", np.int32))
 
     def __init__(self, folder: str, shards: int):
-        self.folder, self.shards, self.open = folder, shards, {}
+        self.folder, self.shards, self.files = folder, shards, Maps()
 
     @classmethod
     def store(cls, sets: DataFrame) -> StoredSets:
@@ -245,9 +245,7 @@ class StoredSets:
 
     def get(self, h: int) -> tuple[np.ndarray, np.ndarray]:
         shard = h % self.shards
-        if shard not in self.open:
-            self.open[shard] = [map_file(f"{self.folder}/{name}-{shard}", (t,))[0] for name, t in self.KINDS]
-        key, at, code, count = self.open[shard]
+        key, at, code, count = (self.files.get(f"{self.folder}/{name}-{shard}", (t,))[0] for name, t in self.KINDS)
         i = int(np.searchsorted(key, h))
         low = int(at[i - 1]) if i else 0
         return code[low : int(at[i])], count[low : int(at[i])]

@@ -149,6 +149,15 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_chars", "longest_repeat")
 
 
+def verdict(x: dict, limits: Limits) -> tuple:
+    """``(base_failed, kept)`` from counts, which are all columns or all arrays."""
+    n = x["n_words"]
+    # n_repeat_words of a text are its words in windows of limits.window words that occur twice
+    failed = (n < limits.min_words) | (100 * x["n_repeat_words"] > round(100 * limits.repeat_words_share) * n)
+    clean = (x["repeat_chars"] <= limits.repeat_chars_share * x["word_chars"]) & (x["longest_repeat"] <= limits.longest_repeat_share * n) & (x["n_symbols"] <= limits.symbols_per_word * n)
+    return failed, ~failed & clean
+
+
 def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts of every text, ``base_failed`` and the verdict ``kept``."""
     reach_workers(docs.sparkSession)
@@ -162,11 +171,8 @@ def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", te
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     counts = rows.mapInArrow(run, f"_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
-    n = F.col("n_words")
-    # n_repeat_words of a text are its words in windows of limits.window words that occur twice
-    counts = counts.withColumn("base_failed", (n < limits.min_words) | (100 * F.col("n_repeat_words") > round(100 * limits.repeat_words_share) * n))
-    clean = (F.col("repeat_chars") <= limits.repeat_chars_share * F.col("word_chars")) & (F.col("longest_repeat") <= limits.longest_repeat_share * n) & (F.col("n_symbols") <= limits.symbols_per_word * n)
-    return counts.withColumn("kept", ~F.col("base_failed") & clean).withColumnRenamed("_id", id_col)
+    failed, kept = verdict({c: F.col(c) for c in COUNTS}, limits)
+    return counts.withColumn("base_failed", failed).withColumn("kept", kept).withColumnRenamed("_id", id_col)
 
 
 def keep(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,10 +182,7 @@ def keep(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(at)):
-                x = measure(data, offsets, limits.window)
-                n = x["n_words"]
-                good = (n >= limits.min_words) & (100 * x["n_repeat_words"] <= round(100 * limits.repeat_words_share) * n)
-                good &= (x["repeat_chars"] <= limits.repeat_chars_share * x["word_chars"]) & (x["longest_repeat"] <= limits.longest_repeat_share * n) & (x["n_symbols"] <= limits.symbols_per_word * n)
+                _, good = verdict(measure(data, offsets, limits.window), limits)
                 yield batch.slice(a, b - a).filter(pa.array(good))
 
     at = docs.columns.index(text_col)

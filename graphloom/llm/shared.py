@@ -5,6 +5,7 @@ The folder is the one that ``spark.checkpoint.dir`` names; see :mod:`graphloom.s
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import tempfile
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from graphloom.session import fresh, shared_dir, written
 
-__all__ = ["BitFilter", "HashFiles", "fresh", "map_file", "mounted", "once", "only", "put_file", "shards_for", "shared_dir", "store_filter", "store_hashes", "unused", "written"]
+__all__ = ["BitFilter", "HashFiles", "Maps", "fresh", "map_file", "mounted", "once", "only", "put_file", "shards_for", "shared_dir", "store_filter", "store_hashes", "unused", "written"]
 
 #: Bytes of the table that a shard stands for; what a task holds of one shard is a small multiple.
 SHARD_BYTES = 64 << 20
@@ -76,28 +77,54 @@ def put_file(path: str, *arrays) -> None:
     os.replace(part, path)
 
 
+#: Bytes of local copies that a node keeps of files in a store that cannot be mounted, and maps that a worker keeps open.
+CACHE_BYTES, OPEN_MAPS = 16 << 30, 1024
+
+
+def _make_room(folder: str, size: int) -> None:
+    """Remove the copies that were used longest ago, until ``size`` more bytes fit; open maps of them stay valid."""
+    known = []
+    for entry in os.scandir(folder):
+        with contextlib.suppress(FileNotFoundError):  # another worker may be at it too
+            known.append((entry.stat().st_atime_ns, entry.stat().st_size, entry.path))
+    held = sum(n for _, n, _ in known)
+    for _, n, path in sorted(known):
+        if held + size <= CACHE_BYTES:
+            return
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(path)
+        held -= n
+
+
 def _near(path: str) -> str | None:
-    """A local copy of a file in a store that cannot be mounted; a cache that a lost worker's successor fills again."""
+    """A local copy of a file in a store that cannot be mounted; a bounded cache that a lost worker's successor fills again."""
     copy = os.path.join(tempfile.gettempdir(), "graphloom-cache", hashlib.sha256(path.encode()).hexdigest())
-    if not os.path.exists(copy):
-        store, at = _store(path)
-        if store.get_file_info(at).type == fs.FileType.NotFound:
-            return None
-        os.makedirs(os.path.dirname(copy), exist_ok=True)
-        part = f"{copy}.{uuid.uuid4().hex}"
-        with store.open_input_stream(at) as f, open(part, "wb") as out:
-            while chunk := f.read(1 << 22):
-                out.write(chunk)
-        os.replace(part, copy)
+    with contextlib.suppress(FileNotFoundError):
+        os.utime(copy)
+        return copy
+    store, at = _store(path)
+    info = store.get_file_info(at)
+    if info.type == fs.FileType.NotFound:
+        return None
+    os.makedirs(os.path.dirname(copy), exist_ok=True)
+    _make_room(os.path.dirname(copy), info.size)
+    part = f"{copy}.{uuid.uuid4().hex}"
+    with store.open_input_stream(at) as f, open(part, "wb") as out:
+        while chunk := f.read(1 << 22):
+            out.write(chunk)
+    os.replace(part, copy)
     return copy
 
 
 def map_file(path: str, types: tuple) -> list[np.ndarray]:
     """The arrays of :func:`put_file`, mapped into memory; a missing file has empty arrays."""
-    here = _near(path) if "://" in path else path if os.path.exists(path) else None
-    if here is None:
-        return [np.zeros(0, t) for t in types]
-    raw = np.memmap(here, np.uint8, "r")
+    raw = None
+    while raw is None:
+        here = _near(path) if "://" in path else path if os.path.exists(path) else None
+        if here is None:
+            return [np.zeros(0, t) for t in types]
+        with contextlib.suppress(FileNotFoundError):  # a copy may have been removed to make room just now
+            raw = np.memmap(here, np.uint8, "r")
     n, at, out = int(raw[:8].view(np.int64)[0]), 64, []
     for t in types:
         end = at + n * np.dtype(t).itemsize
@@ -106,6 +133,22 @@ def map_file(path: str, types: tuple) -> list[np.ndarray]:
     return out
 
 
+class Maps:
+    """Mapped files of a worker, of which the ones used last stay open; a map takes one of the few that a process may have."""
+
+    def __init__(self):
+        self.open: dict[str, list[np.ndarray]] = {}
+
+    def get(self, path: str, types: tuple) -> list[np.ndarray]:
+        found = self.open.pop(path, None)
+        if found is None:
+            found = map_file(path, types)
+            if len(self.open) >= OPEN_MAPS:
+                del self.open[next(iter(self.open))]
+        self.open[path] = found  # the last one now
+        return found
+
+
 def store_hashes(hashes: DataFrame, kind: str) -> HashFiles:
     """Distinct values of the one long column of ``hashes`` as sorted files in the shared folder.
 

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 from test_llm_operators import low
 
@@ -88,6 +89,26 @@ def test_filter_misses_none(spark, monkeypatch):
     assert not shared.store_filter(df.where(F.lit(False)), "test").has(others).any()
 
 
+def test_few_maps_and_bounded_copies(tmp_path, monkeypatch):
+    """A worker keeps the maps that it used last; a node keeps copies of stored files up to a size, and what is mapped stays readable."""
+    for k in range(6):
+        shared.put_file(str(tmp_path / f"f{k}"), np.full(1000, k, np.int64))
+    monkeypatch.setattr(shared, "OPEN_MAPS", 3)
+    maps = shared.Maps()
+    for k in (0, 1, 2, 0, 3, 4, 0, 5):
+        assert maps.get(str(tmp_path / f"f{k}"), (np.int64,))[0][0] == k
+    assert [p[-1] for p in maps.open] == ["4", "0", "5"] and not len(maps.get(str(tmp_path / "none"), (np.int64,))[0])
+    # a store that is not mounted: every file is read through a local copy
+    monkeypatch.setattr(shared, "_store", lambda path: (fs.LocalFileSystem(), path.removeprefix("far://")))
+    monkeypatch.setattr(shared.tempfile, "gettempdir", lambda: str(tmp_path))
+    monkeypatch.setattr(shared, "CACHE_BYTES", 20_000)
+    first = shared.map_file(f"far://{tmp_path}/f0", (np.int64,))[0]
+    for k in (1, 2, 3, 1, 4, 5, 0):
+        assert shared.map_file(f"far://{tmp_path}/f{k}", (np.int64,))[0].tolist() == [k] * 1000
+        assert sum(p.stat().st_size for p in (tmp_path / "graphloom-cache").iterdir()) <= 20_000
+    assert first[0] == 0 and not len(shared.map_file(f"far://{tmp_path}/none", (np.int64,))[0])
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
