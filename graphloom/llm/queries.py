@@ -84,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_format": OP3_SQL, "op5_license_scan": op5_sql(), "op10_threshold_top_k": OP10_SQL, "op13_phrases": OP13_SQL}
+    return {"op3_preference_format": OP3_SQL, "op5_license_scan": op5_sql(), "op10_threshold_top_k": OP10_SQL, "op12_turn_repair": op12_sql(), "op13_phrases": OP13_SQL}
 
 
 OP10_SQL = """
@@ -190,3 +190,40 @@ c AS (SELECT doc_id, license, n_shingles, count(*) AS n_found FROM x JOIN e USIN
 SELECT doc_id, license, CAST(n_shingles AS BIGINT) AS n_shingles, n_found, CAST(n_found AS DOUBLE) / n_shingles AS containment
 FROM c WHERE n_found >= 0.8 * n_shingles
 """
+
+
+def op12_sql() -> str:
+    """The cheapest edits by a fold over each conversation's rows from the last to the first."""
+    kept = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    takes = {0: ("user", 2), 1: ("user", 2), 2: ("assistant", 3), 3: ("user", 2)}
+    put = lambda state, cost, edits, line: f"{{'c': {state}.c + {cost}, 'a': '{edits}' || {state}.a, 'l': " + (f"list_prepend({line}, {state}.l)" if line else f"{state}.l") + "}"
+    never = lambda test, value: f"CASE WHEN {test} THEN {value} END"
+    row, insert = [], []
+    for s, (role, n) in takes.items():
+        keeps = [never(f"NOT r.bad AND r.initial = '{i}'", put(f"z.s{k}", "r.extra", "K", "r.role || ':' || r.text")) for i, k in kept[s].items()]
+        again = never("NOT r.bad", put(f"z.s{n}", "1 + r.extra", "R", f"'{role}:' || r.text"))
+        row.append(f"'s{s}': list_min([{', '.join([put(f'z.s{s}', '2', 'D', ''), *keeps, again])}])")
+        other = takes[n][1]
+        two = f"{{'c': b.s{other}.c + 10, 'a': 'II' || b.s{other}.a, 'l': list_prepend('{role}:', list_prepend('{takes[n][0]}:', b.s{other}.l))}}"
+        insert.append(f"'s{s}': list_min([b.s{s}, {put(f'b.s{n}', '5', 'I', chr(39) + role + ':' + chr(39))}, {two}])")
+    inserted = lambda x: f"list_transform([{x}], lambda b: {{{', '.join(insert)}}})[1]"
+    one = "STRUCT(c BIGINT, a VARCHAR, l VARCHAR[])"
+    kind = f"STRUCT(s0 {one}, s1 {one}, s2 {one}, s3 {one})"
+    none, done = "{'c': 1000000000, 'a': '', 'l': []}", "{'c': 0, 'a': '', 'l': []}"
+    first = inserted(f"CAST({{'s0': {done}, 's1': {none}, 's2': {none}, 's3': {done}}} AS {kind})")
+    return rf"""
+WITH tab AS (SELECT list_transform(range(256), lambda k: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k)) AS t),
+q AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+f AS (SELECT q.*, xor(list_reduce(list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS fault FROM q, tab),
+m AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT *, unnest(CASE fault WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM f WHERE fault <> 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM m),
+k AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, role[1] AS initial, lead(role[1]) OVER (PARTITION BY conv_id ORDER BY n) AS next FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND again) AS duplicate, count(*) FILTER (WHERE NOT blank AND NOT again AND cut) AS truncated,
+  count(*) FILTER (WHERE next IS NOT NULL AND initial || next NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({{'initial': initial, 'bad': blank OR again, 'extra': CASE WHEN cut THEN 5 ELSE 0 END, 'role': role, 'text': text}} ORDER BY n DESC) AS rows FROM k GROUP BY conv_id),
+d AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, list_reduce(rows, lambda z, r: {inserted('{' + ', '.join(row) + '}')}, {first}).s0 AS best FROM g),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.l, chr(10)), '')) AS repaired_sha256
+FROM c LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
