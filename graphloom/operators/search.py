@@ -37,6 +37,8 @@ NAMED = 64
 BLOCK, LENGTHS, DEEP = 1024, 64, 24
 #: After so many blocks of each query a search looks at the score that is to beat before it reads on.
 STEPS = (2, 16)
+#: Nodes up to which all blocks are read at once: three reads of a small index cost more than they save.
+SMALL = 256 * BLOCK
 
 
 @dataclass(frozen=True)
@@ -141,7 +143,7 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
     terms that begin with it. The rarest prefix of a query names its candidates, and only
     these are looked up under the others.
 
-    With a limit and a stored index, a query reads the blocks first that can score most, and then only those that can
+    With a limit and a stored index of many nodes, a query reads the blocks first that can score most, and then only those that can
     beat its last kept score; what it leaves unread cannot be among the first ``limit``.
     """
     words = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("prefix"))
@@ -168,7 +170,7 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
         found = lead.unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("one"), 9).alias("score"), F.count("*").alias("have"), F.max("need").alias("need"))
         return found.where("have = need").select("query_id", "id", "score")
 
-    if index.blocks is None or not limit:
+    if index.blocks is None or not limit or n <= SMALL:
         tf = named(index.postings).join(begun, "term").groupBy("prefix", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
         # a stored copy serves both the counts and the scores
         tf = tf if index.prefixes is not None else written(tf, "prefixes")
@@ -185,8 +187,8 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
     def read(within: DataFrame) -> DataFrame:
         """The best ``limit`` of each query in these blocks."""
         wanted = ranked.select("query_id", "prefix").join(within, "query_id").select("prefix", "block").distinct()
-        terms = begun.join(wanted, "prefix")
-        tf = named(index.postings).join(terms, ["term", "block"]).groupBy("prefix", "block", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        # a short prefix has many terms: they meet the postings before blocks are chosen, not every block
+        tf = named(index.postings).join(begun, "term").join(wanted, ["prefix", "block"]).groupBy("prefix", "block", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
         return written(top(scores(ranked, tf, within), limit), "hits")
 
     hits = read(bounds.where(F.col("place") <= STEPS[0]).select("query_id", "block"))

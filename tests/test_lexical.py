@@ -10,7 +10,7 @@ from test_operators import brute_bm25
 
 @pytest.mark.parametrize(("named", "limit"), [(64, 7), (2, 25)])
 def test_first_hits_read_few_blocks(spark, tmp_path, monkeypatch, named, limit):
-    for name, value in (("BLOCK", 10), ("LENGTHS", 16), ("NAMED", named), ("DEEP", 4)):
+    for name, value in (("BLOCK", 10), ("LENGTHS", 16), ("NAMED", named), ("DEEP", 4), ("SMALL", 0)):
         monkeypatch.setattr(search, name, value)
     rnd = random.Random(5)
     # lengths and counts that differ widely, ties among equal texts, words longer than the counted prefixes
