@@ -8,6 +8,11 @@ the shared folder as sorted 64-bit hash arrays with their values. Scoring worker
 into memory and find all n-grams of a slice of texts by binary search; nothing of the model passes
 through the driver but the totals of each order.
 
+A context of more than a shard's share of all tokens (a very frequent word) is *hot*: its n-grams
+are dealt by all their words, so that no task holds all its followers, and what is known of the
+context is added up over the shards. A first pass over the texts finds the hot contexts by lossy
+counts, which miss none; there are at most two for each shard and order.
+
 Probability of a token ``w`` after the words ``h``, of which ``h'`` are all but the first:
 ``p(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) * p(w|h')``, and ``p(w|h')`` if ``h`` was never seen.
 ``c`` counts occurrences at the model's order and different predecessors below it, ``D`` are the
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import Maps, fresh, mounted, put_file, shards_for
+from graphloom.llm.shared import Maps, fresh, map_file, mounted, put_file, shards_for, written
 from graphloom.llm.textnum import lower, mix, shard_of, slices, span_hashes, words
 from graphloom.session import reach_workers
 
@@ -117,8 +122,20 @@ def unblob(raw: bytes) -> tuple[Grams, np.ndarray]:
     return (*(np.repeat(c, size) for c in context), last), count
 
 
-def by_shard(grams: Grams, count: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    of = shard_of(key_of(grams[:-1] or grams), shards)
+def look_up(stored: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key lies among sorted ones, and whether it does."""
+    if not len(stored):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(stored, keys), len(stored) - 1)
+    return at, stored[at] == keys
+
+
+def by_shard(grams: Grams, count: np.ndarray, shards: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Blobs by the shard of the context, those of ``hot`` contexts by that of the whole n-gram."""
+    context = key_of(grams[:-1] or grams)
+    of = shard_of(context, shards)
+    spread = np.flatnonzero(look_up(hot, context)[1])
+    of[spread] = shard_of(key_of(tuple(c[spread] for c in grams)), shards)
     order = np.argsort(of, kind="stable")
     bounds = np.searchsorted(of[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(bounds)).tolist():
@@ -126,15 +143,65 @@ def by_shard(grams: Grams, count: np.ndarray, shards: int) -> Iterator[tuple[int
         yield s, blob(tuple(c[own] for c in grams), count[own])
 
 
-def gram_counts(docs: DataFrame, text_col: str, order: int, shards: int) -> DataFrame:
+def hot_keys(folder: str, k: int) -> np.ndarray:
+    """The hot contexts of ``k``-grams, sorted."""
+    return map_file(f"{folder}/hot-keys-{k}", (np.uint64,))[0]
+
+
+def put_hot_keys(docs: DataFrame, text_col: str, order: int, shards: int, folder: str) -> None:
+    """Store the contexts that more than one in ``shards`` of all tokens follow.
+
+    A task leaves out contexts of at most half that share of its own tokens, which together are at
+    most half that share of all: what is left of a hot context is more than the other half, and no
+    more than ``2 * shards`` contexts of an order can have that much.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [((np.zeros(0, np.uint64),), np.zeros(0, np.int64))]
+        held, n = {k: list(none) for k in range(2, order + 1)}, 0
+
+        def flush() -> pa.RecordBatch:
+            out = [([0], [0], [n])]
+            for k, parts in held.items():
+                (key,), count = together(parts)
+                much = 2 * shards * count > n
+                out.append((np.full(much.sum(), k), key[much].view(np.int64), count[much]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["k", "context", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                grams, _ = tokens(data, offsets, order)
+                n += len(grams[-1])
+                for k, parts in held.items():
+                    context, count = np.unique(key_of(grams[order - k : -1]), return_counts=True)
+                    parts.append(((context,), count))
+                    if sum(len(c) for _, c in parts[1:]) > max(1 << 19, len(parts[0][1]) // 2):
+                        parts[:] = [together(parts)]
+                if max(len(parts[0][1]) for parts in held.values()) > HELD:
+                    yield flush()
+                    held, n = {k: list(none) for k in held}, 0
+        yield flush()
+
+    def put(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        put_file(f"{folder}/hot-keys-{key[0].as_py()}", np.sort(group.column("context").to_numpy().view(np.uint64)))
+        return pa.table({"n": pa.array([group.num_rows], pa.int64())})
+
+    rows = docs.select(text_col).mapInArrow(run, "k long, context long, n long")
+    rows = written(rows.groupBy("k", "context").agg(F.sum("n").alias("n")), "kneser-ney-hot")
+    n = rows.where("k = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    rows.where((F.col("k") > 0) & (F.col("n") > n / (2 * shards))).groupBy("k").applyInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def gram_counts(docs: DataFrame, text_col: str, order: int, shards: int, folder: str) -> DataFrame:
     """``(shard, grams)``: the n-gram counts of each task as one blob per shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = hot_keys(folder, order)
         none = (tuple(np.zeros(0, np.uint64) for _ in range(order)), np.zeros(0, np.int64))
         held = [none]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for s, raw in by_shard(*held[0], shards):
+            for s, raw in by_shard(*held[0], shards, hot):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([raw], pa.binary())], ["shard", "grams"])
 
         for batch in batches:
@@ -191,6 +258,22 @@ def _put_counts(path: str, key: np.ndarray, count: np.ndarray) -> None:
         put_file(f"{path}-large", key[large], count[large].astype(np.int64))
 
 
+HOT = (np.uint64, np.float64, np.int64, np.int64, np.int64)
+
+
+def _put_hot(parts: DataFrame, path: str) -> None:
+    """Add up what the shards know of hot contexts, at most two for each shard, and store it as one file."""
+
+    def put(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        columns = [group.column(f"n{i}").to_numpy() for i in range(5)]
+        by = np.argsort(columns[0].view(np.uint64))
+        put_file(path, *(c[by].view(np.uint64) if i == 0 else c[by].astype(HOT[i]) for i, c in enumerate(columns)))
+        return pa.table({"n": pa.array([len(by)], pa.int64())})
+
+    whole = parts.select(*(F.col("n")[i].alias(f"n{i}") for i in range(5))).groupBy("n0").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(1, 5)))
+    whole.groupBy(F.lit(0).alias("all")).applyInArrow(put, "n long").collect()
+
+
 LEVEL = "shard int, kind string, grams binary, n array<bigint>, total long, distinct long, three long"
 
 
@@ -201,6 +284,7 @@ def _level(folder: str, shards: int, k: int, top: bool):
         shard = key[0].as_py()
         grams, count = together([unblob(x.as_py()) for x in group.column("grams")])
         rows: list[tuple[int, str, bytes]] = []
+        hot: list[list[int]] = []
         if k == 1:
             _put_counts(f"{folder}/word-{shard}", grams[0], count)
         else:
@@ -211,15 +295,19 @@ def _level(folder: str, shards: int, k: int, top: bool):
             context = key_of(tuple(c[new] for c in grams[:-1]))
             kinds = [np.add.reduceat(x.astype(np.int64), new).astype(np.uint32) for x in (count == 1, count == 2, count > 2)]
             total = np.add.reduceat(count, new)
+            _, spread = look_up(hot_keys(folder, k), context)
             by = np.argsort(context)
+            by = by[~spread[by]]
             put_file(f"{folder}/context-{k}-{shard}", context[by], total[by].astype(np.float64), *(x[by] for x in kinds))
-            rows = [(s, "low", raw) for s, raw in by_shard(*summed(grams[1:], np.ones(len(count), np.int64)), shards)]
+            parts = [x[spread].tolist() for x in (context.view(np.int64), total, *kinds)]
+            hot = [list(x) for x in zip(*parts, strict=True)]
+            rows = [(s, "low", raw) for s, raw in by_shard(*summed(grams[1:], np.ones(len(count), np.int64)), shards, hot_keys(folder, k - 1))]
             if top and k > 2:
                 # how often each word occurs: at order 2 the contexts' totals tell
-                rows += [(s, "raw", raw) for s, raw in by_shard(*summed((grams[-2][new],), total), shards)]
-        n = len(rows)
-        none = [None] * n
-        columns = ([r[0] for r in rows] + [-1], [r[1] for r in rows] + ["sum"], [r[2] for r in rows] + [None], none + [counts_of_counts(count)], none + [int(count.sum())], none + [len(count)], none + [int((count > 2).sum())])
+                rows += [(s, "raw", raw) for s, raw in by_shard(*summed((grams[-2][new],), total), shards, hot_keys(folder, 1))]
+        n, m = len(rows), len(hot)
+        none = [None] * (n + m)
+        columns = ([r[0] for r in rows] + [-1] * (m + 1), [r[1] for r in rows] + ["hot"] * m + ["sum"], [r[2] for r in rows] + [None] * (m + 1), [None] * n + hot + [counts_of_counts(count)], none + [int(count.sum())], none + [len(count)], none + [int((count > 2).sum())])
         kinds_ = (pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
         return pa.table({name: pa.array(c, t) for name, c, t in zip(("shard", "kind", "grams", "n", "total", "distinct", "three"), columns, kinds_, strict=True)})
 
@@ -235,14 +323,17 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     shards = shards_for(docs.select(text_col))
     folder = mounted(fresh(spark, "kneser-ney"))
     totals = {}
-    rows, raw = gram_counts(docs, text_col, order, shards), None
+    put_hot_keys(docs, text_col, order, shards, folder)
+    rows, raw = gram_counts(docs, text_col, order, shards, folder), None
     for k in range(order, 0, -1):
         # written at once, so that totals and shorter n-grams are read from one run
         path = fresh(spark, f"kneser-ney-{k}")
         rows.groupBy("shard").applyInArrow(_level(folder, shards, k, k == order), LEVEL).write.parquet(path)
         done = spark.read.schema(LEVEL).parquet(path)
         each = [F.coalesce(F.sum(F.col("n")[i]), F.lit(0)).alias(f"n{i}") for i in range(4)]
-        totals[k] = done.where("shard < 0").agg(*each, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "three"))).first()
+        totals[k] = done.where("kind = 'sum'").agg(*each, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "three"))).first()
+        if k > 1:
+            _put_hot(done.where("kind = 'hot'"), f"{folder}/hot-{k}")
         if k == order and order > 2:
             raw = done.where("kind = 'raw'").select("shard", "grams")
         rows = done.where("kind = 'low'").select("shard", "grams")
@@ -279,13 +370,20 @@ class Mapped:
         for s in np.flatnonzero(np.diff(bounds)).tolist():
             own = order[bounds[s] : bounds[s + 1]]
             stored, *values = self.arrays(f"{kind}-{s}", types)
-            if len(stored):
-                at = np.minimum(np.searchsorted(stored, keys[own]), len(stored) - 1)
-                hit = stored[at] == keys[own]
-                for o, v in zip(out, values, strict=True):
-                    o[own[hit]] = v[at[hit]]
+            at, hit = look_up(stored, keys[own])
+            for o, v in zip(out, values, strict=True):
+                o[own[hit]] = v[at[hit]]
         return out
 
+    def contexts(self, k: int, keys: np.ndarray, of: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Total, and followers of count 1, 2 and more, of each context of ``k``-grams; and which are hot."""
+        out = self.find(f"context-{k}", keys, of, (np.uint64, np.float64, np.uint32, np.uint32, np.uint32))
+        stored, *values = self.arrays(f"hot-{k}", HOT)
+        at, hot = look_up(stored, keys)
+        for o, v in zip(out, values, strict=True):
+            o[hot] = v[at[hot]]
+        return out, hot
+
     def counts(self, kind: str, keys: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Counts of :func:`_put_counts`."""
         (count,) = self.find(kind, keys, of, (np.uint64, np.uint32))
@@ -302,22 +400,22 @@ class Mapped:
         a = self.counts("word", word, shard_of(word, m.shards))
         d = np.array([0.0, *m.discounts[0]])
         p = (np.maximum(a - d[np.minimum(a, 3).astype(np.int64)], 0) / max(m.successions, 1) + m.lower_left / (m.vocabulary + 1))[which]
-        kinds = (np.uint64, np.float64, np.uint32, np.uint32, np.uint32)
         for k in range(2, m.order + 1):
             part = grams[m.order - k :]
             context, at = np.unique(key_of(part[:-1]), return_inverse=True)
             of = shard_of(context, m.shards)
-            total, n1, n2, n3 = self.find(f"context-{k}", context, of, kinds)
+            (total, n1, n2, n3), hot = self.contexts(k, context, of)
             e = np.array([0.0, *m.discounts[k - 1]])
             left = np.where(total > 0, (e[1] * n1 + e[2] * n2 + e[3] * n3) / np.where(total > 0, total, 1), 1.0)
-            c = self.counts(f"gram-{k}", key_of(part), of[at])
+            key = key_of(part)
+            c = self.counts(f"gram-{k}", key, np.where(hot[at], shard_of(key, m.shards), of[at]))
             p = left[at] * p
             hit = c > 0
             p[hit] += np.maximum(c[hit] - e[np.minimum(c[hit], 3).astype(np.int64)], 0) / total[at[hit]]
         # a word begins as many pairs as it has occurrences; the end occurs once a text, as the begin mark does
         seen = np.where(word == END, BEGIN, word)
         if m.order == 2:
-            raw = self.find("context-2", seen, shard_of(seen, m.shards), kinds)[0]
+            (raw, *_), _ = self.contexts(2, seen, shard_of(seen, m.shards))
         else:
             (raw,) = self.find("raw", seen, shard_of(seen, m.shards), (np.uint64, np.float64))
         base = np.log10((raw + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1)))

@@ -129,8 +129,11 @@ def test_suffix_array_is_sorted():
             assert s[x : x + c].tolist() == s[y : y + c].tolist() and (max(x, y) + c == size or s[x + c] != s[y + c])
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_kneser_ney(docs, by_id, order):
+@pytest.mark.parametrize(("order", "shards"), [(2, None), (3, None), (4, None), (2, 300), (3, 300)])
+def test_kneser_ney(docs, by_id, order, shards, monkeypatch):
+    """With 300 shards words of more than 1 in 300 tokens, and the begin, are hot contexts."""
+    if shards:
+        monkeypatch.setattr(kneser_ney, "shards_for", lambda _: shards)
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     rows = kneser_ney.train_and_score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, order=order).collect()
     tokens = {i: WORD.findall(low(t)) + ["</s>"] for i, t in by_id.items()}
@@ -170,6 +173,22 @@ def test_kneser_ney(docs, by_id, order):
     assert kneser_ney.train_and_score(empty(docs), F.lit(False), order=order).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_followers_of_a_hot_word_are_spread(spark, order):
+    """A word with 200,000 different followers, half of all n-grams: no file holds much more than its share."""
+    docs = spark.range(200, numPartitions=8).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("the the w"), F.col("id") * 1000 + i))).alias("text"))
+    model = kneser_ney.train(docs, order=order)
+    for k in range(2, order + 1):
+        n = [len(kneser_ney.map_file(f"{model.folder}/gram-{k}-{s}", (np.uint64,))[0]) for s in range(model.shards)]
+        assert sum(n) > 400_000 and max(n) < 1.2 * sum(n) / model.shards
+        hot, total, one, two, more = kneser_ney.map_file(f"{model.folder}/hot-{k}", kneser_ney.HOT)
+        assert hot.tolist() == sorted(kneser_ney.hot_keys(model.folder, k).tolist()) and 0 < len(hot) <= 2 * model.shards
+        if k == 2:
+            # "the" twice before each of the others, in order 3 by different words before; it also follows itself
+            assert total.max() == 400_000 if order == 2 else total.max() > 200_000
+            assert max(one) == 200_000 and (two.sum(), more.max()) == (0, 1)
+
+
 def test_gram_blobs_round_trip():
     columns = tuple(np.array(x, np.uint64) for x in ([1, 1, 1, 9], [4, 4, 6, 2], [3, 5, 1, 2]))
     count = np.array([1, 300, 2, 1 << 40])
