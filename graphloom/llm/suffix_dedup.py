@@ -13,6 +13,9 @@ its suffixes in one place:
    tree; a scan with a stack visits its nodes, and a node whose suffixes are preceded by
    different bytes is a maximal repeat, with all its occurrences. Each occurrence outside
    the node's first document is marked with the length of its longest such node.
+   A name with more than ``HOT`` segments (a notice with changing names in it) is not sorted in
+   one place: its segments are cut into their single strings, which are dealt by what they say
+   and compared as 128-bit hashes, equal ones within a task settled first.
 4. Marks are united per document and stored as sorted files; one more narrow pass over the
    documents takes the marked bytes out.
 
@@ -39,11 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import fresh, map_file, mounted, put_file, shards_for
-from graphloom.llm.textnum import mix, shard_of, slices, span_hashes, spread
+from graphloom.llm.textnum import SLICE_BYTES, mix, shard_of, slices, span_hashes, spread, window_hashes
 from graphloom.session import reach_workers
 
 #: Bytes of a short run, names that a task holds.
 RUN, HELD = 16, 1 << 21
+#: Segments of one name from which it is hot; counts of a task are kept in 16 bits, which is beyond it.
+HOT = 1 << 15
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,26 +106,26 @@ def _deltas(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=sorted_values[:1] * 0)
 
 
-def repeated_names(docs: DataFrame, least: int, shards: int, folder: str) -> None:
-    """Store the names that occur in two documents or more, a sorted file per shard."""
+def repeated_names(docs: DataFrame, least: int, shards: int, folder: str, hot: int) -> None:
+    """Store the names that occur in two documents or more and whether they are hot, a sorted file per shard."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            name, many = (np.concatenate(x) for x in zip(*held))
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            name, many, times = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(name, kind="stable")
-            name, many = name[order], many[order]
+            name, many, times = name[order], many[order], times[order]
             new = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
             size = np.diff(np.r_[new, len(name)])
-            return name[new], (size > 1) | many[new]
+            return name[new], (size > 1) | many[new], np.minimum(np.add.reduceat(times, new), (1 << 16) - 1).astype(np.uint16)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            name, many = merged()
+            name, many, times = merged()
             of = shard_of(name, shards)
             for s in np.unique(of).tolist():
                 own = of == s
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(_deltas(name[own]), many[own])], pa.binary())], ["shard", "names"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(_deltas(name[own]), many[own], times[own])], pa.binary())], ["shard", "names"])
 
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
@@ -129,10 +134,11 @@ def repeated_names(docs: DataFrame, least: int, shards: int, folder: str) -> Non
                 order = np.lexsort((text, name))
                 name, text = name[order], text[order]
                 once = np.r_[True, (name[1:] != name[:-1]) | (text[1:] != text[:-1])][: len(name)]
-                name = name[once]
+                of_text = np.cumsum(once)
                 new = np.flatnonzero(np.r_[True, name[1:] != name[:-1]][: len(name)])
                 if len(new):
-                    held.append((name[new], np.diff(np.r_[new, len(name)]) > 1))
+                    texts = np.diff(np.r_[of_text[new], of_text[-1] + 1])
+                    held.append((name[new], texts > 1, np.diff(np.r_[new, len(name)])))
                 if sum(len(x[0]) for x in held) > HELD:
                     yield from flush()
                     held.clear()
@@ -140,32 +146,33 @@ def repeated_names(docs: DataFrame, least: int, shards: int, folder: str) -> Non
             yield from flush()
 
     def store(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        parts = [_unpacked(x.as_py(), np.uint64, np.bool_) for x in group.column("names")]
+        parts = [_unpacked(x.as_py(), np.uint64, np.bool_, np.uint16) for x in group.column("names")]
         name = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        many = np.concatenate([p[1] for p in parts])
+        many, times = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
         order = np.argsort(name, kind="stable")
-        name, many = name[order], many[order]
+        name, many, times = name[order], many[order], times[order].astype(np.int64)
         new = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
         again = (np.diff(np.r_[new, len(name)]) > 1) | np.logical_or.reduceat(many, new)
-        put_file(f"{folder}/name-{key[0].as_py()}", name[new][again])
+        put_file(f"{folder}/name-{key[0].as_py()}", name[new][again], (np.add.reduceat(times, new) > hot)[again])
         return pa.table({"stored": pa.array([int(again.sum())], pa.int64())})
 
     docs.select("text").mapInArrow(names, "shard int, names binary").groupBy("shard").applyInArrow(store, "stored long").agg(F.sum("stored")).collect()
 
 
-def _stored(folder: str, kind: str, key: np.ndarray, shards: int) -> np.ndarray:
-    """Which keys are in the stored files."""
-    out = np.zeros(len(key), bool)
+def _stored(folder: str, key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which names are in the stored files, and which of them are hot."""
+    out, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
     of = shard_of(key, shards)
     order = np.argsort(of, kind="stable")
     bounds = np.searchsorted(of[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(bounds)).tolist():
         own = order[bounds[s] : bounds[s + 1]]
-        (known,) = map_file(f"{folder}/{kind}-{s}", (np.uint64,))
+        known, much = map_file(f"{folder}/name-{s}", (np.uint64, np.bool_))
         if len(known):
             at = np.minimum(np.searchsorted(known, key[own]), len(known) - 1)
             out[own] = known[at] == key[own]
-    return out
+            hot[own] = out[own] & much[at]
+    return out, hot
 
 
 def sorted_suffixes(data: np.ndarray, start: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,8 +323,36 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, shards: int) ->
     return [s for s, _ in each], [_packed(_deltas(doc[o]), start[o], end[o]) for _, o in each]
 
 
+def _later(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which have an equal one in a smaller document."""
+    order = np.lexsort((doc, code))
+    head = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]][: len(code)])
+    first = np.empty_like(doc)
+    first[order] = np.repeat(doc[order][head], np.diff(np.r_[head, len(order)]))
+    return doc > first
+
+
+def strings_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each string of ``least`` bytes of each segment, which together tell strings apart by 128 bits."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    half = least // 2
+    load = np.cumsum(size) // SLICE_BYTES
+    cuts = np.flatnonzero(np.r_[True, load[1:] != load[:-1]][: len(size)])
+    for a, b in zip(cuts, [*cuts[1:], len(size)]):
+        own = size[a:b]
+        flat, at = data[spread(begin[a:b], own)], spread(np.cumsum(own) - own, own - least + 1)
+        one, two = window_hashes(flat, at, half), window_hashes(flat, at + half, least - half)
+        out.append((mix(mix(one) + two), one))
+    code, other = (np.concatenate(x) for x in zip(*out))
+    return code, other
+
+
 def repeated_segments(docs: DataFrame, least: int, shards: int, folder: str, settle: bool = True) -> DataFrame:
-    """``(shard, open, spans)``: segments with a repeated name, dealt by name; copies within a task already settled, if asked."""
+    """``(shard, open, spans)``: segments with a repeated name, dealt by name.
+
+    With ``settle``, copies within a task are already settled, and hot names cut into strings: these
+    have a negative size, and as data one of their hashes, of which the other is the name.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,32 +361,44 @@ def repeated_segments(docs: DataFrame, least: int, shards: int, folder: str, set
             size_now = 0
 
             def flush() -> Iterator[pa.RecordBatch]:
-                name, doc, start, size = (np.concatenate([f[k] for f in found]) for k in range(4))
-                data = np.concatenate([f[4] for f in found])
+                name, doc, start, size, hot = (np.concatenate([f[k] for f in found]) for k in range(5))
+                data = np.concatenate([f[5] for f in found])
                 begin = np.cumsum(size) - size
-                # of equal segments here, only those of the smallest document are open
-                code = mix(span_hashes(data, begin, begin + size) + name)
-                order = np.lexsort((doc, code))
-                head = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
-                least_doc = np.empty_like(doc)
-                least_doc[order] = np.repeat(doc[order][head], np.diff(np.r_[head, len(order)]))
-                done = (doc > least_doc) & settle
-                for s, raw in zip(*_spans(doc[done], start[done], (start + size)[done], shards), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([None], pa.binary()), pa.array([raw], pa.binary())], ["shard", "open", "spans"])
-                still = np.flatnonzero(~done)
-                still = still[np.argsort(name[still], kind="stable")]
-                of = shard_of(name[still], shards)
+                if settle:
+                    # of equal segments here, only those of the smallest document are open
+                    done = _later(mix(span_hashes(data, begin, begin + size) + name), doc)
+                    spans = [(doc[done], start[done], (start + size)[done])]
+                    own = np.flatnonzero(~done & hot)
+                    rest = np.flatnonzero(~done & ~hot)
+                    many = size[own] - least + 1
+                    code, other = strings_of(data, begin[own], size[own], least)
+                    of, at = np.repeat(doc[own], many), spread(start[own], many)
+                    done = _later(code, of)
+                    spans.append((of[done], at[done], at[done] + least))
+                    for s, raw in zip(*_spans(*(np.concatenate(x) for x in zip(*spans)), shards), strict=True):
+                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([None], pa.binary()), pa.array([raw], pa.binary())], ["shard", "open", "spans"])
+                    left = np.flatnonzero(~done)
+                    flat = data[spread(begin[rest], size[rest])]
+                    held = np.r_[size[rest], np.full(len(left), 8)]
+                    name, doc, start = np.r_[name[rest], code[left]], np.r_[doc[rest], of[left]], np.r_[start[rest], at[left]]
+                    size, data = np.r_[size[rest], np.full(len(left), -least)], np.r_[flat, other[left].view(np.uint8)]
+                    begin = np.cumsum(held) - held
+                else:
+                    held = size
+                by = np.argsort(name, kind="stable")
+                of = shard_of(name[by], shards)
                 for s in np.unique(of).tolist():
-                    o = still[of == s]
-                    raw = _packed(_deltas(name[o]), doc[o], start[o], size[o].astype(np.int32), data[spread(begin[o], size[o])])
+                    o = by[of == s]
+                    raw = _packed(_deltas(name[o]), doc[o], start[o], size[o].astype(np.int32), data[spread(begin[o], held[o])])
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([raw], pa.binary()), pa.array([None], pa.binary())], ["shard", "open", "spans"])
 
             for a, _, data, offsets in slices(batch.column(0)):
                 text, start, end, name = segments(data, offsets, least)
-                own = np.flatnonzero(_stored(folder, "name", name, shards))
+                known, hot = _stored(folder, name, shards)
+                own = np.flatnonzero(known)
                 if len(own):
                     size = end[own] - start[own]
-                    found.append((name[own], ids[a + text[own]], start[own] - offsets[text[own]], size, data[spread(start[own], size)]))
+                    found.append((name[own], ids[a + text[own]], start[own] - offsets[text[own]], size, hot[own], data[spread(start[own], size)]))
                     size_now += int(size.sum())
                 if size_now > 1 << 23:
                     yield from flush()
@@ -363,15 +410,16 @@ def repeated_segments(docs: DataFrame, least: int, shards: int, folder: str, set
 
 
 def _segments_of(group: pa.Table) -> tuple[np.ndarray, ...]:
-    """``name, doc, start, size, begin, data, code`` of a shard's open segments, by name, content and document."""
+    """``name, doc, start, size, begin, data, code, single`` of a shard's open segments, by name, content and document; ``single`` are strings."""
     parts = [_unpacked(x.as_py(), np.uint64, np.int64, np.int64, np.int32, np.uint8) for x in group.column("open").drop_null()]
     name = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     doc, start, size, data = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
-    size = size.astype(np.int64)
-    begin = np.cumsum(size) - size
-    code = mix(span_hashes(data, begin, begin + size) + name)
-    order = np.lexsort((start, doc, code, name))
-    return name[order], doc[order], start[order], size[order], begin[order], data, code[order]
+    size, single = np.abs(size.astype(np.int64)), size < 0
+    held = np.where(single, 8, size)
+    begin = np.cumsum(held) - held
+    code = mix(span_hashes(data, begin, begin + held) + name)
+    order = np.lexsort((start, doc, code, single, name))
+    return name[order], doc[order], start[order], size[order], begin[order], data, code[order], single[order]
 
 
 def repeated_spans(docs: DataFrame, least: int, shards: int, folder: str) -> DataFrame:
@@ -383,8 +431,8 @@ def repeated_spans(docs: DataFrame, least: int, shards: int, folder: str) -> Dat
             shards_out.append(key[0].as_py())
             out.append(raw.as_py())
         if group.column("open").null_count < group.num_rows:
-            name, doc, start, size, begin, data, code = _segments_of(group)
-            new_name = np.r_[True, name[1:] != name[:-1]]
+            name, doc, start, size, begin, data, code, single = _segments_of(group)
+            new_name = np.r_[True, (name[1:] != name[:-1]) | (single[1:] != single[:-1])]
             head = np.flatnonzero(new_name | np.r_[True, code[1:] != code[:-1]])
             length = np.diff(np.r_[head, len(name)])
             done = doc > np.repeat(doc[head], length)
@@ -393,7 +441,7 @@ def repeated_spans(docs: DataFrame, least: int, shards: int, folder: str) -> Dat
             of_name = np.cumsum(new_name[head]) - 1
             bounds = np.flatnonzero(np.r_[True, of_name[1:] != of_name[:-1]])
             mixed = np.minimum.reduceat(doc[head], bounds) < np.maximum.reduceat(doc[head], bounds)
-            pick = np.flatnonzero(mixed[of_name])
+            pick = np.flatnonzero(mixed[of_name] & ~single[head])
             open_copies = np.add.reduceat((~done).astype(np.int64), head)
             for part in _portions(pick, of_name[pick], size[head[pick]]):
                 h = head[part]
@@ -417,17 +465,18 @@ def maximal_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", te
 
     A node of the interval tree is a group, nested ones included; so is a whole segment
     that several places share. ``group`` is a hash of the repeated string. A repeat that
-    runs through several segments is reported as one group per stretch.
+    runs through several segments is reported as one group per stretch. Segments of one name, hot or not, are
+    sorted in one task here, because groups nest.
     """
     spark = docs.sparkSession
     reach_workers(spark)
     folder = mounted(fresh(spark, "repeats"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
     shards = shards_for(rows)
-    repeated_names(rows, least, shards, folder)
+    repeated_names(rows, least, shards, folder, HOT)
 
     def groups(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        name, doc, start, size, begin, data, code = _segments_of(group)
+        name, doc, start, size, begin, data, code, _ = _segments_of(group)
         head = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (code[1:] != code[:-1])])
         copies = np.diff(np.r_[head, len(name)])
         flat, own = data[spread(begin[head], size[head])], size[head]
@@ -488,16 +537,21 @@ class Repeats:
         return row[order], start[order], end[order]
 
 
-def find_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> Repeats:
-    """Find every byte covered by a string of ``least`` bytes that also starts in a document of smaller id."""
+def find_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> Repeats:
+    """Find every byte covered by a string of ``least`` bytes that also starts in a document of smaller id.
+
+    Segments of a name that more than ``hot`` have are compared string by string; 32,768 at most.
+    """
     spark = docs.sparkSession
     reach_workers(spark)
     if least < RUN:
         raise ValueError(f"strings of at least {RUN} bytes are supported")
+    if hot > HOT:
+        raise ValueError(f"a name is hot from {HOT} segments on at the latest")
     folder = mounted(fresh(spark, "repeats"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
     shards = shards_for(rows)
-    repeated_names(rows, least, shards, folder)
+    repeated_names(rows, least, shards, folder, hot)
 
     def put(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         return _put_spans(key, group, folder)

@@ -109,6 +109,16 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the ``length`` bytes from each place on, which may overlap; by sums up to each place."""
+    powers, back = np.full(len(data) + 1, _STEP), np.full(len(data) + 1, np.uint64(pow(int(_STEP), -1, 1 << 64)))
+    powers[0] = back[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    np.multiply.accumulate(back, out=back)
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(_RANDOM[data] * powers[:-1], dtype=np.uint64)]
+    return mix((sums[starts + length] - sums[starts]) * back[starts])
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices ``starts[i] .. starts[i]+lengths[i]-1`` of all ``i``, one after the other."""
     total = int(lengths.sum())

@@ -308,8 +308,8 @@ def brute_repeats(by_id):
     return {i: (len(b), sum(gone), spans(gone), hashlib.sha256(kept[i]).hexdigest()) for i, (b, gone) in covered_bytes(by_id).items()}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeat_removal_of_recurring_runs(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, suffix_dedup.HOT), (1, suffix_dedup.HOT), (2, suffix_dedup.HOT), (0, 0), (1, 6)])
+def test_repeat_removal_of_recurring_runs(spark, seed, hot):
     """A fuzzer of the hard case: one 16-byte run recurs every few bytes, for hundreds of bytes, in texts that share stretches of it."""
     rnd = random.Random(seed)
     run = "<td class='a'>0:"
@@ -322,7 +322,7 @@ def test_repeat_removal_of_recurring_runs(spark, seed):
         rows.append((i, rnd.choice(("", "é" * 9, piece())) + shared + rnd.choice(("", "other text " * 4, piece() * 3)) + base[: rnd.choice((0, 0, 200))]))
     rows.append((60, base[:72] + base[:312] + "tail"))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digest(df, suffix_dedup.find_repeats(df)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digest(df, suffix_dedup.find_repeats(df, hot=hot)).collect()}
     assert got == brute_repeats(dict(rows)) and got[60][1] >= 312
 
 
@@ -336,8 +336,8 @@ def test_repeat_removal(docs, by_id):
     assert suffix_dedup.removal_digest(empty(docs), suffix_dedup.find_repeats(empty(docs))).count() == 0
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_repeat_removal_of_periodic_texts(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, suffix_dedup.HOT), (1, suffix_dedup.HOT), (0, 0), (1, 6)])
+def test_repeat_removal_of_periodic_texts(spark, seed, hot):
     rnd = random.Random(seed)
     base = "".join(rnd.choice("abc ") for _ in range(500))
     rows = []
@@ -349,12 +349,12 @@ def test_repeat_removal_of_periodic_texts(spark, seed):
         rows.append((i, "".join(t)[a : a + rnd.randint(30, 400)] + "a" * rnd.randint(0, 120)))
     rows += [(60, "a" * 400), (61, "a" * 300 + "b"), (62, "ab" * 200), (63, "ba" * 90 + "c" + "ab" * 90), (64, "\0" * 80), (65, "q" + "\0" * 60), (66, base * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digest(df, suffix_dedup.find_repeats(df)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digest(df, suffix_dedup.find_repeats(df, hot=hot)).collect()}
     assert got == brute_repeats(dict(rows))
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_repeat_removal_of_rows_that_diverge_later(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, suffix_dedup.HOT), (1, suffix_dedup.HOT), (0, 0), (1, 6)])
+def test_repeat_removal_of_rows_that_diverge_later(spark, seed, hot):
     """Table rows, list items and log lines: one run recurs for hundreds of bytes, then the texts part."""
     rnd = random.Random(seed)
     rows = []
@@ -364,13 +364,34 @@ def test_repeat_removal_of_rows_that_diverge_later(spark, seed):
         for j in range(2):
             rows.append((2 * i + j, common + "".join(line.format(rnd.randrange(100)) for _ in range(5))))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digest(df, suffix_dedup.find_repeats(df)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digest(df, suffix_dedup.find_repeats(df, hot=hot)).collect()}
     assert got == brute_repeats(dict(rows))
     data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
     _, start, end, _ = suffix_dedup.segments(data, np.r_[0, np.cumsum([len(t.encode()) for _, t in rows])], 50)
     assert (end - start).max() <= 2 * 50 - suffix_dedup.RUN
 
 
+def test_a_hot_name_is_spread(spark):
+    """One notice between 60,000 different pairs of words: no shard holds its segments, and what repeats is still found."""
+    own = lambda i, a, n: F.substring(F.md5(i.cast("string")), a, n)
+    notice, i = F.lit(" this work is licensed for the owner of "), F.col("doc_id")
+    docs = spark.range(60000, numPartitions=8).withColumnRenamed("id", "doc_id").select("doc_id", F.concat(own(i, 1, 16), notice, own(i, 17, 16)).alias("text"))
+    # 100 more hold the notice and ten characters of another one: 50 bytes, and those before the notice that are equal by chance
+    more = spark.range(60000, 60100).withColumnRenamed("id", "doc_id").select("doc_id", F.concat(own(i, 1, 16), notice, own(i - 60000, 17, 10), F.lit("-")).alias("text"))
+    df = docs.unionByName(more)
+    removed = {r.doc_id: r.n_removed for r in suffix_dedup.removal_digest(df, suffix_dedup.find_repeats(df, hot=5000)).where("n_removed > 0").collect()}
+    before = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:16]
+    assert removed == {i: 50 + next(k for k in range(16) if before(i)[15 - k] != before(i - 60000)[15 - k]) for i in range(60000, 60100)}
+    rows, folder = df.select("text", F.col("doc_id").alias("id")), suffix_dedup.mounted(suffix_dedup.fresh(spark, "repeats"))
+    suffix_dedup.repeated_names(rows, 50, 8, folder, 5000)
+    hot = [suffix_dedup.map_file(f"{folder}/name-{s}", (np.uint64, np.bool_))[1].sum() for s in range(8)]
+    assert 1 <= sum(hot) <= 40, hot
+    size = dict.fromkeys(range(8), 0)
+    for r in suffix_dedup.repeated_segments(rows, 50, 8, folder).where("open is not null").collect():
+        size[r.shard] += len(suffix_dedup._unpacked(r.open, np.uint64, np.int64, np.int64, np.int32, np.uint8)[0])
+    assert sum(size.values()) > 60000 and max(size.values()) < 1.3 * sum(size.values()) / 8, size
+
+
 def test_maximal_repeats(spark):
     rnd = random.Random(9)
     noise = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
