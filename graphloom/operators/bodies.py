@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from graphloom.functions.batches import mapped, pieces
 from graphloom.functions.blocks import prefixes
 from graphloom.functions.html import tables_of
 from graphloom.functions.text import data_url, is_front_matter, paragraphs, repair_mime, stripped, uuid_of
 from graphloom.session import reach_workers
 
 RUNS = ArrayType(StructType([StructField("text", StringType()), *(StructField(k, BooleanType()) for k in ("bold", "italic", "strike", "code"))]))
+_RUNS = pa.list_(pa.struct([("text", pa.string()), *((k, pa.bool_()) for k in ("bold", "italic", "strike", "code"))]))
 #: Block types that carry an artifact id.
 ARTIFACTS = ["paragraph", "heading", "image", "bulletListItem", "numberedListItem", "checkListItem", "table"]
 #: Inline marks in the order in which they are read.
@@ -48,10 +50,10 @@ def runs_of(text: str) -> list[dict]:
     return [{"text": t} | {k: k in styles for k in ("bold", "italic", "strike", "code")} for t, styles in _marked(text, MARKS, frozenset())]
 
 
-@F.pandas_udf(RUNS)
-def styled(text: pd.Series) -> pd.Series:
+@F.arrow_udf(RUNS)
+def styled(text: pa.Array) -> pa.Array:
     """Styled runs of each text."""
-    return text.map(lambda t: runs_of(t or ""))
+    return mapped(lambda t: runs_of(t or ""), text, _RUNS)
 
 
 def inline_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,7 +67,7 @@ def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     reach_workers(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [(i, k, t) for i, h in enumerate(batch.column(1).to_pylist()) for k, t in enumerate(tables_of(h or ""))]
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.string())))], ["_id", "pos", "rows"])
