@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.batches import pieces
 from graphloom.functions.text import stripped
 from graphloom.session import reach_workers
 
@@ -83,7 +84,7 @@ def markdown_chunks(docs: DataFrame) -> DataFrame:
     reach_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [(i, pos, *c) for i, t in enumerate(batch.column(1).to_pylist()) for pos, c in enumerate(chunks_of(t or ""))]
             columns = list(zip(*found, strict=True)) or [()] * 7
             kinds = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())))
