@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from graphloom.functions.batches import mapped, pieces
 from graphloom.session import reach_workers
 
 #: Keys whose strings are not text.
@@ -79,14 +80,14 @@ def has_secret(text: str | None) -> bool:
         return False
 
 
-@F.pandas_udf(StringType())
-def searchable_text(body: pd.Series) -> pd.Series:
-    return body.map(searchable, na_action="ignore")
+@F.arrow_udf(StringType())
+def searchable_text(body: pa.Array) -> pa.Array:
+    return mapped(searchable, body, pa.string())
 
 
-@F.pandas_udf(StringType())
-def plain_text(body: pd.Series) -> pd.Series:
-    return body.map(plain, na_action="ignore")
+@F.arrow_udf(StringType())
+def plain_text(body: pa.Array) -> pa.Array:
+    return mapped(plain, body, pa.string())
 
 
 @F.pandas_udf(BooleanType())
@@ -172,7 +173,7 @@ def flatten_blocks(df: DataFrame, id_col: str = "doc_id", body_col: str = "body"
     fields = [c.rsplit(" ", 1) for c in COLUMNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [(i, *r) for i, body in enumerate(batch.column(1).to_pylist()) for r in _rows_of(body)]
             columns = list(zip(*rows, strict=True)) or [()] * (len(fields) + 1)
             ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
