@@ -45,8 +45,8 @@ SMALL = 256 * BLOCK
 class Index:
     """``postings``: ``term, id, tf, dl``; ``terms``: ``term, df``; ``stats``: one row ``n_nodes, avg_len``.
 
-    A stored index has more: postings with their ``block``; ``blocks``: ``term, block, tf, dl``, the largest and the smallest in
-    the block; ``prefixes``: ``prefix, df``.
+    A stored index has more: postings by ``node``, a number that ``ids`` (``node, id``) tells, with their ``block``; ``blocks``:
+    ``term, block, tf, dl``, the largest and the smallest in the block; ``prefixes``: ``prefix, df``.
     """
 
     postings: DataFrame
@@ -54,16 +54,41 @@ class Index:
     stats: DataFrame
     blocks: DataFrame | None = None
     prefixes: DataFrame | None = None
+    ids: DataFrame | None = None
 
 
-def postings(nodes: DataFrame, stemmed: bool = False) -> DataFrame:
-    """``(term, id, tf, dl)`` over title and body, of plain or of Porter-stemmed tokens; ``dl`` is the node's length."""
+def _words(nodes: DataFrame, stemmed: bool) -> Column:
     words = tokens(F.concat_ws(" ", "title", "body_md"))
     if stemmed:
         reach_workers(nodes.sparkSession)
         words = porter_stem(words)
-    rows = nodes.select("id", words.alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return words
+
+
+def _forward(nodes: DataFrame, stemmed: bool = False) -> DataFrame:
+    """``(id, dl, held)``: of each node with words its length and its terms with their counts, in order; a narrow map. Other columns stay.
+
+    To be unfolded with ``inline_outer``: for ``inline`` Spark tests the size of ``held`` before it is computed, and the test would sort
+    the words of a node again for each of them.
+    """
+    more = [c for c in nodes.columns if c not in ("id", "title", "body_md")]
+    rows = nodes.select("id", *more, F.sort_array(_words(nodes, stemmed)).alias("t")).where(F.size("t") > 0)
+    rows = rows.select("id", *more, "t", F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1))).alias("at"))
+    held = F.transform("at", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("t")) - i).cast("long").alias("tf")))
+    return rows.select("id", *more, F.size("t").cast("long").alias("dl"), held.alias("held"))
+
+
+def postings(nodes: DataFrame, stemmed: bool = False) -> DataFrame:
+    """``(term, id, tf, dl)`` over title and body, of plain or of Porter-stemmed tokens; ``dl`` is the node's length.
+
+    A narrow map; only rows of an id that more than one row has meet in an exchange, where they count as one node.
+    """
+    again = written(nodes.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    rows = nodes.select("id", "title", "body_md")
+    if again.isEmpty():
+        return _forward(rows, stemmed).select("id", "dl", F.inline_outer("held")).select("term", "id", "tf", "dl")
+    shared = _forward(rows.join(again, "id", "left_semi"), stemmed).select("id", "dl", F.inline_outer("held")).groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+    return _forward(rows.join(again, "id", "left_anti"), stemmed).select("id", "dl", F.inline_outer("held")).select("term", "id", "tf", "dl").unionByName(shared)
 
 
 def doc_stats(nodes: DataFrame) -> DataFrame:
@@ -87,36 +112,50 @@ def index_of(nodes: DataFrame, stemmed: bool = False) -> Index:
     return Index(posted, term_stats(posted), corpus_stats(doc_stats(nodes)))
 
 
+#: Nodes of a task that writes postings.
+SHARE = 4096
+
+
 def store_index(nodes: DataFrame, path: str, stemmed: bool = False) -> Index:
-    """Write the index below ``path`` and open it; postings are ranged and sorted by term and block, so that scans skip others.
+    """Write the index below ``path`` and open it; a task writes whole blocks, its postings sorted by term and block, so that scans skip others.
 
-    Nodes of like length share blocks, so that what the best node of a block can score is little more than what it does.
+    Nodes of like length share blocks, so that what the best node of a block can score is little more than what it does. What is exchanged is
+    a node with its text, not each posting, and a posting names its node by a number, which is its block and its place there by id. Rows of
+    one id are one node, with the text of all of them. An index that is read at once has no block maxima.
     """
-    index = index_of(nodes, stemmed)
-    words = tokens(F.concat_ws(" ", "title", "body_md"))
-    if stemmed:
-        words = porter_stem(words)
-    own = nodes.select(F.array_distinct(words).alias("t"))
-    begun = F.array_distinct(F.flatten(F.transform("t", lambda t: F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(DEEP))), lambda n: F.substring(t, F.lit(1), n)))))
-    # prefixes of a node are distinct, so that counts are summed within tasks before they are exchanged
-    prefixes = own.select(F.explode(begun).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
+    spark = nodes.sparkSession
+    nodes = nodes.select("id", "title", "body_md")
+    again = written(nodes.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    if not again.isEmpty():
+        one = nodes.join(again, "id", "left_semi").groupBy("id").agg(F.lit(None).cast("string").alias("title"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "title", "body_md"))), " ").alias("body_md"))
+        nodes = nodes.join(again, "id", "left_anti").unionByName(one)
     n, edges = doc_stats(nodes).agg(F.count("*"), F.percentile_approx("dl", [k / LENGTHS for k in range(1, LENGTHS)])).first()
     edges = sorted({e for e in edges or [] if e is not None})
     of_length = F.size(F.filter(F.lit(edges or [0]).cast("array<bigint>"), lambda e: e <= F.col("dl")))
     share = max(1, -(-n // (BLOCK * max(1, len(edges)))))
     block = (of_length * share + F.pmod(F.xxhash64("id"), F.lit(share))).cast("int")
-    # ranges by term and block: a term that all nodes hold is spread over tasks too
-    index.postings.withColumn("block", block).repartitionByRange("term", "block", "id").sortWithinPartitions("term", "block", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    posted = nodes.sparkSession.read.parquet(f"{path}/postings")
+    parts = max(1, -(-n // SHARE))
+    number = F.col("block").cast("long") * (1 << 32) + F.row_number().over(Window.partitionBy("block").orderBy("id"))
+    sized = nodes.withColumn("dl", F.size(tokens(F.concat_ws(" ", "title", "body_md"))).cast("long")).withColumn("block", block).drop("dl")
+    numbered = sized.repartition(parts, "block").withColumn("node", number)
+    numbered.select("node", "id").write.mode("overwrite").parquet(f"{path}/ids")
+    posted = _forward(numbered, stemmed).select("block", "node", "dl", F.inline_outer("held")).select("term", "block", "node", "tf", "dl")
+    posted.sortWithinPartitions("term", "block", "node").write.mode("overwrite").parquet(f"{path}/postings")
+    posted = spark.read.parquet(f"{path}/postings")
+    own = nodes.select(F.array_distinct(_words(nodes, stemmed)).alias("t"))
+    begun = F.array_distinct(F.flatten(F.transform("t", lambda t: F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(DEEP))), lambda n: F.substring(t, F.lit(1), n)))))
+    # prefixes of a node are distinct, so that counts are summed within tasks before they are exchanged
+    prefixes = own.select(F.explode(begun).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
     maxima = posted.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    maxima = maxima if n > SMALL else maxima.limit(0)
     for name, rows, by in (("terms", term_stats(posted), ["term"]), ("blocks", maxima, ["term", "block"]), ("prefixes", prefixes, ["prefix"])):
-        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    return open_index(nodes.sparkSession, path)
+        rows.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
+    corpus_stats(doc_stats(nodes)).write.mode("overwrite").parquet(f"{path}/stats")
+    return open_index(spark, path)
 
 
 def open_index(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats", "blocks", "prefixes")))
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats", "blocks", "prefixes", "ids")))
 
 
 def _asked(words: DataFrame, index: Index) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -150,6 +189,18 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
     begun, named = _asked(words, index)
     total = index.stats.first()
     n, average = float(total["n_nodes"]), total["avg_len"]
+    posted = index.postings if index.ids is not None else index.postings.withColumnRenamed("id", "node")
+
+    def identified(hits: DataFrame) -> DataFrame:
+        """Hits by id; with a limit no more than a query's best by score, and those that tie with the last, look theirs up."""
+        if limit:
+            hits = best(hits)
+        hits = hits.join(index.ids, "node") if index.ids is not None else hits.withColumnRenamed("node", "id")
+        hits = hits.select("query_id", "id", "score")
+        return top(hits, limit) if limit else hits
+
+    def best(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("_n", F.rank().over(every.orderBy(F.desc("score")))).where(F.col("_n") <= limit).drop("_n")
 
     def one(tf: Column, dl: Column, df: Column) -> Column:
         x = tf.cast("double")
@@ -164,18 +215,18 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
         at = ["prefix"] if within is None else ["prefix", "block"]
         own = ranked if within is None else ranked.join(within, "query_id")
         value = one(F.col("tf"), F.col("dl"), F.col("df")).alias("one")
-        lead = own.where("k = 1").join(tf, at).select("query_id", "id", "need", value)
-        rest = lead.where("need > 1").select("query_id", "id").join(ranked.where("k > 1").select("query_id", "prefix", "df"), "query_id")
-        rest = rest.join(tf.drop("block"), ["prefix", "id"]).select("query_id", "id", F.lit(0).cast("long").alias("need"), value)
-        found = lead.unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("one"), 9).alias("score"), F.count("*").alias("have"), F.max("need").alias("need"))
-        return found.where("have = need").select("query_id", "id", "score")
+        lead = own.where("k = 1").join(tf, at).select("query_id", "node", "need", value)
+        rest = lead.where("need > 1").select("query_id", "node").join(ranked.where("k > 1").select("query_id", "prefix", "df"), "query_id")
+        rest = rest.join(tf.drop("block"), ["prefix", "node"]).select("query_id", "node", F.lit(0).cast("long").alias("need"), value)
+        found = lead.unionByName(rest).groupBy("query_id", "node").agg(F.round(F.sum("one"), 9).alias("score"), F.count("*").alias("have"), F.max("need").alias("need"))
+        return found.where("have = need").select("query_id", "node", "score")
 
     if index.blocks is None or not limit or n <= SMALL:
-        tf = named(index.postings).join(begun, "term").groupBy("prefix", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        tf = named(posted).join(begun, "term").groupBy("prefix", "node").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
         # a stored copy serves both the counts and the scores
         tf = tf if index.prefixes is not None else written(tf, "prefixes")
         found = scores(by_query(_frequency(index, words, begun, named) if index.prefixes is not None else tf.groupBy("prefix").agg(F.count("*").alias("df"))), tf)
-        return top(found, limit) if limit else found
+        return identified(found)
 
     begun = written(begun, "begun")
     ranked = written(by_query(_frequency(index, words, begun, named)), "asked")
@@ -185,19 +236,19 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
     bounds = written(bounds.where("have = need").withColumn("place", F.row_number().over(every.orderBy(F.desc("bound"), "block"))).select("query_id", "block", "bound", "place"), "bounds")
 
     def read(within: DataFrame) -> DataFrame:
-        """The best ``limit`` of each query in these blocks."""
+        """The best ``limit`` of each query in these blocks, and those that tie with the last."""
         wanted = ranked.select("query_id", "prefix").join(within, "query_id").select("prefix", "block").distinct()
         # a short prefix has many terms: they meet the postings before blocks are chosen, not every block
-        tf = named(index.postings).join(begun, "term").join(wanted, ["prefix", "block"]).groupBy("prefix", "block", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-        return written(top(scores(ranked, tf, within), limit), "hits")
+        tf = named(posted).join(begun, "term").join(wanted, ["prefix", "block"]).groupBy("prefix", "block", "node").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        return written(best(scores(ranked, tf, within)), "hits")
 
     hits = read(bounds.where(F.col("place") <= STEPS[0]).select("query_id", "block"))
     for low, high in zip(STEPS, (*STEPS[1:], None), strict=True):
         beat = hits.groupBy("query_id").agg(F.min("score").alias("last"), F.count("*").alias("n")).where(F.col("n") >= limit).select("query_id", "last")
         rest = bounds.where(F.col("place") > low) if high is None else bounds.where(F.col("place").between(low + 1, high))
         open_ = rest.join(beat, "query_id", "left").where(F.col("last").isNull() | (F.col("bound") >= F.col("last") - 2e-9)).select("query_id", "block")
-        hits = written(top(hits.unionByName(read(written(open_, "open"))), limit), "hits")
-    return hits
+        hits = written(best(hits.unionByName(read(written(open_, "open")))), "hits")
+    return identified(hits)
 
 
 def _frequency(index: Index, words: DataFrame, begun: DataFrame, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -205,12 +256,12 @@ def _frequency(index: Index, words: DataFrame, begun: DataFrame, named: Callable
     asked = words.select("prefix").distinct()
     stored = index.prefixes.join(asked, "prefix")
     long = begun.where(F.length("prefix") > DEEP)
-    return stored.unionByName(named(index.postings).join(long, "term").groupBy("prefix").agg(F.countDistinct("id").alias("df")))
+    return stored.unionByName(named(index.postings).join(long, "term").groupBy("prefix").agg(F.countDistinct("node").alias("df")))
 
 
 def search_text(nodes: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
-    """As :func:`search_index`, of nodes without a stored index."""
-    return search_index(index_of(nodes), queries, limit)
+    """As :func:`search_index`, of nodes without a stored index: it is stored first, so that postings are exchanged once and by number."""
+    return search_index(store_index(nodes, fresh(nodes.sparkSession, "index")), queries, limit)
 
 
 def stem_query(query: str) -> str:

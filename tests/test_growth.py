@@ -1,8 +1,42 @@
 """What a query holds, exchanges or stores keeps in step with its input."""
 
 import pyarrow as pa
+import pytest
 
-from graphloom.functions import batches
+from graphloom.functions import batches, blocks
+from graphloom.operators import bodies, search
+from graphloom.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_a_narrow_map(spark):
+    nodes = spark.createDataFrame([("a", "One", "two one"), ("b", None, None), ("c", "", "Two")], "id string, title string, body_md string")
+    assert "Exchange" not in _plan(search.postings(nodes))
+    assert {tuple(r) for r in search.postings(nodes).collect()} == {("one", "a", 2, 3), ("two", "a", 1, 3), ("two", "c", 1, 1)}
+
+
+def test_rows_of_one_id_are_one_node(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "One", "two"), ("a", None, "one"), ("c", "", "Two")], "id string, title string, body_md string")
+    assert {tuple(r)[:3] for r in search.postings(nodes).collect()} == {("one", "a", 2), ("two", "a", 1), ("two", "c", 1)}
+    index = search.store_index(nodes, str(tmp_path / "index"))
+    assert {tuple(r) for r in index.terms.collect()} == {("one", 1), ("two", 2)}
+    assert sorted(r.id for r in index.ids.collect()) == ["a", "c"]
+
+
+@pytest.mark.parametrize("name", ["r13_corpus_stats", "r13_term_stats", "j1_postings_join"])
+def test_statistics_store_no_index(spark, monkeypatch, name):
+    def stored(*_):
+        raise AssertionError("an index was stored")
+
+    monkeypatch.setattr(search, "store_index", stored)
+    monkeypatch.setattr("graphloom.plans.kb.store_index", stored)
+    monkeypatch.setattr("graphloom.plans.kb._STORED", {})
+    assert QUERIES[name](spark, SF).count()
 
 
 def test_python_takes_few_texts_at_once(spark, monkeypatch):
