@@ -121,7 +121,7 @@ def store_index(nodes: DataFrame, path: str, stemmed: bool = False) -> Index:
 
     Nodes of like length share blocks, so that what the best node of a block can score is little more than what it does. What is exchanged is
     a node with its text, not each posting, and a posting names its node by a number, which is its block and its place there by id. Rows of
-    one id are one node, with the text of all of them. An index that is read at once has no block maxima.
+    one id are one node, with the text of all of them. What only a search by blocks needs is stored for more than :data:`SMALL` nodes.
     """
     spark = nodes.sparkSession
     nodes = nodes.select("id", "title", "body_md")
@@ -131,7 +131,7 @@ def store_index(nodes: DataFrame, path: str, stemmed: bool = False) -> Index:
         nodes = nodes.join(again, "id", "left_anti").unionByName(one)
     n, edges = doc_stats(nodes).agg(F.count("*"), F.percentile_approx("dl", [k / LENGTHS for k in range(1, LENGTHS)])).first()
     edges = sorted({e for e in edges or [] if e is not None})
-    of_length = F.size(F.filter(F.lit(edges or [0]).cast("array<bigint>"), lambda e: e <= F.col("dl")))
+    of_length = _group(F.col("dl"), edges)
     share = max(1, -(-n // (BLOCK * max(1, len(edges)))))
     block = (of_length * share + F.pmod(F.xxhash64("id"), F.lit(share))).cast("int")
     parts = max(1, -(-n // SHARE))
@@ -139,23 +139,64 @@ def store_index(nodes: DataFrame, path: str, stemmed: bool = False) -> Index:
     sized = nodes.withColumn("dl", F.size(tokens(F.concat_ws(" ", "title", "body_md"))).cast("long")).withColumn("block", block).drop("dl")
     numbered = sized.repartition(parts, "block").withColumn("node", number)
     numbered.select("node", "id").write.mode("overwrite").parquet(f"{path}/ids")
-    posted = _forward(numbered, stemmed).select("block", "node", "dl", F.inline_outer("held")).select("term", "block", "node", "tf", "dl")
+    # a node is whole in its partition, so that its words are counted there
+    posted = numbered.select("block", "node", _words(numbered, stemmed).alias("t")).select("block", "node", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term")).where("term is not null")
+    posted = posted.groupBy("block", "node", "dl", "term").agg(F.count("*").alias("tf")).select("term", "block", "node", "tf", "dl")
     posted.sortWithinPartitions("term", "block", "node").write.mode("overwrite").parquet(f"{path}/postings")
     posted = spark.read.parquet(f"{path}/postings")
-    own = nodes.select(F.array_distinct(_words(nodes, stemmed)).alias("t"))
-    begun = F.array_distinct(F.flatten(F.transform("t", lambda t: F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(DEEP))), lambda n: F.substring(t, F.lit(1), n)))))
-    # prefixes of a node are distinct, so that counts are summed within tasks before they are exchanged
-    prefixes = own.select(F.explode(begun).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
-    maxima = posted.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
-    maxima = maxima if n > SMALL else maxima.limit(0)
-    for name, rows, by in (("terms", term_stats(posted), ["term"]), ("blocks", maxima, ["term", "block"]), ("prefixes", prefixes, ["prefix"])):
-        rows.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
-    corpus_stats(doc_stats(nodes)).write.mode("overwrite").parquet(f"{path}/stats")
+    if n > SMALL:
+        maxima = posted.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+        prefixes = _prefixes(nodes.select(F.array_sort(F.array_distinct(_words(nodes, stemmed))).alias("t")))
+        for name, rows, by in (("terms", term_stats(posted), ["term"]), ("blocks", maxima, ["term", "block"]), ("prefixes", prefixes, ["prefix"])):
+            rows.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
+    # the words of all nodes are in the postings
+    posted.agg(F.lit(n).cast("long").alias("n_nodes"), (F.when(F.lit(n > 0), F.coalesce(F.sum("tf"), F.lit(0))) / F.lit(max(1, n))).cast("double").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/stats")
     return open_index(spark, path)
 
 
+def _group(length: Column, edges: list[int]) -> Column:
+    """How many edges a length has reached. It is held as an item of an array: within the filter Spark would count the words again for each edge."""
+    return F.get(F.transform(F.array(length), lambda n: F.size(F.filter(F.lit(edges or [0]).cast("array<bigint>"), lambda e: e <= n))), F.lit(0))
+
+
 def open_index(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats", "blocks", "prefixes", "ids")))
+    """A stored index. One that is read at once has its terms and prefixes counted where they are asked for, and no block maxima."""
+    posted, ids, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "ids", "stats"))
+    if stats.first()["n_nodes"] > SMALL:
+        terms, blocks, prefixes = (spark.read.parquet(f"{path}/{name}") for name in ("terms", "blocks", "prefixes"))
+        return Index(posted, terms, stats, blocks, prefixes, ids)
+    return Index(posted, term_stats(posted), stats, None, _prefixes(posted.groupBy("node").agg(F.array_sort(F.collect_list("term")).alias("t"))), ids)
+
+
+def _prefixes(nodes: DataFrame) -> DataFrame:
+    """``(prefix, df)``: how many nodes hold a word that begins with it, for prefixes of up to :data:`DEEP` letters; ``t``: words in order, each once.
+
+    A word brings those prefixes that are longer than what it shares with the word before it. So each node counts once for a prefix, and what is
+    exchanged are words with the lengths that they share, not prefixes.
+    """
+    reach_workers(nodes.sparkSession)
+
+    @F.arrow_udf("array<int>")
+    def shared(texts: pa.Array) -> pa.Array:
+        return pa.array([_shared(t.as_py()) for t in texts], pa.list_(pa.int32()))
+
+    rows = nodes.select("t", shared("t").alias("k")).select(F.explode_outer(F.arrays_zip("t", "k")).alias("x")).where("x is not null")
+    rows = rows.groupBy(F.col("x.t").alias("term"), F.col("x.k").alias("k")).agg(F.count("*").alias("n"))
+    begun = F.transform(F.sequence(F.lit(1), F.lit(DEEP)), lambda n: F.when((n > F.col("k")) & (n <= F.length("term")), F.substring("term", F.lit(1), n)))
+    rows = rows.select("n", F.explode_outer(F.array_compact(begun)).alias("prefix")).where("prefix is not null")
+    return rows.groupBy("prefix").agg(F.sum("n").alias("df"))
+
+
+def _shared(words: list[str] | None) -> list[int]:
+    """How many first letters each word shares with the one before it."""
+    out, last = [], ""
+    for w in words or []:
+        n, most = 0, min(len(w), len(last))
+        while n < most and w[n] == last[n]:
+            n += 1
+        out.append(n)
+        last = w
+    return out
 
 
 def _asked(words: DataFrame, index: Index) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -183,37 +224,37 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
     these are looked up under the others.
 
     With a limit and a stored index of many nodes, a query reads the blocks first that can score most, and then only those that can
-    beat its last kept score; what it leaves unread cannot be among the first ``limit``.
+    beat its last kept score; what it leaves unread cannot be among the first ``limit``. Else see :func:`_search_all`.
     """
     words = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("prefix"))
-    begun, named = _asked(words, index)
     total = index.stats.first()
     n, average = float(total["n_nodes"]), total["avg_len"]
-    posted = index.postings if index.ids is not None else index.postings.withColumnRenamed("id", "node")
-
-    def identified(hits: DataFrame) -> DataFrame:
-        """Hits by id; with a limit no more than a query's best by score, and those that tie with the last, look theirs up."""
-        if limit:
-            hits = best(hits)
-        hits = hits.join(index.ids, "node") if index.ids is not None else hits.withColumnRenamed("node", "id")
-        hits = hits.select("query_id", "id", "score")
-        return top(hits, limit) if limit else hits
-
-    def best(hits: DataFrame) -> DataFrame:
-        return hits.withColumn("_n", F.rank().over(every.orderBy(F.desc("score")))).where(F.col("_n") <= limit).drop("_n")
 
     def one(tf: Column, dl: Column, df: Column) -> Column:
         x = tf.cast("double")
         idf = F.greatest(F.log((F.lit(n) - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         return idf * x * (K1 + 1) / (x + K1 * (1 - B + B * dl / F.lit(average)))
 
+    if index.blocks is None or not limit or n <= SMALL:
+        hits = _search_all(index, words, one)
+        return top(hits, limit) if limit else hits
+    begun, named = _asked(words, index)
+    posted = index.postings
+
+    def identified(hits: DataFrame) -> DataFrame:
+        """Hits by id; no more than a query's best by score, and those that tie with the last, look theirs up."""
+        return top(best(hits).join(index.ids, "node").select("query_id", "id", "score"), limit)
+
+    def best(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("_n", F.rank().over(every.orderBy(F.desc("score")))).where(F.col("_n") <= limit).drop("_n")
+
     every = Window.partitionBy("query_id")
     by_query = lambda df: words.withColumn("need", F.count("*").over(every)).join(df, "prefix").withColumn("k", F.row_number().over(every.orderBy("df", "prefix")))
 
-    def scores(ranked: DataFrame, tf: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    def scores(ranked: DataFrame, tf: DataFrame, within: DataFrame) -> DataFrame:
         """Of each query the nodes that hold all its prefixes, in the blocks ``within`` (query_id, block)."""
-        at = ["prefix"] if within is None else ["prefix", "block"]
-        own = ranked if within is None else ranked.join(within, "query_id")
+        at = ["prefix", "block"]
+        own = ranked.join(within, "query_id")
         value = one(F.col("tf"), F.col("dl"), F.col("df")).alias("one")
         lead = own.where("k = 1").join(tf, at).select("query_id", "node", "need", value)
         rest = lead.where("need > 1").select("query_id", "node").join(ranked.where("k > 1").select("query_id", "prefix", "df"), "query_id")
@@ -221,13 +262,6 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
         found = lead.unionByName(rest).groupBy("query_id", "node").agg(F.round(F.sum("one"), 9).alias("score"), F.count("*").alias("have"), F.max("need").alias("need"))
         return found.where("have = need").select("query_id", "node", "score")
 
-    if index.blocks is None or not limit or n <= SMALL:
-        tf = named(posted).join(begun, "term").groupBy("prefix", "node").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-        # a stored copy serves both the counts and the scores
-        tf = tf if index.prefixes is not None else written(tf, "prefixes")
-        found = scores(by_query(_frequency(index, words, begun, named) if index.prefixes is not None else tf.groupBy("prefix").agg(F.count("*").alias("df"))), tf)
-        return identified(found)
-
     begun = written(begun, "begun")
     ranked = written(by_query(_frequency(index, words, begun, named)), "asked")
     # what a block can score at most: its largest counts in its shortest node, under all terms of a prefix
@@ -251,6 +285,34 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
     return identified(hits)
 
 
+def _search_all(index: Index, words: DataFrame, one: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """``(query_id, id, score)`` of all nodes that hold every prefix of a query.
+
+    Postings of asked prefixes are exchanged once, to one row for each node with what it holds. The queries, which are few and short beside
+    the nodes, are broadcast by their rarest prefix, so that candidates are found and scored where their node is and are not exchanged.
+    """
+    words = written(words, "words")
+    asked = written(words.select("prefix").distinct().select("prefix", F.monotonically_increasing_id().alias("p")), "prefixes")
+    widths = [r[0] for r in asked.select(F.length("prefix")).distinct().collect()]  # at most as many as a longest word has letters
+    posted = index.postings if index.ids is not None else index.postings.withColumnRenamed("id", "node")
+    begun = F.array(*(F.when(F.length("term") >= w, F.substring("term", 1, w)) for w in sorted(widths))).cast("array<string>")
+    begun = posted.select("node", "tf", "dl", F.explode_outer(begun).alias("prefix"))
+    tf = begun.join(F.broadcast(asked), "prefix")
+    held = tf.groupBy("node", "p").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    held = held.groupBy("node").agg(F.first("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("p", "tf"))).alias("held"))
+    held = held.join(index.ids, "node") if index.ids is not None else held.withColumnRenamed("node", "id")
+    held = written(held.select("id", "dl", "held"), "held")
+    df = held.select(F.explode_outer(F.map_keys("held")).alias("p")).groupBy("p").agg(F.count("*").alias("df"))
+    # a prefix that no node holds leaves its query without hits
+    ranked = words.join(asked, "prefix").join(df, "p").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("df", "p"))).alias("ws"))
+    need = words.groupBy("query_id").agg(F.count("*").alias("need"))
+    ranked = ranked.join(need, "query_id").where(F.size("ws") == F.col("need")).select("query_id", "ws", F.col("ws")[0]["p"].alias("lead"))
+    ranked = written(ranked, "asked")
+    found = held.select("id", "dl", "held", F.explode_outer(F.map_keys("held")).alias("lead")).join(F.broadcast(ranked), "lead")
+    score = F.aggregate("ws", F.lit(0.0), lambda s, w: s + one(F.try_element_at("held", w["p"]), F.col("dl"), w["df"]))
+    return found.select("query_id", "id", F.round(score, 9).alias("score")).where("score is not null")
+
+
 def _frequency(index: Index, words: DataFrame, begun: DataFrame, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(prefix, df)`` of the asked prefixes: as counted when the index was built, or from the postings of long ones."""
     asked = words.select("prefix").distinct()

@@ -2,8 +2,10 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.functions import batches, blocks
+from graphloom.functions.text import tokens
 from graphloom.operators import bodies, search
 from graphloom.queries import QUERIES
 
@@ -28,6 +30,22 @@ def test_rows_of_one_id_are_one_node(spark, tmp_path):
     assert sorted(r.id for r in index.ids.collect()) == ["a", "c"]
 
 
+def test_words_are_counted_once_for_all_edges(spark):
+    rows = spark.createDataFrame([("a b c",), ("a",), ("",)], "body string").select(F.size(tokens(F.col("body"))).cast("long").alias("dl"))
+    df = rows.select("dl", search._group(F.col("dl"), [1, 2, 3, 9]).alias("g"))
+    assert {tuple(r) for r in df.collect()} == {(3, 3), (1, 1), (0, 0)}
+    plan = df.select("g")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "split(" not in plan[plan.index("<= ") :]
+
+
+def test_hits_are_scored_where_their_node_is(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"n{i}", None, f"red {'fox ' * (i % 3)}w{i}") for i in range(50)], "id string, title string, body_md string")
+    queries = spark.createDataFrame([(1, "red fo"), (2, "w1"), (3, "nowhere red")], "query_id long, query string")
+    hits = search.search_index(search.store_index(nodes, str(tmp_path / "index")), queries)
+    assert "Exchange hashpartitioning" not in _plan(hits)
+    assert {(r.query_id, r.id) for r in hits.collect()} == {(1, f"n{i}") for i in range(50) if i % 3} | {(2, f"n{i}") for i in (1, *range(10, 20))}
+
+
 @pytest.mark.parametrize("name", ["r13_corpus_stats", "r13_term_stats", "j1_postings_join"])
 def test_statistics_store_no_index(spark, monkeypatch, name):
     def stored(*_):
