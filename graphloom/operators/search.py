@@ -509,6 +509,23 @@ def _marks(text: Column, most: int | None = None) -> Column:
     return marks(text)
 
 
+#: Claims up to which every block of their document is held against each of them.
+FEW = 16
+
+
+def _flat(text: Column) -> Column:
+    return F.lower(collapsed(text))
+
+
+def _telling(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 3) & ~t.isin(STOP))
+
+
+def _best_block(rows: DataFrame, by: list[str]) -> DataFrame:
+    best = Window.partitionBy(*by).orderBy("stage", F.desc("score"), "pos")
+    return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+
+
 def passages(blocks: DataFrame, claims: DataFrame) -> DataFrame:
     """``(claim_id, doc_id, pos, stage, score)``: the best block of each claim's document.
 
@@ -517,6 +534,42 @@ def passages(blocks: DataFrame, claims: DataFrame) -> DataFrame:
     counts by how few blocks of the document have it, and the share of the block's words that
     match breaks near ties. Blank blocks are left out.
 
+    A block of a document with few claims meets them by its document, so that a text is exchanged once and what follows stays in its
+    partition; the claims of other documents find their blocks, see :func:`_marked_passages`.
+    """
+    claims = claims.select("claim_id", "doc_id", _flat(F.col("claim")).alias("claim"), F.array_distinct(_telling(F.col("claim"))).alias("asked"))
+    claims = written(claims, "claims")
+    many = written(claims.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("doc_id"), "many")
+    if many.isEmpty():
+        return _best_block(_met_passages(blocks, claims), ["claim_id"])
+    met = _met_passages(blocks, claims.join(many, "doc_id", "left_anti"))
+    found = _marked_passages(blocks.join(many, "doc_id", "left_semi"), claims.join(many, "doc_id", "left_semi"))
+    return _best_block(met.unionByName(found), ["claim_id"])
+
+
+def _met_passages(blocks: DataFrame, claims: DataFrame) -> DataFrame:
+    """The best block of each document for each of its claims; a row for each block and claim, without the text once they have met."""
+    rows = blocks.select("doc_id", "pos", "text").where(F.col("text").rlike(r"\S")).join(claims, "doc_id")
+    rows = rows.select("claim_id", "doc_id", "pos", "claim", "asked", _flat(F.col("text")).alias("flat"), _telling(F.col("text")).alias("all"))
+    inside = lambda n: F.contains("flat", F.substring("claim", 1, n))
+    verbatim = F.when(F.col("claim") == "", None).when(F.contains("flat", F.col("claim")), 1).when(inside(60), 2).when(inside(40), 3)
+    every = Window.partitionBy("doc_id", "claim_id")
+    rows = rows.select("claim_id", "doc_id", "pos", verbatim.alias("stage"), F.size("asked").alias("terms"), F.size("all").alias("n_words"), F.array_intersect("asked", "all").alias("words"))
+    rows = rows.withColumn("n", F.count("*").over(every)).where("stage is not null or size(words) > 0").withColumn("w", F.explode_outer("words")).drop("words")
+    # by how many blocks of its document a word is had
+    idf = F.log((F.col("n") + 1) / (F.count("*").over(Window.partitionBy("doc_id", "claim_id", "w")) + 1)) + 1
+    rows = rows.withColumn("idf", F.when(F.col("w").isNotNull(), idf))
+    rows = rows.groupBy("claim_id", "doc_id", "pos", "stage", "terms", "n_words").agg(F.sum("idf").alias("sum"), F.count("w").alias("hits"))
+    density = F.col("hits") / F.least(F.lit(40), F.greatest(F.lit(1), F.col("n_words")))
+    score = F.when(F.col("stage").isNotNull(), 0.0).otherwise(F.round(F.col("sum") + 0.5 * density, 9))
+    rows = rows.where((F.col("stage").isNotNull()) | (F.col("hits") >= 2) | (F.col("terms") == 1))
+    rows = rows.select("claim_id", "doc_id", "pos", F.coalesce("stage", F.lit(4)).alias("stage"), score.alias("score"))
+    return _best_block(rows, ["doc_id", "claim_id"])
+
+
+def _marked_passages(blocks: DataFrame, claims: DataFrame) -> DataFrame:
+    """The same for documents with many claims, where not every block can be held against each of them.
+
     Blocks are found by marks: the least gram hash of every window of 40 bytes, about one mark for
     15 bytes. A block that holds a claim's first 40 characters has the mark of the claim's first
     window. Shorter claims have none and are found by their longest whole word, or in all blocks of
@@ -525,11 +578,9 @@ def passages(blocks: DataFrame, claims: DataFrame) -> DataFrame:
     """
     spark = blocks.sparkSession
     reach_workers(spark)
-    words = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 3) & ~t.isin(STOP))
-    flat = lambda c: F.lower(collapsed(c))
-    held = blocks.select("doc_id", "pos", flat(F.col("text")).alias("flat"), words(F.col("text")).alias("all")).where("flat <> ''")
+    held = blocks.select("doc_id", "pos", _flat(F.col("text")).alias("flat"), _telling(F.col("text")).alias("all")).where("flat <> ''")
     held = written(held.select("doc_id", "pos", "flat", F.size("all").alias("n_words"), F.array_distinct("all").alias("words")), "blocks")
-    claims = written(claims.select("claim_id", "doc_id", flat(F.col("claim")).alias("claim"), F.array_distinct(words(F.col("claim"))).alias("asked")), "claims")
+    claims = written(claims, "claims")
 
     begins = F.substring("claim", 1, 40)
     said = claims.where("claim <> ''").select("claim_id", "doc_id", "claim", begins.alias("begins"), (F.octet_length(begins) >= WINDOW).alias("long"))
@@ -559,5 +610,4 @@ def passages(blocks: DataFrame, claims: DataFrame) -> DataFrame:
     density = F.col("hits") / F.least(F.lit(40), F.greatest(F.lit(1), F.col("n_words")))
     hit = hit.where((F.col("hits") >= 2) | (F.col("terms") == 1)).withColumn("score", F.col("sum") + 0.5 * density)
     every = first.unionByName(hit.select("claim_id", "doc_id", "pos", F.lit(4).alias("stage"), F.round("score", 9).alias("score")))
-    best = Window.partitionBy("claim_id").orderBy("stage", F.desc("score"), "pos")
-    return every.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return _best_block(every, ["doc_id", "claim_id"])

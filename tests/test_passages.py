@@ -8,6 +8,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pytest
 
 from graphloom.operators import search
 
@@ -69,6 +70,32 @@ def test_best_blocks(spark):
     assert search.passages(blocks.limit(0), asked).count() == 0 and search.passages(blocks, asked.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [2, 16])
+def test_documents_with_few_and_with_many_claims(spark, monkeypatch, few):
+    """Both ways give what a search of every block gives, for one document with 20 claims and others with one or two."""
+    monkeypatch.setattr(search, "FEW", few)
+    rnd = random.Random(9)
+    sentence = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "the", "Zürich", "delta9", "über", "x"] + [f"word{k}" for k in range(20)]) for _ in range(n))
+    docs = {d: [(p, sentence(rnd.randint(1, 20)) if p % 4 else " ") for p in range(9)] for d in range(8)}
+    claims = [(d, docs[d][rnd.randrange(9)][1][: rnd.choice([5, 30, 45, 70])] + rnd.choice(["", " and"])) for d in [0] * 20 + [1, 1, 2, 3, 4, 5, 6]]
+    blocks = spark.createDataFrame([(d, p, t) for d, own in docs.items() for p, t in own], "doc_id long, pos int, text string")
+    asked = spark.createDataFrame([(i, *c) for i, c in enumerate(claims)], "claim_id long, doc_id long, claim string")
+    got = {r.claim_id: (r.doc_id, r.pos, r.stage, r.score) for r in search.passages(blocks, asked).collect()}
+    want = {i: (d, *b) for i, (d, c) in enumerate(claims) if (b := best_block(docs[d], c))}
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()}
+    assert all(abs(got[k][3] - want[k][3]) < 1e-6 for k in want)
+
+
+def test_a_text_is_exchanged_once(spark):
+    """Of documents with one claim each, blocks are exchanged by document and nothing is dealt by word or mark."""
+    blocks = spark.createDataFrame([(d, p, f"block {p} of some document {d}") for d in range(20) for p in range(5)], "doc_id long, pos int, text string")
+    claims = spark.createDataFrame([(d, d, "some document") for d in range(20)], "claim_id long, doc_id long, claim string")
+    out = search.passages(blocks, claims)
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+?)#", out._jdf.queryExecution().executedPlan().toString())
+    assert set(dealt) <= {"doc_id", "claim_id"} and len(dealt) <= 4, dealt
+    assert {(r.claim_id, r.pos, r.stage) for r in out.collect()} == {(d, 0, 1) for d in range(20)}
+
+
 LONG = """
 import sys
 sys.path.insert(0, {root!r})
