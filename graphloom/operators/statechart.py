@@ -61,6 +61,11 @@ def states_of(transitions: DataFrame) -> DataFrame:
     return named.unionByName(starts)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that follows the charts. Names repeat so much that files of some MB hold a hundred times that in memory, and Spark would broadcast them."""
+    return df.hint("merge")
+
+
 def _optional(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
 
@@ -82,7 +87,7 @@ def scenarios(states: DataFrame, edges: DataFrame) -> DataFrame:
         edges = _optional(edges, name, kind)
     source = states.where("role not in ('start', 'transient')").select("doc_id", F.col("name").alias("source"), F.col("pos").alias("state_pos"), F.col("title").alias("from_title"))
     target = states.select("doc_id", F.col("name").alias("target"), F.col("title").alias("to_title"))
-    rows = edges.join(source, ["doc_id", "source"]).join(target, ["doc_id", "target"], "left").withColumn("to_title", F.coalesce("to_title", "from_title"))
+    rows = edges.join(_dealt(source), ["doc_id", "source"]).join(_dealt(target), ["doc_id", "target"], "left").withColumn("to_title", F.coalesce("to_title", "from_title"))
     label = F.coalesce("label", F.lit(""))
     outline = F.coalesce(F.size("examples.rows") > 0, F.lit(False))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
@@ -107,10 +112,10 @@ def feature_text(states: DataFrame, edges: DataFrame, titles: DataFrame | None =
     parts = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("group", part.alias("text")))).alias("parts"))
     # the guards of the edges that leave the first start state
     starts = states.where("role = 'start'").groupBy("doc_id").agg(F.min_by("name", "pos").alias("source"))
-    guards = edges.join(starts, ["doc_id", "source"], "left_semi").select("doc_id", "pos", F.posexplode("guards").alias("k", "g"))
+    guards = edges.join(_dealt(starts), ["doc_id", "source"], "left_semi").select("doc_id", "pos", F.posexplode("guards").alias("k", "g"))
     guards = guards.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "g"))).alias("guards"))
-    rows = states.select("doc_id").distinct().join(guards, "doc_id", "left").join(parts, "doc_id", "left")
-    rows = rows.join(titles, "doc_id", "left") if titles is not None else rows.withColumn("title", F.lit(None).cast("string"))
+    rows = states.select("doc_id").distinct().join(_dealt(guards), "doc_id", "left").join(_dealt(parts), "doc_id", "left")
+    rows = rows.join(_dealt(titles), "doc_id", "left") if titles is not None else rows.withColumn("title", F.lit(None).cast("string"))
     given = F.when(F.size("guards") > 0, F.array_join(F.transform("guards", lambda g: F.concat(F.lit("["), g["g"], F.lit("]"))), " and ")).otherwise("the flow is launched")
     body = F.array_join(F.transform(F.coalesce("parts", F.array().cast("array<struct<group:int,text:string>>")), lambda p: p["text"]), "\n\n")
     text = F.concat(F.lit("### Feature: "), F.coalesce("title", F.lit("Imported Flow")), F.lit("\n\n**Background:**\n**Given** "), given, F.when(body != "", F.concat(F.lit("\n\n"), body)).otherwise(""), F.lit("\n"))
@@ -123,7 +128,7 @@ def integrity(states: DataFrame, edges: DataFrame) -> DataFrame:
     edge = F.concat(F.lit('edge "'), F.concat_ws(" --> ", "source", "target"), F.lit('"'))
 
     def missing(end: str) -> DataFrame:
-        lost = edges.join(names.withColumnRenamed("of", end), ["doc_id", end], "left_anti")
+        lost = edges.join(_dealt(names.withColumnRenamed("of", end)), ["doc_id", end], "left_anti")
         return lost.select("doc_id", F.lit("D2").alias("rule"), F.lit("error").alias("severity"), F.concat(edge, F.lit(f' references missing {end} node "'), F.col(end), F.lit('"')).alias("message"))
 
     odd = edges.where("kind = 'self' and source <> target").select("doc_id", F.lit("D2"), F.lit("warn"), F.concat(F.lit("self "), edge, F.lit(" has two ends")))
@@ -142,7 +147,7 @@ def export_transitions(states: DataFrame, edges: DataFrame) -> DataFrame:
     """``(doc_id, text)``: the listing of a chart: its entry, the pages of states with tabs, a line per edge between known states."""
     states = _optional(states, "tabs", "array<string>")
     names = states.select("doc_id", F.col("name").alias("of")).distinct()
-    known = edges.join(names.withColumnRenamed("of", "source"), ["doc_id", "source"], "left_semi").join(names.withColumnRenamed("of", "target"), ["doc_id", "target"], "left_semi")
+    known = edges.join(_dealt(names.withColumnRenamed("of", "source")), ["doc_id", "source"], "left_semi").join(_dealt(names.withColumnRenamed("of", "target")), ["doc_id", "target"], "left_semi")
     guards = F.array_join(F.transform(F.coalesce("guards", F.array().cast("array<string>")), lambda g: F.concat(F.lit("["), g, F.lit("]"))), " ")
     label = F.concat_ws(" ", F.when(F.size("events") > 0, F.array_join("events", " / ")), F.when(guards != "", guards))
     line = F.concat(F.lit("  "), "source", F.lit(" --> "), "target", F.when(label != "", F.concat(F.lit(" : "), label)).otherwise(""))
@@ -193,7 +198,7 @@ def layer_rank(states: DataFrame, edges: DataFrame) -> DataFrame:
     reach_workers(states.sparkSession)
     named = states.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", (F.col("role") == "start").alias("start")))).alias("s"))
     linked = edges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "source", "target"))).alias("e"))
-    rows = named.join(linked, "doc_id", "left")
+    rows = named.join(_dealt(linked), "doc_id", "left")
 
     def run(batches):
         for b in batches:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import batches, blocks
 from graphloom.functions.text import tokens
-from graphloom.operators import bodies, search
+from graphloom.operators import bodies, search, statechart
 from graphloom.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +57,14 @@ def test_statistics_store_no_index(spark, monkeypatch, name):
     assert QUERIES[name](spark, SF).count()
 
 
+@pytest.mark.parametrize("listing", [statechart.scenarios, statechart.feature_text, statechart.integrity, statechart.export_transitions, statechart.layer_rank])
+def test_charts_are_not_broadcast(spark, listing):
+    charts = spark.createDataFrame([(1, "a --> b : GO\nb --> b : STAY"), (2, "[*] --> a\na --> b : GO")], "doc_id long, text string")
+    moves = statechart.import_transitions(charts)
+    out = listing(statechart.states_of(moves), statechart.edges_of(moves))
+    assert "Broadcast" not in _plan(out) and out.count() >= 0
+
+
 def test_python_takes_few_texts_at_once(spark, monkeypatch):
     monkeypatch.setattr(batches, "PIECE", 100)
     texts = ["x" * n for n in (30, 90, 0, 500, 10)] + [None, "y"]
