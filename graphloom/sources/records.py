@@ -172,4 +172,8 @@ def save_index(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, path: str
     nodes.write.partitionBy("type").mode("overwrite").parquet(f"{path}/nodes")
     edges.write.partitionBy("predicate").mode("overwrite").parquet(f"{path}/edges")
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    return store_index(nodes, path)
+    index = store_index(nodes, path)
+    if index.blocks is None:
+        # a small index counts its terms where they are asked for; a saved one has them as a table
+        index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    return index

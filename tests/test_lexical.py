@@ -5,6 +5,7 @@ import random
 import pytest
 
 from graphloom.operators import search
+from graphloom.sources import records
 from test_operators import brute_bm25
 
 
@@ -57,3 +58,13 @@ def test_counts_of_prefixes(spark, tmp_path):
     empty = search.store_index(spark.createDataFrame([], "id string, title string, body_md string"), str(tmp_path / "none"))
     asked = spark.createDataFrame([(1, "one")], "query_id long, query string")
     assert search.search_index(empty, asked, 5).count() == 0 and search.search_index(empty, asked).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 100])
+def test_saved_index_has_all_tables(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(search, "SMALL", small)
+    nodes = spark.createDataFrame([("a", "note", "One", "ones on"), ("b", "pdf", None, "one"), ("c", "pdf", "", "ON")], "id string, type string, title string, body_md string")
+    records.save_index(nodes, spark.createDataFrame([("a", "cites", "b")], "src_id string, predicate string, dst_id string"), spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>"), str(tmp_path / "saved"))
+    rows = lambda what: spark.read.parquet(str(tmp_path / "saved" / what))
+    assert [rows(w).count() for w in ("nodes", "edges", "vectors", "postings")] == [3, 1, 1, 5]
+    assert {r.term: r.df for r in rows("terms").collect()} == {"one": 2, "ones": 1, "on": 2}
