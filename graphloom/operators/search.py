@@ -11,17 +11,20 @@ taken.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from graphloom.files import read_file, write_file
 from graphloom.functions.porter import porter_stem, stem
 from graphloom.functions.text import collapsed, query_terms, tokens
 from graphloom.operators.vectors import VectorIndex, rows_of, search_blocks, store_vectors
@@ -37,8 +40,10 @@ NAMED = 64
 BLOCK, LENGTHS, DEEP = 1024, 64, 24
 #: After so many blocks of each query a search looks at the score that is to beat before it reads on.
 STEPS = (2, 16)
-#: Nodes up to which all blocks are read at once: three reads of a small index cost more than they save.
-SMALL = 256 * BLOCK
+#: Nodes up to which all blocks are read in one pass: it costs less than what blocks that may hold a hit have to exchange.
+SMALL = 1 << 26
+#: Nodes and words of a block that is read with all others, and the bits of a node's number that tell its place in its block.
+SHARE, WORDS, PLACES = 4096, 1 << 22, 20
 
 
 @dataclass(frozen=True)
@@ -46,7 +51,8 @@ class Index:
     """``postings``: ``term, id, tf, dl``; ``terms``: ``term, df``; ``stats``: one row ``n_nodes, avg_len``.
 
     A stored index has more: postings by ``node``, a number that ``ids`` (``node, id``) tells, with their ``block``; ``blocks``:
-    ``term, block, tf, dl``, the largest and the smallest in the block; ``prefixes``: ``prefix, df``.
+    ``term, block, tf, dl``, the largest and the smallest in the block; ``prefixes``: ``prefix, df``; and ``lists``, from which
+    they come, see :func:`store_index`.
     """
 
     postings: DataFrame
@@ -55,6 +61,7 @@ class Index:
     blocks: DataFrame | None = None
     prefixes: DataFrame | None = None
     ids: DataFrame | None = None
+    lists: DataFrame | None = None
 
 
 def _words(nodes: DataFrame, stemmed: bool) -> Column:
@@ -112,60 +119,155 @@ def index_of(nodes: DataFrame, stemmed: bool = False) -> Index:
     return Index(posted, term_stats(posted), corpus_stats(doc_stats(nodes)))
 
 
-#: Nodes of a task that writes postings.
-SHARE = 4096
-
-
 def store_index(nodes: DataFrame, path: str, stemmed: bool = False) -> Index:
-    """Write the index below ``path`` and open it; a task writes whole blocks, its postings sorted by term and block, so that scans skip others.
+    """Write the index below ``path`` and open it. Rows of one id are one node, with the text of all of them.
+
+    ``lists`` has a row ``term, block, at, tf`` for each term of a block: the places of its nodes, and how often each has the term, as bytes of
+    32-bit integers, which are copied as a whole where arrays would be taken item by item. The first row of a block has no term, but its
+    nodes: ``ids`` one after the other, where each begins as ``at``, their lengths in words as ``tf``. A block is written by one task, in
+    order and into one row group, which Spark never divides, so that a task that reads a block has all of it. A narrow map, in which words
+    are found once.
 
-    Nodes of like length share blocks, so that what the best node of a block can score is little more than what it does. What is exchanged is
-    a node with its text, not each posting, and a posting names its node by a number, which is its block and its place there by id. Rows of
-    one id are one node, with the text of all of them. What only a search by blocks needs is stored for more than :data:`SMALL` nodes.
+    For more than :data:`SMALL` nodes those of like length share blocks, so that what the best node of a block can score is little more than
+    what it does, and what only a search by blocks needs is stored too.
     """
     spark = nodes.sparkSession
-    nodes = nodes.select("id", "title", "body_md")
+    reach_workers(spark)
+    nodes = nodes.select(F.col("id").cast("string").alias("id"), "title", "body_md")
     again = written(nodes.groupBy("id").count().where("count > 1").select("id"), "repeated")
     if not again.isEmpty():
         one = nodes.join(again, "id", "left_semi").groupBy("id").agg(F.lit(None).cast("string").alias("title"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "title", "body_md"))), " ").alias("body_md"))
         nodes = nodes.join(again, "id", "left_anti").unionByName(one)
-    n, edges = doc_stats(nodes).agg(F.count("*"), F.percentile_approx("dl", [k / LENGTHS for k in range(1, LENGTHS)])).first()
-    edges = sorted({e for e in edges or [] if e is not None})
-    of_length = _group(F.col("dl"), edges)
-    share = max(1, -(-n // (BLOCK * max(1, len(edges)))))
-    block = (of_length * share + F.pmod(F.xxhash64("id"), F.lit(share))).cast("int")
-    parts = max(1, -(-n // SHARE))
-    number = F.col("block").cast("long") * (1 << 32) + F.row_number().over(Window.partitionBy("block").orderBy("id"))
-    sized = nodes.withColumn("dl", F.size(tokens(F.concat_ws(" ", "title", "body_md"))).cast("long")).withColumn("block", block).drop("dl")
-    numbered = sized.repartition(parts, "block").withColumn("node", number)
-    numbered.select("node", "id").write.mode("overwrite").parquet(f"{path}/ids")
-    # a node is whole in its partition, so that its words are counted there
-    posted = numbered.select("block", "node", _words(numbered, stemmed).alias("t")).select("block", "node", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term")).where("term is not null")
-    posted = posted.groupBy("block", "node", "dl", "term").agg(F.count("*").alias("tf")).select("term", "block", "node", "tf", "dl")
-    posted.sortWithinPartitions("term", "block", "node").write.mode("overwrite").parquet(f"{path}/postings")
-    posted = spark.read.parquet(f"{path}/postings")
+    n = nodes.count()
+    rows = _by_length(nodes, n) if n > SMALL else nodes.withColumn("block", F.lit(None).cast("long"))
+    lists = rows.select("block", "id", _words(nodes, stemmed).alias("t")).mapInArrow(_cut_lists, "block long, term string, at binary, tf binary, ids string")
+    lists.write.mode("overwrite").option("parquet.block.size", (1 << 31) - 1).option("maxRecordsPerFile", 0).parquet(f"{path}/lists")
+    lists = spark.read.parquet(f"{path}/lists")
+    # as many words as all lists count
+    lists.where("term is not null").mapInArrow(_summed, "length long").agg(F.lit(n).cast("long").alias("n_nodes"), (F.coalesce(F.sum("length"), F.lit(0)) / F.nullif(F.lit(n), F.lit(0))).cast("double").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/stats")
     if n > SMALL:
+        _rows_of(lists).sortWithinPartitions("term", "block", "node").write.mode("overwrite").parquet(f"{path}/postings")
+        posted = spark.read.parquet(f"{path}/postings")
         maxima = posted.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
         prefixes = _prefixes(nodes.select(F.array_sort(F.array_distinct(_words(nodes, stemmed))).alias("t")))
-        for name, rows, by in (("terms", term_stats(posted), ["term"]), ("blocks", maxima, ["term", "block"]), ("prefixes", prefixes, ["prefix"])):
-            rows.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
-    # the words of all nodes are in the postings
-    posted.agg(F.lit(n).cast("long").alias("n_nodes"), (F.when(F.lit(n > 0), F.coalesce(F.sum("tf"), F.lit(0))) / F.lit(max(1, n))).cast("double").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/stats")
+        for name, table, by in (("terms", term_stats(posted), ["term"]), ("blocks", maxima, ["term", "block"]), ("prefixes", prefixes, ["prefix"]), ("ids", _ids_of(lists), ["node"])):
+            table.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
     return open_index(spark, path)
 
 
+def _by_length(nodes: DataFrame, n: int) -> DataFrame:
+    """Nodes with a ``block`` of nodes of like length, in its order."""
+    edges = doc_stats(nodes).agg(F.percentile_approx("dl", [k / LENGTHS for k in range(1, LENGTHS)])).first()[0]
+    edges = sorted({e for e in edges or [] if e is not None})
+    share = max(1, -(-n // (BLOCK * max(1, len(edges)))))
+    block = _group(F.size(tokens(F.concat_ws(" ", "title", "body_md"))).cast("long"), edges) * share + F.pmod(F.xxhash64("id"), F.lit(share))
+    return nodes.withColumn("block", block.cast("long")).repartition(max(1, -(-n // SHARE)), "block").sortWithinPartitions("block")
+
+
+def _cut_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``lists`` from rows ``block, id, t``; where no block is given, one ends after :data:`SHARE` nodes or :data:`WORDS` words."""
+    own = TaskContext.get().partitionId() << PLACES
+    held: list[tuple[pa.Array, pa.ListArray]] = []
+    block, n_nodes, n_words = None, 0, 0
+    for batch in batches:
+        given, ids, words = batch.columns
+        ends = words.offsets.to_numpy().astype(np.int64)
+        numbers = None if given.null_count == len(given) else given.to_numpy()
+        at = 0
+        while at < len(batch):
+            if numbers is None:
+                end = max(at + 1, min(at + SHARE - n_nodes, int(np.searchsorted(ends, ends[at] + WORDS - n_words, "right")) - 1, len(batch)))
+            else:
+                if block is not None and numbers[at] != block and held:
+                    yield from _lists_of(block, held)
+                    held, n_nodes, n_words = [], 0, 0
+                block = int(numbers[at])
+                end = at + int(np.searchsorted(numbers[at:], block, "right"))
+            held.append((ids.slice(at, end - at), words.slice(at, end - at)))
+            n_nodes, n_words = n_nodes + end - at, n_words + int(ends[end] - ends[at])
+            if numbers is None and (n_nodes >= SHARE or n_words >= WORDS):
+                yield from _lists_of(own, held)
+                own, held, n_nodes, n_words = own + 1, [], 0, 0
+            at = end
+    if held:
+        yield from _lists_of(own if block is None else block, held)
+
+
+def _lists_of(block: int, held: list[tuple[pa.Array, pa.ListArray]]) -> Iterator[pa.RecordBatch]:
+    ids = pa.concat_arrays([i for i, _ in held])
+    size = np.concatenate([pc.fill_null(pc.list_value_length(t), 0).to_numpy(zero_copy_only=False) for _, t in held]).astype(np.int32)
+    n = len(ids)
+    words = pc.dictionary_encode(pa.concat_arrays([t.flatten() for _, t in held]))
+    terms = pc.sort_indices(words.dictionary).to_numpy()
+    place = np.empty(len(terms), np.int64)
+    place[terms] = np.arange(len(terms))
+    keys, tf = np.unique(place[words.indices.to_numpy()] * n + np.repeat(np.arange(n), size), return_counts=True)
+    starts = np.searchsorted(keys, np.arange(len(terms) + 1) * n).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy())])
+    text = "".join(ids.to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([None], pa.string()), *(pa.array([x.astype(np.int32).tobytes()]) for x in (ends, size)), pa.array([text])], LISTS)
+    lists = [_bytes(starts, x.astype(np.int32)) for x in (keys % max(1, n), tf)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), block)), words.dictionary.take(pa.array(terms)), *lists, pa.nulls(len(terms), pa.string())], LISTS)
+
+
+LISTS = ["block", "term", "at", "tf", "ids"]
+
+
+def _bytes(starts: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Runs of 32-bit integers as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * 4).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array([sum(int(_numbers(b.column("tf")).sum(dtype=np.int64)) for b in batches)], pa.int64())], ["length"])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """All integers of binaries that :func:`_bytes` has made."""
+    if not len(column):
+        return np.zeros(0, np.int32)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.int32, (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.zeros(0, np.int32)
+
+
+def _ids_of(lists: DataFrame) -> DataFrame:
+    """``(node, id)``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array((block.number << PLACES) + np.arange(len(block.ids))), block.ids], ["node", "id"])
+
+    return lists.where("term is null").mapInArrow(rows, "node long, id string")
+
+
+def _rows_of(lists: DataFrame) -> DataFrame:
+    """``(term, block, node, tf, dl)``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            terms = pa.array(np.repeat(np.arange(len(block.terms)), np.diff(block.starts)))
+            for low in range(0, len(terms), 1 << 16):
+                part = slice(low, low + (1 << 16))
+                at = block.at[part].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(block.terms, pa.string()).take(terms[part]), pa.array(np.full(len(at), block.number)), pa.array((block.number << PLACES) + at), pa.array(block.tf[part].astype(np.int64)), pa.array(block.sizes[at].astype(np.int64))], ["term", "block", "node", "tf", "dl"])
+
+    return lists.mapInArrow(rows, "term string, block long, node long, tf long, dl long")
+
+
 def _group(length: Column, edges: list[int]) -> Column:
     """How many edges a length has reached. It is held as an item of an array: within the filter Spark would count the words again for each edge."""
     return F.get(F.transform(F.array(length), lambda n: F.size(F.filter(F.lit(edges or [0]).cast("array<bigint>"), lambda e: e <= n))), F.lit(0))
 
 
 def open_index(spark, path: str) -> Index:
-    """A stored index. One that is read at once has its terms and prefixes counted where they are asked for, and no block maxima."""
-    posted, ids, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "ids", "stats"))
+    """A stored index. One that is read at once has its other tables computed from its lists where they are asked for, and no block maxima."""
+    lists, stats = (spark.read.parquet(f"{path}/{name}") for name in ("lists", "stats"))
     if stats.first()["n_nodes"] > SMALL:
-        terms, blocks, prefixes = (spark.read.parquet(f"{path}/{name}") for name in ("terms", "blocks", "prefixes"))
-        return Index(posted, terms, stats, blocks, prefixes, ids)
-    return Index(posted, term_stats(posted), stats, None, _prefixes(posted.groupBy("node").agg(F.array_sort(F.collect_list("term")).alias("t"))), ids)
+        posted, terms, blocks, prefixes, ids = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "blocks", "prefixes", "ids"))
+        return Index(posted, terms, stats, blocks, prefixes, ids, lists)
+    posted = _rows_of(lists)
+    terms = lists.where("term is not null").groupBy("term").agg((F.sum(F.octet_length("at")) / 4).cast("long").alias("df"))
+    return Index(posted, terms, stats, None, _prefixes(posted.groupBy("node").agg(F.array_sort(F.collect_list("term")).alias("t"))), _ids_of(lists), lists)
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
@@ -216,16 +318,21 @@ def _asked(words: DataFrame, index: Index) -> tuple[DataFrame, Callable[[DataFra
     return begun.select("term", F.expr("substring(term, 1, width)").alias("prefix")).join(words.select("prefix").distinct(), "prefix"), named
 
 
-def search_index(index: Index, queries: DataFrame, limit: int | None = None) -> DataFrame:
-    """``(query_id, id, score)`` by BM25; every word of a query is a required prefix.
+def search_index(index: Index, queries: DataFrame, limit: int | None = None, own: DataFrame | None = None) -> DataFrame:
+    """``(query_id, id, score)`` by BM25; every word of a query is a required prefix. With ``own`` only nodes of these ids are hits; terms are weighed over all.
 
     A prefix counts as one term: its occurrences and the nodes that hold it are those of all
     terms that begin with it. The rarest prefix of a query names its candidates, and only
     these are looked up under the others.
 
     With a limit and a stored index of many nodes, a query reads the blocks first that can score most, and then only those that can
-    beat its last kept score; what it leaves unread cannot be among the first ``limit``. Else see :func:`_search_all`.
+    beat its last kept score; what it leaves unread cannot be among the first ``limit``. Else see :func:`_scan`, or without a stored
+    index :func:`_search_all`.
     """
+    by_blocks = index.blocks is not None and limit and own is None
+    if index.lists is not None and not by_blocks:
+        hits = _scan(index, queries, "rows", limit, own)
+        return top(hits, limit) if limit else hits
     words = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("prefix"))
     total = index.stats.first()
     n, average = float(total["n_nodes"]), total["avg_len"]
@@ -235,8 +342,10 @@ def search_index(index: Index, queries: DataFrame, limit: int | None = None) ->
         idf = F.greatest(F.log((F.lit(n) - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         return idf * x * (K1 + 1) / (x + K1 * (1 - B + B * dl / F.lit(average)))
 
-    if index.blocks is None or not limit or n <= SMALL:
+    if not by_blocks:
         hits = _search_all(index, words, one)
+        if own is not None:
+            hits = hits.join(own.select("id"), "id", "left_semi").select("query_id", "id", "score")
         return top(hits, limit) if limit else hits
     begun, named = _asked(words, index)
     posted = index.postings
@@ -294,13 +403,13 @@ def _search_all(index: Index, words: DataFrame, one: Callable[[Column, Column, C
     words = written(words, "words")
     asked = written(words.select("prefix").distinct().select("prefix", F.monotonically_increasing_id().alias("p")), "prefixes")
     widths = [r[0] for r in asked.select(F.length("prefix")).distinct().collect()]  # at most as many as a longest word has letters
-    posted = index.postings if index.ids is not None else index.postings.withColumnRenamed("id", "node")
+    posted = index.postings.withColumnRenamed("id", "node")
     begun = F.array(*(F.when(F.length("term") >= w, F.substring("term", 1, w)) for w in sorted(widths))).cast("array<string>")
     begun = posted.select("node", "tf", "dl", F.explode_outer(begun).alias("prefix"))
     tf = begun.join(F.broadcast(asked), "prefix")
     held = tf.groupBy("node", "p").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     held = held.groupBy("node").agg(F.first("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("p", "tf"))).alias("held"))
-    held = held.join(index.ids, "node") if index.ids is not None else held.withColumnRenamed("node", "id")
+    held = held.withColumnRenamed("node", "id")
     held = written(held.select("id", "dl", "held"), "held")
     df = held.select(F.explode_outer(F.map_keys("held")).alias("p")).groupBy("p").agg(F.count("*").alias("df"))
     # a prefix that no node holds leaves its query without hits
@@ -313,6 +422,301 @@ def _search_all(index: Index, words: DataFrame, one: Callable[[Column, Column, C
     return found.select("query_id", "id", F.round(score, 9).alias("score")).where("score is not null")
 
 
+def count_hits(index: Index, queries: DataFrame) -> DataFrame:
+    """``(query_id, n)``: how many hits each query of a stored index has; hits are counted where their node is."""
+    return _scan(index, queries, "counts").groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
+def hits_among(index: Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(query_id, id, score)`` of those pairs ``(query_id, id)`` that a search of a stored index finds."""
+    return _scan(index, queries, "rows", pairs=pairs)
+
+
+#: Queries whose prefixes a task spreads over the nodes of a block at a time, and hits of the best ones that it holds before it drops the others.
+ASKED, HELD = 256, 1 << 20
+
+
+def _scan(index: Index, queries: DataFrame, what: str, limit: int | None = None, own: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Hits of a stored index, of which every block is read: rows ``(query_id, id, score)``, or with ``counts`` ``(query_id, n)`` of each task.
+
+    Blocks are read twice: to count how many nodes have each asked prefix, and to score. A block is scored against all queries where it is
+    read, so nothing is exchanged but what a task has found; with ``limit`` these are its best hits of each query, else all. The queries,
+    nodes that alone count (``own``) and pairs that alone count are numbers, which tasks map from files in the shared folder.
+    """
+    spark = queries.sparkSession
+    reach_workers(spark)
+    total = index.stats.first()
+    n, average = float(total["n_nodes"]), total["avg_len"]
+    folder = fresh(spark, "asked")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    words = written(queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("prefix")), "words")
+    few = [r[0] for r in words.select("prefix").distinct().limit(NAMED + 1).collect()]
+    lists = index.lists
+    if len(few) <= NAMED:
+        lists = lists.where(reduce(lambda a, b: a | b, (F.col("term").startswith(p) for p in sorted(few)), F.col("term").isNull()))
+    asked = _in_file(words, folder)
+    told = {name: _in_file(df, folder) for name, df in (
+        ("own", None if own is None else index.ids.join(own.select("id"), "id", "left_semi").select("node")),
+        ("pairs", None if pairs is None else index.ids.join(pairs.select("query_id", "id"), "id").select("node", "query_id")),
+    ) if df is not None}
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes = Prefixes(read_file(folder, asked))
+        df = np.zeros(len(prefixes.texts), np.int64)
+        for block in _blocks(batches):
+            held, starts, *_ = prefixes.held(block)
+            df[held] += np.diff(starts)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["p", "df"])
+
+    if asked is None or not average:
+        return words.select("query_id", F.lit(None).cast("long").alias("n")).limit(0) if what == "counts" else words.select("query_id", F.lit(None).cast("string").alias("id"), F.lit(0.0).alias("score")).limit(0)
+    weights = _in_file(lists.mapInArrow(counted, "p int, df long").groupBy("p").agg(F.sum("df").alias("df")), folder)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = read_file(folder, asked)
+        prefixes = Prefixes(table)
+        df = np.zeros(len(prefixes.texts), np.int64)
+        if weights is not None:
+            known = read_file(folder, weights)
+            df[known["p"].to_numpy()] = known["df"].to_numpy()
+        asks = Asks(table, prefixes, df, n)
+        only = {k: None if name is None else read_file(folder, name) for k, name in told.items()}
+        found = Best(asks.ids, limit) if limit else None
+        counts = np.zeros(len(asks.ids), np.int64)
+        for block in _blocks(batches):
+            for ask, at, score in asks.hits(block, prefixes, average, found, only):
+                if what == "counts":
+                    counts += np.bincount(ask, minlength=len(counts))
+                elif found is not None:
+                    found.add(ask, block.ids.take(pa.array(at)), score)
+                else:
+                    for low in range(0, len(ask), 1 << 16):
+                        part = slice(low, low + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([asks.ids.take(pa.array(ask[part])), block.ids.take(pa.array(at[part])), pa.array(score[part])], ["query_id", "id", "score"])
+        if what == "counts":
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([asks.ids.take(pa.array(at)), pa.array(counts[at])], ["query_id", "n"])
+        elif found is not None:
+            yield from found.rows()
+
+    return lists.mapInArrow(scored, f"query_id {kind}, n long" if what == "counts" else f"query_id {kind}, id string, score double")
+
+
+def _in_file(df: DataFrame, folder: str) -> str | None:
+    """Write rows in their order into one Arrow file, by one task, and give its name; None of no rows."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([write_file(folder, pa.Table.from_batches(held).combine_chunks())])], ["name"])
+
+    rows = df.repartition(1).sortWithinPartitions(*df.columns).mapInArrow(write, "name string").collect()
+    return rows[0]["name"] if rows else None
+
+
+@dataclass
+class _Block:
+    number: int
+    ids: pa.Array
+    sizes: np.ndarray
+    terms: list[str]
+    starts: np.ndarray
+    at: np.ndarray
+    tf: np.ndarray
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    """Blocks from their rows of ``lists``, which follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        number = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(batch)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if high > low:
+                if held and held[0].column("block")[0].as_py() != number[low]:
+                    yield _block(held)
+                    held = []
+                held.append(batch.slice(low, high - low))
+    if held:
+        yield _block(held)
+
+
+def _block(held: list[pa.RecordBatch]) -> _Block:
+    table = pa.Table.from_batches(held).combine_chunks()
+    first, rest = table.slice(0, 1), table.slice(1)
+    if first["term"][0].as_py() is not None or rest["term"].null_count:
+        raise ValueError("a block of the index is not whole")
+    one = lambda name: rest[name].combine_chunks()
+    ends, sizes, ids = (first[c][0].as_buffer() if c != "ids" else pa.py_buffer(first[c][0].as_py().encode()) for c in ("at", "tf", "ids"))
+    ids = pa.Array.from_buffers(pa.string(), ends.size // 4 - 1, [None, ends, ids])
+    starts = np.concatenate([[0], np.cumsum(pc.binary_length(rest["at"]).to_numpy() // 4)]).astype(np.int64)
+    return _Block(first["block"][0].as_py(), ids, np.frombuffer(sizes, np.int32).astype(np.float64), rest["term"].to_pylist(), starts, _numbers(one("at")), _numbers(one("tf")))
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``starts``."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Prefixes:
+    """The different prefixes of a table ``query_id, prefix``, in order."""
+
+    def __init__(self, asked: pa.Table):
+        words = pc.dictionary_encode(asked["prefix"].combine_chunks())
+        order = pc.sort_indices(words.dictionary).to_numpy()
+        self.texts = words.dictionary.take(pa.array(order)).to_pylist()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.of_rows = place[words.indices.to_numpy()]
+        self.known = {t: k for k, t in enumerate(self.texts)}
+        self.widths = sorted({len(t) for t in self.texts})
+
+    def held(self, block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The prefixes that a block has, where the nodes of each begin, the nodes in order, and how often each has it."""
+        which, where = [], []
+        for k, term in enumerate(block.terms):
+            for width in self.widths:
+                if width > len(term):
+                    break
+                if (p := self.known.get(term[:width])) is not None:
+                    which.append(p)
+                    where.append(k)
+        where = np.array(where, np.int64)
+        sizes = block.starts[where + 1] - block.starts[where]
+        rows = _spread(block.starts[where], sizes)
+        keys = np.repeat(np.array(which, np.int64), sizes) * len(block.ids) + block.at[rows]
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        tf = np.add.reduceat(block.tf[rows[order]].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        prefix, at = keys[first] // max(1, len(block.ids)), keys[first] % max(1, len(block.ids))
+        begins = np.flatnonzero(np.diff(prefix, prepend=-1))
+        return prefix[begins], np.append(begins, len(prefix)), at, tf
+
+
+class Asks:
+    """Queries with their prefixes, the rarest first; those with a prefix that no node has are left out."""
+
+    def __init__(self, asked: pa.Table, prefixes: Prefixes, df: np.ndarray, n: float):
+        query = pc.dictionary_encode(asked["query_id"].combine_chunks())
+        self.ids, rows, p = query.dictionary, query.indices.to_numpy().astype(np.int64), prefixes.of_rows
+        self.idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+        order = np.lexsort((p, df[p], rows))
+        rows, p = rows[order], p[order]
+        size = np.bincount(rows, minlength=len(self.ids))
+        starts = np.cumsum(size) - size
+        full = np.bincount(rows, df[p] > 0, minlength=len(self.ids)) == size
+        #: by their number of words: the queries and their prefixes
+        self.groups = [(at := np.flatnonzero(full & (size == m)), p[starts[at][:, None] + np.arange(m)]) for m in np.unique(size)]
+
+    def hits(self, block: _Block, prefixes: Prefixes, average: float, best: Best | None, only: dict[str, pa.Table | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hits in a block as numbers of queries, places in the block and scores."""
+        held, starts, at, tf = prefixes.held(block)
+        n = len(block.ids)
+        value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * block.sizes[at] / average))
+        if "own" in only:
+            kept = np.zeros(n, bool)
+            if only["own"] is not None:
+                kept[_within(only["own"], block)[0]] = True
+            stays = kept[at]
+            starts = np.concatenate([[0], np.cumsum(stays)])[starts]
+            at, value = at[stays], value[stays]
+        sizes = np.diff(starts)
+        row = np.full(len(prefixes.texts), -1)
+        row[held[sizes > 0]] = np.flatnonzero(sizes > 0)
+        near = {}
+        if "pairs" in only:
+            if only["pairs"] is None:
+                return
+            places, rows = _within(only["pairs"], block)
+            ask = pc.index_in(only["pairs"]["query_id"].slice(rows.start, rows.stop - rows.start), self.ids).to_numpy(zero_copy_only=False)
+            for q, place in zip(ask[~np.isnan(ask)].astype(np.int64).tolist(), places[~np.isnan(ask)].tolist(), strict=True):
+                near.setdefault(q, set()).add(place)
+        spread = np.zeros((0, n))
+        for asks, words in self.groups:
+            words = row[words]
+            alive = (words >= 0).all(axis=1)
+            if "pairs" in only:
+                alive &= np.isin(asks, np.fromiter(near, np.int64, len(near)))
+            if best is not None:
+                # what a query can score here at most
+                most = np.maximum.reduceat(np.append(value, 0.0), np.minimum(starts[:-1], len(value))) if len(held) else np.zeros(0)
+                ceiling = (self.idf[held[words]] * most[words]).sum(axis=1) if len(held) else np.zeros(len(words))
+                alive &= ceiling >= best.least[asks] - 2e-9
+            asks, words = asks[alive], words[alive]
+            for low in range(0, len(asks), ASKED):
+                own, rows = asks[low : low + ASKED], words[low : low + ASKED]
+                used, local = np.unique(rows, return_inverse=True)
+                local = local.reshape(rows.shape)
+                if len(used) > len(spread):
+                    spread = np.zeros((len(used), n))
+                filled = _spread(starts[used], sizes[used])
+                cells = np.repeat(np.arange(len(used)) * n, sizes[used]) + at[filled]
+                values = spread.ravel()
+                values[cells] = value[filled]
+                if "pairs" in only:
+                    places = [sorted(near[q]) for q in own.tolist()]
+                    who = np.repeat(np.arange(len(own)), list(map(len, places)))
+                    where = np.array([x for p in places for x in p], np.int64)
+                else:
+                    lead = rows[np.arange(len(rows)), sizes[rows].argmin(axis=1)]
+                    who, where = np.repeat(np.arange(len(own)), sizes[lead]), at[_spread(starts[lead], sizes[lead])]
+                score = np.zeros(len(who))
+                for k in range(rows.shape[1]):
+                    one = values[local[who, k] * n + where]
+                    has = one > 0
+                    if not has.all():
+                        who, where, score, one = who[has], where[has], score[has], one[has]
+                    score += self.idf[held[rows[who, k]]] * one
+                values[cells] = 0.0
+                score = np.floor(score * 1e9 + 0.5) / 1e9
+                if best is not None:
+                    stays = score >= best.least[own[who]]
+                    who, where, score = who[stays], where[stays], score[stays]
+                if len(who):
+                    yield own[who], where, score
+
+
+def _within(table: pa.Table, block: _Block) -> tuple[np.ndarray, slice]:
+    """Places in a block of the nodes that a table in order of ``node`` tells, and its rows."""
+    nodes = table["node"].to_numpy()
+    low, high = np.searchsorted(nodes, [block.number << PLACES, (block.number + 1) << PLACES]).tolist()
+    return nodes[low:high] - (block.number << PLACES), slice(low, high)
+
+
+class Best:
+    """The best hits of each query, ties to the smaller id; ``least`` is the score of the last where there are enough."""
+
+    def __init__(self, ids: pa.Array, limit: int):
+        self.ids, self.limit, self.least = ids, limit, np.full(len(ids), -np.inf)
+        self.held: list[pa.Table] = []
+        self.size = self.kept = 0
+
+    def add(self, ask: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
+        self.held.append(pa.table({"ask": ask, "id": ids, "score": score}))
+        self.size += len(ask)
+        if self.size >= max(HELD, 2 * self.kept):
+            self.drop()
+
+    def drop(self) -> None:
+        table = pa.concat_tables(self.held).sort_by([("ask", "ascending"), ("score", "descending"), ("id", "ascending")])
+        ask, score = table["ask"].to_numpy(), table["score"].to_numpy()
+        first = np.flatnonzero(np.diff(ask, prepend=-1))
+        place = np.arange(len(ask)) - np.repeat(first, np.diff(np.append(first, len(ask))))
+        last = place == self.limit - 1
+        self.least[ask[last]] = score[last]
+        table = table.filter(pa.array(place < self.limit)).combine_chunks()
+        self.held, self.size, self.kept = [table], len(table), len(table)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.drop()
+            for batch in self.held[0].to_batches(max_chunksize=1 << 16):
+                yield pa.RecordBatch.from_arrays([self.ids.take(batch.column("ask")), batch.column("id"), batch.column("score")], ["query_id", "id", "score"])
+
+
 def _frequency(index: Index, words: DataFrame, begun: DataFrame, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(prefix, df)`` of the asked prefixes: as counted when the index was built, or from the postings of long ones."""
     asked = words.select("prefix").distinct()
@@ -402,7 +806,7 @@ def hybrid(index: Index, nodes: DataFrame, vectors: DataFrame | VectorIndex, tex
     if node_type is None:
         return fuse(search_index(index, texts, 3 * limit), search_vectors(vectors, query_vectors, 3 * limit), limit)
     own = nodes.where(F.col("type") == node_type).select("id")
-    lexical = top(search_index(index, texts).join(own, "id", "left_semi").select("query_id", "id", "score"), 3 * limit)
+    lexical = search_index(index, texts, 3 * limit, own)
     semantic = search_vectors(vectors.join(own, "id", "left_semi") if prefilter else vectors, query_vectors, 3 * limit).join(own, "id", "left_semi")
     return fuse(lexical, semantic, limit)
 

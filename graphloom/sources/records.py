@@ -174,6 +174,7 @@ def save_index(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, path: str
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
     index = store_index(nodes, path)
     if index.blocks is None:
-        # a small index counts its terms where they are asked for; a saved one has them as a table
+        # an index that is read at once has only its lists; a saved one has postings and terms as tables
+        index.postings.write.mode("overwrite").parquet(f"{path}/postings")
         index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     return index

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.operators import search
@@ -68,3 +70,48 @@ def test_saved_index_has_all_tables(spark, tmp_path, monkeypatch, small):
     rows = lambda what: spark.read.parquet(str(tmp_path / "saved" / what))
     assert [rows(w).count() for w in ("nodes", "edges", "vectors", "postings")] == [3, 1, 1, 5]
     assert {r.term: r.df for r in rows("terms").collect()} == {"one": 2, "ones": 1, "on": 2}
+
+
+def test_blocks_are_scored_where_they_are_read(spark, tmp_path, monkeypatch):
+    """The best hits with ties, hits among some nodes or pairs, and counts, over many blocks; weights are of all nodes."""
+    rnd = random.Random(9)
+    words = ["fox", "foxes", "red", "reading", "the", "zebra"]
+    rows = [(f"n{i:03}", None, " ".join(rnd.choices(words, k=rnd.randint(0, 12)))) for i in range(200)] + [(f"t{i:03}", "", "fox the red") for i in range(20)]
+    nodes = spark.createDataFrame(rows, "id string, title string, body_md string").repartition(3, "id")
+    asked = ["fox the", "re", "zebra fox", "nowhere", "", "the"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    want = {(q, i): x for q, t in enumerate(asked) for i, x in brute_bm25(rows, t).items()}
+
+    def cut(batches):
+        from graphloom.operators import search
+
+        search.SHARE = 7
+        return search._cut_lists(batches)
+
+    monkeypatch.setattr(search, "_cut_lists", cut)
+    index = search.store_index(nodes, str(tmp_path / "index"))
+    assert index.lists.select("block").distinct().count() >= 220 // 7 and index.blocks is None
+    got = {(r.query_id, r.id): r.score for r in search.search_index(index, queries).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    own = nodes.where("id like 'n%5'").select("id")
+    best = lambda hits, n: {q: sorted(((-round(x, 9), i) for (p, i), x in hits.items() if p == q))[:n] for q in {k[0] for k in hits}}
+    key = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    for hits, args in ((want, {}), ({k: x for k, x in want.items() if k[1][0] == "n" and k[1][-1] == "5"}, {"own": own})):
+        assert key(search.search_index(index, queries, 5, **args)) == {(q, i) for q, b in best(hits, 5).items() for _, i in b}
+    assert key(search.search_index(index, queries, own=own)) == {k for k in want if k[1][0] == "n" and k[1][-1] == "5"}
+    assert search.search_index(index, queries, own=own.limit(0)).count() == 0
+    pairs = spark.createDataFrame([(0, "t003"), (0, "n000"), (1, "t001"), (2, "t001"), (9, "t001"), (5, "none")], "query_id long, id string")
+    assert key(search.hits_among(index, queries, pairs)) == {k for k in want if k in {(0, "t003"), (0, "n000"), (1, "t001"), (2, "t001")}}
+    assert {r.query_id: r.n for r in search.count_hits(index, queries).collect()} == {q: sum(k[0] == q for k in want) for q in {k[0] for k in want}}
+
+
+def test_best_hits_drop_others_on_the_way():
+    best = search.Best(pa.array(["a", "b"]), 2)
+    search.HELD, kept = 3, search.HELD
+    try:
+        for ask, ids, score in (([0, 0], ["z", "y"], [1.0, 1.0]), ([0, 1], ["x", "q"], [1.0, 5.0]), ([0], ["w"], [0.5])):
+            best.add(np.array(ask), pa.array(ids), np.array(score))
+        assert best.least.tolist() == [1.0, -np.inf]
+        assert [r for b in best.rows() for r in zip(*(c.to_pylist() for c in b.columns), strict=True)] == [("a", "x", 1.0), ("a", "y", 1.0), ("b", "q", 5.0)]
+    finally:
+        search.HELD = kept
