@@ -95,3 +95,17 @@ def test_table_of_pages(spark):
     rows = html.html_chunks(pages).orderBy("pos").collect()
     assert [(r.page_id, r.pos, r.kind, r.rows) for r in rows] == [(1, 0, P, None), (1, 1, "table", [["1"]]), (1, 2, "image", None)]
     assert rows[0].inline[1].bold and rows[2].image.url == "u" and html.html_chunks(pages.limit(0)).count() == 0
+
+
+def test_plain_cells_are_taken_at_once(monkeypatch):
+    """The same tree as tag by tag, wherever the cells stand, and no call for each of them."""
+    seen = []
+    monkeypatch.setattr(html.Page, "handle_starttag", lambda self, tag, attrs, f=html.Page.handle_starttag: (seen.append(tag), f(self, tag, attrs))[1])
+    page = "<table>" + "".join(f"<tr>{''.join(f'<td>w{k}</td>' for k in range(50))}</tr>" for _ in range(20)) + "</table>"
+    assert html.tables_of(page) == [[[f"w{k}" for k in range(50)]] * 20] and seen.count("td") == 0
+    rnd = random.Random(4)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>a</td>", "<td></td><td> b  c\n</td>", "<td>&amp;</td>", "<td>x", "</td>", "<b>", "</b>", "<p>", "text", "<script>", "</script>", "<!--", "-->", "<a title='", "'>", "<tbody>", "<td>y</td><td>z</td>", "<title>", "</title>", "<th>h</th>", "<pre>\n", "<template>", "</template>", "<"]
+    pages = ["".join(rnd.choices(bits, [6, 2, 8, 4, 8, 5, 2, 2, 2, 2, 2, 2, 3, 0.3, 1, 0.3, 1, 0.3, 1, 2, 8, 0.3, 1, 2, 1, 0.3, 1, 0.5], k=rnd.randint(1, 40))) for _ in range(3000)]
+    got = [html.chunks_of(p) for p in pages]
+    monkeypatch.setattr(html, "_PLAIN_CELLS", html.re.compile("(?!)"))
+    assert got == [html.chunks_of(p) for p in pages] and sum(any(c["rows"] for c in g) for g in got) > 1000
